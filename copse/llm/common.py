@@ -76,3 +76,26 @@ def same(left, right):
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows up to which join_small broadcasts its right side, which it counts first.
+SMALL = 200_000
+
+
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = SMALL, weigh=None) -> DataFrame:
+    """Join with a side that is usually small: broadcast if counted as at most `most`, else shuffled.
+
+    weigh: an aggregate that measures right in rows of plain size, where its rows hold lists.
+    """
+    size = right.agg(weigh if weigh is not None else F.count("*")).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= most else right, on, how)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... and the new name by old (lower-case) name, so that no own name clashes."""
+    inner = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return inner, {c.lower(): f"c{i}" for i, c in enumerate(df.columns)}
+
+
+def renumbered(inner: DataFrame, df: DataFrame) -> DataFrame:
+    return inner.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

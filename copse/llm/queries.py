@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, pii, url_filter
+from . import fingerprint, lines, media, mixing, packing, pii, quality, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_mix(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_media(spark, sf_dir):
     return media.text_features(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,14 @@ def op6_urls(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_lines(spark, sf_dir):
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_imatch(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.scan(table(spark, sf_dir, "documents"))
 
@@ -33,9 +45,9 @@ def op10_pack(spark, sf_dir):
 
 
 def queries():
-    own = (op1_mix, op3_media, op6_urls, op9_pii, op10_pack)
+    own = (op1_mix, op2_quality, op3_media, op6_urls, op7_lines, op8_imatch, op9_pii, op10_pack)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op1_mix": mixing.MIX_SQL, "op6_urls": url_filter.judge_sql()}
+    return {"op1_mix": mixing.MIX_SQL, "op6_urls": url_filter.judge_sql(), "op8_imatch": fingerprint.fingerprint_sql()}
