@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lines, media, mixing, near_dup, packing, pii, quality, url_filter
+from . import fingerprint, lines, media, mixing, near_dup, packing, pii, quality, repeats, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_media(spark, sf_dir):
     return media.text_features(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark, sf_dir):
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_pack(spark, sf_dir):
 
 
 def queries():
-    own = (op1_mix, op2_quality, op3_media, op5_near_dup, op6_urls, op7_lines, op8_imatch, op9_pii, op10_pack)
+    own = (op1_mix, op2_quality, op3_media, op4_repeats, op5_near_dup, op6_urls, op7_lines, op8_imatch, op9_pii, op10_pack)
     return {f.__name__: f for f in own}
 
 
