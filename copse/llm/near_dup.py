@@ -7,10 +7,9 @@ shingle sequences inside the band of diagonals that a similarity of SIMILARITY a
 alignment of length L the similarity of n and m shingles is L / (n + m - L).
 
 Equal texts are one node from the start. In each bucket a leader is drawn (the member that meets most
-others) and all members outside its component are aligned with it; buckets whose members still lie
-in several components draw further leaders, twice as many each round, until no such pair of members is
-left unaligned. Members are dealt to (leader, salt) groups of GROUP rows at most, so a hot group is
-never one task's, and no group's pairs are listed. Links, labels and buckets stay distributed;
+others) and all members are aligned with it; where a bucket's members still lie in several components,
+those of different components are compared in blocks. Members are dealt to (leader, salt) groups of
+GROUP rows and to pairs of blocks of BLOCK, so a hot group is never one task's, and no pairs are listed. Links, labels and buckets stay distributed;
 each round is cut by tables in the shared folder.
 
 Defined results: a null text is empty; texts without words are near only to equal texts; texts of
@@ -101,18 +100,14 @@ def shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     padded = np.concatenate([hashes, np.zeros(WORDS, np.uint64)])
     n = len(hashes)
     out = np.zeros(n, np.uint64)
-    step = np.uint64(1)
-    for j in range(WORDS):
-        out += padded[j : j + n] * step
-        step *= _STEP
+    for j, factor in enumerate(powers(_STEP, WORDS)):
+        out += padded[j : j + n] * factor
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - first[owner]
+    scale = powers(_STEP, WORDS)
     for i in np.flatnonzero((counts > 0) & (counts < WORDS)):
-        step = np.uint64(1)
-        out[first[i]] = 0
-        for j in range(counts[i]):
-            out[first[i]] += hashes[first[i] + j] * step
-            step *= _STEP
+        own = hashes[first[i] : first[i] + counts[i]]
+        out[first[i]] = (own * scale[: len(own)]).sum()
     return mix64(out[place < number[owner]]), number
 
 
@@ -292,8 +287,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def node_classes(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """th, label: nodes of components of more than one text, or None.
+def node_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """th, label: nodes of components of more than one text.
 
     docs: doc_id, th, text. nodes: th, rep (its least doc_id), bands.
     """
@@ -308,55 +303,92 @@ def node_classes(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> Data
     wanted = common.materialise(wanted, "wanted")
     texts = common.join_small(docs, wanted, common.same(F.col("doc_id"), F.col("rep")) & (F.col("th") == F.col("t"))).select("th", "text")
     texts = common.materialise(texts, "texts")
-    labels = done = led = None
-    spread = 1
-    while True:
-        open_ = member
-        if labels is not None:
-            own = common.join_small(member, labels.toDF("v", "label"), F.col("th") == F.col("v"), "left").select("key", "th", "score", F.coalesce("label", "th").alias("label"))
-            open_ = common.materialise(own, "labelled")
-            mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            mixed = common.materialise(mixed, "mixed")
-            open_ = common.join_small(open_, mixed, "key")
-            free = open_.join(led, ["key", "th"], "left_anti")
-        else:
-            open_ = open_.withColumn("label", F.col("th"))
-            free = open_
-        salt = F.pmod(F.xxhash64("th"), F.lit(spread)).cast("int")
-        heads = free.groupBy("key", salt.alias("s")).agg(F.max(F.struct("score", "th", "label")).alias("x")).select("key", F.col("x.th").alias("b"), F.col("x.label").alias("lb"))
-        heads = common.materialise(heads, "heads")
-        pairs = common.join_small(open_, heads, "key").where("label <> lb").select(F.col("th").alias("a"), "b").distinct()
-        if done is not None:
-            back = done.union(done.select("b", "a"))
-            pairs = pairs.join(back, ["a", "b"], "left_anti")
-        pairs = common.materialise(pairs, "pairs")
-        now = heads.select("key", F.col("b").alias("th"))
-        led = now if led is None else common.materialise(led.union(now), "led")
-        if heads.limit(1).count() == 0:
-            return labels
-        done = pairs if done is None else common.materialise(done.union(pairs), "done")
-        spread *= 2
-        if pairs.limit(1).count() == 0:
-            if labels is None:
-                return None
-            continue
-        links = common.materialise(verified(pairs, texts), "links")
-        if labels is not None:
-            old = labels.toDF("v", "label")
-            links = common.join_small(links, old, F.col("a") == F.col("v"), "left").select(F.coalesce("label", "a").alias("a"), "b")
-            links = common.join_small(links, old, F.col("b") == F.col("v"), "left").select("a", F.coalesce("label", "b").alias("b")).where("a <> b").distinct()
-            links = common.materialise(links, "links")
-        if links.limit(1).count() == 0:
-            if labels is None:
-                labels = docs.sparkSession.createDataFrame([], "v binary, label binary")
-            continue
-        new = components(links).toDF("w", "to")
-        if labels is None or not labels.take(1):
-            labels = new.toDF("v", "label")
-        else:
-            moved = common.join_small(labels, new, F.col("label") == F.col("w"), "left").select("v", F.coalesce("to", "label").alias("label"))
-            fresh = new.join(labels.select(F.col("v").alias("w")), "w", "left_anti").toDF("v", "label")
-            labels = common.materialise(moved.union(fresh), "labels")
+    # First every bucket's members against one leader, which settles nearly all links of a group of copies.
+    heads = member.groupBy("key").agg(F.max(F.struct("score", "th"))["th"].alias("b"))
+    heads = common.materialise(heads, "heads")
+    pairs = common.join_small(member, heads, "key").where("th <> b").select(F.col("th").alias("a"), "b").distinct()
+    pairs = common.materialise(pairs, "pairs")
+    links = common.materialise(verified(pairs, texts), "links")
+    labels = components(links).toDF("v", "label")
+    # Then the members of buckets that still lie in several components, against each other.
+    own = common.join_small(member, labels, F.col("th") == F.col("v"), "left").select("key", "th", F.coalesce("label", "th").alias("label"))
+    own = common.materialise(own, "labelled")
+    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    mixed = common.materialise(mixed, "mixed")
+    more = common.materialise(blockwise(common.join_small(own, mixed, "key"), texts, nodes), "more")
+    return components(links.unionByName(more)).toDF("v", "label")
+
+
+BLOCK = 128
+
+
+def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links a, b between members of different labels that share a bucket. rows: key, th, label, n (the bucket's members).
+
+    A bucket is cut into blocks of BLOCK members; a group of rows is two of its blocks, so a task holds
+    2 * BLOCK texts and compares them in memory. A pair that meets in several buckets is compared in
+    the one of its first common band only.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("th"), blocks).cast("int")
+    rows = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", F.col("th").alias("t"))
+    held = texts.join(nodes.select(F.col("th").alias("t2"), "bands"), F.col("th") == F.col("t2")).select("th", "text", "bands")
+    rows = rows.join(common.materialise(held, "held"), F.col("t") == F.col("th"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "blk", "label", "th", "bands", "text")
+    schema = common.arrow_schema("a binary, b binary")
+
+    def compare(group):
+        key, p, q = group[0][:3]
+        a, b = [], []
+        for i, one in enumerate(group):
+            for other in group[:i]:
+                if one[4] == other[4] or one[5] == other[5] or (p != q and one[3] == other[3]):
+                    continue
+                if next((x for x, y in zip(one[6], other[6], strict=True) if x == y), key) == key and one[7].near_to(other[7]):
+                    a.append(one[5])
+                    b.append(other[5])
+        return a, b
+
+    def run(batches):
+        group, cache = [], {}
+        for batch in batches:
+            a, b = [], []
+            for *row, text in zip(*(batch.column(i).to_pylist() for i in range(7)), common.utf8(batch, "text"), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    x, y = compare(group)
+                    a += x
+                    b += y
+                    group = []
+                if row[5] not in cache:
+                    if len(cache) >= 4 * BLOCK:
+                        cache.clear()
+                    cache[row[5]] = Text(text)
+                group.append([*row, cache[row[5]]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+        if group:
+            a, b = compare(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+class Text:
+    """A text with its distinct shingles, so that most pairs are told apart without an alignment."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+        listed = shingle_list(text)
+        self.size, self.distinct = len(listed), frozenset(map(hash, listed))
+        self.spare = self.size - len(self.distinct)
+
+    def near_to(self, other: Text) -> bool:
+        need = SIMILARITY * (self.size + other.size) / (1 + SIMILARITY) - 1e-9
+        # Repeats of a shingle can add at most the fewer spare ones to what is shared.
+        if min(self.size, other.size) < need or len(self.distinct & other.distinct) + min(self.spare, other.spare) < need:
+            return False
+        return Aligner(self.text).near(other.text)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -370,10 +402,8 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = common.materialise(sketches(docs), "sketches")
     nodes = sketched.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = common.materialise(nodes, "nodes")
-    labels = node_classes(docs, sketched, nodes)
+    labels = node_classes(docs, nodes)
     own = nodes.select("th", "rep")
-    if labels is None:
-        return sketched.select("doc_id", "th"), own.select("th", "rep", F.col("th").alias("class_th"), F.col("rep").alias("class_id"))
     named = common.materialise(own.join(labels.toDF("v", "label"), F.col("th") == F.col("v"), "left").select("th", "rep", F.coalesce("label", "th").alias("label")), "named")
     least = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("x"))
     least = common.materialise(least.select(F.col("label").alias("l"), F.col("x.th").alias("class_th"), F.col("x.rep").alias("class_id")), "least")
