@@ -106,7 +106,7 @@ def with_drops(docs: DataFrame, doc_id: str, text: str, min_docs: int = MIN_DOCS
     gone = drops(docs.select(F.col(doc_id).cast("bigint").alias("doc"), h.alias("h"), F.col(text).alias("text")), min_docs)
     gone = common.materialise(gone.toDF("__d", "__g", "__lines"), "drops")
     on = common.same(F.col(doc_id).cast("bigint"), F.col("__d")) & (h == F.col("__g"))
-    return docs.join(gone, on, "left").drop("__d", "__g")  # what goes grows with the corpus, so the texts are shuffled
+    return docs.join(gone.hint("merge"), on, "left").drop("__d", "__g")  # what goes grows with the corpus, so the texts are shuffled
 
 
 def without(text: bytes, gone) -> bytes:
