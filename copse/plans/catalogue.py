@@ -1,15 +1,523 @@
-"""Every query of the engine by name, with the SQL that must return the same rows."""
+"""Every query of the engine by name, with the SQL that must return the same rows.
+
+Row-wise queries run over whole tables. Doubles are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import metrics, objectives
+from ..functions import scalar as S
+from ..operators import cuts as C
+from ..operators import splits_sql as X
+from ..operators.tree import Node, Tree
+from ..sources.frame import from_dense, from_sparse, parse_libsvm, present
+from .model import Model, Stump, importance
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- rows with margins and labels of every kind, from line items
+
+BASE_SQL = """
+base AS (SELECT l_orderkey AS q, l_linenumber + 10 * l_partkey::BIGINT + 10000000 * l_suppkey::BIGINT AS i, (l_quantity - 25) / 20 AS m, l_extendedprice / 32768 AS y, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS yb,
+  l_discount * 10 AS yu, l_linenumber::DOUBLE AS yc, 1 + l_tax * 10 AS w, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END * (1 + l_linenumber + floor(l_quantity / 5)) AS yt,
+  CASE WHEN l_linenumber % 4 = 0 THEN 0.0::DOUBLE ELSE 1 + l_quantity / 10 END AS lo,
+  CASE WHEN l_linenumber % 4 = 1 THEN 1 + l_quantity / 10 WHEN l_linenumber % 4 = 2 THEN 'infinity'::DOUBLE ELSE 2 + l_quantity / 5 END AS up,
+  floor(l_tax * 50)::DOUBLE AS grade FROM lineitem)"""
+
+
+def base(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    c, mod = F.col, F.col("l_linenumber") % 4
+    return li.select(
+        c("l_orderkey").alias("q"), (c("l_linenumber") + 10 * c("l_partkey").cast("bigint") + 10_000_000 * c("l_suppkey").cast("bigint")).alias("i"), ((c("l_quantity") - 25) / 20).alias("m"), (c("l_extendedprice") / 32768).alias("y"),
+        F.when(c("l_returnflag") == "R", 1.0).otherwise(0.0).alias("yb"), (c("l_discount") * 10).alias("yu"), c("l_linenumber").cast("double").alias("yc"), (1 + c("l_tax") * 10).alias("w"),
+        (F.when(c("l_linestatus") == "F", 1).otherwise(-1) * (1 + c("l_linenumber") + F.floor(c("l_quantity") / 5))).cast("double").alias("yt"),
+        F.when(mod == 0, S.num(0)).otherwise(1 + c("l_quantity") / 10).alias("lo"),
+        F.when(mod == 1, 1 + c("l_quantity") / 10).when(mod == 2, S.num(float("inf"))).otherwise(2 + c("l_quantity") / 5).alias("up"),
+        F.floor(c("l_tax") * 50).cast("double").alias("grade"),
+    )
+
+
+def r(c, n=6):
+    return F.round(c, n)
+
+
+def gradient_query(name, pair, sql):
+    """A row-wise objective's weighted gradient and hessian for every row."""
+    g, h = sql
+
+    def run(spark, sf_dir):
+        a, b = pair()
+        return base(spark, sf_dir).select("q", "i", r(a * F.col("w")).alias("g"), r(b * F.col("w")).alias("h"))
+
+    query(f"WITH {BASE_SQL} SELECT q, i, round(({g}) * w, 6) AS g, round(({h}) * w, 6) AS h FROM base", name)(run)
+
+
+def of(name, y, **p):
+    return lambda: objectives.create(name, **p).pair(F.col("m"), F.col(y))
+
+
+SIG = "(1 / (1 + exp(-m)))"
+ERF_SQL = "(sign({z}) * (1 - (((((1.061405429 * t + -1.453152027) * t + 1.421413741) * t + -0.284496736) * t + 0.254829592) * t) * exp(-({z}) * ({z}))))"
+
+for _name, _pair, _sql in (
+    ("grad_squarederror", of("reg:squarederror", "y"), ("m - y", "1")),
+    ("grad_squaredlogerror", lambda: objectives.squared_log(F.col("m") / 2, F.col("y")), ("(ln(1 + m / 2) - ln(1 + y)) / (m / 2 + 1)", "greatest((1 - ln(1 + m / 2) + ln(1 + y)) / pow(m / 2 + 1, 2), 1e-6)")),
+    ("grad_reg_logistic", of("reg:logistic", "yu"), (f"{SIG} - yu", f"greatest({SIG} * (1 - {SIG}), 1e-16)")),
+    ("grad_binary_logistic", of("binary:logistic", "yb"), (f"{SIG} - yb", f"greatest({SIG} * (1 - {SIG}), 1e-16)")),
+    ("grad_logitraw", of("binary:logitraw", "yb"), (f"{SIG} - yb", f"greatest({SIG} * (1 - {SIG}), 1e-16)")),
+    ("grad_hinge", of("binary:hinge", "yb"), ("CASE WHEN m * (2 * yb - 1) < 1 THEN 1 - 2 * yb ELSE 0.0::DOUBLE END", "CASE WHEN m * (2 * yb - 1) < 1 THEN 1.0::DOUBLE ELSE 1.1754943508222875e-38 END")),
+    ("grad_pseudohuber", of("reg:pseudohubererror", "y", huber_slope=0.5), ("(m - y) / sqrt(1 + (m - y) * (m - y) / 0.25)", "0.25 / ((0.25 + (m - y) * (m - y)) * sqrt(1 + (m - y) * (m - y) / 0.25))")),
+    ("grad_gamma", of("reg:gamma", "y"), ("1 - y / exp(m)", "y / exp(m)")),
+    ("grad_poisson", of("count:poisson", "yc"), ("exp(m) - yc", "exp(m + 0.7)")),
+    ("grad_tweedie", of("reg:tweedie", "y", tweedie_variance_power=1.3), ("exp(0.7 * m) - y * exp(-0.3 * m)", "0.7 * exp(0.7 * m) + 0.3 * y * exp(-0.3 * m)")),
+):
+    gradient_query(_name, _pair, _sql)
+
+
+@query(f"WITH {BASE_SQL}, d AS (SELECT pow(sum(w * sqrt(abs(m - y))) / sum(w), 2) AS s FROM base) SELECT q, i, round((m - y) * s / sqrt(s * s + (m - y) * (m - y)) * w, 6) AS g, round(s / sqrt(s * s + (m - y) * (m - y)) * w, 6) AS h FROM base, d")
+def grad_absoluteerror(spark, sf_dir):
+    df = base(spark, sf_dir)
+    res = F.col("m") - F.col("y")
+    g, h = objectives.absolute_pair(res, objectives.smoothing_scale(df, res, F.col("w")))
+    return df.select("q", "i", r(g * F.col("w")).alias("g"), r(h * F.col("w")).alias("h"))
+
+
+@query(f"WITH {BASE_SQL}, d AS (SELECT pow(sum(w * sqrt(abs(m - y))) / sum(w), 2) AS s FROM base), e AS (SELECT *, (m - y) / (0.04 * s) AS x FROM base, d) SELECT q, i, round(0.5 * s * (tanh(x) + 1 - 1.4) * w, 6) AS g, round(0.5 / 0.04 * greatest(CASE WHEN abs(x) < 1e-6 THEN 1 ELSE tanh(x) / x END, 3e-4) * w, 5) AS h FROM e")
+def grad_quantile(spark, sf_dir):
+    df = base(spark, sf_dir)
+    res = F.col("m") - F.col("y")
+    g, h = objectives.quantile_pair(res, 0.7, objectives.smoothing_scale(df, res, F.col("w")))
+    return df.select("q", "i", r(g * F.col("w")).alias("g"), r(h * F.col("w"), 5).alias("h"))
+
+
+@query(f"""WITH {BASE_SQL}, p AS (SELECT *, m AS p0, m + 1e-6 + greatest(m / 2, 0) + ln(1 + exp(-abs(m / 2))) AS p1 FROM base),
+s AS (SELECT *, CASE WHEN p0 >= y THEN 0.75 ELSE 0.25 END AS s0, CASE WHEN p1 >= y THEN 0.25 ELSE 0.75 END AS s1, 1 / (1 + exp(-m / 2)) AS z FROM p)
+SELECT q, i, round(s0 * (p0 - y) + s1 * (p1 - y), 6) AS g0, round(z * s1 * (p1 - y), 6) AS g1, round(s0 + s1, 6) AS h0, round(z * z * s1, 6) AS h1 FROM s""")
+def grad_expectile(spark, sf_dir):
+    g, h = objectives.expectile_pair(F.array(F.col("m"), F.col("m") / 2), F.col("y"), [0.25, 0.75])
+    return base(spark, sf_dir).select("q", "i", *[r(F.get(x, F.lit(j))).alias(f"{n}{j}") for n, x in (("g", g), ("h", h)) for j in (0, 1)])
+
+
+@query(f"""WITH {BASE_SQL}, e AS (SELECT *, exp(m) + exp(0) + exp(-m) AS t FROM base), p AS (SELECT *, exp(m) / t AS p0, 1 / t AS p1, exp(-m) / t AS p2 FROM e)
+SELECT q, i, round(p0 - CASE WHEN yb = 0 THEN 1 ELSE 0 END, 6) AS g0, round(p1 - CASE WHEN yb = 1 THEN 1 ELSE 0 END, 6) AS g1, round(p2, 6) AS g2, round(greatest(2 * p1 * (1 - p1), 1e-16), 6) AS h1 FROM p""")
+def grad_softmax(spark, sf_dir):
+    g, h = objectives.softmax_pair(F.array(F.col("m"), S.num(0), -F.col("m")), F.col("yb"), 3)
+    return base(spark, sf_dir).select("q", "i", *[r(F.get(g, F.lit(j))).alias(f"g{j}") for j in range(3)], r(F.get(h, F.lit(1))).alias("h1"))
+
+
+@query(f"""WITH {BASE_SQL}, t AS (SELECT abs(yt) AS t, sum(exp(m)) AS e, sum(CASE WHEN yt > 0 THEN 1 ELSE 0 END) AS d FROM base GROUP BY 1),
+k AS (SELECT t, d, sum(e) OVER (ORDER BY t DESC) AS risk FROM t), s AS (SELECT t, sum(d / risk) OVER (ORDER BY t) AS rk, sum(d / (risk * risk)) OVER (ORDER BY t) AS sk FROM k)
+SELECT q, i, round(exp(m) * rk - CASE WHEN yt > 0 THEN 1 ELSE 0 END, 6) AS g, round(exp(m) * rk - exp(m) * exp(m) * sk, 6) AS h FROM base JOIN s ON abs(yt) = t""")
+def grad_cox(spark, sf_dir):
+    return objectives.cox_pair(base(spark, sf_dir), "m", "yt").select("q", "i", r(F.col("g")).alias("g"), r(F.col("h")).alias("h"))
+
+
+AFT_LOGISTIC = """WITH {base}, z AS (SELECT *, CASE WHEN up < 'infinity'::DOUBLE THEN (ln(up) - m) / 0.8 ELSE 0 END AS zu, CASE WHEN lo > 0 THEN (ln(lo) - m) / 0.8 ELSE 0 END AS zl FROM base),
+d AS (SELECT *, exp(zu) / pow(1 + exp(zu), 2) AS pu, exp(zu) / (1 + exp(zu)) AS cu, exp(zl) / pow(1 + exp(zl), 2) AS pl, exp(zl) / (1 + exp(zl)) AS cl FROM z),
+e AS (SELECT *, pu * (1 - exp(zu)) / (1 + exp(zu)) AS gu, pl * (1 - exp(zl)) / (1 + exp(zl)) AS gl, pl * (exp(2 * zl) - 4 * exp(zl) + 1) / pow(1 + exp(zl), 2) AS hl FROM d),
+f AS (SELECT *, CASE WHEN up = 'infinity'::DOUBLE THEN 0 ELSE pu END AS p1, CASE WHEN up = 'infinity'::DOUBLE THEN 1 ELSE cu END AS c1, CASE WHEN up = 'infinity'::DOUBLE THEN 0 ELSE gu END AS g1,
+  CASE WHEN lo <= 0 THEN 0 ELSE pl END AS p0, CASE WHEN lo <= 0 THEN 0 ELSE cl END AS c0, CASE WHEN lo <= 0 THEN 0 ELSE gl END AS g0 FROM e)
+SELECT q, i, round(greatest(-15, least(15, CASE WHEN lo = up THEN gl / (0.8 * pl) ELSE (p1 - p0) / (0.8 * (c1 - c0)) END)), 6) AS g,
+  round(greatest(1e-16, least(15, CASE WHEN lo = up THEN -(pl * hl - gl * gl) / (0.64 * pl * pl) ELSE -((c1 - c0) * (g1 - g0) - pow(p1 - p0, 2)) / pow(0.8 * (c1 - c0), 2) END)), 6) AS h FROM f"""
+
+
+@query(AFT_LOGISTIC.format(base=BASE_SQL))
+def grad_aft(spark, sf_dir):
+    g, h = objectives.aft_pair(F.col("m"), F.col("lo"), F.col("up"), "logistic", 0.8)
+    return base(spark, sf_dir).select("q", "i", r(g).alias("g"), r(h).alias("h"))
+
+
+RANKED = f"""WITH {BASE_SQL}, d AS (SELECT q, i, m AS s, grade AS y, row_number() OVER (PARTITION BY q ORDER BY m DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr FROM base),
+e AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY q) AS worst, sum(CASE WHEN lr < 32 THEN (pow(2, y) - 1) / log2(lr + 2) ELSE 0 END) OVER (PARTITION BY q) AS idcg FROM d),
+p AS (SELECT a.q, a.best, a.worst, a.idcg, CASE WHEN a.y > b.y THEN a.i ELSE b.i END AS hi, CASE WHEN a.y > b.y THEN b.i ELSE a.i END AS lo, CASE WHEN a.y > b.y THEN a.s - b.s ELSE b.s - a.s END AS d,
+  (pow(2, greatest(a.y, b.y)) - pow(2, least(a.y, b.y))) * abs(1 / log2(a.r + 2) - 1 / log2(b.r + 2)) AS change FROM e a JOIN e b ON a.q = b.q AND a.r < b.r AND a.y <> b.y WHERE a.r < 32),
+k AS (SELECT q, hi, lo, 1 / (1 + exp(-d)) AS sig, {{delta}} / CASE WHEN best <> worst THEN abs(d) + 0.01 ELSE 1 END AS delta FROM p)
+SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k"""
+
+
+def rank_query(name, kind, delta):
+    def run(spark, sf_dir):
+        p = objectives.rank_pairs(base(spark, sf_dir), kind, "m", "grade", "q", "i")
+        return p.select("qid", "hi", "lo", r(F.col("lambda")).alias("lambda"), r(F.col("hess")).alias("hess"))
+
+    query(RANKED.replace("{delta}", delta), name)(run)
+
+
+rank_query("rank_pairs_pairwise", "pairwise", "1.0")
+rank_query("rank_pairs_ndcg", "ndcg", "CASE WHEN idcg > 0 THEN change / idcg ELSE 0 END")
+
+# ---- metrics
+
+PRED = {"p": f"{SIG}"}
+
+
+def metric_query(name, run, sql):
+    query(f"WITH {BASE_SQL} {sql}", name)(lambda spark, sf_dir: run(base(spark, sf_dir)).select(r(F.col("value")).alias("value")))
+
+
+for _kind, _p, _y, _arg, _sql in (
+    ("rmse", lambda: F.col("m"), "y", None, "sqrt(sum((y - m) * (y - m) * w) / sum(w))"),
+    ("rmsle", lambda: F.exp("m"), "y", None, "sqrt(sum(pow(ln(1 + y) - ln(1 + exp(m)), 2) * w) / sum(w))"),
+    ("mae", lambda: F.col("m"), "y", None, "sum(abs(y - m) * w) / sum(w)"),
+    ("mape", lambda: F.col("m"), "y", None, "sum(abs((y - m) / y) * w) / sum(w)"),
+    ("mphe", lambda: F.col("m"), "y", None, "sum((sqrt(1 + (y - m) * (y - m)) - 1) * w) / sum(w)"),
+    ("logloss", lambda: S.sigmoid(F.col("m")), "yb", None, f"sum(-(yb * ln({SIG}) + (1 - yb) * ln(1 - {SIG})) * w) / sum(w)"),
+    ("error", lambda: S.sigmoid(F.col("m")), "yb", 0.6, f"sum(CASE WHEN {SIG} > 0.6 THEN 1 - yb ELSE yb END * w) / sum(w)"),
+    ("poisson-nloglik", lambda: F.exp("m"), "yc", None, "sum((lgamma(yc + 1) + exp(m) - m * yc) * w) / sum(w)"),
+    ("gamma-nloglik", lambda: F.exp("m"), "y", None, "sum((y / exp(m) + m) * w) / sum(w)"),
+    ("gamma-deviance", lambda: F.exp("m"), "y", None, "2 * sum((ln((exp(m) + 1e-6) / (y + 1e-6)) + (y + 1e-6) / (exp(m) + 1e-6) - 1) * w) / sum(w)"),
+    ("tweedie-nloglik", lambda: F.exp("m"), "y", 1.3, "sum((exp(0.7 * m) / 0.7 + y * exp(-0.3 * m) / 0.3) * w) / sum(w)"),
+):
+    metric_query("metric_" + _kind.replace("-", "_"), lambda df, k=_kind, p=_p, y=_y, a=_arg: metrics.rowwise(df, k, p(), F.col(y), F.col("w"), a), f"SELECT round({_sql}, 6) AS value FROM base")
+
+metric_query("metric_quantile", lambda df: metrics.pinball(df, "quantile", F.array(F.col("m"), F.col("m") + 1), F.col("y"), F.col("w"), [0.2, 0.8]),
+             "SELECT round(sum(((CASE WHEN y >= m THEN 0.2 * (y - m) ELSE -0.8 * (y - m) END) + (CASE WHEN y >= m + 1 THEN 0.8 * (y - m - 1) ELSE -0.2 * (y - m - 1) END)) * w) / (2 * sum(w)), 6) AS value FROM base")
+metric_query("metric_expectile", lambda df: metrics.pinball(df, "expectile", F.array(F.col("m")), F.col("y"), F.col("w"), [0.3]),
+             "SELECT round(sum(CASE WHEN m >= y THEN 0.7 ELSE 0.3 END * (m - y) * (m - y) * w) / sum(w), 6) AS value FROM base")
+PROBS = "SELECT *, exp(m) / (exp(m) + 1 + exp(-m)) AS p0, 1 / (exp(m) + 1 + exp(-m)) AS p1, exp(-m) / (exp(m) + 1 + exp(-m)) AS p2, CASE WHEN yb = 1 THEN 0 WHEN yt > 0 THEN 1 ELSE 2 END AS c FROM base"
+_probs = lambda: S.softmax(F.array(F.col("m"), S.num(0), -F.col("m")))
+_class = lambda: F.when(F.col("yb") == 1, 0).when(F.col("yt") > 0, 1).otherwise(2)
+metric_query("metric_merror", lambda df: metrics.multiclass(df, "merror", _probs(), _class(), F.col("w")),
+             f", p AS ({PROBS}) SELECT round(sum(CASE WHEN c = CASE WHEN m >= 0 THEN CASE WHEN m = 0 THEN 0 ELSE 0 END ELSE 2 END THEN 0 ELSE w END) / sum(w), 6) AS value FROM p")
+metric_query("metric_mlogloss", lambda df: metrics.multiclass(df, "mlogloss", _probs(), _class(), F.col("w")),
+             f", p AS ({PROBS}) SELECT round(sum(-ln(CASE c WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END) * w) / sum(w), 6) AS value FROM p")
+CURVE = ", c AS (SELECT m, sum(w * yb) AS p, sum(w * (1 - yb)) AS n FROM base GROUP BY m), k AS (SELECT m, sum(p) OVER o AS tp, sum(n) OVER o AS fp, p, n FROM c WINDOW o AS (ORDER BY m DESC))"
+metric_query("metric_auc", lambda df: metrics.auc(df, F.col("m"), F.col("yb"), F.col("w")), f"{CURVE} SELECT round(sum(n * (2 * tp - p) * 0.5) / (max(tp) * max(fp)), 6) AS value FROM k")
+metric_query("metric_aucpr", lambda df: metrics.auc(df, F.col("m"), F.col("yb"), F.col("w"), pr=True),
+             f"""{CURVE}, s AS (SELECT *, tp - p AS tp0, fp - n AS fp0, (SELECT sum(p) FROM c) AS a FROM k), l AS (SELECT *, CASE WHEN p = 0 THEN 1 ELSE n / p + 1 END AS x, CASE WHEN p = 0 THEN 0 ELSE (fp0 - n / p * tp0) / a END AS z FROM s)
+SELECT round(sum(CASE WHEN z <> 0 THEN (tp / a - tp0 / a - z / x * (ln(x * tp / a + z) - ln(x * tp0 / a + z))) / x ELSE (tp / a - tp0 / a) / x END), 6) AS value FROM l""")
+RANKS = ", d AS (SELECT q, grade AS y, CASE WHEN grade > 2 THEN 1.0 ELSE 0.0 END AS b, row_number() OVER (PARTITION BY q ORDER BY m DESC, i) AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) AS lr FROM base)"
+_graded = lambda df: df.withColumn("b", F.when(F.col("grade") > 2, 1.0).otherwise(0.0))
+metric_query("metric_ndcg", lambda df: metrics.ranking(df, "ndcg", "m", "grade", "q", "i", 3),
+             f"{RANKS}, g AS (SELECT q, sum(CASE WHEN r <= 3 THEN (pow(2, y) - 1) / log2(r + 1) ELSE 0 END) AS a, sum(CASE WHEN lr <= 3 THEN (pow(2, y) - 1) / log2(lr + 1) ELSE 0 END) AS z FROM d GROUP BY q) SELECT round(avg(CASE WHEN z > 0 THEN a / z ELSE 1 END), 6) AS value FROM g")
+metric_query("metric_pre", lambda df: metrics.ranking(_graded(df), "pre", "m", "b", "q", "i", 2),
+             f"{RANKS}, g AS (SELECT q, sum(CASE WHEN r <= 2 THEN b ELSE 0 END) / least(2, count(*)) AS v FROM d GROUP BY q) SELECT round(avg(v)::DOUBLE, 6) AS value FROM g")
+metric_query("metric_map", lambda df: metrics.ranking(_graded(df), "map", "m", "b", "q", "i", minus=True),
+             f"{RANKS}, h AS (SELECT *, sum(b::DOUBLE) OVER (PARTITION BY q ORDER BY r) AS k FROM d), g AS (SELECT q, sum(k / r * b) AS a, sum(b::DOUBLE) AS z FROM h GROUP BY q) SELECT round(avg(CASE WHEN z > 0 THEN a / z ELSE 0 END), 6) AS value FROM g")
+metric_query("metric_cox_nloglik", lambda df: metrics.cox(df, F.exp("m"), F.col("yt"), F.col("w")),
+             ", t AS (SELECT abs(yt) AS t, sum(exp(m)) AS e FROM base GROUP BY 1), k AS (SELECT t, sum(e) OVER (ORDER BY t DESC) AS risk FROM t) SELECT round(sum(w * (ln(risk) - m)) / sum(w), 6) AS value FROM base JOIN k ON abs(yt) = t WHERE yt > 0")
+metric_query("metric_interval_accuracy", lambda df: metrics.interval_accuracy(df, F.col("m"), F.col("lo"), F.col("up"), F.col("w")), "SELECT round(sum(CASE WHEN exp(m) BETWEEN lo AND up THEN w ELSE 0 END) / sum(w), 6) AS value FROM base")
+metric_query("metric_aft_nloglik", lambda df: metrics.aft(df, F.col("m"), F.col("lo"), F.col("up"), F.col("w"), "extreme", 0.8),
+             """, z AS (SELECT *, CASE WHEN up < 'infinity'::DOUBLE THEN exp((ln(up) - m) / 0.8) ELSE 0 END AS eu, CASE WHEN lo > 0 THEN exp((ln(lo) - m) / 0.8) ELSE 0 END AS el FROM base)
+SELECT round(sum(-ln(greatest(1e-12, CASE WHEN lo = up THEN el * exp(-el) / (0.8 * lo) ELSE CASE WHEN up = 'infinity'::DOUBLE THEN 1 ELSE 1 - exp(-eu) END - CASE WHEN lo <= 0 THEN 0 ELSE 1 - exp(-el) END END)) * w) / sum(w), 6) AS value FROM z""")
+metric_query("metric_ams", lambda df: metrics.ams(df.withColumn("o", F.col("q") * 100 + F.col("i")), F.col("m"), F.col("yb"), F.col("w"), 1.0, "o"),
+             ", k AS (SELECT m, sum(w * yb) AS s, sum(w * (1 - yb)) AS b FROM base GROUP BY m), c AS (SELECT m, sum(s) OVER o AS s, sum(b) OVER o + 10 AS b, lead(m) OVER o AS x FROM k WINDOW o AS (ORDER BY m DESC)) SELECT round(max(sqrt(2 * ((s + b) * ln(1 + s / b) - s))), 6) AS value FROM c WHERE x IS NOT NULL")
+
+# ---- intercepts, sources, cuts, histograms and splits
+
+metric_query("intercept_mean", lambda df: df.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("value")), "SELECT round(sum(w * y) / sum(w), 6) AS value FROM base")
+metric_query("intercept_newton", lambda df: df.agg((-F.sum(objectives.squared_log(S.num(0), F.col("y"))[0]) / F.sum(objectives.squared_log(S.num(0), F.col("y"))[1])).alias("value")),
+             "SELECT round(sum(ln(1 + y)) / sum(greatest(1 + ln(1 + y), 1e-6)), 6) AS value FROM base")
+metric_query("intercept_quantile", lambda df: df.agg(F.percentile("y", 0.7).alias("value")), "SELECT round(quantile_cont(y, 0.7), 6) AS value FROM base")
+
+FEATURES = ("l_quantity", "l_discount", "l_tax")
+LONG_SQL = """rows AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity, l_discount, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_tax END AS l_tax, l_extendedprice / 1000 AS y FROM lineitem),
+mean AS (SELECT avg(y) AS b FROM rows),
+long AS (SELECT row_id, f, CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS v, b - y AS g, 1.0::DOUBLE AS h, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS node FROM rows, mean, (VALUES (0), (1), (2)) fs(f)),
+vals AS (SELECT DISTINCT f, v FROM long WHERE v IS NOT NULL), rk AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS r, count(*) OVER (PARTITION BY f) AS n FROM vals),
+cuts AS (SELECT f, r - 2 AS bin, v AS upper FROM rk WHERE r > 1 UNION ALL SELECT f, n - 1, v + (abs(v) + 1e-5) FROM rk WHERE r = n),
+binned AS (SELECT l.row_id, l.f, l.v, l.g, l.h, l.node, CASE WHEN l.v IS NULL THEN NULL ELSE least(k.r - 1, k.n - 1) END AS bin FROM long l LEFT JOIN rk k ON k.f = l.f AND k.v = l.v),
+hist AS (SELECT f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned GROUP BY f, bin)"""
+
+
+def long_rows(spark, sf_dir):
+    """row_id, f, v, g, h: features of line items, a quarter of one missing, with squared-error gradients at the mean."""
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_quantity", "l_discount", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")).alias("l_tax"), (F.col("l_extendedprice") / 1000).alias("y")
+    )
+    mean = li.agg(F.avg("y")).first()[0]
+    cells = F.posexplode(F.array(*[present(F.col(c)) for c in FEATURES])).alias("f", "v")
+    node = F.when(F.col("l_quantity") < 25, 1).otherwise(2)
+    return li.select("row_id", cells, (mean - F.col("y")).alias("g"), S.num(1).alias("h"), node.alias("node"))
+
+
+@query(f"WITH {LONG_SQL} SELECT f, bin, round(upper, 6) AS upper FROM cuts")
+def cuts_exact(spark, sf_dir):
+    return C.distinct_cuts(long_rows(spark, sf_dir)).select("f", "bin", r(F.col("upper")).alias("upper"))
+
+
+@query(f"WITH {LONG_SQL} SELECT row_id, f, bin FROM binned")
+def bin_assign(spark, sf_dir):
+    rows = long_rows(spark, sf_dir)
+    return C.assign_bins(rows, C.distinct_cuts(rows)).select("row_id", "f", "bin")
+
+
+def root_histogram(spark, sf_dir):
+    rows = long_rows(spark, sf_dir)
+    return C.histogram(C.assign_bins(rows, C.distinct_cuts(rows)))
+
+
+@query(f"WITH {LONG_SQL} SELECT f, bin, round(g, 4) AS g, round(h, 4) AS h, n FROM hist")
+def hist_root(spark, sf_dir):
+    return root_histogram(spark, sf_dir).select("f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
+
+
+NODE_SQL = LONG_SQL + ", nhist AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned GROUP BY node, f, bin)"
+
+
+def level_histogram(spark, sf_dir):
+    rows = long_rows(spark, sf_dir)
+    return C.histogram(C.assign_bins(rows, C.distinct_cuts(rows)), "node")
+
+
+@query(f"WITH {NODE_SQL} SELECT node, f, bin, round(g, 4) AS g, round(h, 4) AS h, n FROM nhist")
+def hist_level1(spark, sf_dir):
+    return level_histogram(spark, sf_dir).select("node", "f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
+
+
+@query(f"WITH {NODE_SQL} SELECT f, bin, round(g, 3) AS g, round(h, 3) AS h, n FROM nhist WHERE node = 2")
+def hist_subtraction(spark, sf_dir):
+    """The right child's histogram as its parent's less its sibling's."""
+    whole, left = root_histogram(spark, sf_dir), level_histogram(spark, sf_dir).where("node = 1").toDF("node", "f1", "b1", "g1", "h1", "n1")
+    got = whole.join(left, (F.col("f") == F.col("f1")) & F.col("bin").eqNullSafe(F.col("b1")), "left")
+    less = lambda a: F.col(a) - F.coalesce(F.col(a + "1"), F.lit(0))
+    return got.select("f", "bin", r(less("g"), 3).alias("g"), r(less("h"), 3).alias("h"), less("n").alias("n")).where("n > 0")
+
+
+def split_query(name, sql_options, **options):
+    def run(spark, sf_dir):
+        return X.candidates(root_histogram(spark, sf_dir), **options).select("f", "bin", "default_left", r(F.col("gain"), 2).alias("gain"))
+
+    query(f"WITH {LONG_SQL} {X.candidates_sql(**sql_options)}", name)(run)
+
+
+split_query("split_forward", {"direction": "forward"}, direction="forward")
+split_query("split_backward_missing", {"direction": "backward"}, direction="backward")
+split_query("split_l1_l2", {"direction": "both", "lam": 3.0, "alpha": 50.0}, direction="both", lam=3.0, alpha=50.0)
+split_query("split_max_delta_step", {"direction": "both", "max_delta": 2.0}, direction="both", max_delta=2.0)
+split_query("split_min_child_weight", {"direction": "both", "min_child": 8000.0}, direction="both", min_child=8000.0)
+split_query("split_monotone", {"direction": "both", "monotone": {0: -1}}, direction="both", monotone={0: -1})
+
+
+@query(f"WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}) SELECT f, bin, default_left, gain FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1")
+def split_best(spark, sf_dir):
+    rows = X.candidates(root_histogram(spark, sf_dir), direction="both")
+    return X.best(rows.withColumn("gain", r(F.col("gain"), 2))).select("f", "bin", "default_left", "gain")
+
+
+CAT_SQL = f"WITH {BASE_SQL}, cats AS (SELECT (yc - 1)::INT AS code, sum(m - y) AS g, sum(1.0::DOUBLE) AS h FROM base GROUP BY 1), t AS (SELECT sum(g) AS tg, sum(h) AS th FROM cats)"
+
+
+def category_sums(spark, sf_dir):
+    return base(spark, sf_dir).groupBy((F.col("yc") - 1).cast("int").alias("code")).agg(F.sum(F.col("m") - F.col("y")).alias("g"), F.sum(S.num(1)).alias("h"))
+
+
+@query(CAT_SQL + " SELECT code, round(g * g / (h + 1) + (tg - g) * (tg - g) / (th - h + 1) - tg * tg / (th + 1), 3) AS gain FROM cats, t")
+def split_onehot(spark, sf_dir):
+    return X.onehot(category_sums(spark, sf_dir)).select("code", r(F.col("gain"), 3).alias("gain"))
+
+
+@query(CAT_SQL + """, w AS (SELECT *, row_number() OVER (ORDER BY -g / (h + 1), code) AS k FROM cats), s AS (SELECT code, k, sum(g) OVER (ORDER BY k) AS sg, sum(h) OVER (ORDER BY k) AS sh, count(*) OVER () AS n FROM w)
+SELECT code, k, round(sg * sg / (sh + 1) + (tg - sg) * (tg - sg) / (th - sh + 1) - tg * tg / (th + 1), 3) AS gain FROM s, t WHERE k < n""")
+def split_partition(spark, sf_dir):
+    return X.partition(category_sums(spark, sf_dir)).select("code", F.col("k").cast("bigint").alias("k"), r(F.col("gain"), 3).alias("gain"))
+
+
+@query(f"WITH {NODE_SQL} SELECT node, round(-0.3 * sum(g) / (sum(h) + 1), 6) AS value FROM nhist WHERE f = 0 GROUP BY node")
+def leaf_values(spark, sf_dir):
+    got = level_histogram(spark, sf_dir).where("f = 0").groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return got.select("node", r(0.3 * S.weight(F.col("g"), F.col("h"))).alias("value"))
+
+
+@query(f"WITH {BASE_SQL}, s AS (SELECT yc, sum((m - y) * m) + 0.05 AS g, sum(m * m) + 0.5 AS h FROM base GROUP BY yc) SELECT yc, round(CASE WHEN 0.1 - g / h >= 0 THEN greatest(-g / h, -0.1) ELSE least(-g / h, -0.1) END, 6) AS delta FROM s")
+def coord_step(spark, sf_dir):
+    got = base(spark, sf_dir).groupBy("yc").agg(F.sum((F.col("m") - F.col("y")) * F.col("m")).alias("g"), F.sum(F.col("m") * F.col("m")).alias("h"))
+    return got.select("yc", r(S.coordinate_delta(F.col("g"), F.col("h"), S.num(0.1), 0.0, 0.5)).alias("delta"))
+
+
+# ---- a fixed tree: routing, prediction, attribution, importances
+
+TREE_SQL = """t AS (SELECT l_orderkey AS q, l_linenumber AS i, l_quantity AS x0, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_discount END AS x1, l_extendedprice / 1000 AS y FROM lineitem),
+leafed AS (SELECT *, CASE WHEN x0 < 20 THEN CASE WHEN x1 IS NULL OR x1 < 0.05 THEN 3 ELSE 4 END ELSE CASE WHEN x1 < 0.03 THEN 5 ELSE 6 END END AS leaf FROM t)"""
+LEAVES = {3: 1.5, 4: -0.5, 5: 2.0, 6: -1.0}
+
+
+def fixed_tree() -> Tree:
+    cover = {0: 100.0, 1: 40.0, 2: 60.0, 3: 30.0, 4: 10.0, 5: 20.0, 6: 40.0}
+    gains = {0: 12.0, 1: 3.0, 2: 5.0}
+    rows = {0: (1, 2, 0, 20.0, False), 1: (3, 4, 1, 0.05, True), 2: (5, 6, 1, 0.03, False)}
+    tree = Tree(2, [])
+    for k in range(7):
+        a, b, f, t, d = rows.get(k, (-1, -1, 0, 0.0, False))
+        tree.nodes.append(Node((k - 1) // 2 if k else -1, a, b, f, t, -1, d, None, LEAVES.get(k, 0.0), LEAVES.get(k, 0.25 * k), gains.get(k, 0.0), cover[k], (k + 1).bit_length() - 1))
+    return tree
+
+
+def fixed_model() -> Model:
+    return Model("gbtree", "binary:logistic", {}, 2, 1, [0.1], [Stump(fixed_tree(), 0)])
+
+
+def tree_frame(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x0"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_discount")).alias("x1"), (F.col("l_extendedprice") / 1000).alias("y")
+    )
+    return from_dense(li, ["x0", "x1"], F.col("q") * 10 + F.col("i"))
+
+
+LEAF_CASE = "(CASE leaf WHEN 3 THEN 1.5 WHEN 4 THEN -0.5 WHEN 5 THEN 2.0 ELSE -1.0 END)::DOUBLE"
+
+
+@query(f"WITH {TREE_SQL} SELECT q, i, leaf::BIGINT AS leaf FROM leafed")
+def predict_leaf_fixed_tree(spark, sf_dir):
+    return fixed_model().predict(tree_frame(spark, sf_dir), "leaf").select("q", "i", F.get("prediction", F.lit(0)).alias("leaf"))
+
+
+@query(f"WITH {TREE_SQL} SELECT q, i, round(0.1 + {LEAF_CASE}, 6) AS margin FROM leafed")
+def predict_margin_fixed_tree(spark, sf_dir):
+    return fixed_model().predict(tree_frame(spark, sf_dir), "margin").select("q", "i", r(F.get("prediction", F.lit(0))).alias("margin"))
+
+
+@query(f"WITH {TREE_SQL} SELECT q, i, round(1 / (1 + exp(-(0.1 + {LEAF_CASE}))), 6) AS p FROM leafed")
+def predict_value_fixed_tree(spark, sf_dir):
+    return fixed_model().predict(tree_frame(spark, sf_dir)).select("q", "i", r(F.get("prediction", F.lit(0))).alias("p"))
+
+
+@query(f"WITH {TREE_SQL} SELECT q, i, round(CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END - 0.4, 6)::DOUBLE AS c0, round({LEAF_CASE} - CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS c1, round(0.5, 6)::DOUBLE AS bias FROM leafed")
+def saabas_fixed_tree(spark, sf_dir):
+    got = fixed_model().predict(tree_frame(spark, sf_dir), "approx_contribution")
+    part = lambda k: r(F.get(F.get("prediction", F.lit(0)), F.lit(k)))
+    return got.select("q", "i", part(0).alias("c0"), part(1).alias("c1"), part(2).alias("bias"))
+
+
+SHAP_SQL = f"""WITH {TREE_SQL}, v AS (SELECT q, i, {LEAF_CASE} AS whole, CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END AS only0,
+  0.4 * CASE WHEN x1 IS NULL OR x1 < 0.05 THEN 1.5 ELSE -0.5 END + 0.6 * CASE WHEN x1 < 0.03 THEN 2.0 ELSE -1.0 END AS only1, 0.4 AS none FROM leafed)
+SELECT q, i, round((only0 - none + whole - only1) / 2, 6)::DOUBLE AS c0, round((only1 - none + whole - only0) / 2, 6)::DOUBLE AS c1, 0.5::DOUBLE AS bias FROM v"""
+
+
+@query(SHAP_SQL)
+def shap_fixed_tree(spark, sf_dir):
+    got = fixed_model().predict(tree_frame(spark, sf_dir), "contribution")
+    part = lambda k: r(F.get(F.get("prediction", F.lit(0)), F.lit(k)))
+    return got.select("q", "i", part(0).alias("c0"), part(1).alias("c1"), part(2).alias("bias"))
+
+
+@query(f"WITH {TREE_SQL} SELECT q, i, round(0.1 + x0 * 0.05 + coalesce(x1, 0) * 2 + 0.3, 6) AS margin, round(x0 * 0.05, 6) AS c0, round(coalesce(x1, 0) * 2, 6) AS c1 FROM t")
+def predict_linear(spark, sf_dir):
+    import numpy as np
+
+    model = Model("gblinear", "reg:squarederror", {}, 2, 1, [0.1], linear=np.array([[0.05], [2.0], [0.3]]))
+    frame = tree_frame(spark, sf_dir)
+    part = lambda k: F.get(F.get("prediction", F.lit(0)), F.lit(k))
+    return model.predict(frame, "contribution").select("q", "i", r(part(0) + part(1) + part(2)).alias("margin"), r(part(0)).alias("c0"), r(part(1)).alias("c1"))
+
+
+@query(f"WITH {TREE_SQL} SELECT leaf, count(*) AS n, round(sum(0.1 + {LEAF_CASE} - y), 3) AS g, round(-0.3 * sum(0.1 + {LEAF_CASE} - y) / (count(*) + 1), 6) AS value FROM leafed GROUP BY leaf")
+def refresh_fixed_tree(spark, sf_dir):
+    """Leaf sums of squared-error gradients at the tree's own margins, and the refreshed leaf values."""
+    model, frame = fixed_model(), tree_frame(spark, sf_dir)
+    both = model.predict(frame, "leaf").select("row_id", "y", F.get("prediction", F.lit(0)).cast("int").alias("leaf"))
+    m = F.lit(0.1) + F.when(F.col("leaf") == 3, 1.5).when(F.col("leaf") == 4, -0.5).when(F.col("leaf") == 5, 2.0).otherwise(-1.0)
+    got = both.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(m - F.col("y")).alias("g"))
+    return got.select("leaf", "n", r(F.col("g"), 3).alias("g"), r(0.3 * S.weight(F.col("g"), F.col("n").cast("double"))).alias("value"))
+
+
+for _kind, _values in (("weight", (1.0, 2.0)), ("total_gain", (12.0, 8.0)), ("gain", (12.0, 4.0)), ("total_cover", (100.0, 100.0)), ("cover", (100.0, 50.0))):
+    query(f"SELECT * FROM (VALUES (0, {_values[0]}::DOUBLE), (1, {_values[1]}::DOUBLE)) v(split_index, {_kind})", f"importance_{_kind}")(lambda spark, sf_dir, k=_kind: importance(fixed_model().trees_table(spark), k))
+
+
+@query("SELECT * FROM (VALUES (0, 1, 2, 0.0::DOUBLE), (1, -1, -1, 0.075::DOUBLE), (2, 5, 6, 0.0::DOUBLE), (5, -1, -1, 2.0::DOUBLE), (6, -1, -1, -1.0::DOUBLE)) v(node, lft, rgt, value)")
+def prune_fixed_tree(spark, sf_dir):
+    tree = fixed_tree()
+    tree.prune(4.0, 0.3)
+    return Model("gbtree", "reg:squarederror", {}, 2, 1, [0.0], [Stump(tree, 0)]).trees_table(spark).where("NOT deleted").select("node", "lft", "rgt", r(F.get("leaf_value", F.lit(0))).alias("value"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS label, l_discount AS v1, CASE WHEN l_tax > 0.04 THEN l_tax END AS v3 FROM lineitem")
+def source_libsvm(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    text = F.concat(F.col("l_quantity").cast("string"), F.lit(" 1:"), F.col("l_discount").cast("string"), F.when(F.col("l_tax") > 0.04, F.concat(F.lit(" 3:"), F.col("l_tax").cast("string"))).otherwise(""))
+    got = parse_libsvm(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), text.alias("value")))
+    return got.where("bad IS NULL").select("row_id", "label", F.try_element_at("entries", F.lit(1)).alias("v1"), F.try_element_at("entries", F.lit(3)).alias("v3"))
+
+
+@query("SELECT o_orderkey AS row_id, o_totalprice AS x0, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::DOUBLE END AS x1 FROM orders")
+def source_sparse(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    entries = orders.select("row_id", F.lit(0).alias("f"), F.col("o_totalprice").alias("v")).unionByName(orders.where("row_id % 2 = 0").select("row_id", F.lit(1).alias("f"), F.col("o_custkey").alias("v")))
+    return from_sparse(entries, 2).df.select("row_id", F.get("features", F.lit(0)).alias("x0"), F.get("features", F.lit(1)).alias("x1"))
+
+
+@query("SELECT f, n FROM (SELECT 0 AS f, count(l_quantity) AS n FROM lineitem UNION ALL SELECT 1, count(*) FROM lineitem WHERE l_linenumber % 4 <> 0)")
+def source_column_sizes(spark, sf_dir):
+    return tree_frame(spark, sf_dir).column_sizes()
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, 0 AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, 1, l_discount FROM lineitem WHERE l_linenumber % 4 <> 0")
+def source_transposed(spark, sf_dir):
+    return tree_frame(spark, sf_dir).transposed().select("row_id", "f", "v")
+
+
+# ---- whole trainings, which SQL cannot express
+
+
+def price_frame(spark, sf_dir, label="l_extendedprice", scale=10000.0):
+    li = table(spark, sf_dir, "lineitem")
+    return from_dense(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_orderkey") * 10 + F.col("l_linenumber")).with_labels(F.col(label) / scale)
+
+
+def history(spark, model):
+    return spark.createDataFrame(model.history, "round int, data string, metric string, value double")
+
+
+def training(name, params, rounds=3, prepare=None):
+    from .train import train
+
+    def run(spark, sf_dir):
+        frame = (prepare or price_frame)(spark, sf_dir)
+        return history(spark, train(params, frame, rounds, [("train", frame)]))
+
+    query(None, name)(run)
+
+
+def flagged(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    flag = F.when(F.col("l_returnflag") == "R", 2.0).when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0)
+    return from_dense(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_orderkey") * 10 + F.col("l_linenumber")).with_labels(flag)
+
+
+training("train_hist", {"max_depth": 4})
+training("train_lossguide", {"grow_policy": "lossguide", "max_leaves": 6, "max_depth": 0}, 2)
+training("train_approx", {"tree_method": "approx", "max_depth": 3}, 2)
+training("train_exact", {"tree_method": "exact", "max_depth": 3}, 2)
+training("train_dart", {"booster": "dart", "rate_drop": 0.5, "max_depth": 3})
+training("train_linear", {"booster": "gblinear"}, 5)
+training("train_softprob", {"objective": "multi:softprob", "num_class": 3, "max_depth": 3}, 2, flagged)
+training("train_sampled", {"subsample": 0.5, "sampling_method": "gradient_based", "colsample_bynode": 0.7, "max_depth": 3}, 2)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    from .train import train
+
+    frame = price_frame(spark, sf_dir)
+    model = train({"max_depth": 3}, frame, 3)
+    return model.predict(frame).select("row_id", F.get("prediction", F.lit(0)).alias("prediction"))
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
