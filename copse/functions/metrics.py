@@ -116,7 +116,7 @@ def auc(df: DataFrame, p: Column, y: Column, w: Column, pr: bool = False, qid: s
     """Area under the ROC or precision-recall curve; by query its mean over queries that have one."""
     slim = df.select(p.alias("s"), y.cast("double").alias("y"), (w if qid is None else num(1)).alias("w"), *([F.col(qid).alias("q")] if qid else []))
     got = _curve(slim, ["q"] if qid else [], pr)
-    return got.agg(F.least(F.coalesce(F.avg("value"), num(float("nan"))), num(float("inf"))).alias("value"))
+    return got.agg(F.when(F.count("value") == 0, num(float("nan"))).otherwise(F.least(F.avg("value"), num(1))).alias("value"))
 
 
 def ranking(df: DataFrame, kind: str, p: str, y: str, qid: str, order: str, top: int | None = None, minus: bool = False) -> DataFrame:
