@@ -154,13 +154,13 @@ e AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY
 p AS (SELECT a.q, a.best, a.worst, a.idcg, CASE WHEN a.y > b.y THEN a.i ELSE b.i END AS hi, CASE WHEN a.y > b.y THEN b.i ELSE a.i END AS lo, CASE WHEN a.y > b.y THEN a.s - b.s ELSE b.s - a.s END AS d,
   (pow(2, greatest(a.y, b.y)) - pow(2, least(a.y, b.y))) * abs(1 / log2(a.r + 2) - 1 / log2(b.r + 2)) AS change FROM e a JOIN e b ON a.q = b.q AND a.r < b.r AND a.y <> b.y WHERE a.r < 32),
 k AS (SELECT q, hi, lo, 1 / (1 + exp(-d)) AS sig, {{delta}} / CASE WHEN best <> worst THEN abs(d) + 0.01 ELSE 1 END AS delta FROM p)
-SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k"""
+SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) + 0.0::DOUBLE AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k"""
 
 
 def rank_query(name, kind, delta):
     def run(spark, sf_dir):
         p = objectives.rank_pairs(base(spark, sf_dir), kind, "m", "grade", "q", "i")
-        return p.select("qid", "hi", "lo", r(F.col("lambda")).alias("lambda"), r(F.col("hess")).alias("hess"))
+        return p.select("qid", "hi", "lo", (r(F.col("lambda")) + S.num(0)).alias("lambda"), r(F.col("hess")).alias("hess"))
 
     query(RANKED.replace("{delta}", delta), name)(run)
 
@@ -168,6 +168,29 @@ def rank_query(name, kind, delta):
 rank_query("rank_pairs_pairwise", "pairwise", "1.0")
 rank_query("rank_pairs_ndcg", "ndcg", "CASE WHEN idcg > 0 THEN change / idcg ELSE 0 END")
 
+rank_query(
+    "rank_pairs_map", "map", "CASE WHEN rel_all > 0 THEN abs(CASE WHEN ya > yb THEN rel_a / (ra + 1) - rel_b / (rb + 1) + between ELSE -((rel_a + 1) / (ra + 1) - rel_b / (rb + 1) + between) END) / rel_all ELSE 0 END",
+)
+ORACLE["rank_pairs_map"] = ORACLE["rank_pairs_map"].replace(
+    "e AS (SELECT *,", "o AS (SELECT *, sum(y) OVER w AS rel, sum(y / (r + 1)) OVER w AS acc, sum(y) OVER (PARTITION BY q) AS rel_all FROM d WINDOW w AS (PARTITION BY q ORDER BY r)), e AS (SELECT *,"
+).replace("FROM d),\np AS (SELECT", "FROM o),\np AS (SELECT a.rel AS rel_a, b.rel AS rel_b, a.rel_all, a.r AS ra, b.r AS rb, a.y AS ya, b.y AS yb, b.acc - a.acc - b.y / (b.r + 1) AS between,")
+
+
+@query(ORACLE["rank_pairs_ndcg"].replace("SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) + 0.0::DOUBLE AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k", """,
+s AS (SELECT q, hi AS i, (sig - 1) * delta AS g, greatest(sig * (1 - sig), 1e-16) * delta * 2 AS h, -2 * (sig - 1) * delta AS t FROM k UNION ALL SELECT q, lo, (1 - sig) * delta, greatest(sig * (1 - sig), 1e-16) * delta * 2, 0 FROM k),
+n AS (SELECT q, CASE WHEN sum(t) > 0 THEN log2(1 + sum(t)) / sum(t) ELSE 1 END AS z FROM s GROUP BY q), v AS (SELECT q, i, sum(g) AS g, sum(h) AS h FROM s GROUP BY q, i)
+SELECT b.q, b.i, round(coalesce(v.g * n.z, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(v.h * n.z, 0), 6) AS h FROM base b LEFT JOIN v ON v.q = b.q AND v.i = b.i LEFT JOIN n ON n.q = b.q"""))
+def grad_rank_ndcg(spark, sf_dir):
+    got = objectives.rank_gradients(base(spark, sf_dir), "ndcg", "m", "grade", "q", "i")
+    return got.select("q", "i", (r(F.col("g")) + S.num(0)).alias("g"), r(F.col("h")).alias("h"))
+
+
+@query(f"WITH {BASE_SQL} SELECT q, i, round(exp(m) / (exp(m) + 1 + exp(-m)), 6) AS p0, round(1 / (exp(m) + 1 + exp(-m)), 6) AS p1 FROM base")
+def transform_softmax(spark, sf_dir):
+    p = S.softmax(F.array(F.col("m"), S.num(0), -F.col("m")))
+    return base(spark, sf_dir).select("q", "i", r(F.get(p, F.lit(0))).alias("p0"), r(F.get(p, F.lit(1))).alias("p1"))
+
+
 # ---- metrics
 
 PRED = {"p": f"{SIG}"}
@@ -317,6 +340,19 @@ def split_best(spark, sf_dir):
     return X.best(rows.withColumn("gain", r(F.col("gain"), 2))).select("f", "bin", "default_left", "gain")
 
 
+@query(f"""WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}), best AS (SELECT * FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1),
+sides AS (SELECT row_id, g, h, CASE WHEN b.bin IS NULL THEN s.default_left ELSE b.bin <= s.bin END AS goes FROM binned b JOIN best s ON s.f = b.f),
+leaf AS (SELECT goes, -0.3 * sum(g) / (sum(h) + 1) AS v, count(*) AS n FROM sides GROUP BY goes) SELECT round(b + v, 4) AS margin, n FROM leaf, mean""")
+def boost_round_1(spark, sf_dir):
+    """A whole round of training of depth 1: how many rows get which margin."""
+    from .train import train
+
+    li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")))
+    frame = from_dense(li, list(FEATURES), F.monotonically_increasing_id()).with_labels(F.col("l_extendedprice") / 1000)
+    model = train({"max_depth": 1, "disable_default_eval_metric": True}, frame, 1)
+    return model.predict(frame, "margin").groupBy(r(F.get("prediction", F.lit(0)), 4).alias("margin")).agg(F.count("*").alias("n"))
+
+
 CAT_SQL = f"WITH {BASE_SQL}, cats AS (SELECT (yc - 1)::INT AS code, sum(m - y) AS g, sum(1.0::DOUBLE) AS h FROM base GROUP BY 1), t AS (SELECT sum(g) AS tg, sum(h) AS th FROM cats)"
 
 
