@@ -319,7 +319,9 @@ def node_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(links.unionByName(more)).toDF("v", "label")
 
 
-BLOCK = 128
+BLOCK = 256
+#: Bytes of texts whose shingles a task keeps between groups.
+CACHE = 16 << 20
 
 
 def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -352,7 +354,7 @@ def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
         return a, b
 
     def run(batches):
-        group, cache = [], {}
+        group, cache, size = [], {}, 0
         for batch in batches:
             a, b = [], []
             for *row, text in zip(*(batch.column(i).to_pylist() for i in range(7)), common.utf8(batch, "text"), strict=True):
@@ -362,9 +364,11 @@ def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
                     b += y
                     group = []
                 if row[5] not in cache:
-                    if len(cache) >= 4 * BLOCK:
+                    if size >= CACHE:
                         cache.clear()
+                        size = 0
                     cache[row[5]] = Text(text)
+                    size += len(text)
                 group.append([*row, cache[row[5]]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
         if group:
