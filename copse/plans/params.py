@@ -85,6 +85,8 @@ class Params(dict):
             raise ValueError("multi_output_tree needs tree_method hist")
         if self["linear_updater"] == "shotgun" and self["feature_selector"] not in ("cyclic", "shuffle"):
             raise ValueError("shotgun takes only the selectors cyclic and shuffle")
+        if str(self["objective"]).startswith("rank:") and (self["lambdarank_unbiased"] or self["lambdarank_pair_method"] == "mean"):
+            raise ValueError("lambdarank_unbiased and the pair method mean are not available; use topk")
         if any(c not in (-1, 0, 1) for c in self["monotone_constraints"]):
             raise ValueError("monotone_constraints are -1, 0 or 1")
 
