@@ -8,7 +8,9 @@ fields. Every template is one hash key, so templates are counted by one aggregat
 no order of arrival, and no leaf whose lines must meet in one task.
 
 A template that at least MIN_DOCS documents hold is recurring. Of its lines the first in the corpus (by
-doc_id, then text hash, then line number) stays and all others are dropped.
+doc_id, then text hash, then line number) stays and all others are dropped. Lines of SHORT tokens or more
+hardly repeat by chance: with long_docs, equal ones of them (all tokens, variable fields too) are recurring
+from that many documents on, where they fit no recurring template.
 
 Defined results: a null text is empty, and stays null; blank lines are never dropped or counted; a
 document that loses all lines keeps an empty text; documents are told apart by doc_id (null is one)
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, PARTS, SHORT, MIN_DOCS = 3, 4, 8, 5
+DEPTH, PARTS, SHORT, MIN_DOCS, LONG_DOCS = 3, 4, 8, 5, 2
+#: The lowest bit of a key tells what it is of.
+WHOLE, TEMPLATE, KINDS = 0, 1, 1
 DIGIT = b"0123456789"
 FIELD = b"<*>"
 LINES = "doc bigint, h bigint, line int, keys array<bigint>, first array<boolean>"
 
 
-def key(parts: list[bytes]) -> int:
-    k = xxhash.xxh3_64_intdigest(b"\x00".join(parts))
+def key(parts: list[bytes], kind: int = TEMPLATE) -> int:
+    k = xxhash.xxh3_64_intdigest(b"\x00".join(parts)) & ~KINDS | kind
     return k - (1 << 64) if k >> 63 else k
 
 
@@ -59,7 +63,13 @@ def template_keys(line: bytes) -> list[int]:
     return [key([*head, b"%d" % i, *parts[:i], *parts[i + 1 :]]) for i in range(PARTS)]
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
+def whole_keys(line: bytes) -> list[int]:
+    """The key of a long line's tokens as they are."""
+    tokens = line.split()
+    return [key([b" ".join(tokens)], WHOLE)] if len(tokens) >= SHORT else []
+
+
+def line_keys(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs: doc, h, text. A row for each line that is not blank; first: the document's first line with that key."""
     schema = common.arrow_schema("doc bigint, h bigint, line int, keys array<bigint>")
     schema = pa.schema([*schema, pa.field("first", pa.list_(pa.bool_()))])
@@ -73,6 +83,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                     seen: set[int] = set()
                     for n, line in enumerate(text.split(b"\n")):
                         if keys := template_keys(line):
+                            keys += whole_keys(line) if whole else []
                             for column, value in zip(out, (doc, h, n, keys, [k not in seen for k in keys]), strict=True):
                                 column.append(value)
                             seen.update(keys)
@@ -83,15 +94,17 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs, make, LINES)
 
 
-def drops(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drops(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """docs: doc, h, text. The lines to drop as doc, h, lines (numbers from 0), for documents that have any."""
-    lines = common.materialise(line_keys(docs), "lines")
+    lines = common.materialise(line_keys(docs, long_docs is not None), "lines")
+    kind = F.col("key").bitwiseAND(F.lit(KINDS))
+    least = F.when(kind == WHOLE, F.lit(long_docs)).otherwise(F.lit(min_docs))
     each = lines.select("doc", "h", "line", F.explode(F.arrays_zip("keys", "first")).alias("k")).select("doc", "h", "line", F.col("k.keys").alias("key"), F.col("k.first").alias("first"))
-    counts = each.groupBy("key").agg(F.sum(F.col("first").cast("bigint")).alias("docs")).where(F.col("docs") >= min_docs)
+    counts = each.groupBy("key").agg(F.sum(F.col("first").cast("bigint")).alias("docs")).where(F.col("docs") >= least)
     counts = common.materialise(counts, "recurring")
     found = common.join_small(each.drop("first"), counts, "key")
-    # Of a line's recurring templates the most frequent one counts.
-    found = found.groupBy("doc", "h", "line").agg(F.max(F.struct("docs", "key"))["key"].alias("key"))
+    # Of a line's recurring templates the most frequent one counts; without any, the whole line.
+    found = found.groupBy("doc", "h", "line").agg(F.max(F.struct(kind.alias("kind"), "docs", "key"))["key"].alias("key"))
     found = common.materialise(found, "found")
     keep = found.groupBy("key").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "line")).alias("at")).select("key", "at.*")
     keep = common.materialise(keep.toDF("key", "none", "d0", "h0", "l0"), "firsts")
@@ -100,10 +113,10 @@ def drops(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return found.where(other).groupBy("doc", "h").agg(F.collect_set("line").alias("lines"))
 
 
-def with_drops(docs: DataFrame, doc_id: str, text: str, min_docs: int = MIN_DOCS) -> DataFrame:
+def with_drops(docs: DataFrame, doc_id: str, text: str, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """docs with __lines, the numbers of the lines that go (null: none)."""
     h = F.coalesce(F.xxhash64(text), F.lit(0).cast("bigint"))
-    gone = drops(docs.select(F.col(doc_id).cast("bigint").alias("doc"), h.alias("h"), F.col(text).alias("text")), min_docs)
+    gone = drops(docs.select(F.col(doc_id).cast("bigint").alias("doc"), h.alias("h"), F.col(text).alias("text")), min_docs, long_docs)
     gone = common.materialise(gone.toDF("__d", "__g", "__lines"), "drops")
     on = common.same(F.col(doc_id).cast("bigint"), F.col("__d")) & (h == F.col("__g"))
     return docs.join(gone.hint("merge"), on, "left").drop("__d", "__g")  # what goes grows with the corpus, so the texts are shuffled
@@ -114,10 +127,10 @@ def without(text: bytes, gone) -> bytes:
     return b"\n".join(line for n, line in enumerate(text.split(b"\n")) if n not in gone)
 
 
-def deduped_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def deduped_documents(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """docs without the dropped lines; n_chars, where there, follows the text."""
     inner, at = common.numbered(docs)
-    joined = with_drops(inner, at["doc_id"], at["text"], min_docs)
+    joined = with_drops(inner, at["doc_id"], at["text"], min_docs, long_docs)
     t, g = joined.columns.index(at["text"]), joined.columns.index("__lines")
 
     def run(batches):
@@ -137,10 +150,10 @@ def deduped_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 DIGESTS = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string"
 
 
-def line_digests(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def line_digests(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """doc_id, lines that are not blank, lines dropped, and the digest of the text that is left."""
     inner = docs.select(F.col("doc_id").cast("bigint").alias("c0"), F.col("text").alias("c1"))
-    joined = with_drops(inner, "c0", "c1", min_docs)
+    joined = with_drops(inner, "c0", "c1", min_docs, long_docs)
     schema = common.arrow_schema(DIGESTS)
 
     def make():

@@ -37,7 +37,7 @@ def op6_urls(spark, sf_dir):
 
 
 def op7_lines(spark, sf_dir):
-    return lines.line_digests(table(spark, sf_dir, "documents"))
+    return lines.line_digests(table(spark, sf_dir, "documents"), long_docs=lines.LONG_DOCS)
 
 
 def op8_imatch(spark, sf_dir):
