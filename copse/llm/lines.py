@@ -4,13 +4,17 @@ A line is parsed by its number of tokens and its leading tokens; tokens that hol
 schemes are variable fields. At a leaf the rest of the line is cut into PARTS stretches, and a
 template is the line with one stretch left open, so lines that differ within one stretch (a quarter
 of the rest at most) share a template. Lines of under SHORT tokens are only equal up to variable
-fields. Every template is one hash key, so templates are counted by one aggregation over all lines:
+fields. Lines that fit no recurring template are looked up by wide ones: any two of the stretches, the
+leading tokens being one of them, are open while half of the tokens are not; of a short line of
+LEAST_WIDE tokens or more, any one token. Wide templates count the documents (doc_id and text) that hold
+such lines. Every template is one hash key, so templates are counted by one aggregation over all lines:
 no order of arrival, and no leaf whose lines must meet in one task.
 
 A template that at least MIN_DOCS documents hold is recurring. Of its lines the first in the corpus (by
 doc_id, then text hash, then line number) stays and all others are dropped. Lines of SHORT tokens or more
 hardly repeat by chance: with long_docs, equal ones of them (all tokens, variable fields too) are recurring
-from that many documents on, where they fit no recurring template.
+from that many documents on, where they fit no recurring template. Short lines with an open token often
+agree by chance, so these templates need SHORT_TIMES as many documents.
 
 Defined results: a null text is empty, and stays null; blank lines are never dropped or counted; a
 document that loses all lines keeps an empty text; documents are told apart by doc_id (null is one)
@@ -21,7 +25,10 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,15 +37,21 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH, PARTS, SHORT, MIN_DOCS, LONG_DOCS = 3, 4, 8, 5, 2
-#: The lowest bit of a key tells what it is of.
-WHOLE, TEMPLATE, KINDS = 0, 1, 1
+LEAST_WIDE, SHORT_TIMES = 3, 4
+#: The lowest bits of a key tell what it is of.
+WHOLE, WIDE_SHORT, WIDE, TEMPLATE, KINDS = 0, 1, 2, 3, 3
+ALL = (1 << 64) - 1
 DIGIT = b"0123456789"
 FIELD = b"<*>"
 LINES = "doc bigint, h bigint, line int, keys array<bigint>, first array<boolean>"
 
 
 def key(parts: list[bytes], kind: int = TEMPLATE) -> int:
-    k = xxhash.xxh3_64_intdigest(b"\x00".join(parts)) & ~KINDS | kind
+    return signed(xxhash.xxh3_64_intdigest(b"\x00".join(parts)), kind)
+
+
+def signed(k: int, kind: int) -> int:
+    k = k & ~KINDS | kind
     return k - (1 << 64) if k >> 63 else k
 
 
@@ -46,11 +59,20 @@ def mask(token: bytes) -> bytes:
     return FIELD if b"@" in token or b"://" in token or len(token.translate(None, DIGIT)) < len(token) else token
 
 
-def template_keys(line: bytes) -> list[int]:
-    """A key for each template that the line fits; none for a blank line."""
+def fields(line: bytes) -> list[bytes]:
+    """The line's tokens, variable fields masked."""
     tokens = line.split()
     if len(line.translate(None, DIGIT)) < len(line) or b"@" in line or b"://" in line:
         tokens = [mask(t) for t in tokens]
+    return tokens
+
+
+def template_keys(line: bytes) -> list[int]:
+    """A key for each template that the line fits; none for a blank line."""
+    return narrow_keys(fields(line))
+
+
+def narrow_keys(tokens: list[bytes]) -> list[int]:
     n = len(tokens)
     if not n:
         return []
@@ -63,6 +85,35 @@ def template_keys(line: bytes) -> list[int]:
     return [key([*head, b"%d" % i, *parts[:i], *parts[i + 1 :]]) for i in range(PARTS)]
 
 
+def open_sets(n: int) -> tuple[list[int], list[tuple[int, ...]], int]:
+    """Of lines of n tokens: the edges of the stretches, which of them each wide template leaves open, and its kind."""
+    if n < SHORT:
+        return list(range(n + 1)), [(i,) for i in range(n)] if n >= LEAST_WIDE else [], WIDE_SHORT
+    edges = [0, *(DEPTH + (n - DEPTH) * i // PARTS for i in range(PARTS + 1))]
+    size = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    return edges, [x for x in combinations(range(PARTS + 1), 2) if 2 * sum(size[i] for i in x) <= n], WIDE
+
+
+def wide_keys(tokens: list[bytes]) -> list[int]:
+    """A key for each wide template: a hash of the stretches' hashes, each with its place, without the open ones."""
+    n = len(tokens)
+    edges, sets, kind = open_sets(n)
+    if not sets:
+        return []
+    held = [xxhash.xxh3_64_intdigest(b" ".join(tokens[a:b]), i) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    total = sum(held)
+    out = []
+    for x in sets:
+        # The open places and n count as well: a stretch's own hash stands for it when it is closed.
+        k = total - sum(held[i] for i in x) + OPEN[x] + n * 0x9E3779B97F4A7C15
+        out.append(signed(k & ALL, kind))
+    return out
+
+
+#: A number for each set of open stretches.
+OPEN = {x: xxhash.xxh3_64_intdigest(b"%d" % i) for i, x in enumerate([*combinations(range(max(SHORT, PARTS + 1)), 2), *((i,) for i in range(SHORT))])}
+
+
 def whole_keys(line: bytes) -> list[int]:
     """The key of a long line's tokens as they are."""
     tokens = line.split()
@@ -78,16 +129,23 @@ def line_keys(docs: DataFrame, whole: bool = False) -> DataFrame:
         def step(batch):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = [[], [], [], [], []]
+                out, flat, first, ends = [[], [], []], array("q"), [], [0]
                 for doc, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part, "text"), strict=True):
                     seen: set[int] = set()
                     for n, line in enumerate(text.split(b"\n")):
-                        if keys := template_keys(line):
-                            keys += whole_keys(line) if whole else []
-                            for column, value in zip(out, (doc, h, n, keys, [k not in seen for k in keys]), strict=True):
+                        tokens = fields(line)
+                        if tokens:
+                            keys = [*narrow_keys(tokens), *wide_keys(tokens), *(whole_keys(line) if whole else ())]
+                            for column, value in zip(out, (doc, h, n), strict=False):
                                 column.append(value)
+                            flat.extend(keys)
+                            first.extend([k not in seen for k in keys])
+                            ends.append(len(flat))
                             seen.update(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                offsets = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(np.array(flat, np.int64)), pa.array(first, pa.bool_()))]
+                columns = [*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), *(x.cast(f.type) for x, f in zip(lists, list(schema)[3:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         return step
 
@@ -98,13 +156,22 @@ def drops(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = Non
     """docs: doc, h, text. The lines to drop as doc, h, lines (numbers from 0), for documents that have any."""
     lines = common.materialise(line_keys(docs, long_docs is not None), "lines")
     kind = F.col("key").bitwiseAND(F.lit(KINDS))
-    least = F.when(kind == WHOLE, F.lit(long_docs)).otherwise(F.lit(min_docs))
+    least = F.when(kind == WHOLE, F.lit(long_docs)).when(kind == WIDE_SHORT, F.lit(SHORT_TIMES * min_docs)).otherwise(F.lit(min_docs))
     each = lines.select("doc", "h", "line", F.explode(F.arrays_zip("keys", "first")).alias("k")).select("doc", "h", "line", F.col("k.keys").alias("key"), F.col("k.first").alias("first"))
     counts = each.groupBy("key").agg(F.sum(F.col("first").cast("bigint")).alias("docs")).where(F.col("docs") >= least)
     counts = common.materialise(counts, "recurring")
     found = common.join_small(each.drop("first"), counts, "key")
-    # Of a line's recurring templates the most frequent one counts; without any, the whole line.
-    found = found.groupBy("doc", "h", "line").agg(F.max(F.struct(kind.alias("kind"), "docs", "key"))["key"].alias("key"))
+    # Of a line's recurring templates the most frequent one counts.
+    isin = lambda *kinds: F.when(kind.isin(*kinds), F.col("key"))
+    best = F.max(F.when(kind == TEMPLATE, F.struct("docs", "key")))["key"]
+    found = found.groupBy("doc", "h", "line").agg(best.alias("best"), F.collect_list(isin(WIDE, WIDE_SHORT)).alias("wide"), F.max(isin(WHOLE)).alias("whole"))
+    found = common.materialise(found, "kinds")
+    # One line that recurs does not make its open tokens fields: wide templates are counted again without such lines.
+    wide = found.where("best IS NULL").select("doc", "h", "line", F.explode("wide").alias("key"))
+    again = wide.groupBy("key").agg(F.count_distinct(F.struct("doc", "h")).alias("docs")).where(F.col("docs") >= least)
+    wide = common.join_small(wide, common.materialise(again, "wide"), "key").select("doc", "h", "line", F.struct("docs", "key").alias("at"))
+    sure = found.select("doc", "h", "line", F.struct(F.lit(0).cast("bigint").alias("docs"), F.coalesce("best", "whole").alias("key")).alias("at")).where("at.key IS NOT NULL")
+    found = sure.unionByName(wide).groupBy("doc", "h", "line").agg(F.max("at")["key"].alias("key"))
     found = common.materialise(found, "found")
     keep = found.groupBy("key").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "line")).alias("at")).select("key", "at.*")
     keep = common.materialise(keep.toDF("key", "none", "d0", "h0", "l0"), "firsts")
