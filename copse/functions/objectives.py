@@ -277,18 +277,19 @@ def aft_pair(m: Column, lower: Column, upper: Column, dist: str = "normal", sigm
     return clip(g, -15, 15), clip(h, EPS, 15)
 
 
-def rank_pairs(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise_scores: bool = True) -> DataFrame:
+def rank_pairs(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise_scores: bool = True, exp_gain: bool = True) -> DataFrame:
     """A row for each pair of documents of a query whose labels differ, one of them ranked above `top`.
 
     Columns: qid, hi, lo (by `order`), lambda, hess. Only pairs with one of the first `top` ranks are
-    made, so a query of n documents gives at most top * n.
+    made, so a query of n documents gives at most top * n. exp_gain: of ndcg, 2^y - 1 and not y.
     """
+    value = dcg_gain if exp_gain else (lambda c: c)
     d = df.select(F.col(qid).alias("q"), F.col(order).alias("i"), F.col(margin).cast("double").alias("s"), F.col(y).cast("double").alias("y"))
     wq, lq = W.partitionBy("q").orderBy(F.desc("s"), "i"), W.partitionBy("q").orderBy(F.desc("y"), "i")
     d = d.withColumns({"r": F.row_number().over(wq) - 1, "lr": F.row_number().over(lq) - 1})
     everything = W.partitionBy("q")
     d = d.withColumns({"best": F.max("s").over(everything), "worst": F.min("s").over(everything)})
-    d = d.withColumn("idcg", F.sum(F.when(F.col("lr") < top, dcg_gain(F.col("y")) * discount(F.col("lr"))).otherwise(0)).over(everything))
+    d = d.withColumn("idcg", F.sum(F.when(F.col("lr") < top, value(F.col("y")) * discount(F.col("lr"))).otherwise(0)).over(everything))
     run = wq.rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("rel", F.sum("y").over(run))
     d = d.withColumn("acc", F.sum(F.col("y") / (F.col("r") + 1)).over(run))
@@ -301,7 +302,7 @@ def rank_pairs(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: s
     if kind == "pairwise":
         delta = num(1)
     elif kind == "ndcg":
-        change = (dcg_gain(hi("y")) - dcg_gain(lo("y"))) * (discount(hi("r")) - discount(lo("r")))
+        change = (value(hi("y")) - value(lo("y"))) * (discount(hi("r")) - discount(lo("r")))
         delta = F.when(F.col("a.idcg") > 0, F.abs(change / F.nullif(F.col("a.idcg"), num(0)))).otherwise(num(0))
     else:
         delta = F.abs(map_change("a", "b"))
@@ -328,9 +329,9 @@ def map_change(a: str, b: str) -> Column:
     return F.when(of(a, "all_rel") > 0, change / F.nullif(of(a, "all_rel"), num(0))).otherwise(num(0))
 
 
-def rank_gradients(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise: bool = True, normalise_scores: bool = True) -> DataFrame:
+def rank_gradients(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise: bool = True, normalise_scores: bool = True, exp_gain: bool = True) -> DataFrame:
     """df with g and h: the sums of its pairs, scaled per query."""
-    pairs = rank_pairs(df, kind, margin, y, qid, order, top, normalise_scores)
+    pairs = rank_pairs(df, kind, margin, y, qid, order, top, normalise_scores, exp_gain)
     sides = pairs.select("qid", F.col("hi").alias("i"), F.col("lambda").alias("g"), F.col("hess").alias("h"), (-2 * F.col("lambda")).alias("s")).unionByName(
         pairs.select("qid", F.col("lo").alias("i"), (-F.col("lambda")).alias("g"), F.col("hess").alias("h"), num(0).alias("s"))
     )

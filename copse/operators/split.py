@@ -18,6 +18,7 @@ class Penalty:
     monotone: tuple[int, ...] = ()
     max_cat_to_onehot: int = 4
     max_cat_threshold: int = 64
+    direction: str = "learn"
 
     def weight(self, g, h, lo=-np.inf, hi=np.inf):
         t = np.sign(g) * np.maximum(np.abs(g) - self.alpha, 0)
@@ -103,8 +104,9 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, total: tuple, count:
                 consider(f, gs - gb, hs - hb, False, high)
             continue
         ga, ha = np.cumsum(gf, axis=1), np.cumsum(hf, axis=1)
-        consider(f, ga, ha, False, lambda i: (i, float(cuts[f][i]), None))  # noqa: B023
-        if missing:
+        if p.direction != "left":
+            consider(f, ga, ha, False, lambda i: (i, float(cuts[f][i]), None))  # noqa: B023
+        if p.direction == "left" or missing and p.direction == "learn":
             # From the highest bin down; the right side holds bins i.., missing goes left.
             gb, hb = np.cumsum(gf[:, ::-1], axis=1), np.cumsum(hf[:, ::-1], axis=1)
             consider(f, G - gb, H - hb, True, lambda i: (k - 2 - i, float(cuts[f][k - 2 - i]) if i < k - 1 else -np.inf, None))  # noqa: B023

@@ -85,6 +85,8 @@ class Params(dict):
             raise ValueError("multi_output_tree needs tree_method hist")
         if self["linear_updater"] == "shotgun" and self["feature_selector"] not in ("cyclic", "shuffle"):
             raise ValueError("shotgun takes only the selectors cyclic and shuffle")
+        if self["booster"] == "gblinear" and self["linear_updater"] == "shotgun" and self["max_row_perbatch"] is not None:
+            raise ValueError("max_row_perbatch is not available: shotgun takes all rows as one batch")
         if str(self["objective"]).startswith("rank:") and (self["lambdarank_unbiased"] or self["lambdarank_pair_method"] == "mean"):
             raise ValueError("lambdarank_unbiased and the pair method mean are not available; use topk")
         if any(c not in (-1, 0, 1) for c in self["monotone_constraints"]):
@@ -121,6 +123,7 @@ class Params(dict):
         tree = {"gamma", "max_depth", "min_child_weight", "subsample", "tree_method", "grow_policy", "max_leaves", "max_bin", "num_parallel_tree", "monotone_constraints", "interaction_constraints"}
         off = set(INERT)
         off |= tree | dart if self["booster"] == "gblinear" else linear | (dart if self["booster"] == "gbtree" else set())
+        off |= set() if self.method() == "exact" else {"default_direction"}
         return sorted(self.given & off)
 
     def to_map(self) -> dict[str, str]:

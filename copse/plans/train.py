@@ -205,7 +205,7 @@ class Trainer:
             got = objectives.cox_pair(plain, "__m", "__y")
         else:
             got = objectives.rank_gradients(
-                plain, o.name[5:], "__m", "__y", "qid", "row_id", p["lambdarank_num_pair_per_sample"] or 32, p["lambdarank_normalization"], p["lambdarank_score_normalization"]
+                plain, o.name[5:], "__m", "__y", "qid", "row_id", p["lambdarank_num_pair_per_sample"] or 32, p["lambdarank_normalization"], p["lambdarank_score_normalization"], p["ndcg_exp_gain"]
             )
         return got.withColumns({"g": F.array(F.col("g") * w), "h": F.array(F.col("h") * w)}).drop("__m", "__y")
 
@@ -242,7 +242,7 @@ class Trainer:
     def grower(self, cuts, outputs: int) -> Grower:
         p = self.params
         delta = p["max_delta_step"] or (0.7 if self.obj.name == "count:poisson" else 0.0)
-        penalty = Penalty(p["lambda"], p["alpha"], delta, p["min_child_weight"], tuple(p["monotone_constraints"]), p["max_cat_to_onehot"], p["max_cat_threshold"])
+        penalty = Penalty(p["lambda"], p["alpha"], delta, p["min_child_weight"], tuple(p["monotone_constraints"]), p["max_cat_to_onehot"], p["max_cat_threshold"], p["default_direction"] if p.method() == "exact" else "learn")
         width = self.frame.width
         draw = lambda pool, share: sorted(self.weighted_draw(pool, max(1, int(share * len(pool)))) if share < 1 else pool)
         tree_pool = draw(list(range(width)), p["colsample_bytree"])
