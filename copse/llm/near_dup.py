@@ -1,32 +1,41 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
-Texts are sequences of five-word shingles. An Order MinHash band draws the MINIMA smallest
-occurrence-labelled shingles under its own hash and keys on them in text order, so that two texts meet
-in a band if they share shingles and keep their order. Texts that meet are compared by aligning their
-shingle sequences inside the band of diagonals that a similarity of SIMILARITY allows; with an
-alignment of length L the similarity of n and m shingles is L / (n + m - L).
+Texts are sequences of words, sketched by their five-word shingles. An Order MinHash band draws the
+MINIMA smallest occurrence-labelled shingles under its own hash and keys on them in text order, so that
+two texts meet in a band if they share shingles and keep their order. Texts that meet are verified by
+aligning their words inside the band of diagonals that a similarity of SIMILARITY allows: they are near
+if the alignment holds at least that share of the longer text's words. One changed word breaks five
+shingles, so edited copies that align at 0.9 often share only half of their shingles; the bands are many
+enough (BANDS) to find those, and the alignment alone decides.
 
 Equal texts are one node from the start. In each bucket a leader is drawn (the member that meets most
-others) and all members are aligned with it; where a bucket's members still lie in several components,
-those of different components are compared in blocks. Members are dealt to (leader, salt) groups of
-GROUP rows and to pairs of blocks of BLOCK, so a hot group is never one task's, and no pairs are listed. Links, labels and buckets stay distributed;
-each round is cut by tables in the shared folder.
+others) and all members are aligned with it, dealt to (leader, salt) groups of GROUP rows. Buckets whose
+members still lie in several components are compared member by member while they hold at most BLOCK. The
+members of larger ones are dealt anew by the rarest of their words: texts that share SIMILARITY of their
+words share one of the rarest in the same order of all words (a prefix filter), so no pair is lost, and
+texts that only share a common passage part. No pairs are listed, no group is capped. Links, labels and
+buckets stay distributed; each round is cut by tables in the shared folder.
 
 Defined results: a null text is empty; texts without words are near only to equal texts; texts of
-fewer than five words are one shingle; rows that repeat doc_id and text are copies of one another; the
-class id is the least doc_id of the class (null only if none has one); an empty table gives no rows.
+fewer than five words are near only to texts of the same words; rows that repeat doc_id and text are
+copies of one another; the class id is the least doc_id of the class (null only if none has one); an
+empty table gives no rows; a very long text costs its words times the band's width over 64.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, BANDS, MINIMA, SIMILARITY = 5, 16, 3, 0.8
+WORDS, BANDS, MINIMA, SIMILARITY = 5, 32, 3, 0.8
 GROUP = 64
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
@@ -197,51 +206,78 @@ def sketches(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "th", "text"), make, SKETCH)
 
 
-def shingle_list(text: bytes) -> list[tuple[bytes, ...]]:
-    words = text.split()
-    if len(words) < WORDS:
-        return [tuple(words)] if words else []
-    return list(zip(*(words[i:] for i in range(WORDS)), strict=False))
-
+class Text:
+    """A text as words that can be aligned with others."""
 
-class Aligner:
-    """Similarities to one text by bit-parallel alignment within a band of diagonals."""
+    #: Places in one block of a word's mask.
+    SPAN = 1 << 13
 
-    def __init__(self, text: bytes, least: float = SIMILARITY):
-        self.own, self.least = shingle_list(text), least
-        self.places: dict[tuple, list[int]] = {}
-        for i, s in enumerate(self.own):
-            self.places.setdefault(s, []).append(i)
+    def __init__(self, text: bytes):
+        self.words = text.split()
+
+    @cached_property
+    def labelled(self) -> frozenset[int]:
+        """The words, each with the number of its occurrence."""
+        seen: dict[bytes, int] = {}
+        out = set()
+        for w in self.words:
+            k = seen.get(w, 0)
+            seen[w] = k + 1
+            out.add(hash((w, k)))
+        return frozenset(out)
+
+    @cached_property
+    def masks(self) -> list[dict[bytes, int]]:
+        """By block of SPAN places: the places of each word as bits."""
+        out = []
+        for at in range(0, len(self.words), self.SPAN):
+            own: dict[bytes, int] = {}
+            for i, w in enumerate(self.words[at : at + self.SPAN]):
+                own[w] = own.get(w, 0) | 1 << i
+            out.append(own)
+        return out
 
-    def near(self, text: bytes) -> bool:
-        own, other = self.own, shingle_list(text)
-        n, m = len(own), len(other)
-        if not n or not m:
-            return False
-        need = self.least * (n + m) / (1 + self.least)  # of the alignment
-        if min(n, m) < need - 1e-9:
-            return False
-        if own == other:
-            return True
-        if sum(map(self.places.__contains__, other)) < need - 1e-9:
+    def near_to(self, other: Text) -> bool:
+        n, m = len(self.words), len(other.words)
+        if self.words == other.words:
+            return n > 0
+        need = math.ceil(SIMILARITY * max(n, m) - 1e-9)
+        if min(n, m) < max(need, WORDS) or len(self.labelled & other.labelled) < need:
             return False
-        # With an alignment of `need`, no diagonal is further off than what may be left out.
-        reach = int(n + m - 2 * need) + 1
-        full = (1 << n) - 1
-        row = full  # a zero bit is a step of the alignment
-        places = self.places
-        for j, s in enumerate(other):
-            at = places.get(s)
-            if at is None:
-                continue
-            hits = 0
-            for i in at:
-                if -reach <= i - j <= reach:
-                    hits |= 1 << i
-            if hits:
-                u = row & hits
+        return self.aligned(other.words, need) >= need
+
+    def aligned(self, other: list[bytes], need: int) -> int:
+        """The longest alignment with other among those that leave the band of `need` aligned words nowhere.
+
+        An alignment of `need` words skips at most n - need of the own and m - need of the other ones, so
+        word j of the other meets own places j - back to j + ahead only. The bits are those of that
+        window; it moves up by one place a word, and bits that leave it are final.
+        """
+        n, m = len(self.words), len(other)
+        back, ahead = m - need, n - need
+        width = back + ahead + 1
+        full, top = (1 << width) - 1, 1 << (width - 1)
+        masks, span = self.masks, self.SPAN
+        first = masks[0] if len(masks) == 1 else None
+        row, steps = full, 0  # a zero bit is a step of the alignment
+        for j, w in enumerate(other):
+            low = j - back
+            if first is not None:
+                mask = first.get(w)
+                hits = 0 if mask is None else mask >> low if low >= 0 else mask << -low
+            else:
+                hits = 0
+                for block in range(max(low, 0) // span, min(len(masks), (low + width - 1) // span + 1)):
+                    mask = masks[block].get(w)
+                    if mask is not None:
+                        shift = block * span - low
+                        hits |= mask << shift if shift >= 0 else mask >> -shift
+            u = row & hits & full
+            if u:
                 row = ((row + u) | (row - u)) & full
-        return n - row.bit_count() >= need - 1e-9
+            steps += not row & 1
+            row = row >> 1 | top
+        return steps + width - row.bit_count()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,13 +293,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = common.arrow_schema("a binary, b binary")
 
     def run(batches):
-        leader = aligner = None
+        leader = held = None
         for batch in batches:
             a, b = [], []
             for head, th, kind, text in zip(*(batch.column(i).to_pylist() for i in range(3)), common.utf8(batch, "text"), strict=True):
                 if kind == 0:
-                    leader, aligner = head, Aligner(text)
-                elif leader == head and aligner.near(text):
+                    leader, held = head, Text(text)
+                elif leader == head and held.near_to(Text(text)):
                     a.append(th)
                     b.append(head)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
@@ -315,42 +351,105 @@ def node_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = common.materialise(own, "labelled")
     mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     mixed = common.materialise(mixed, "mixed")
-    more = common.materialise(blockwise(common.join_small(own, mixed, "key"), texts, nodes), "more")
-    return components(links.unionByName(more)).toDF("v", "label")
+    mixed = common.materialise(common.join_small(own, mixed, "key"), "mixed")
+    few, many = mixed.where(F.col("n") <= BLOCK), mixed.where(F.col("n") > BLOCK).select("th", "label").distinct()
+    more = blockwise(few, texts, nodes.select(F.col("th").alias("t2"), F.col("bands").alias("keys")))
+    if many.limit(1).count():
+        prefixes = common.materialise(rare_words(many, texts), "prefixes")
+        each = prefixes.select("th", "label", F.explode("keys").alias("key"))
+        shared = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+        each = common.join_small(each, common.materialise(shared, "shared"), "key")
+        more = more.unionByName(blockwise(each, texts, prefixes.select(F.col("th").alias("t2"), "keys")))
+    return components(links.unionByName(common.materialise(more, "more"))).toDF("v", "label")
 
 
 BLOCK = 256
-#: Bytes of texts whose shingles a task keeps between groups.
+#: Cells of the word counts that order words by rarity; their number is what the driver receives.
+CELLS = 1 << 18
+#: Bytes of texts whose words a task keeps between groups.
 CACHE = 16 << 20
 
 
-def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links a, b between members of different labels that share a bucket. rows: key, th, label, n (the bucket's members).
+def cell(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) % CELLS
+
+
+def rare_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """th, label, keys: hashes of the rarest labelled words of each text of rows (th, label), rarest first.
+
+    So many that two texts of SIMILARITY share one: all but SIMILARITY of a text's words, and one more.
+    Rarity is counted over these texts by hash cells; it only orders the words, alike for all texts.
+    """
+    held = common.materialise(common.join_small(texts, rows, "th").select("th", "label", "text"), "hot")
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in common.utf8(batch, "text"):
+                np.add.at(total, [cell(w) for w in text.split()], 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    counts = held.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(CELLS, np.int64)
+    often[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    schema = common.arrow_schema("th binary, label binary, keys array<bigint>")
+
+    def step(batches):
+        for batch in batches:
+            keys = []
+            for text in common.utf8(batch, "text"):
+                words, seen, own = text.split(), {}, []
+                for w in words:
+                    k = seen.get(w, 0)
+                    seen[w] = k + 1
+                    own.append((int(often[cell(w)]), xxhash.xxh3_64_intdigest(w, k) >> 1))
+                own.sort()
+                keys.append([h for _, h in own[: len(own) - math.ceil(SIMILARITY * len(own) - 1e-9) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, schema.field(2).type)], schema=schema)
+
+    return held.mapInArrow(step, "th binary, label binary, keys array<bigint>")
+
+
+def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links a, b that join members of different labels that share a bucket. rows: key, th, label, n (the bucket's members).
 
     A bucket is cut into blocks of BLOCK members; a group of rows is two of its blocks, so a task holds
-    2 * BLOCK texts and compares them in memory. A pair that meets in several buckets is compared in
-    the one of its first common band only.
+    2 * BLOCK texts and compares them in memory, but for those that links have joined already. A pair
+    that meets in several buckets is compared in the first common one of its keys only. keyed: t2, keys.
     """
+    wanted = common.materialise(rows.select(F.col("th").alias("t3")).distinct(), "wanted")
+    held = common.join_small(texts, wanted, F.col("th") == F.col("t3")).join(keyed, F.col("th") == F.col("t2")).select("th", "text", "keys")
+    held = common.materialise(held, "held")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("th"), blocks).cast("int")
     rows = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", F.col("th").alias("t"))
-    held = texts.join(nodes.select(F.col("th").alias("t2"), "bands"), F.col("th") == F.col("t2")).select("th", "text", "bands")
-    rows = rows.join(common.materialise(held, "held"), F.col("t") == F.col("th"))
+    rows = rows.join(held, F.col("t") == F.col("th"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "blk", "label", "th", "bands", "text")
+    rows = rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "blk", "label", "th", "keys", "text")
     schema = common.arrow_schema("a binary, b binary")
 
     def compare(group):
         key, p, q = group[0][:3]
-        a, b = [], []
+        a, b, joined = [], [], {}
+
+        def root(label):
+            while label in joined:
+                label = joined[label]
+            return label
+
         for i, one in enumerate(group):
+            mine = root(one[4])
+            keys = set(one[6])
             for other in group[:i]:
-                if one[4] == other[4] or one[5] == other[5] or (p != q and one[3] == other[3]):
+                if p != q and one[3] == other[3] or one[5] == other[5]:
                     continue
-                if next((x for x, y in zip(one[6], other[6], strict=True) if x == y), key) == key and one[7].near_to(other[7]):
+                theirs = root(other[4])
+                if mine != theirs and next((k for k in other[6] if k in keys), key) == key and one[7].near_to(other[7]):
                     a.append(one[5])
                     b.append(other[5])
+                    joined[mine] = mine = theirs
         return a, b
 
     def run(batches):
@@ -378,23 +477,6 @@ def blockwise(rows: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-class Text:
-    """A text with its distinct shingles, so that most pairs are told apart without an alignment."""
-
-    def __init__(self, text: bytes):
-        self.text = text
-        listed = shingle_list(text)
-        self.size, self.distinct = len(listed), frozenset(map(hash, listed))
-        self.spare = self.size - len(self.distinct)
-
-    def near_to(self, other: Text) -> bool:
-        need = SIMILARITY * (self.size + other.size) / (1 + SIMILARITY) - 1e-9
-        # Repeats of a shingle can add at most the fewer spare ones to what is shared.
-        if min(self.size, other.size) < need or len(self.distinct & other.distinct) + min(self.spare, other.spare) < need:
-            return False
-        return Aligner(self.text).near(other.text)
-
-
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, th, text with the text hash that tells nodes apart."""
     text = common.text_or_empty()

@@ -29,7 +29,7 @@ def brute_near(rows):
     texts = [near_dup.Text((t or "").encode()) for _, t in rows]
     for i, one in enumerate(texts):
         for j in range(i):
-            if one.text == texts[j].text or one.near_to(texts[j]):
+            if rows[i][1] == rows[j][1] or one.near_to(texts[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {rows[i][0] for i in range(len(rows)) if root(i) == i}
