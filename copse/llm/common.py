@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +100,48 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def renumbered(inner: DataFrame, df: DataFrame) -> DataFrame:
     return inner.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+class Seen:
+    """Which 64-bit keys occur often enough, as bits by hash: no such key is missed, a few others pass.
+
+    It holds MOST_BITS at most, however many keys there are; the fuller it is, the more others pass,
+    which exact counts then refuse. So it saves shuffles and decides nothing.
+    """
+
+    BLOCK, LEAST_BITS, MOST_BITS = 1 << 19, 1 << 19, 1 << 28
+
+    def __init__(self, counted: DataFrame, least: int):
+        """counted: key, count."""
+        spark, held = counted.sparkSession, counted.where(F.col("count") >= least).select("key")
+        bits = self.LEAST_BITS
+        n = held.count()
+        while bits < min(16 * n, self.MOST_BITS):
+            bits *= 2
+        block = self.BLOCK
+        cells = held.select(F.pmod("key", F.lit(bits)).alias("cell")).withColumn("block", F.floor(F.col("cell") / block))
+
+        def fill(batches):
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                cell = batch.column(0).to_numpy()
+                for b in np.unique(cell // block).tolist():
+                    own = out.setdefault(b, np.zeros(block, bool))
+                    own[cell[cell // block == b] - b * block] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in out.values()], pa.binary())], names=["block", "bits"])
+
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        data = np.zeros(bits // 8, np.uint8)
+        for b, own in cells.repartition(n, "block").select("cell").mapInArrow(fill, "block bigint, bits binary").collect():  # MOST_BITS at most
+            data[b * block // 8 : (b + 1) * block // 8] |= np.frombuffer(own, np.uint8)
+        self.bits, self.data = bits, spark.sparkContext.broadcast(data)
+
+    def __getstate__(self):
+        return self.bits, self.data
+
+    def __setstate__(self, state):
+        self.bits, self.data = state
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        cell = key.view(np.int64) % self.bits
+        return (self.data.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)

@@ -8,7 +8,8 @@ fields. Lines that fit no recurring template are looked up by wide ones: any two
 leading tokens being one of them, are open while half of the tokens are not; of a short line of
 LEAST_WIDE tokens or more, any one token. Wide templates count the documents (doc_id and text) that hold
 such lines. Every template is one hash key, so templates are counted by one aggregation over all lines:
-no order of arrival, and no leaf whose lines must meet in one task.
+no order of arrival, and no leaf whose lines must meet in one task. Since a template recurs only if each of
+its closed stretches does, stretches are counted first, and templates only of lines whose stretches recur.
 
 A template that at least MIN_DOCS documents hold is recurring. Of its lines the first in the corpus (by
 doc_id, then text hash, then line number) stays and all others are dropped. Lines of SHORT tokens or more
@@ -43,11 +44,9 @@ WHOLE, WIDE_SHORT, WIDE, TEMPLATE, KINDS = 0, 1, 2, 3, 3
 ALL = (1 << 64) - 1
 DIGIT = b"0123456789"
 FIELD = b"<*>"
-LINES = "doc bigint, h bigint, line int, keys array<bigint>, first array<boolean>"
-
-
-def key(parts: list[bytes], kind: int = TEMPLATE) -> int:
-    return signed(xxhash.xxh3_64_intdigest(b"\x00".join(parts)), kind)
+LINES = "doc bigint, h bigint, lines array<int>, tokens array<int>, parts array<bigint>, whole array<bigint>"
+#: What the number of tokens adds to a key.
+STEP = 0x9E3779B97F4A7C15
 
 
 def signed(k: int, kind: int) -> int:
@@ -67,84 +66,74 @@ def fields(line: bytes) -> list[bytes]:
     return tokens
 
 
-def template_keys(line: bytes) -> list[int]:
-    """A key for each template that the line fits; none for a blank line."""
-    return narrow_keys(fields(line))
+def edges_of(n: int) -> list[int]:
+    """Where the stretches of a line of n tokens begin and end; a short line's tokens are stretches of one."""
+    return list(range(n + 1)) if n < SHORT else [0, *(DEPTH + (n - DEPTH) * i // PARTS for i in range(PARTS + 1))]
 
 
-def narrow_keys(tokens: list[bytes]) -> list[int]:
-    n = len(tokens)
-    if not n:
-        return []
-    head = [b"%d" % n, b" ".join(tokens[:DEPTH])]
-    if n < SHORT:
-        return [key([*head, b" ".join(tokens[DEPTH:])])]
-    rest = n - DEPTH
-    edges = [DEPTH + rest * i // PARTS for i in range(PARTS + 1)]
-    parts = [b" ".join(tokens[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    return [key([*head, b"%d" % i, *parts[:i], *parts[i + 1 :]]) for i in range(PARTS)]
+def part_hashes(tokens: list[bytes]) -> list[int]:
+    edges = edges_of(len(tokens))
+    return [xxhash.xxh3_64_intdigest(b" ".join(tokens[a:b]), i) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
+def narrow_sets(n: int) -> list[tuple[int, ...]]:
+    """Of lines of n tokens: which stretches each template leaves open."""
+    return [()] if n < SHORT else [(i,) for i in range(1, PARTS + 1)]
 
 
 def open_sets(n: int) -> tuple[list[int], list[tuple[int, ...]], int]:
     """Of lines of n tokens: the edges of the stretches, which of them each wide template leaves open, and its kind."""
+    edges = edges_of(n)
     if n < SHORT:
-        return list(range(n + 1)), [(i,) for i in range(n)] if n >= LEAST_WIDE else [], WIDE_SHORT
-    edges = [0, *(DEPTH + (n - DEPTH) * i // PARTS for i in range(PARTS + 1))]
+        return edges, [(i,) for i in range(n)] if n >= LEAST_WIDE else [], WIDE_SHORT
     size = [b - a for a, b in zip(edges, edges[1:], strict=False)]
     return edges, [x for x in combinations(range(PARTS + 1), 2) if 2 * sum(size[i] for i in x) <= n], WIDE
 
 
-def wide_keys(tokens: list[bytes]) -> list[int]:
-    """A key for each wide template: a hash of the stretches' hashes, each with its place, without the open ones."""
-    n = len(tokens)
-    edges, sets, kind = open_sets(n)
-    if not sets:
-        return []
-    held = [xxhash.xxh3_64_intdigest(b" ".join(tokens[a:b]), i) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    total = sum(held)
-    out = []
-    for x in sets:
-        # The open places and n count as well: a stretch's own hash stands for it when it is closed.
-        k = total - sum(held[i] for i in x) + OPEN[x] + n * 0x9E3779B97F4A7C15
-        out.append(signed(k & ALL, kind))
-    return out
+#: A number for each set of open stretches.
+OPEN = {x: xxhash.xxh3_64_intdigest(b"%d" % i) for i, x in enumerate([*combinations(range(max(SHORT, PARTS + 1)), 2), *((i,) for i in range(SHORT)), ()])}
 
 
-#: A number for each set of open stretches.
-OPEN = {x: xxhash.xxh3_64_intdigest(b"%d" % i) for i, x in enumerate([*combinations(range(max(SHORT, PARTS + 1)), 2), *((i,) for i in range(SHORT))])}
+def keys_of(parts: list[int], n: int, sets, kind: int) -> list[int]:
+    """A key for each set of open stretches: the closed ones' hashes (each knows its place), what is open, and n, added up."""
+    total = sum(parts)
+    return [signed(total - sum(parts[i] for i in x) + OPEN[x] + n * STEP & ALL, kind) for x in sets]
 
 
-def whole_keys(line: bytes) -> list[int]:
-    """The key of a long line's tokens as they are."""
-    tokens = line.split()
-    return [key([b" ".join(tokens)], WHOLE)] if len(tokens) >= SHORT else []
+def template_keys(line: bytes) -> list[int]:
+    """A key for each template that the line fits; none for a blank line."""
+    tokens = fields(line)
+    return keys_of(part_hashes(tokens), len(tokens), narrow_sets(len(tokens)), TEMPLATE) if tokens else []
 
 
-def line_keys(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs: doc, h, text. A row for each line that is not blank; first: the document's first line with that key."""
-    schema = common.arrow_schema("doc bigint, h bigint, line int, keys array<bigint>")
-    schema = pa.schema([*schema, pa.field("first", pa.list_(pa.bool_()))])
+def wide_keys(tokens: list[bytes]) -> list[int]:
+    """A key for each wide template."""
+    _, sets, kind = open_sets(len(tokens))
+    return keys_of(part_hashes(tokens), len(tokens), sets, kind) if sets else []
+
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """docs: doc, h, text. A row for each document: its lines that are not blank by number, tokens, hashes of stretches (one after another) and of the whole."""
+    schema = common.arrow_schema(LINES)
 
     def make():
         def step(batch):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out, flat, first, ends = [[], [], []], array("q"), [], [0]
-                for doc, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part, "text"), strict=True):
-                    seen: set[int] = set()
+                numbers, sizes, parts, whole, ends, part_ends = array("i"), array("i"), array("Q"), array("Q"), [0], [0]
+                for text in common.utf8(part, "text"):
                     for n, line in enumerate(text.split(b"\n")):
                         tokens = fields(line)
                         if tokens:
-                            keys = [*narrow_keys(tokens), *wide_keys(tokens), *(whole_keys(line) if whole else ())]
-                            for column, value in zip(out, (doc, h, n), strict=False):
-                                column.append(value)
-                            flat.extend(keys)
-                            first.extend([k not in seen for k in keys])
-                            ends.append(len(flat))
-                            seen.update(keys)
-                offsets = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(np.array(flat, np.int64)), pa.array(first, pa.bool_()))]
-                columns = [*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), *(x.cast(f.type) for x, f in zip(lists, list(schema)[3:], strict=True))]
+                            numbers.append(n)
+                            sizes.append(len(tokens))
+                            parts.extend(part_hashes(tokens))
+                            whole.append(xxhash.xxh3_64_intdigest(b" ".join(line.split()), 99))
+                    ends.append(len(numbers))
+                    part_ends.append(len(parts))
+                flat = [np.array(numbers, np.int32), np.array(sizes, np.int32), np.array(parts, np.uint64).view(np.int64), np.array(whole, np.uint64).view(np.int64)]
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x)) for e, x in zip((ends, ends, part_ends, ends), flat, strict=True)]
+                columns = [part.column(0), part.column(1), *(x.cast(f.type) for x, f in zip(lists, list(schema)[2:], strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         return step
@@ -152,12 +141,74 @@ def line_keys(docs: DataFrame, whole: bool = False) -> DataFrame:
     return common.map_batches(docs, make, LINES)
 
 
+def open_keys(parts: np.ndarray, often: np.ndarray, n: np.ndarray, sets, kind: int, allowed=None):
+    """(rows, keys) of one set of open stretches after another, of lines whose closed stretches all occur often. parts: (lines, stretches)."""
+    total, many = parts.sum(axis=1), often.sum(axis=1)
+    for at, x in enumerate(sets):
+        x = list(x)
+        ok = many - often[:, x].sum(axis=1) == parts.shape[1] - len(x)
+        if allowed is not None:
+            ok &= allowed[at]
+        rows = np.flatnonzero(ok)
+        key = total[rows] - parts[rows][:, x].sum(axis=1) + np.uint64(OPEN[tuple(x)]) + n[rows].astype(np.uint64) * np.uint64(STEP)
+        yield rows, key & ~np.uint64(KINDS) | np.uint64(kind)
+
+
+def line_keys(parsed: DataFrame, often: common.Seen, twice: common.Seen | None) -> DataFrame:
+    """doc, h, line, key, first (the document's first line with that key) of the templates that may recur."""
+    ddl = "doc bigint, h bigint, line int, key bigint, first boolean"
+    schema = common.arrow_schema(ddl)
+
+    def make():
+        def step(batch):
+            doc, h = batch.column(0), batch.column(1)
+            line, n, parts, whole = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(2, 6))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            parts, whole = parts.view(np.uint64), whole.view(np.uint64)
+            begin = np.concatenate([[0], np.cumsum(np.where(n < SHORT, n, PARTS + 1))]).astype(np.int64)
+            recur, found = often.has(parts), []
+            again = twice.has(parts) if twice else None
+            for size in range(1, SHORT + 1):
+                rows = np.flatnonzero(n == size if size < SHORT else n >= SHORT)
+                if not len(rows):
+                    continue
+                k = min(size, PARTS + 1) if size == SHORT else size
+                at = begin[rows][:, None] + np.arange(k)
+                own, ok, tokens = parts[at], recur[at], n[rows]
+                if size < SHORT:
+                    wide = [(open_sets(size)[1], WIDE_SHORT, None)]
+                else:
+                    edge = np.stack([np.zeros_like(tokens), *(DEPTH + (tokens - DEPTH) * i // PARTS for i in range(PARTS + 1))], axis=1)
+                    length, sets = np.diff(edge, axis=1), list(combinations(range(PARTS + 1), 2))
+                    wide = [(sets, WIDE, [2 * length[:, list(x)].sum(axis=1) <= tokens for x in sets])]
+                for sets, kind, allowed in [(narrow_sets(size), TEMPLATE, None), *wide]:
+                    found += [(rows[r], key) for r, key in open_keys(own, ok, tokens, sets, kind, allowed)]
+                if twice and size == SHORT:
+                    r = rows[again[at].all(axis=1)]
+                    found.append((r, whole[r] & ~np.uint64(KINDS) | np.uint64(WHOLE)))
+            rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in found)])
+            keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found)])
+            order = np.lexsort((rows, keys, owner[rows]))
+            rows, keys = rows[order], keys[order]
+            first = np.ones(len(rows), bool)
+            first[1:] = (keys[1:] != keys[:-1]) | (owner[rows[1:]] != owner[rows[:-1]])
+            at = pa.array(owner[rows])
+            yield pa.RecordBatch.from_arrays([doc.take(at), h.take(at), pa.array(line[rows]), pa.array(keys.view(np.int64)), pa.array(first)], schema=schema)
+
+        return step
+
+    return common.map_batches(parsed, make, ddl)
+
+
 def drops(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """docs: doc, h, text. The lines to drop as doc, h, lines (numbers from 0), for documents that have any."""
-    lines = common.materialise(line_keys(docs, long_docs is not None), "lines")
+    parsed = common.materialise(parsed_lines(docs), "lines")
+    # A template recurs only if each of its closed stretches does; few lines are left to be counted exactly.
+    stretches = parsed.select(F.explode("parts").alias("key")).groupBy("key").count()
+    stretches = common.materialise(stretches.where(F.col("count") >= min(min_docs, long_docs or min_docs)), "stretches")
+    each = common.materialise(line_keys(parsed, common.Seen(stretches, min_docs), common.Seen(stretches, long_docs) if long_docs is not None else None), "keys")
     kind = F.col("key").bitwiseAND(F.lit(KINDS))
     least = F.when(kind == WHOLE, F.lit(long_docs)).when(kind == WIDE_SHORT, F.lit(SHORT_TIMES * min_docs)).otherwise(F.lit(min_docs))
-    each = lines.select("doc", "h", "line", F.explode(F.arrays_zip("keys", "first")).alias("k")).select("doc", "h", "line", F.col("k.keys").alias("key"), F.col("k.first").alias("first"))
     counts = each.groupBy("key").agg(F.sum(F.col("first").cast("bigint")).alias("docs")).where(F.col("docs") >= least)
     counts = common.materialise(counts, "recurring")
     found = common.join_small(each.drop("first"), counts, "key")
