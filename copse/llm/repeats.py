@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .near_dup import mix64, powers
+from .passages import shared_passages
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM
@@ -308,12 +309,13 @@ def covers(docs: DataFrame, big: int = BIG) -> DataFrame:
 
 
 def with_stretches(docs: DataFrame, doc_id: str, text: str, big: int = BIG) -> DataFrame:
-    """docs with `stretches` (null: nothing repeats) for each row."""
+    """docs with `stretches` (null: nothing repeats) and `n_shared` (null: none) for each row."""
     h = F.xxhash64(common.text_or_empty(text))
-    found = covers(docs.select(F.col(doc_id).cast("bigint").alias("doc"), h.alias("h"), common.text_or_empty(text).alias("text")), big)
-    found = common.materialise(found, "stretches")
+    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc"), h.alias("h"), common.text_or_empty(text).alias("text"))
+    found = covers(plain, big).unionByName(shared_passages(plain), allowMissingColumns=True)
+    found = common.materialise(found.groupBy("d", "i").agg(F.max("stretches").alias("stretches"), F.max("n_shared").alias("n_shared")), "stretches")
     on = common.same(F.col(doc_id).cast("bigint"), F.col("d")) & (h == F.col("i"))
-    return common.join_small(docs, found, on, "left", most=SMALL, weigh=F.sum(F.size("stretches") + 1)).drop("d", "i")
+    return common.join_small(docs, found, on, "left", most=SMALL, weigh=F.sum(F.coalesce(F.size("stretches"), F.lit(0)) + 1)).drop("d", "i")
 
 
 def without(data: bytes, stretches) -> bytes:
@@ -324,23 +326,23 @@ def without(data: bytes, stretches) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-REMOVED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+REMOVED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint"
 
 
 def removed(docs: DataFrame, big: int = BIG) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and n_shared: its word passages that other documents hold (passages.py)."""
     joined = with_stretches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")), "doc_id", "text", big)
     schema = common.arrow_schema(REMOVED)
 
     def make():
         def step(batch):
             out = []
-            for doc, data, stretches in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            for doc, data, stretches, shared in zip(batch.column(0).to_pylist(), common.utf8(batch, "text"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 left = without(data, stretches or [])
-                out.append((doc, len(data), len(data) - len(left), len(stretches or []) // 2, hashlib.sha256(left).hexdigest()))
+                out.append((doc, len(data), len(data) - len(left), len(stretches or []) // 2, hashlib.sha256(left).hexdigest(), shared or 0))
             columns = zip(*out, strict=True) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         return step
 
-    return common.map_batches(joined.select("doc_id", "text", "stretches"), make, REMOVED)
+    return common.map_batches(joined.select("doc_id", "text", "stretches", "n_shared"), make, REMOVED)

@@ -51,6 +51,34 @@ def test_removed_against_brute_force(spark, seed, big):
     assert got == Counter((d, *b) for (d, _), b in zip(rows, brute(rows), strict=True))
 
 
+def brute_shared(rows, words=51):
+    """Whether a row's text has a window of so many words that another row's text has."""
+    lists = [(t or "").split() for _, t in rows]
+    holders = {}
+    for i, w in enumerate(lists):
+        for j in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[j : j + words]), set()).add(i)
+    shared = {i for s in holders.values() if len(s) > 1 for i in s}
+    return [i in shared for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_shared_passages_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = corpus(seed)
+    prose = lambda n: [rng.choice("the of and cat dog sun") + str(rng.randrange(300)) for _ in range(n)]
+    for size in range(47, 60):  # passages just below and above the limit, twice in different surroundings
+        p = prose(size)
+        rows += [(1000 + 2 * size + i, "\n ".join([*prose(rng.randrange(40)), *p, *prose(rng.randrange(40))])) for i in range(2)]
+    p = prose(60)
+    rows.append((2000, " ".join([*p, "x", *p, *prose(30)])))  # repeats itself only
+    docs = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, lo int, k string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_shared > 0) for r in repeats.removed(docs).collect())
+    want = brute_shared(rows)
+    assert got == Counter((d, len((t or "").encode()), s) for (d, t), s in zip(rows, want, strict=True))
+    assert 20 < sum(want) < len(rows)
+
+
 def test_segments_join(monkeypatch):
     rng = random.Random(3)
     data = bytes(rng.choice(b"abcd") for _ in range(9000))
