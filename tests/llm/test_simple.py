@@ -144,11 +144,25 @@ def test_pii(spark, docs):
     assert [text[a:b] for a, b in found["userinfo"]] == ["me:pw"]
     assert [text[a:b] for a, b in found["account"]] == ["GB82 WEST 1234 5698 7654 32", "AB-1234567"]
     assert len(found["card"]) == len(found["phone"]) == len(found["ip"]) == 1 and len(found["email"]) == 2
-    for hard in ("a" * 200_000 + "@ ", "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "@" * 200_000):
+    text = "ACCOUNT NO 12345678; Passport: X1234567, pay DE89370400440532013000 now; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" api_key=sk-12345abcde6789 the key is here"
+    found = pii.find(text, pii.automaton())
+    assert [text[a:b] for a, b in found["account"]] == ["12345678", "X1234567", "DE89370400440532013000"]
+    assert [text[a:b] for a, b in found["secret"]] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk-12345abcde6789"]
+    assert pii.find("İban account no 7654321", pii.automaton())["account"] == [(16, 23)]
+    for hard in ("account" + " " * 1_000_000, "account no " * 100_000, "key=" + "a" * 1_000_000, "token:" * 100_000, "AB12 " * 100_000, "a" * 200_000 + "@ ", "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "@" * 200_000):
         pii.find(hard, pii.automaton())
     rows = pii.scan(docs).collect()
     assert len(rows) == 8 and all(r.spans == "" for r in rows)
     assert pii.scan(docs.limit(0)).count() == 0
+    texts = [(1, "à a@b.c 1.2.3.4 +1 (523) 555-1055"), (2, "5@b.co, 1.2.3.400, 4111 1111 1111 1111 token: \"a1b2c3d4e5f6\""), (3, None)]
+    for r in pii.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        text = texts[r.doc_id - 1][1] or ""
+        own = [(k, *m.span()) for k, p in BASE.items() for m in p.finditer(text) if holds(k, m[0])]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in own) for x in BASE]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        secret = [] if r.doc_id != 2 else [("secret", text.index("a1b2"), text.index("a1b2") + 12)]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in [*own, *secret]) and r.n_spans == len(own) + len(secret) and r.n_secret == len(secret)
 
 
 def brute_best_fit(lengths, capacity):
