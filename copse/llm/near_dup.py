@@ -307,8 +307,17 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def starred(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: each a keeps one b, and its other bs are tied to that one."""
+    held = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))  # bounded by the buckets of a text
+    held = common.materialise(held, "stars")
+    tied = held.select(F.explode("all").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return held.select("a", F.col("m").alias("b")).unionByName(tied)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, label: each vertex of the edges (a, b) with the least vertex of its component."""
+    edges = starred(edges)
     both = common.materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = common.materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("label")), "labels")
     while True:
