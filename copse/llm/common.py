@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none, as in tests."""
+    """The folder that driver and executors share. A session of one process that names none gets one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="copse-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

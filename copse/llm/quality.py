@@ -14,7 +14,7 @@ with a third of all rows is no single task's work.
 Defined results: a null text is empty and is judged by its (empty) statistics; null host or path is a
 site of its own; documents without labels only lack a label; with no usable labels of both kinds the
 evidence is 0 for all and every document is kept; an empty table gives no rows; repeated rows are
-judged alike.
+judged alike; very long texts are read whole; own columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ SALTS = 32
 KEEP = 0.5
 #: The range of a site's shrinkage strength, in documents.
 STRENGTH = (10.0, 10_000.0)
-#: How far a path's posterior may move a document's log-odds.
-SITE_SHIFT = 1.5
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -111,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
         return step
 
-    got = common.map_batches(rows.select("__k", "__y", "__t"), make, "k bigint, y int, x array<double>").toPandas().sort_values(["k", "y"], kind="stable")
+    # Rows that repeat an id count once, so no more than the sample reaches the driver.
+    got = common.map_batches(rows.select("__k", "__y", "__t"), make, "k bigint, y int, x array<double>").groupBy("k", "y").agg(F.max("x").alias("x")).toPandas().sort_values(["k", "y"], kind="stable")
     x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
     return fit(x, got["y"].to_numpy(float))
 
@@ -196,8 +195,7 @@ def judged(slim: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def posterior(joined: DataFrame, sampled: float) -> DataFrame:
-    shift = F.greatest(F.lit(-SITE_SHIFT), F.least(F.lit(SITE_SHIFT), log_odds(F.col("path_posterior")) - sampled))
-    p = 1 / (1 + F.exp(-(F.col("__logit") + shift)))
+    p = 1 / (1 + F.exp(-(F.col("__logit") + log_odds(F.col("path_posterior")) - sampled)))
     return joined.withColumn("__posterior", p).withColumn("keep", F.col("__posterior") >= KEEP)
 
 

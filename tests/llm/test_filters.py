@@ -99,6 +99,53 @@ def test_quality_held_out(spark):
     assert np.mean([r.keep for r in got if r.quality]) > 0.99
 
 
+def brute_posteriors(rows, weights, sampled):
+    """rows: (doc_id, host, path, text). Posterior by doc_id, by plain sums."""
+    own = {d: min(12, max(-12, float(np.dot(quality.statistics((t or "").encode()), weights[:-1]) + weights[-1]))) for d, _, _, t in rows}
+    p = {d: 1 / (1 + np.exp(-round(x, 6))) for d, x in own.items()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for d, h, q, _ in rows:
+        hosts[h].append(p[d])
+        paths[h, q].append(p[d])
+
+    def strength(groups):
+        groups = [np.array(g) for g in groups if len(g) > 1]
+        if len(groups) < 2:
+            return 10_000.0
+        n = sum(map(len, groups))
+        prior = sum(g.sum() for g in groups) / n
+        between = sum(len(g) * g.mean() ** 2 for g in groups) / n - prior**2 - sum(len(g) * g.var(ddof=1) / len(g) for g in groups) / n
+        return 10_000.0 if between <= 0 else min(10_000.0, max(10.0, prior * (1 - prior) / between - 1))
+
+    prior = (sum(p.values()) + 1) / (len(p) + 2)
+    by_host, by_path = strength(hosts.values()), strength(paths.values())
+    host = {h: (sum(g) + by_host * prior) / (len(g) + by_host) for h, g in hosts.items()}
+    path = {k: (sum(g) + by_path * host[k[0]]) / (len(g) + by_path) for k, g in paths.items()}
+    return {d: 1 / (1 + np.exp(-(own[d] + np.log(path[h, q] / (1 - path[h, q])) - sampled))) for d, h, q, _ in rows}
+
+
+def test_quality_against_plain_sums(spark, corpus):
+    docs, labels = corpus
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "junk site").otherwise(F.col("source"))).withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 12 > 0), F.lit("$$ # 11 WIN win win")).otherwise(F.col("text")))
+    weights, sampled = quality.train(docs, labels)
+    want = brute_posteriors([(r.doc_id, r.source, r.lang, r.text) for r in docs.collect()], weights, sampled)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[d].posterior - p) < 2e-6 and got[d].keep == (p >= 0.5) for d, p in want.items() if abs(p - 0.5) > 1e-5)
+    # The site counts: the same text is worth less on the bad one.
+    alike = docs.where("doc_id % 12 = 1").limit(1).select("doc_id", "lang", "text", F.col("n_chars"), F.lit("junk site").alias("source"))
+    moved = quality.classify(docs.unionByName(alike.withColumn("doc_id", F.lit(-1).cast("bigint"))), labels).where("doc_id = -1").first()
+    assert moved.posterior < got[alike.first().doc_id].posterior
+
+
+def test_clashing_columns(spark):
+    docs = odd_rows(spark).withColumn("__host", F.lit("h")).withColumn("__path", F.lit(1)).withColumn("__logit", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == 8
+    kept = quality.kept_documents(docs, labels)
+    assert kept.columns == docs.columns and all(r["__logit"] == "x" for r in kept.collect())
+
+
 def test_quality_odd_rows(spark):
     docs = odd_rows(spark)
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (6, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
