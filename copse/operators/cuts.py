@@ -1,7 +1,9 @@
 """Quantile cuts: weighted summaries per feature, and the cut values read off them.
 
-A summary is a sorted list of (value, rmin, rmax, weight). Summaries of partitions are merged in two
-steps keyed by feature, so neither a task nor the driver sees more than a bounded number of entries.
+A summary is a sorted list of (value, rmin, rmax, weight). A task sketches its rows in levels, like a
+binary counter; summaries of tasks are merged in two steps keyed by feature, so neither a task nor the
+driver sees more than a bounded number of entries of a numeric feature. Of a categorical one only the
+largest code is kept.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 FACTOR = 2
 SUMMARY = "f int, part int, v array<double>, lo array<double>, hi array<double>, w array<double>"
@@ -95,74 +98,103 @@ class Summary:
         return np.array([*inner, top + (abs(top) + 1e-5)])
 
 
-def feature_cuts(df: DataFrame, width: int, max_bin: int, categorical=(), weight: str = "weight") -> list[np.ndarray]:
-    """Cuts of every feature of a frame's DataFrame (features, weight) in one job."""
-    n = df.count()
-    budget = summary_budget(max_bin, n)
+class Sketch:
+    """A feature's values as they come: full queues become summaries, and levels that overflow are pruned and carried on."""
+
+    def __init__(self, limit: int):
+        self.limit, self.levels = limit, []
+        self.v, self.w = np.zeros(0), np.zeros(0)
+
+    def push(self, values: np.ndarray, weights: np.ndarray) -> None:
+        v, w = np.concatenate([self.v, values]), np.concatenate([self.w, weights])
+        if len(v):  # neighbours of equal value are one entry
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            v, w = v[starts], np.add.reduceat(w, starts)
+        full = 2 * self.limit
+        while len(v) > full:
+            self.carry(Summary.exact(v[:full], w[:full]))
+            v, w = v[full:], w[full:]
+        self.v, self.w = v, w
+
+    def carry(self, s: Summary) -> None:
+        for i in range(len(self.levels) + 1):
+            if i == len(self.levels):
+                self.levels.append(None)
+            s = s.prune(self.limit)
+            if self.levels[i] is not None:
+                s = s.merge(self.levels[i])
+                self.levels[i] = None
+            if len(s.v) <= self.limit:
+                self.levels[i] = s
+                return
+
+    def summary(self) -> Summary:
+        if len(self.v):
+            self.carry(Summary.exact(self.v, self.w))
+            self.v, self.w = np.zeros(0), np.zeros(0)
+        out = Summary([], [], [], [])
+        for s in self.levels:
+            if s is not None:
+                out = out.merge(s).prune(self.limit)
+        return out
+
+
+#: Codes that a categorical feature may have.
+MOST_CODES = 1 << 24
+
+
+def feature_cuts(df: DataFrame, width: int, max_bin: int, categorical=(), weight: str = "weight", n: int | None = None) -> list[np.ndarray]:
+    """Cuts of every feature of a frame's DataFrame (features, weight) in one job. n: its rows, where known."""
+    budget = summary_budget(max_bin, df.count() if n is None else n)
     fan = max(1, math.isqrt(df.rdd.getNumPartitions()))
+    cats = frozenset(categorical)
 
     def partition(batches):
-        held = [None] * width
-        for pdf in batches:
-            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), width)
-            w = pdf["w"].to_numpy(float)
+        held = [Sketch(budget) for _ in range(width)]
+        top = np.full(width, -1.0)
+        for batch in batches:
+            flat = batch.column("features").flatten().fill_null(float("nan"))
+            x = np.asarray(flat, float).reshape(batch.num_rows, width)
+            w = np.asarray(batch.column("w"), float)
             for f in range(width):
                 ok = ~np.isnan(x[:, f]) & (w > 0)
-                s = Summary.exact(x[ok, f], w[ok])
-                held[f] = s if held[f] is None else held[f].merge(s)
-                if len(held[f].v) > 2 * budget and f not in categorical:
-                    held[f] = held[f].prune(budget)
-        part = int(np.random.default_rng().integers(fan)) if fan > 1 else 0
-        rows = [(f, part, s.v, s.lo, s.hi, s.w) for f, s in enumerate(held) if s is not None and len(s.v)]
-        yield pd.DataFrame(rows, columns=["f", "part", "v", "lo", "hi", "w"])
+                v = x[ok, f]
+                if f in cats:
+                    if len(v) and (v.min() < 0 or (v != np.floor(v)).any() or v.max() >= MOST_CODES):
+                        raise ValueError(f"feature {f}: categories must be whole numbers from 0 on, below {MOST_CODES}")
+                    top[f] = max(top[f], v.max(initial=-1))
+                else:
+                    held[f].push(v, w[ok])
+        # A task that runs again gives the same key, so no summary is lost or counted twice.
+        part = TaskContext.get().partitionId() % fan
+        found = [Summary([top[f]], [0], [1], [1]) if f in cats and top[f] >= 0 else held[f].summary() for f in range(width)]
+        rows = [(f, part, s.v.tolist(), s.lo.tolist(), s.hi.tolist(), s.w.tolist()) for f, s in enumerate(found) if len(s.v)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["f", "part", "v", "lo", "hi", "w"])
 
     def merge(key, pdf):
         s = Summary([], [], [], [])
         for row in pdf.itertuples():
             s = s.merge(Summary(row.v, row.lo, row.hi, row.w))
-            if len(s.v) > 2 * budget and key[0] not in categorical:
+            if key[0] in cats:
+                s = Summary(s.v[-1:], s.lo[-1:], s.hi[-1:], s.w[-1:])
+            elif len(s.v) > 2 * budget:
                 s = s.prune(budget)
         return pd.DataFrame([(key[0], 0, s.v, s.lo, s.hi, s.w)], columns=["f", "part", "v", "lo", "hi", "w"])
 
     merge_key = lambda key, pdf: merge(key, pdf)
-    slim = df.select(F.transform("features", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("features"), F.col(weight).alias("w"))
-    parts = slim.mapInPandas(partition, SUMMARY)
-    parts = parts.groupBy("f", "part").applyInPandas(merge_key, SUMMARY).groupBy("f").applyInPandas(merge_key, SUMMARY)
+    parts = df.select("features", F.col(weight).alias("w")).mapInArrow(partition, SUMMARY)
+    if fan > 1:
+        parts = parts.groupBy("f", "part").applyInPandas(merge_key, SUMMARY)
+    parts = parts.groupBy("f").applyInPandas(merge_key, SUMMARY)
     out: list[np.ndarray] = [np.array([1e-5])] * width
     for row in parts.collect():  # a bounded summary per feature
         s = Summary(row["v"], row["lo"], row["hi"], row["w"])
-        if row["f"] in categorical:
-            if s.v[0] < 0 or (s.v != np.floor(s.v)).any() or s.v[-1] >= 1 << 24:
-                raise ValueError(f"feature {row['f']}: categories must be whole numbers from 0 on")
-            out[row["f"]] = np.arange(s.v[-1] + 1)
-        else:
-            out[row["f"]] = s.prune(budget).cuts(max_bin)
+        out[row["f"]] = np.arange(s.v[-1] + 1) if row["f"] in cats else s.prune(budget).cuts(max_bin)
     return out
 
 
-def distinct_cuts(long: DataFrame) -> DataFrame:
-    """f, bin, upper for features of few distinct values, all in DataFrame functions. long: f, v."""
-    values = long.where("v IS NOT NULL").select("f", "v").distinct()
-    order = W.partitionBy("f").orderBy("v")
-    ranked = values.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("f"))})
-    inner = ranked.where("r > 1").select("f", (F.col("r") - 2).alias("bin"), F.col("v").alias("upper"))
-    last = ranked.where("r = n").select("f", (F.col("n") - 1).cast("int").alias("bin"), (F.col("v") + (F.abs("v") + 1e-5)).alias("upper"))
-    return inner.unionByName(last)
-
-
-def assign_bins(long: DataFrame, cuts: DataFrame) -> DataFrame:
-    """long (f, v, ...) with bin: the first cut above v, at most the last. The cuts (bounded by features x bins) are one array per feature."""
-    arrays = cuts.groupBy("f").agg(F.sort_array(F.collect_list("upper")).alias("__cuts"))
-    got = long.join(F.broadcast(arrays), "f")
-    at = F.least(F.size(F.filter("__cuts", lambda c: c <= F.col("v"))), F.size("__cuts") - 1)
-    return got.withColumn("bin", F.when(F.col("v").isNotNull(), at)).drop("__cuts")
-
-
-def histogram(binned: DataFrame, *keys: str) -> DataFrame:
-    """Sums of g, h and rows by keys, feature and bin (null: missing)."""
-    return binned.groupBy(*keys, "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
-
-
 def bin_array(v: np.ndarray, cuts: np.ndarray, categorical: bool) -> np.ndarray:
     """Bins of a column; -1 for missing values, and for codes that are no category."""
     if categorical:

@@ -1,4 +1,4 @@
-"""Split search over histograms of one node, in numpy; the driver's counterpart of splits_sql."""
+"""Split search over a node's histogram of a feature, in numpy; each task searches the pairs dealt to it."""
 
 from __future__ import annotations
 
@@ -49,67 +49,81 @@ class Split:
     right: tuple = field(default_factory=lambda: (0.0, 0.0))
 
 
-def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, total: tuple, count: int, cuts: list[np.ndarray], p: Penalty, features, categorical=(), bounds=(-np.inf, np.inf)) -> Split:
-    """The best split of a node.
+def scans(f: int, g: np.ndarray, h: np.ndarray, total: tuple, missing: bool, p: Penalty, categorical: bool = False, bounds=(-np.inf, np.inf)):
+    """Every candidate of one feature of a node, scan by scan in the order in which ties are settled.
 
-    g, h: (outputs, features, bins); n: (features, bins) rows; total: (G, H) arrays by output. Equal
-    gains go to the smaller feature, then to the scan that comes first (missing right), then to the
-    earlier candidate of a scan.
+    g, h: (outputs, bins). Yields default_left, the candidates' gains (-inf: not valid), their left sums
+    gl and hl (outputs, candidates), and what names candidate i: its bin (the last that goes left, -1
+    where only missing values do), or the codes that go right.
     """
     G, H = (np.asarray(t, float).reshape(-1, 1) for t in total)
     lo, hi = bounds
     parent = p.gain(G, H, lo, hi).sum()
-    best = Split()
+    c = p.monotone[f] if p.monotone and f < len(p.monotone) else 0
+    k = g.shape[1]
 
-    def consider(f, gl, hl, default_left, found):
-        """gl, hl: (outputs, candidates), the left sides."""
-        nonlocal best
+    def scan(default_left, gl, hl, named):
         gr, hr = G - gl, H - hl
         ml, mr = hl.mean(axis=0), hr.mean(axis=0)
         gains = (p.gain(gl, hl, lo, hi) + p.gain(gr, hr, lo, hi)).sum(axis=0) - parent
         bad = (ml <= 0) | (mr <= 0) | (ml < p.min_child_weight) | (mr < p.min_child_weight)
-        c = p.monotone[f] if p.monotone and f < len(p.monotone) else 0
         if c:
             wl, wr = p.weight(gl, hl, lo, hi)[0], p.weight(gr, hr, lo, hi)[0]
             bad |= wl > wr if c > 0 else wl < wr
-        gains = np.where(bad, -np.inf, gains)
+        return default_left, np.where(bad, -np.inf, gains), gl, hl, named
+
+    if categorical and k < p.max_cat_to_onehot:
+        gs, hs = g.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
+        one = lambda i: frozenset([i])
+        yield scan(False, gs - g, hs - h, one)  # missing goes right, with the code
+        if missing:
+            yield scan(True, G - g, H - h, one)
+    elif categorical:
+        gs, hs = g.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
+        order = np.argsort(p.weight(g.sum(axis=0), h.sum(axis=0)), kind="stable")
+        back, steps = order[::-1], min(p.max_cat_threshold, k) - 1
+        upto = lambda x, o: np.cumsum(x[:, o], axis=1)[:, :steps]
+        yield scan(True, G - upto(g, order), H - upto(h, order), lambda i: frozenset(order[: i + 1].tolist()))
+        yield scan(False, gs - upto(g, back), hs - upto(h, back), lambda i: frozenset(back[: i + 1].tolist()))
+    else:
+        if p.direction != "left":
+            yield scan(False, np.cumsum(g, axis=1), np.cumsum(h, axis=1), lambda i: i)
+        if p.direction == "left" or missing and p.direction == "learn":
+            # From the highest bin down; the right side holds bins i.., missing goes left.
+            yield scan(True, G - np.cumsum(g[:, ::-1], axis=1), H - np.cumsum(h[:, ::-1], axis=1), lambda i: k - 2 - i)
+
+
+def feature_split(f: int, g, h, n, total, count: int, p: Penalty, categorical=False, bounds=(-np.inf, np.inf)) -> Split:
+    """The best split of one feature; equal gains go to the scan that comes first, then to its earlier candidate."""
+    best = Split()
+    G, H = (np.asarray(t, float).reshape(-1, 1) for t in total)
+    for default_left, gains, gl, hl, named in scans(f, g, h, total, int(n.sum()) < count, p, categorical, bounds):
         if not gains.size:
-            return
+            continue
         i = int(np.argmax(gains))
         if gains[i] > best.gain and np.isfinite(gains[i]):
-            at, threshold, cats = found(i)
-            best = Split(float(gains[i]), f, at, threshold, default_left, cats, (gl[:, i].copy(), hl[:, i].copy()), (gr[:, i].copy(), hr[:, i].copy()))
+            name = named(i)
+            cats = name if isinstance(name, frozenset) else None
+            best = Split(float(gains[i]), f, -1 if cats is not None else name, 0.0, default_left, cats, (gl[:, i].copy(), hl[:, i].copy()), ((G[:, 0] - gl[:, i]), (H[:, 0] - hl[:, i])))
+    return best
 
+
+def threshold_of(s: Split, cuts: np.ndarray) -> float:
+    return 0.0 if s.categories is not None else float(cuts[s.bin]) if s.bin >= 0 else -np.inf
+
+
+def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, total: tuple, count: int, cuts: list[np.ndarray], p: Penalty, features, categorical=(), bounds=(-np.inf, np.inf)) -> Split:
+    """The best split of a node whose histograms are at hand; equal gains go to the smaller feature.
+
+    g, h: (outputs, features, bins); n: (features, bins) rows; total: (G, H) arrays by output.
+    """
+    best = Split()
     for f in features:
         k = len(cuts[f])
-        gf, hf, nf = g[:, f, :k], h[:, f, :k], n[f, :k]
-        missing = int(nf.sum()) < count
-        if f in categorical:
-            gs, hs = gf.sum(axis=1, keepdims=True), hf.sum(axis=1, keepdims=True)
-            if k < p.max_cat_to_onehot:
-                one = lambda i: (-1, 0.0, frozenset([i]))
-                consider(f, gs - gf, hs - hf, False, one)  # missing goes right, with the code
-                if missing:
-                    consider(f, G - gf, H - hf, True, one)
-            else:
-                w = p.weight(gf.sum(axis=0), hf.sum(axis=0))
-                order = np.argsort(w, kind="stable")
-                steps = min(p.max_cat_threshold, k) - 1
-                ga, ha = np.cumsum(gf[:, order], axis=1)[:, :steps], np.cumsum(hf[:, order], axis=1)[:, :steps]
-                low = lambda i: (-1, 0.0, frozenset(order[: i + 1].tolist()))  # noqa: B023, E731
-                consider(f, G - ga, H - ha, True, low)
-                back = order[::-1]
-                gb, hb = np.cumsum(gf[:, back], axis=1)[:, :steps], np.cumsum(hf[:, back], axis=1)[:, :steps]
-                high = lambda i: (-1, 0.0, frozenset(back[: i + 1].tolist()))  # noqa: B023, E731
-                consider(f, gs - gb, hs - hb, False, high)
-            continue
-        ga, ha = np.cumsum(gf, axis=1), np.cumsum(hf, axis=1)
-        if p.direction != "left":
-            consider(f, ga, ha, False, lambda i: (i, float(cuts[f][i]), None))  # noqa: B023
-        if p.direction == "left" or missing and p.direction == "learn":
-            # From the highest bin down; the right side holds bins i.., missing goes left.
-            gb, hb = np.cumsum(gf[:, ::-1], axis=1), np.cumsum(hf[:, ::-1], axis=1)
-            consider(f, G - gb, H - hb, True, lambda i: (k - 2 - i, float(cuts[f][k - 2 - i]) if i < k - 1 else -np.inf, None))  # noqa: B023
+        s = feature_split(f, g[:, f, :k], h[:, f, :k], n[f, :k], total, count, p, f in categorical, bounds)
+        if s.gain > best.gain:
+            s.threshold = threshold_of(s, cuts[f])
+            best = s
     return best
 
 

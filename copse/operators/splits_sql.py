@@ -1,40 +1,7 @@
-"""Split search as windows over histograms; the distributed counterpart of split.best_split."""
+"""The candidates of a split search as SQL over a table `hist` (f, bin, g, h, n), for the catalogue's oracles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from ..functions.scalar import gain, gain_at, num, weight
-
-
-def candidates(hist: DataFrame, direction: str = "both", lam=1.0, alpha=0.0, max_delta=0.0, min_child=1.0, monotone: dict[int, int] | None = None) -> DataFrame:
-    """hist: f, bin (null: missing), g, h, n. A row for each valid split: f, bin (the last that goes left), default_left, gain.
-
-    Forward splits send missing values right; backward ones send them left and exist only where some
-    value is missing.
-    """
-    every = W.partitionBy("f")
-    upto = every.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    d = hist.withColumns({"tg": F.sum("g").over(every), "th": F.sum("h").over(every)})
-    d = d.withColumns({"mg": F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("g"))).over(every), num(0)), "mh": F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("h"))).over(every), num(0)), "mn": F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("n"))).over(every), F.lit(0))})
-    d = d.where("bin IS NOT NULL").withColumns({"lg": F.sum("g").over(upto), "lh": F.sum("h").over(upto), "last": F.max("bin").over(every)})
-    forward = d.select("f", "bin", F.lit(False).alias("default_left"), "lg", "lh", "tg", "th")
-    backward = d.where("mn > 0 AND bin < last").select("f", "bin", F.lit(True).alias("default_left"), (F.col("lg") + F.col("mg")).alias("lg"), (F.col("lh") + F.col("mh")).alias("lh"), "tg", "th")
-    d = {"forward": forward, "backward": backward, "both": forward.unionByName(backward)}[direction]
-    lg, lh, rg, rh = F.col("lg"), F.col("lh"), F.col("tg") - F.col("lg"), F.col("th") - F.col("lh")
-    d = d.where((lh > 0) & (rh > 0) & (lh >= min_child) & (rh >= min_child))
-    if monotone:
-        at = lambda g, h: weight(g, h, lam, alpha, max_delta)
-        score = lambda g, h: gain_at(g, h, at(g, h), lam, alpha)
-        for f, c in monotone.items():
-            ok = at(lg, lh) <= at(rg, rh) if c > 0 else at(lg, lh) >= at(rg, rh)
-            d = d.where((F.col("f") != f) | ok)
-    else:
-        score = lambda g, h: gain(g, h, lam, alpha, max_delta)
-    return d.select("f", "bin", "default_left", (score(lg, lh) + score(rg, rh) - score(F.col("tg"), F.col("th"))).alias("gain"))
-
 
 def candidates_sql(direction="both", lam=1.0, alpha=0.0, max_delta=0.0, min_child=1.0, monotone=None) -> str:
     soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {alpha}, 0))"
@@ -51,25 +18,3 @@ SELECT f, bin, dl AS default_left, lg, lh, tg, th, tg - lg AS rg, th - lh AS rh
   FROM (SELECT f, bin, sum(g) OVER (PARTITION BY f ORDER BY bin) AS lg, sum(h) OVER (PARTITION BY f ORDER BY bin) AS lh, max(bin) OVER (PARTITION BY f) AS last FROM hist WHERE bin IS NOT NULL) s
   JOIN (SELECT f, sum(g) AS tg, sum(h) AS th FROM hist GROUP BY f) t ON t.f = s.f LEFT JOIN (SELECT * FROM hist WHERE bin IS NULL) m ON m.f = s.f, (VALUES (TRUE), (FALSE)) d(dl))
   WHERE NOT dl OR (mn > 0 AND bin < last)) WHERE {both} AND lh > 0 AND rh > 0 AND lh >= {min_child} AND rh >= {min_child}{limits}"""
-
-
-def best(splits: DataFrame) -> DataFrame:
-    """The split of most gain; ties go to the smaller feature, to missing right, to the earlier bin."""
-    return splits.orderBy(F.desc("gain"), "f", "default_left", "bin").limit(1)
-
-
-def onehot(sums: DataFrame, lam=1.0) -> DataFrame:
-    """sums: code, g, h. Each code against all others."""
-    every = W.partitionBy()
-    tg, th = F.sum("g").over(every), F.sum("h").over(every)
-    g, h = F.col("g"), F.col("h")
-    return sums.select("code", (gain(g, h, lam) + gain(tg - g, th - h, lam) - gain(tg, th, lam)).alias("gain"))
-
-
-def partition(sums: DataFrame, lam=1.0) -> DataFrame:
-    """Codes in order of their leaf weight; row k parts the first k codes from the rest."""
-    order = W.orderBy(weight(F.col("g"), F.col("h"), lam), "code")
-    every = W.partitionBy()
-    d = sums.withColumns({"k": F.row_number().over(order), "sg": F.sum("g").over(order.rowsBetween(W.unboundedPreceding, 0)), "sh": F.sum("h").over(order.rowsBetween(W.unboundedPreceding, 0)), "tg": F.sum("g").over(every), "th": F.sum("h").over(every), "n": F.count("*").over(every)})
-    c = F.col
-    return d.where("k < n").select("code", "k", (gain(c("sg"), c("sh"), lam) + gain(c("tg") - c("sg"), c("th") - c("sh"), lam) - gain(c("tg"), c("th"), lam)).alias("gain"))

@@ -5,6 +5,9 @@ Row-wise queries run over whole tables. Doubles are rounded alike on both sides.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -12,10 +15,13 @@ from pyspark.sql.window import Window as W
 from ..functions import metrics, objectives
 from ..functions import scalar as S
 from ..operators import cuts as C
+from ..operators import grow as G
 from ..operators import splits_sql as X
+from ..operators.split import Penalty, scans
 from ..operators.tree import Node, Tree
 from ..sources.frame import from_dense, from_sparse, parse_libsvm, present
 from .model import Model, Stump, importance
+from .train import add_bins
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -265,79 +271,131 @@ binned AS (SELECT l.row_id, l.f, l.v, l.g, l.h, l.node, CASE WHEN l.v IS NULL TH
 hist AS (SELECT f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned GROUP BY f, bin)"""
 
 
-def long_rows(spark, sf_dir):
-    """row_id, f, v, g, h: features of line items, a quarter of one missing, with squared-error gradients at the mean."""
-    li = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_quantity", "l_discount", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")).alias("l_tax"), (F.col("l_extendedprice") / 1000).alias("y")
-    )
-    mean = li.agg(F.avg("y")).first()[0]
-    cells = F.posexplode(F.array(*[present(F.col(c)) for c in FEATURES])).alias("f", "v")
-    node = F.when(F.col("l_quantity") < 25, 1).otherwise(2)
-    return li.select("row_id", cells, (mean - F.col("y")).alias("g"), S.num(1).alias("h"), node.alias("node"))
-
-
 @query(f"WITH {LONG_SQL} SELECT f, bin, round(upper, 6) AS upper FROM cuts")
 def cuts_exact(spark, sf_dir):
-    return C.distinct_cuts(long_rows(spark, sf_dir)).select("f", "bin", r(F.col("upper")).alias("upper"))
+    cuts = C.feature_cuts(feature_frame(spark, sf_dir).df, 3, 256)
+    return spark.createDataFrame([(f, i, float(v)) for f, own in enumerate(cuts) for i, v in enumerate(own)], "f int, bin int, upper double").select("f", "bin", r(F.col("upper")).alias("upper"))
 
 
 @query(f"WITH {LONG_SQL} SELECT row_id, f, bin FROM binned")
 def bin_assign(spark, sf_dir):
-    rows = long_rows(spark, sf_dir)
-    return C.assign_bins(rows, C.distinct_cuts(rows)).select("row_id", "f", "bin")
+    df = feature_frame(spark, sf_dir).df
+    cuts = C.feature_cuts(df, 3, 256)
 
+    @F.arrow_udf("array<int>")
+    def cells(bins: pa.Array) -> pa.Array:
+        found = G.unpack_cells(G.cells_of(bins, 3)).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * 3), pa.array(found.astype(np.int32), mask=found < 0))
 
-def root_histogram(spark, sf_dir):
-    rows = long_rows(spark, sf_dir)
-    return C.histogram(C.assign_bins(rows, C.distinct_cuts(rows)))
+    return add_bins(df, cuts, ()).select("row_id", F.posexplode(cells("bins")).alias("f", "bin"))
+
+
+def feature_frame(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")))
+    return from_dense(li, list(FEATURES), F.col("l_orderkey") * 10 + F.col("l_linenumber")).with_labels(F.col("l_extendedprice") / 1000)
+
+
+def grown(spark, sf_dir, penalty: Penalty | None = None, level: int = 0, rest: bool = False) -> DataFrame:
+    """node, f, sums and best split of the root (level 0) or its children, by the jobs that grow trees.
+
+    The rows are those of feature_frame, with squared-error gradients at the mean; the children part at l_quantity 25. rest: the right child is taken
+    as what the root has beyond the left one.
+    """
+    frame, y = feature_frame(spark, sf_dir), F.get("label", F.lit(0))
+    mean, rows = frame.df.agg(F.avg(y), F.count("*")).first()
+    cuts = C.feature_cuts(frame.df, 3, 256, n=rows)
+    df = add_bins(frame.df.select("features", F.array(mean - y).alias("g"), F.array(S.num(1)).alias("h")), cuts, ())
+    scale = G.fixed_scale(df.agg(F.sum(F.abs(F.get("g", F.lit(0))))).first()[0] or 0.0), G.fixed_scale(float(rows))
+    held, tree, sizes = G.blocks(df, 3, scale), Tree(3), [len(c) for c in cuts]
+    if level:
+        at = int(np.searchsorted(cuts[0], 25.0, "left"))
+        tree.split(0, feature=0, threshold=25.0, bin=at)
+    nodes, other = {0: 0} if not level else {1: 0} if rest else {1: 0, 2: 0}, {}
+    parts = G.partial_sums(held, tree, nodes, sizes, 1)
+    if rest:
+        whole = G.searched(G.partial_sums(held, Tree(3), {0: 0}, sizes, 1), sizes, 1, scale, Penalty(), (), {}, {0: ((-np.inf, np.inf), None)})
+        parts, other = parts.unionByName(whole.select(F.col("node").alias("pair"), "f", F.lit(-1).alias("kind"), "sums")), {0: 2}
+    settings = {n: ((-np.inf, np.inf), None) for n in (*nodes, *other.values())}
+    found = G.searched(parts, sizes, 1, scale, penalty or Penalty(), (), other, settings)
+    return found.withColumns({"gs": F.lit(scale[0]), "hs": F.lit(scale[1])})
+
+
+def bins_of(found: DataFrame) -> DataFrame:
+    """node, f, bin (null: missing), g, h, n of the sums that hold rows."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], [], []]
+            for node, f, data, gs, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                g, h, n = np.frombuffer(data, np.int64).reshape(3, -1)
+                for i in np.flatnonzero(n).tolist():
+                    for column, value in zip(out, (node, f, i if i < len(n) - 1 else None, g[i] / gs, h[i] / hs, n[i]), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["node", "f", "bin", "g", "h", "n"])
+
+    return found.select("node", "f", "sums", "gs", "hs").mapInArrow(run, "node int, f int, bin int, g double, h double, n bigint")
+
+
+def candidates_of(found: DataFrame, penalty: Penalty) -> DataFrame:
+    """f, bin, default_left, gain of every valid split that the search weighs, but those of missing values against all others (bin -1)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for f, data, gs, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                g, h, n = np.frombuffer(data, np.int64).reshape(3, -1)
+                for left, gains, _, _, named in scans(f, g[None, :-1] / gs, h[None, :-1] / hs, ([g.sum() / gs], [h.sum() / hs]), bool(n[-1]), penalty):
+                    for i in np.flatnonzero(np.isfinite(gains)).tolist():
+                        if named(i) >= 0:
+                            for column, value in zip(out, (f, named(i), left, gains[i]), strict=True):
+                                column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["f", "bin", "default_left", "gain"])
+
+    return found.select("f", "sums", "gs", "hs").mapInArrow(run, "f int, bin int, default_left boolean, gain double")
 
 
 @query(f"WITH {LONG_SQL} SELECT f, bin, round(g, 4) AS g, round(h, 4) AS h, n FROM hist")
 def hist_root(spark, sf_dir):
-    return root_histogram(spark, sf_dir).select("f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
+    return bins_of(grown(spark, sf_dir)).select("f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
 
 
 NODE_SQL = LONG_SQL + ", nhist AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned GROUP BY node, f, bin)"
 
 
-def level_histogram(spark, sf_dir):
-    rows = long_rows(spark, sf_dir)
-    return C.histogram(C.assign_bins(rows, C.distinct_cuts(rows)), "node")
-
-
 @query(f"WITH {NODE_SQL} SELECT node, f, bin, round(g, 4) AS g, round(h, 4) AS h, n FROM nhist")
 def hist_level1(spark, sf_dir):
-    return level_histogram(spark, sf_dir).select("node", "f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
+    return bins_of(grown(spark, sf_dir, level=1)).select("node", "f", "bin", r(F.col("g"), 4).alias("g"), r(F.col("h"), 4).alias("h"), "n")
 
 
 @query(f"WITH {NODE_SQL} SELECT f, bin, round(g, 3) AS g, round(h, 3) AS h, n FROM nhist WHERE node = 2")
 def hist_subtraction(spark, sf_dir):
-    """The right child's histogram as its parent's less its sibling's."""
-    whole, left = root_histogram(spark, sf_dir), level_histogram(spark, sf_dir).where("node = 1").toDF("node", "f1", "b1", "g1", "h1", "n1")
-    got = whole.join(left, (F.col("f") == F.col("f1")) & F.col("bin").eqNullSafe(F.col("b1")), "left")
-    less = lambda a: F.col(a) - F.coalesce(F.col(a + "1"), F.lit(0))
-    return got.select("f", "bin", r(less("g"), 3).alias("g"), r(less("h"), 3).alias("h"), less("n").alias("n")).where("n > 0")
+    """The right child's sums as its parent's less its sibling's."""
+    return bins_of(grown(spark, sf_dir, level=1, rest=True).where("node = 2")).select("f", "bin", r(F.col("g"), 3).alias("g"), r(F.col("h"), 3).alias("h"), "n")
 
 
-def split_query(name, sql_options, **options):
+def split_query(name, sql_options, penalty, side=None):
     def run(spark, sf_dir):
-        return X.candidates(root_histogram(spark, sf_dir), **options).select("f", "bin", "default_left", r(F.col("gain"), 2).alias("gain"))
+        found = candidates_of(grown(spark, sf_dir), penalty)
+        found = found if side is None else found.where(F.col("default_left") == side)
+        return found.select("f", "bin", "default_left", r(F.col("gain"), 2).alias("gain"))
 
     query(f"WITH {LONG_SQL} {X.candidates_sql(**sql_options)}", name)(run)
 
 
-split_query("split_forward", {"direction": "forward"}, direction="forward")
-split_query("split_backward_missing", {"direction": "backward"}, direction="backward")
-split_query("split_l1_l2", {"direction": "both", "lam": 3.0, "alpha": 50.0}, direction="both", lam=3.0, alpha=50.0)
-split_query("split_max_delta_step", {"direction": "both", "max_delta": 2.0}, direction="both", max_delta=2.0)
-split_query("split_min_child_weight", {"direction": "both", "min_child": 8000.0}, direction="both", min_child=8000.0)
-split_query("split_monotone", {"direction": "both", "monotone": {0: -1}}, direction="both", monotone={0: -1})
+split_query("split_forward", {"direction": "forward"}, Penalty(), False)
+split_query("split_backward_missing", {"direction": "backward"}, Penalty(), True)
+split_query("split_l1_l2", {"direction": "both", "lam": 3.0, "alpha": 50.0}, Penalty(lam=3.0, alpha=50.0))
+split_query("split_max_delta_step", {"direction": "both", "max_delta": 2.0}, Penalty(max_delta=2.0))
+split_query("split_min_child_weight", {"direction": "both", "min_child": 8000.0}, Penalty(min_child_weight=8000.0))
+split_query("split_monotone", {"direction": "both", "monotone": {0: -1}}, Penalty(monotone=(-1, 0, 0)))
 
 
 @query(f"WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}) SELECT f, bin, default_left, gain FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1")
 def split_best(spark, sf_dir):
-    rows = X.candidates(root_histogram(spark, sf_dir), direction="both")
-    return X.best(rows.withColumn("gain", r(F.col("gain"), 2))).select("f", "bin", "default_left", "gain")
+    best = G.best_of_nodes(grown(spark, sf_dir)).select("s.*")
+    return best.select("f", "bin", "default_left", r(F.col("gain"), 2).alias("gain"))
 
 
 @query(f"""WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}), best AS (SELECT * FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1),
@@ -360,21 +418,42 @@ def category_sums(spark, sf_dir):
     return base(spark, sf_dir).groupBy((F.col("yc") - 1).cast("int").alias("code")).agg(F.sum(F.col("m") - F.col("y")).alias("g"), F.sum(S.num(1)).alias("h"))
 
 
+def category_candidates(sums: DataFrame, penalty: Penalty, pick: int) -> DataFrame:
+    """code, k, gain by the search's scan number `pick` of a categorical feature. sums: code, g, h, a row for each category of one node."""
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("code")
+        g, h = pdf["g"].to_numpy()[None], pdf["h"].to_numpy()[None]
+        _, gains, _, _, named = list(scans(0, g, h, (g.sum(axis=1), h.sum(axis=1)), False, penalty, True))[pick]
+        sets = [named(i) for i in range(len(gains))]
+        codes = [next(iter(x - (sets[i - 1] if len(x) > 1 else frozenset()))) for i, x in enumerate(sets)]
+        return pd.DataFrame({"code": codes, "k": range(1, len(codes) + 1), "gain": gains})
+
+    return sums.groupBy(F.lit(0).alias("node")).applyInPandas(run, "code int, k bigint, gain double")
+
+
 @query(CAT_SQL + " SELECT code, round(g * g / (h + 1) + (tg - g) * (tg - g) / (th - h + 1) - tg * tg / (th + 1), 3) AS gain FROM cats, t")
 def split_onehot(spark, sf_dir):
-    return X.onehot(category_sums(spark, sf_dir)).select("code", r(F.col("gain"), 3).alias("gain"))
+    return category_candidates(category_sums(spark, sf_dir), Penalty(max_cat_to_onehot=100), 0).select("code", r(F.col("gain"), 3).alias("gain"))
 
 
 @query(CAT_SQL + """, w AS (SELECT *, row_number() OVER (ORDER BY -g / (h + 1), code) AS k FROM cats), s AS (SELECT code, k, sum(g) OVER (ORDER BY k) AS sg, sum(h) OVER (ORDER BY k) AS sh, count(*) OVER () AS n FROM w)
 SELECT code, k, round(sg * sg / (sh + 1) + (tg - sg) * (tg - sg) / (th - sh + 1) - tg * tg / (th + 1), 3) AS gain FROM s, t WHERE k < n""")
 def split_partition(spark, sf_dir):
-    return X.partition(category_sums(spark, sf_dir)).select("code", F.col("k").cast("bigint").alias("k"), r(F.col("gain"), 3).alias("gain"))
+    return category_candidates(category_sums(spark, sf_dir), Penalty(), 0).select("code", "k", r(F.col("gain"), 3).alias("gain"))
 
 
 @query(f"WITH {NODE_SQL} SELECT node, round(-0.3 * sum(g) / (sum(h) + 1), 6) AS value FROM nhist WHERE f = 0 GROUP BY node")
 def leaf_values(spark, sf_dir):
-    got = level_histogram(spark, sf_dir).where("f = 0").groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return got.select("node", r(0.3 * S.weight(F.col("g"), F.col("h"))).alias("value"))
+    """What a leaf gets of its sums, by the trainer's weight."""
+    penalty = Penalty()
+    rows = grown(spark, sf_dir, level=1).where("f = 0").select("node", F.get("total", F.lit(0)) / F.col("gs"), F.get("total", F.lit(1)) / F.col("hs")).toDF("node", "g", "h")
+
+    @F.pandas_udf("double")
+    def value(g: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(0.3 * penalty.weight(g.to_numpy(), h.to_numpy()))
+
+    return rows.select("node", r(value("g", "h")).alias("value"))
 
 
 @query(f"WITH {BASE_SQL}, s AS (SELECT yc, sum((m - y) * m) + 0.05 AS g, sum(m * m) + 0.5 AS h FROM base GROUP BY yc) SELECT yc, round(CASE WHEN 0.1 - g / h >= 0 THEN greatest(-g / h, -0.1) ELSE least(-g / h, -0.1) END, 6) AS delta FROM s")
@@ -543,6 +622,40 @@ training("train_softprob", {"objective": "multi:softprob", "num_class": 3, "max_
 training("train_sampled", {"subsample": 0.5, "sampling_method": "gradient_based", "colsample_bynode": 0.7, "max_depth": 3}, 2)
 
 
+# ---- whole trees of depth 2, which SQL can unroll
+
+DEPTH2_SQL = f"""WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}), best AS (SELECT * FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1),
+side AS (SELECT row_id, CASE WHEN (CASE WHEN b.bin IS NULL THEN s.default_left ELSE b.bin <= s.bin END) THEN 1 ELSE 2 END AS part FROM binned b JOIN best s ON s.f = b.f),
+h2 AS (SELECT part, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned JOIN side USING (row_id) GROUP BY ALL),
+t2 AS (SELECT part, sum(g) AS tg, sum(h) AS th FROM h2 WHERE f = 0 GROUP BY part),
+p2 AS (SELECT part, f, bin, sum(g) OVER w AS lg, sum(h) OVER w AS lh, max(bin) OVER (PARTITION BY part, f) AS last FROM h2 WHERE bin IS NOT NULL WINDOW w AS (PARTITION BY part, f ORDER BY bin)),
+c2 AS (SELECT p.part, p.f, p.bin, d.dl, p.lg + CASE WHEN d.dl THEN m.g ELSE 0 END AS lg, p.lh + CASE WHEN d.dl THEN m.h ELSE 0 END AS lh, t.tg, t.th
+  FROM p2 p JOIN t2 t USING (part) LEFT JOIN (SELECT * FROM h2 WHERE bin IS NULL) m ON m.part = p.part AND m.f = p.f, (VALUES (TRUE), (FALSE)) d(dl) WHERE NOT d.dl OR (m.n > 0 AND p.bin < p.last)),
+g2 AS (SELECT *, round(lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1), 4) AS gain FROM c2 WHERE lh >= 1 AND th - lh >= 1),
+b2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY gain DESC, f, dl, bin) AS k FROM g2) WHERE k = 1),
+ends AS (SELECT row_id, s.part, CASE WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes, b.g, b.h FROM side s JOIN b2 x USING (part) JOIN binned b USING (row_id) WHERE b.f = x.f),
+leaf AS (SELECT part, goes, -0.3 * sum(g) / (sum(h) + 1) AS v, count(*) AS n FROM ends GROUP BY ALL) SELECT round(b + v, 4) AS margin, n FROM leaf, mean"""
+
+
+def depth2_query(name, params):
+    def run(spark, sf_dir):
+        from .train import train
+
+        li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")))
+        frame = from_dense(li, list(FEATURES), F.monotonically_increasing_id()).with_labels(F.col("l_extendedprice") / 1000)
+        model = train({"max_depth": 2, "disable_default_eval_metric": True, **params}, frame, 1)
+        return model.predict(frame, "margin").groupBy(r(F.get("prediction", F.lit(0)), 4).alias("margin")).agg(F.count("*").alias("n"))
+
+    query(DEPTH2_SQL, name)(run)
+
+
+depth2_query("tree_hist", {})
+depth2_query("tree_approx", {"tree_method": "approx"})
+depth2_query("tree_exact", {"tree_method": "exact"})
+depth2_query("tree_lossguide", {"grow_policy": "lossguide", "max_leaves": 4})
+depth2_query("tree_dart", {"booster": "dart", "rate_drop": 0.5})
+
+
 def flagship(spark, sf_dir):
     from .train import train
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,76 @@ TREES = (
 )
 
 
+def choose_dropped(trees: list, p: dict, rng: random.Random) -> list:
+    """The trees that a dart round, or a prediction as in training, leaves out: one draw a tree."""
+    if not trees or rng.random() < p.get("skip_drop", 0.0):
+        return []
+    rate, total = p.get("rate_drop", 0.0), sum(s.weight for s in trees)
+    share = lambda s: rate * len(trees) * s.weight / total if p.get("sample_type") == "weighted" and total else rate
+    out = [s for s in trees if rng.random() < share(s)]
+    return out or ([rng.choice(trees)] if p.get("one_drop") else [])
+
+
+@dataclass
+class Stump:
+    """A tree of an ensemble with its output, its weight and the round that made it."""
+
+    tree: Tree
+    group: int
+    weight: float = 1.0
+    round: int = 0
+
+
+def wide(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, features) of a column of arrays, NaN where missing."""
+    flat = column.flatten().cast(pa.float64())
+    return flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
+    return wide(batch.column(column), width)
+
+
+def arrays(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_bins: bool = False, column: str = "margin") -> DataFrame:
+    """df with weighted leaf values added to its margin array; every other column passes through."""
+    if not stumps:
+        return df
+    from ..operators.grow import cells_of, unpack_cells
+
+    tables = [s.tree.values() * s.weight for s in stumps]
+
+    # Only the margin and what is walked go to Python; the other columns stay where they are.
+    @F.arrow_udf("array<double>")
+    def added(margin: pa.Array, cells: pa.Array) -> pa.Array:
+        m = np.array(margin.flatten().to_numpy(zero_copy_only=False)).reshape(len(margin), outputs)
+        if len(margin):
+            x = unpack_cells(cells_of(cells, width)) if by_bins else wide(cells, width)
+            for s, table in zip(stumps, tables, strict=True):
+                values = table[s.tree.leaves_by_bin(x) if by_bins else s.tree.leaves(x)]
+                if values.shape[1] == outputs and outputs > 1:
+                    m += values
+                else:
+                    m[:, s.group] += values[:, 0]
+        return arrays(m)
+
+    return df.withColumn(column, added(F.col(column), F.col("bins" if by_bins else "features")))
+
+
+def choose_dropped(trees: list, p: dict, rng: random.Random) -> list:
+    """The trees that a dart round, or a prediction as in training, leaves out: one draw a tree."""
+    if not trees or rng.random() < p.get("skip_drop", 0.0):
+        return []
+    rate, total = p.get("rate_drop", 0.0), sum(s.weight for s in trees)
+    share = lambda s: rate * len(trees) * s.weight / total if p.get("sample_type") == "weighted" and total else rate
+    out = [s for s in trees if rng.random() < share(s)]
+    return out or ([rng.choice(trees)] if p.get("one_drop") else [])
+
+
 @dataclass
 class Stump:
     """A tree of an ensemble with its output, its weight and the round that made it."""
@@ -33,9 +104,19 @@ class Stump:
     round: int = 0
 
 
+def wide(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, features) of a column of arrays, NaN where missing."""
+    flat = column.flatten().cast(pa.float64())
+    return flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
 def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
-    flat = batch.column(column).flatten().cast(pa.float64())
-    return np.array(flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)).reshape(batch.num_rows, width)
+    return wide(batch.column(column), width)
+
+
+def arrays(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
 def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_bins: bool = False, column: str = "margin") -> DataFrame:
@@ -45,21 +126,22 @@ def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_
     from ..operators.grow import unpack_bins
 
     at = df.columns.index(column)
+    tables = [s.tree.values() * s.weight for s in stumps]
 
     def run(batches):
         for batch in batches:
             m = np.array(batch.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, outputs)
             if batch.num_rows:
                 x = unpack_bins(batch, width) if by_bins else matrix(batch, "features", width)
-                for s in stumps:
+                for s, table in zip(stumps, tables, strict=True):
                     leaf = s.tree.leaves_by_bin(x) if by_bins else s.tree.leaves(x)
-                    values = s.tree.values()[leaf] * s.weight
+                    values = table[leaf]
                     if values.shape[1] == outputs and outputs > 1:
                         m += values
                     else:
                         m[:, s.group] += values[:, 0]
             columns = list(batch.columns)
-            columns[at] = pa.array(m.tolist(), pa.list_(pa.float64()))
+            columns[at] = arrays(m)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
@@ -158,9 +240,9 @@ class Model:
         if kind in ("value", "margin"):
             stumps = None
             if training and self.booster == "dart":
-                import random
-
-                stumps = [s for s in self.in_range(iterations) if random.Random(seed * 1_000_003 + id(s) % 1).random() >= self.objective_params.get("rate_drop", 0.0)]
+                stumps = self.in_range(iterations)
+                dropped = {id(s) for s in choose_dropped(stumps, self.objective_params, random.Random(seed))}
+                stumps = [s for s in stumps if id(s) not in dropped]
             df = self.margins(frame, iterations, stumps)
             return df.withColumn("prediction", self.transform(F.col("margin")) if kind == "value" else F.col("margin")).drop("margin")
         if self.booster == "gblinear":

@@ -11,18 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import metrics, objectives
 from ..functions.objectives import InvalidLabel, Objective
 from ..functions.scalar import num
 from ..operators import linear
 from ..operators.cuts import bin_array, feature_cuts
-from ..operators.grow import Grower, fixed_scale, pack_bins
+from ..operators.grow import Grower, blocks, cell_type, fixed_scale, pack_bins
 from ..operators.split import Penalty
 from ..operators.tree import Tree
 from ..sources.frame import Frame
-from .model import Model, Stump, add_margin, matrix
+from .model import Model, Stump, add_margin, choose_dropped, matrix, wide
 from .params import Params
 
 log = logging.getLogger("copse")
@@ -36,18 +35,24 @@ def uniform(seed: int, *keys) -> Column:
 
 
 def add_bins(df: DataFrame, cuts: list[np.ndarray], categorical) -> DataFrame:
-    """df with `bins`: 16-bit cells of each row's features."""
-    width = len(cuts)
-    schema = T.StructType([*df.schema.fields, T.StructField("bins", T.BinaryType())])
-    cats = frozenset(categorical)
+    """df with `bins`: cells of each row's features."""
+    width, cats, kind = len(cuts), frozenset(categorical), cell_type(max(map(len, cuts), default=0))
 
-    def run(batches):
-        for batch in batches:
-            x = matrix(batch, "features", width)
-            bins = np.stack([bin_array(x[:, f], cuts[f], f in cats) for f in range(width)], axis=1) if width else np.zeros((len(x), 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pack_bins(bins), pa.binary())], names=[*batch.schema.names, "bins"])
+    @F.arrow_udf("binary")
+    def binned(features: pa.Array) -> pa.Array:
+        x = wide(features, width)
+        bins = np.stack([bin_array(x[:, f], cuts[f], f in cats) for f in range(width)], axis=1) if width else np.zeros((len(x), 0))
+        return pack_bins(bins, kind)
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn("bins", binned("features"))
+
+
+#: What training reads of its rows.
+COLUMNS = ("row_id", "features", "label", "weight", "base_margin", "label_lower", "label_upper", "qid")
+
+
+def slim(frame: Frame) -> Frame:
+    return replace(frame, df=frame.df.select(*[c for c in COLUMNS if c in frame.df.columns]))
 
 
 def midpoints(df: DataFrame, width: int, most: int = 65_000) -> list[np.ndarray]:
@@ -68,10 +73,12 @@ class Trainer:
         self.rng = random.Random(params["seed"])
         if "label" not in frame.df.columns:
             raise InvalidLabel("labels are missing")
-        self.targets = frame.df.agg(F.max(F.size("label"))).first()[0] or 1
         self.obj = objectives.create(params["objective"], **{k: v for k, v in params.items() if k not in ("objective",)})
+        bad, total, self.rows, self.targets = frame.df.agg(F.max(self.bad_label()), F.sum("weight"), F.count("*"), F.max(F.size("label"))).first()
+        self.targets, self.weight = self.targets or 1, total or 0.0
         self.outputs = self.obj.outputs if self.obj.outputs > 1 else self.targets
-        self.check_labels()
+        if bad:
+            raise InvalidLabel(f"labels are not valid for {self.obj.name}")
         self.categorical = [f for f in range(frame.width) if frame.is_categorical(f)]
         self.alphas = self.obj.params.get("alpha", [])
         if base:
@@ -88,28 +95,25 @@ class Trainer:
         self.state = self.model.margins(frame, stumps=self.model.stumps) if params["booster"] != "gblinear" else self.model.margins(frame)
         self.cuts = None
         if params["booster"] != "gblinear" and params["process_type"] == "default" and params.method() != "approx":
-            self.cuts = midpoints(frame.df, frame.width) if params.method() == "exact" else feature_cuts(frame.df, frame.width, params["max_bin"], self.categorical)
-            self.state = add_bins(self.state, self.cuts, self.categorical)
-        self.state = self.state.persist()
-        self.columns = [c for c in self.state.columns]
+            self.cuts = midpoints(frame.df, frame.width) if params.method() == "exact" else feature_cuts(frame.df, frame.width, params["max_bin"], self.categorical, n=self.rows)
+            self.state = add_bins(self.state, self.cuts, self.categorical).drop("features")  # from here on rows are walked by their bins
+        self.state, self.stale = self.state.persist(), []
 
     def objective_params(self) -> dict:
-        keys = ("huber_slope", "quantile_alpha", "expectile_alpha", "tweedie_variance_power", "aft_loss_distribution", "aft_loss_distribution_scale", "num_class", "rate_drop")
+        keys = ("huber_slope", "quantile_alpha", "expectile_alpha", "tweedie_variance_power", "aft_loss_distribution", "aft_loss_distribution_scale", "num_class", "rate_drop", "skip_drop", "one_drop", "sample_type")
         return {k: list(self.params[k]) if isinstance(self.params[k], tuple) else self.params[k] for k in keys if self.params[k] not in ((), None)}
 
-    def check_labels(self) -> None:
+    def bad_label(self) -> Column:
         df, o = self.frame.df, self.obj
-        if o.name == "survival:aft":
-            if "label_lower" not in df.columns or df.where("label_lower < 0").limit(1).count():
-                raise InvalidLabel("survival:aft needs label bounds that are not negative")
-            return
-        bad = F.exists("label", lambda y: y.isNull() | F.isnan(y) | (~o.label_ok(y) if o.label_ok else F.lit(False)))
-        if o.name.startswith("multi:"):
-            bad = F.exists("label", lambda y: y.isNull() | (y != F.floor(y)) | (y < 0) | (y >= o.outputs))
-        if df.where(bad).limit(1).count():
-            raise InvalidLabel(f"labels are not valid for {o.name}")
         if o.name.startswith("rank:") and "qid" not in df.columns:
             raise InvalidLabel("ranking needs query ids")
+        if o.name == "survival:aft":
+            if "label_lower" not in df.columns:
+                raise InvalidLabel("survival:aft needs label bounds")
+            return F.col("label_lower") < 0
+        if o.name.startswith("multi:"):
+            return F.exists("label", lambda y: y.isNull() | F.isnan(y) | (y != F.floor(y)) | (y < 0) | (y >= o.outputs))
+        return F.exists("label", lambda y: y.isNull() | F.isnan(y) | (~o.label_ok(y) if o.label_ok else F.lit(False)))
 
     # ---- intercepts
 
@@ -232,10 +236,11 @@ class Trainer:
     def quantised(self, df: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
         flat = lambda c: F.aggregate(c, num(0), lambda a, x: a + F.abs(x))
         sums = df.agg(F.sum(flat("g")), F.sum(flat("h"))).first()
+        for old in self.stale:  # the rows' new state has been read by now
+            old.unpersist()
+        self.stale = []
         scales = tuple(fixed_scale(s or 0.0) for s in sums)
-        cast = lambda c, s: F.transform(c, lambda x: (x * s).cast("bigint"))
-        q = df.select("bins", cast("g", scales[0]).alias("g"), cast("h", scales[1]).alias("h"))
-        return q.persist(), scales
+        return blocks(df, self.frame.width, scales).persist(), scales
 
     # ---- rounds
 
@@ -273,13 +278,15 @@ class Trainer:
             return self.linear_round()
         if p["process_type"] == "update":
             return self.update_round(number)
-        dropped = self.choose_dropped() if p["booster"] == "dart" else []
-        state = add_margin(self.state, [replace(s, weight=-s.weight) for s in dropped], self.frame.width, self.outputs, True) if dropped else self.state
+        dropped = choose_dropped(self.model.stumps, p, self.rng) if p["booster"] == "dart" else []
+        state = add_margin(self.state, [replace(s, weight=-s.weight) for s in dropped], self.frame.width, self.outputs, self.by_bins(dropped)) if dropped else self.state
         grads = self.gradients(state)
         if p.method() == "approx":
-            hess = F.aggregate("h", num(0), lambda a, x: a + x) * (F.col("weight") if not self.obj.constant_hessian else num(1))
             if self.cuts is None or not self.obj.constant_hessian:
-                self.cuts = feature_cuts(grads.withColumn("__w", hess), self.frame.width, p["max_bin"], self.categorical, "__w")
+                hess = F.aggregate("h", num(0), lambda a, x: a + x) * F.col("weight")
+                drawn = self.sampled(grads, number * 1009).withColumn("__w", hess)  # rows that are not drawn weigh nothing
+                self.cuts = feature_cuts(drawn, self.frame.width, p["max_bin"], self.categorical, "__w", n=self.rows)
+                self.stale.append(self.state)
                 self.state = add_bins(self.state.drop("bins"), self.cuts, self.categorical)
                 grads = add_bins(grads.drop("bins"), self.cuts, self.categorical)
         grads = grads.persist()
@@ -306,26 +313,17 @@ class Trainer:
         self.model.stumps += made
         self.advance(changed, number)
 
+    def by_bins(self, trees: list[Stump]) -> bool:
+        """Whether the rows' bins are those that the trees split at: approx cuts anew, and then values count."""
+        return self.params.method() != "approx" or self.obj.constant_hessian
+
     def advance(self, changed: list[Stump], number: int) -> None:
-        """Add trees to the margins of the training rows; the old state is let go."""
-        new = add_margin(self.state, changed, self.frame.width, self.outputs, True)
+        """Add trees to the margins of the training rows; the old state is let go once the new one has been read."""
+        new = add_margin(self.state, changed, self.frame.width, self.outputs, self.by_bins(changed))
         if number % CUT_EVERY == CUT_EVERY - 1 and new.sparkSession.sparkContext.getCheckpointDir():
             new = new.checkpoint()
-        new = new.persist()
-        new.count()
-        self.state.unpersist()
-        self.state = new
-
-    def choose_dropped(self) -> list[Stump]:
-        p, trees = self.params, self.model.stumps
-        if not trees or self.rng.random() < p["skip_drop"]:
-            return []
-        if p["sample_type"] == "weighted":
-            total = sum(s.weight for s in trees)
-            out = [s for s in trees if self.rng.random() < p["rate_drop"] * len(trees) * s.weight / total]
-        else:
-            out = [s for s in trees if self.rng.random() < p["rate_drop"]]
-        return out or ([self.rng.choice(trees)] if p["one_drop"] else [])
+        self.stale.append(self.state)
+        self.state = new.persist()
 
     def rescale(self, dropped: list[Stump], made: list[Stump]) -> list[Stump]:
         """New weights after dropout; what the training margins change by."""
@@ -347,8 +345,7 @@ class Trainer:
     def linear_round(self) -> None:
         p = self.params
         a, b = linear.moments(self.gradients(self.state).select("features", "g", "h"), self.frame.width, self.outputs)
-        total = self.frame.df.agg(F.sum("weight")).first()[0] or 0.0
-        largest = linear.descend(self.model.linear, a, b, eta=p["eta"], lam=p["lambda"], alpha=p["alpha"], total=total, selector=p["feature_selector"], top_k=p["top_k"], rng=self.rng)
+        largest = linear.descend(self.model.linear, a, b, eta=p["eta"], lam=p["lambda"], alpha=p["alpha"], total=self.weight, selector=p["feature_selector"], top_k=p["top_k"], rng=self.rng)
         self.converged = p["tolerance"] > 0 and largest <= p["tolerance"]
         start = self.model.start(self.frame.df)
         self.state.unpersist()
@@ -371,8 +368,8 @@ class Trainer:
                 for s in took:
                     self.refresh(s, grads)
         self.model.stumps += took
-        new = add_margin(self.state, took, self.frame.width, self.outputs).persist()
-        self.state = new
+        self.stale.append(self.state)
+        self.state = add_margin(self.state, took, self.frame.width, self.outputs).persist()
 
     def refresh(self, s: Stump, grads: DataFrame) -> None:
         """A tree's statistics (and leaf values) from the current gradients: sums by leaf, added up towards the root."""
@@ -445,6 +442,8 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
         log.warning("parameter %s has no effect here", name)
     if params["process_type"] == "update" and base is None:
         raise ValueError("process_type=update needs a base model")
+    own = slim(frame)
+    frame, evals = own, [(n, own if f is frame else slim(f)) for n, f in evals]
     trainer = Trainer(params, frame, base)
     model = trainer.model
     names = params["eval_metric"]
@@ -480,5 +479,6 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
                     break
         if getattr(trainer, "converged", False):
             break
-    trainer.state.unpersist()
+    for state in (trainer.state, *trainer.stale, *(held for _, held, f in sets if held is not None)):
+        state.unpersist()
     return model
