@@ -262,12 +262,12 @@ metric_query("intercept_newton", lambda df: df.agg((-F.sum(objectives.squared_lo
 metric_query("intercept_quantile", lambda df: df.agg(F.percentile("y", 0.7).alias("value")), "SELECT round(quantile_cont(y, 0.7), 6) AS value FROM base")
 
 FEATURES = ("l_quantity", "l_discount", "l_tax")
-LONG_SQL = """rows AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity, l_discount, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_tax END AS l_tax, l_extendedprice / 1000 AS y FROM lineitem),
+LONG_SQL = """rows AS MATERIALIZED (SELECT l_orderkey * 10 + l_linenumber AS row_id, row_number() OVER () AS rid, l_quantity, l_discount, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_tax END AS l_tax, l_extendedprice / 1000 AS y FROM lineitem),
 mean AS (SELECT avg(y) AS b FROM rows),
-long AS (SELECT row_id, f, CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS v, b - y AS g, 1.0::DOUBLE AS h, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS node FROM rows, mean, (VALUES (0), (1), (2)) fs(f)),
+long AS (SELECT row_id, rid, f, CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END AS v, b - y AS g, 1.0::DOUBLE AS h, CASE WHEN l_quantity < 25 THEN 1 ELSE 2 END AS node FROM rows, mean, (VALUES (0), (1), (2)) fs(f)),
 vals AS (SELECT DISTINCT f, v FROM long WHERE v IS NOT NULL), rk AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS r, count(*) OVER (PARTITION BY f) AS n FROM vals),
 cuts AS (SELECT f, r - 2 AS bin, v AS upper FROM rk WHERE r > 1 UNION ALL SELECT f, n - 1, v + (abs(v) + 1e-5) FROM rk WHERE r = n),
-binned AS (SELECT l.row_id, l.f, l.v, l.g, l.h, l.node, CASE WHEN l.v IS NULL THEN NULL ELSE least(k.r - 1, k.n - 1) END AS bin FROM long l LEFT JOIN rk k ON k.f = l.f AND k.v = l.v),
+binned AS (SELECT l.row_id, l.rid, l.f, l.v, l.g, l.h, l.node, CASE WHEN l.v IS NULL THEN NULL ELSE least(k.r - 1, k.n - 1) END AS bin FROM long l LEFT JOIN rk k ON k.f = l.f AND k.v = l.v),
 hist AS (SELECT f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned GROUP BY f, bin)"""
 
 
@@ -624,16 +624,17 @@ training("train_sampled", {"subsample": 0.5, "sampling_method": "gradient_based"
 
 # ---- whole trees of depth 2, which SQL can unroll
 
+# Rows are told apart by rid: order and line number repeat.
 DEPTH2_SQL = f"""WITH {LONG_SQL}, c AS ({X.candidates_sql('both')}), best AS (SELECT * FROM c ORDER BY gain DESC, f, default_left, bin LIMIT 1),
-side AS (SELECT row_id, CASE WHEN (CASE WHEN b.bin IS NULL THEN s.default_left ELSE b.bin <= s.bin END) THEN 1 ELSE 2 END AS part FROM binned b JOIN best s ON s.f = b.f),
-h2 AS (SELECT part, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned JOIN side USING (row_id) GROUP BY ALL),
+side AS (SELECT rid, CASE WHEN (CASE WHEN b.bin IS NULL THEN s.default_left ELSE b.bin <= s.bin END) THEN 1 ELSE 2 END AS part FROM binned b JOIN best s ON s.f = b.f),
+h2 AS (SELECT part, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM binned JOIN side USING (rid) GROUP BY ALL),
 t2 AS (SELECT part, sum(g) AS tg, sum(h) AS th FROM h2 WHERE f = 0 GROUP BY part),
 p2 AS (SELECT part, f, bin, sum(g) OVER w AS lg, sum(h) OVER w AS lh, max(bin) OVER (PARTITION BY part, f) AS last FROM h2 WHERE bin IS NOT NULL WINDOW w AS (PARTITION BY part, f ORDER BY bin)),
 c2 AS (SELECT p.part, p.f, p.bin, d.dl, p.lg + CASE WHEN d.dl THEN m.g ELSE 0 END AS lg, p.lh + CASE WHEN d.dl THEN m.h ELSE 0 END AS lh, t.tg, t.th
   FROM p2 p JOIN t2 t USING (part) LEFT JOIN (SELECT * FROM h2 WHERE bin IS NULL) m ON m.part = p.part AND m.f = p.f, (VALUES (TRUE), (FALSE)) d(dl) WHERE NOT d.dl OR (m.n > 0 AND p.bin < p.last)),
 g2 AS (SELECT *, round(lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1), 4) AS gain FROM c2 WHERE lh >= 1 AND th - lh >= 1),
 b2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY gain DESC, f, dl, bin) AS k FROM g2) WHERE k = 1),
-ends AS (SELECT row_id, s.part, CASE WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes, b.g, b.h FROM side s JOIN b2 x USING (part) JOIN binned b USING (row_id) WHERE b.f = x.f),
+ends AS (SELECT rid, s.part, CASE WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes, b.g, b.h FROM side s JOIN b2 x USING (part) JOIN binned b USING (rid) WHERE b.f = x.f),
 leaf AS (SELECT part, goes, -0.3 * sum(g) / (sum(h) + 1) AS v, count(*) AS n FROM ends GROUP BY ALL) SELECT round(b + v, 4) AS margin, n FROM leaf, mean"""
 
 
