@@ -25,7 +25,7 @@ empty table gives no rows; a very long text costs its words times the band's wid
 from __future__ import annotations
 
 import math
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,11 @@ class Hasher:
         return start, mix64((total[end] - total[start]) * self.down[start])
 
 
+@cache
+def hasher() -> Hasher:
+    return Hasher()
+
+
 def chunks(data: bytes):
     """Slices of at most about CHUNK bytes that end at white space where there is any."""
     at = 0
@@ -213,7 +218,7 @@ class Text:
     SPAN = 1 << 13
 
     def __init__(self, text: bytes):
-        self.words = text.split()
+        self.text, self.words = text, text.split()
 
     @cached_property
     def labelled(self) -> frozenset[int]:
@@ -226,6 +231,12 @@ class Text:
             out.add(hash((w, k)))
         return frozenset(out)
 
+    @cached_property
+    def labels(self) -> np.ndarray:
+        """Hashes of the labelled words."""
+        own = [hasher().words(c)[1] for c in chunks(self.text)]
+        return labelled(np.concatenate([np.zeros(0, np.uint64), *own]), np.array([len(self.words)])).view(np.int64)
+
     @cached_property
     def masks(self) -> list[dict[bytes, int]]:
         """By block of SPAN places: the places of each word as bits."""
@@ -280,6 +291,39 @@ class Text:
         return steps + width - row.bit_count()
 
 
+#: Items counted at a time, and columns of a table of which sets hold which.
+ITEMS, COLUMNS = 1 << 20, 1 << 12
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each left set shares with each right one; items are counted in turns of about ITEMS."""
+    both, n = left + right, len(left)
+    out = np.zeros((n, len(right)), np.float32)
+    turns = -(-sum(map(len, both)) // ITEMS)
+    for turn in range(turns):
+        own = [x if turns == 1 else x[x % turns == turn] for x in both]
+        owner = np.repeat(np.arange(len(both)), [len(x) for x in own])
+        values, column = np.unique(np.concatenate(own), return_inverse=True)
+        held = np.zeros((2, len(values)), bool)
+        held[(owner >= n).astype(int), column] = True
+        meets = held.all(axis=0)
+        keep = meets[column]
+        owner, column, width = owner[keep], (np.cumsum(meets) - 1)[column[keep]], int(meets.sum())
+        for at in range(0, width, COLUMNS):
+            some = (column >= at) & (column < at + COLUMNS)
+            cells = np.zeros((len(both), min(COLUMNS, width - at)), np.float32)
+            cells[owner[some], column[some] - at] = 1
+            out += cells[:n] @ cells[n:].T
+    return out
+
+
+def candidates(left: list[Text], right: list[Text]) -> np.ndarray:
+    """Whether a left and a right text share as many labelled words as near texts do."""
+    size = [np.array([len(t.words) for t in x]) for x in (left, right)]
+    need = np.ceil(SIMILARITY * np.maximum.outer(*size) - 1e-9)
+    return shared([t.labels for t in left], [t.labels for t in right]) >= np.maximum(need, 1)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b: a's leader) that align. texts: th, text."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
@@ -420,27 +464,93 @@ def rare_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return held.mapInArrow(step, "th binary, label binary, keys array<bigint>")
 
 
+def sides(group):
+    """The rows of a group's two blocks, and which pairs of them have different labels and no key before the group's in common.
+
+    rows: key, p, q, blk, label, th, before. A pair with a key before this one is compared there.
+    """
+    p, q = group[0][1:3]
+    left = [row for row in group if row[3] == p]
+    right = left if p == q else [row for row in group if row[3] == q]
+    number = {label: i for i, label in enumerate({row[4] for row in group})}
+    one, other = (np.array([number[row[4]] for row in side], np.int64) for side in (left, right))
+    meet = one[:, None] != other[None, :]
+    if p == q:
+        meet = np.tril(meet, -1)
+    if meet.any():
+        meet &= shared([row[6] for row in left], [row[6] for row in right]) == 0
+    return left, right, meet
+
+
+def rows_of(batch):
+    """The batch's rows, its lists of numbers as arrays."""
+    columns = []
+    for column in batch.columns:
+        if pa.types.is_list(column.type):
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            columns.append([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+        else:
+            columns.append(column.to_pylist())
+    return zip(*columns, strict=True)
+
+
+def groups_of(batches, change=tuple):
+    """Rows that agree in the first three columns, of batches sorted by these."""
+    group = []
+    for batch in batches:
+        for row in rows_of(batch):
+            if group and group[0][:3] != row[:3]:
+                yield group
+                group = []
+            group.append(change(row))
+    if group:
+        yield group
+
+
 def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """Links a, b that join members of different labels that share a bucket. rows: key, th, label, n (the bucket's members).
 
     A bucket is cut into blocks of BLOCK members; a group of rows is two of its blocks, so a task holds
     2 * BLOCK texts and compares them in memory, but for those that links have joined already. A pair
-    that meets in several buckets is compared in the first common one of its keys only. keyed: t2, keys.
+    that meets in several buckets is compared in the first common one of its keys only; members that have
+    no pair to compare in a group are told by the keys alone, before texts are sent. keyed: t2, keys.
     """
-    wanted = common.materialise(rows.select(F.col("th").alias("t3")).distinct(), "wanted")
-    held = common.join_small(texts, wanted, F.col("th") == F.col("t3")).join(keyed, F.col("th") == F.col("t2")).select("th", "text", "keys")
-    held = common.materialise(held, "held")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("th"), blocks).cast("int")
     rows = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", F.col("th").alias("t"))
-    rows = rows.join(held, F.col("t") == F.col("th"))
+    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", "th")
+    before = F.slice("keys", F.lit(1), F.array_position("keys", F.col("key")).cast("int") - 1)
+    rows = rows.join(keyed, F.col("th") == F.col("t2")).select("key", "p", "q", "blk", "label", "th", before.alias("before"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").select("key", "p", "q", "blk", "label", "th", "keys", "text")
-    schema = common.arrow_schema("a binary, b binary")
+    ddl = "key bigint, p int, q int, blk int, label binary, th binary, before array<bigint>"
+    kept_schema, schema = common.arrow_schema(ddl), common.arrow_schema("a binary, b binary")
+
+    def dealt(x):
+        return x.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def meeting(batches):
+        held = []
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kept_schema, strict=True)], schema=kept_schema)
+
+        for group in groups_of(batches):
+            left, right, meet = sides(group)
+            held += [left[i] for i in np.flatnonzero(meet.any(axis=1) | (meet.any(axis=0) if right is left else False))]
+            if right is not left:
+                held += [right[j] for j in np.flatnonzero(meet.any(axis=0))]
+            if len(held) >= BLOCK:
+                yield emit()
+                held = []
+        if held:
+            yield emit()
+
+    kept = common.materialise(dealt(rows).mapInArrow(meeting, ddl), "meeting")
+    wanted = common.materialise(kept.select(F.col("th").alias("t3")).distinct(), "wanted")
+    held = common.join_small(texts, wanted, F.col("th") == F.col("t3")).select("t3", F.col("text").cast("binary").alias("text"))
+    kept = kept.join(common.materialise(held, "held"), F.col("th") == F.col("t3")).select("key", "p", "q", "blk", "label", "th", "before", "text")
 
     def compare(group):
-        key, p, q = group[0][:3]
         a, b, joined = [], [], {}
 
         def root(label):
@@ -448,42 +558,37 @@ def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
                 label = joined[label]
             return label
 
-        for i, one in enumerate(group):
-            mine = root(one[4])
-            keys = set(one[6])
-            for other in group[:i]:
-                if p != q and one[3] == other[3] or one[5] == other[5]:
-                    continue
-                theirs = root(other[4])
-                if mine != theirs and next((k for k in other[6] if k in keys), key) == key and one[7].near_to(other[7]):
-                    a.append(one[5])
-                    b.append(other[5])
-                    joined[mine] = mine = theirs
+        left, right, meet = sides(group)
+        here, there = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+        if not len(here):
+            return a, b
+        meet[np.ix_(here, there)] &= candidates([left[i][7] for i in here], [right[j][7] for j in there])
+        for i, j in np.argwhere(meet):
+            one, other = left[i], right[j]
+            mine, theirs = root(one[4]), root(other[4])
+            if mine != theirs and one[7].near_to(other[7]):
+                a.append(one[5])
+                b.append(other[5])
+                joined[mine] = theirs
         return a, b
 
     def run(batches):
-        group, cache, size = [], {}, 0
-        for batch in batches:
-            a, b = [], []
-            for *row, text in zip(*(batch.column(i).to_pylist() for i in range(7)), common.utf8(batch, "text"), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    x, y = compare(group)
-                    a += x
-                    b += y
-                    group = []
-                if row[5] not in cache:
-                    if size >= CACHE:
-                        cache.clear()
-                        size = 0
-                    cache[row[5]] = Text(text)
-                    size += len(text)
-                group.append([*row, cache[row[5]]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
-        if group:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
-
-    return rows.mapInArrow(run, "a binary, b binary")
+        cache, size = {}, 0
+
+        def change(row):
+            nonlocal size
+            if row[5] not in cache:
+                if size >= CACHE:
+                    cache.clear()
+                    size = 0
+                cache[row[5]] = Text(row[7])
+                size += len(row[7])
+            return *row[:7], cache[row[5]]
+
+        for group in groups_of(batches, change):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in compare(group)], schema=schema)
+
+    return dealt(kept).mapInArrow(run, "a binary, b binary")
 
 
 def hashed(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,23 @@ def test_alignment(words, edits, span):
     assert a.near_to(b) == near(" ".join(words), " ".join(other))
 
 
+def test_shared_items_are_those_of_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-900, 900, rng.integers(0, 300))) for _ in range(23)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[9:]] for x in sets[:9]]
+    assert (near_dup.shared(sets[:9], sets[9:]) == want).all()
+    monkeypatch.setattr(near_dup, "ITEMS", 500)
+    monkeypatch.setattr(near_dup, "COLUMNS", 7)
+    assert (near_dup.shared(sets[:9], sets[9:]) == want).all()
+    assert (near_dup.shared(sets[:2], [np.zeros(0, np.int64)]) == 0).all()
+
+
+def test_labels_are_the_labelled_words():
+    a, b = near_dup.Text(b"a b a c\ta\x0bd"), near_dup.Text(b"a a x b\r\na a d")
+    assert len(set(a.labels.tolist())) == len(a.labelled) == 6
+    assert near_dup.shared([a.labels], [b.labels])[0, 0] == len(a.labelled & b.labelled) == 5
+
+
 def test_hashes_follow_words():
     h = near_dup.Hasher()
     one = h.words(b"the cat\n sat  on\tthe mat")[1]
