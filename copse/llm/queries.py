@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lines, media, mixing, near_dup, packing, pii, quality, repeats, url_filter
+from . import contamination, fingerprint, lines, media, mixing, near_dup, packing, pii, quality, ranked, repeats, url_filter, whitening
 from .common import table
 
 
@@ -52,10 +52,22 @@ def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whiten(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_contamination(spark, sf_dir):
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked(spark, sf_dir):
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    own = (op1_mix, op2_quality, op3_media, op4_repeats, op5_near_dup, op6_urls, op7_lines, op8_imatch, op9_pii, op10_pack)
+    own = (op1_mix, op2_quality, op3_media, op4_repeats, op5_near_dup, op6_urls, op7_lines, op8_imatch, op9_pii, op10_pack, op11_whiten, op12_contamination, op13_ranked)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op1_mix": mixing.MIX_SQL, "op6_urls": url_filter.judge_sql(), "op8_imatch": fingerprint.fingerprint_sql()}
+    return {"op1_mix": mixing.MIX_SQL, "op6_urls": url_filter.judge_sql(), "op8_imatch": fingerprint.fingerprint_sql(), "op12_contamination": contamination.CONTAMINATION_SQL, "op13_ranked": ranked.RANKED_SQL}
