@@ -202,6 +202,9 @@ def best_of_nodes(found: DataFrame) -> DataFrame:
 
 
 class Grower:
+    #: Numbers that a task sums by bin; by default g and h by output, and rows.
+    LAYERS = 0
+
     def __init__(self, cuts, outputs=1, *, penalty: Penalty, eta=0.3, gamma=0.0, max_depth=6, max_leaves=0, lossguide=False, categorical=(), interactions=None, columns=None, exact=False):
         self.cuts, self.outputs, self.p, self.eta, self.gamma = cuts, outputs, penalty, eta, gamma
         self.max_depth, self.max_leaves, self.lossguide, self.categorical = max_depth, max_leaves, lossguide, frozenset(categorical)
@@ -217,7 +220,7 @@ class Grower:
         self.scale, self.sizes = scale, [len(c) for c in self.cuts]
         leaves = 1
         queue: deque | list = [] if self.lossguide else deque()
-        most = max(2, MOST_BYTES // (8 * (2 * self.outputs + 1) * max(1, sum(self.sizes) + len(self.sizes))))
+        most = max(2, MOST_BYTES // (8 * (self.LAYERS or 2 * self.outputs + 1) * max(1, sum(self.sizes) + len(self.sizes))))
 
         def evaluate(nodes: list[int]) -> None:
             for i in range(0, len(nodes), most - most % 2):  # siblings stay together
@@ -261,8 +264,8 @@ class Grower:
             t.unpersist()
         self.held = {n: t for n, t in self.held.items() if n in needed}
 
-    def evaluated(self, df: DataFrame, tree: Tree, nodes: list[int]) -> list[tuple[int, Split]]:
-        """Each node with its best split. Of two siblings only the one of fewer rows is summed from rows."""
+    def paired(self, tree: Tree, nodes: list[int]) -> tuple[dict, dict, dict]:
+        """Of two siblings only the one of fewer rows is summed from rows: by summed node its pair, by pair the other child, and the table that holds the parent's sums."""
         summed, other, parents = {}, {}, {}
         for node in nodes:
             pair = tree.nodes[node].parent
@@ -271,15 +274,24 @@ class Grower:
                 summed[node] = node if pair < 0 or sibling is None else pair
             elif (self.rows[node], node) < (self.rows[sibling], sibling):
                 summed[node], other[pair], parents[pair] = pair, sibling, self.held[pair]
+        return summed, other, parents
+
+    def settings_of(self, tree: Tree, nodes: list[int], kind) -> dict[int, tuple]:
+        """By node its weight bounds and the features it may split on (None: all)."""
+        every, settings = set(range(len(self.cuts))), {}
+        for node in nodes:
+            allowed = set(self.constraints.allowed(self.paths[node])) & set(self.columns(tree.nodes[node].depth))
+            settings[node] = (self.bounds[node], None if allowed == every else kind(allowed))
+        return settings
+
+    def evaluated(self, df: DataFrame, tree: Tree, nodes: list[int]) -> list[tuple[int, Split]]:
+        """Each node with its best split."""
+        summed, other, parents = self.paired(tree, nodes)
         parts = partial_sums(df, tree, summed, self.sizes, self.outputs)
         for table in {id(t): t for t in parents.values()}.values():
             own = [p for p, t in parents.items() if t is table]
             parts = parts.unionByName(table.where(F.col("node").isin(own)).select(F.col("node").alias("pair"), "f", F.lit(-1).alias("kind"), "sums"))
-        every = set(range(len(self.cuts)))
-        settings = {}
-        for node in nodes:
-            allowed = set(self.constraints.allowed(self.paths[node])) & set(self.columns(tree.nodes[node].depth))
-            settings[node] = (self.bounds[node], None if allowed == every else frozenset(allowed))
+        settings = self.settings_of(tree, nodes, frozenset)
         found = searched(parts, self.sizes, self.outputs, self.scale, self.p, self.categorical, other, settings).persist()
         k, out = self.outputs, {node: Split() for node in nodes}
         sums = lambda v: (np.array(v[:k], float) / self.scale[0], np.array(v[k : 2 * k], float) / self.scale[1])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import objectives
 from ..functions.scalar import num, sigmoid, softmax
-from ..operators import explain
+from ..operators import explain, sparse
+from ..operators.grow import cells_of, unpack_cells
 from ..operators.tree import Tree
 from ..sources.frame import Frame
 
@@ -59,11 +60,22 @@ def arrays(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
 
-def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_bins: bool = False, column: str = "margin") -> DataFrame:
-    """df with weighted leaf values added to its margin array; every other column passes through."""
+def leaf_finder(cells: pa.Array, width: int, by_bins: bool, layout=None):
+    """What gives the leaves of a tree for the rows of a column: dense or sparse, of bins or of values."""
+    if layout is not None:  # sparse bins
+        rows, own = sparse.cells_in_order(cells)
+        return lambda tree: sparse.walk(tree, len(cells), lambda f: layout.column(rows, own, f), True)
+    if pa.types.is_list(cells.type) and pa.types.is_struct(cells.type.value_type):
+        column = sparse.value_column(cells)
+        return lambda tree: sparse.walk(tree, len(cells), column, False)
+    x = unpack_cells(cells_of(cells, width)) if by_bins else wide(cells, width)
+    return lambda tree: tree.leaves_by_bin(x) if by_bins else tree.leaves(x)
+
+
+def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_bins: bool = False, column: str = "margin", layout=None) -> DataFrame:
+    """df with weighted leaf values added to its margin array; every other column passes through. layout: of the cells of sparse rows' bins."""
     if not stumps:
         return df
-    from ..operators.grow import cells_of, unpack_cells
 
     tables = [s.tree.values() * s.weight for s in stumps]
 
@@ -72,79 +84,16 @@ def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_
     def added(margin: pa.Array, cells: pa.Array) -> pa.Array:
         m = np.array(margin.flatten().to_numpy(zero_copy_only=False)).reshape(len(margin), outputs)
         if len(margin):
-            x = unpack_cells(cells_of(cells, width)) if by_bins else wide(cells, width)
+            leaves = leaf_finder(cells, width, by_bins, layout)
             for s, table in zip(stumps, tables, strict=True):
-                values = table[s.tree.leaves_by_bin(x) if by_bins else s.tree.leaves(x)]
+                values = table[leaves(s.tree)]
                 if values.shape[1] == outputs and outputs > 1:
                     m += values
                 else:
                     m[:, s.group] += values[:, 0]
         return arrays(m)
 
-    return df.withColumn(column, added(F.col(column), F.col("bins" if by_bins else "features")))
-
-
-def choose_dropped(trees: list, p: dict, rng: random.Random) -> list:
-    """The trees that a dart round, or a prediction as in training, leaves out: one draw a tree."""
-    if not trees or rng.random() < p.get("skip_drop", 0.0):
-        return []
-    rate, total = p.get("rate_drop", 0.0), sum(s.weight for s in trees)
-    share = lambda s: rate * len(trees) * s.weight / total if p.get("sample_type") == "weighted" and total else rate
-    out = [s for s in trees if rng.random() < share(s)]
-    return out or ([rng.choice(trees)] if p.get("one_drop") else [])
-
-
-@dataclass
-class Stump:
-    """A tree of an ensemble with its output, its weight and the round that made it."""
-
-    tree: Tree
-    group: int
-    weight: float = 1.0
-    round: int = 0
-
-
-def wide(column: pa.Array, width: int) -> np.ndarray:
-    """(rows, features) of a column of arrays, NaN where missing."""
-    flat = column.flatten().cast(pa.float64())
-    return flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), width)
-
-
-def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
-    return wide(batch.column(column), width)
-
-
-def arrays(m: np.ndarray) -> pa.Array:
-    """The rows of a matrix as lists."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-
-
-def add_margin(df: DataFrame, stumps: list[Stump], width: int, outputs: int, by_bins: bool = False, column: str = "margin") -> DataFrame:
-    """df with weighted leaf values added to its margin array; every other column passes through."""
-    if not stumps:
-        return df
-    from ..operators.grow import unpack_bins
-
-    at = df.columns.index(column)
-    tables = [s.tree.values() * s.weight for s in stumps]
-
-    def run(batches):
-        for batch in batches:
-            m = np.array(batch.column(column).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, outputs)
-            if batch.num_rows:
-                x = unpack_bins(batch, width) if by_bins else matrix(batch, "features", width)
-                for s, table in zip(stumps, tables, strict=True):
-                    leaf = s.tree.leaves_by_bin(x) if by_bins else s.tree.leaves(x)
-                    values = table[leaf]
-                    if values.shape[1] == outputs and outputs > 1:
-                        m += values
-                    else:
-                        m[:, s.group] += values[:, 0]
-            columns = list(batch.columns)
-            columns[at] = arrays(m)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+    return df.withColumn(column, added(F.col(column), F.col("bins" if by_bins else "features" if "features" in df.columns else "entries")))
 
 
 @dataclass
@@ -247,6 +196,8 @@ class Model:
             return df.withColumn("prediction", self.transform(F.col("margin")) if kind == "value" else F.col("margin")).drop("margin")
         if self.booster == "gblinear":
             return self._linear_parts(frame, kind)
+        if frame.sparse and kind != "leaf":
+            raise ValueError(f"{kind} gives a number for each feature; make the frame dense (from_sparse) for it")
         stumps, width, outputs = self.in_range(iterations), self.width, self.outputs
         df = self.start(frame.df)
         shape = {"leaf": "array<bigint>"}.get(kind, "array<array<double>>" if "contribution" in kind else "array<array<array<double>>>")
@@ -264,10 +215,11 @@ class Model:
 
         def run(batches):
             for batch in batches:
-                x = matrix(batch, "features", width)
                 if kind == "leaf":
-                    got = np.stack([s.tree.leaves(x) for s in stumps], axis=1) if stumps else np.zeros((len(x), 0), np.int64)
+                    leaves = leaf_finder(batch.column(batch.schema.names.index("features" if "features" in batch.schema.names else "entries")), width, False)
+                    got = np.stack([leaves(s.tree) for s in stumps], axis=1) if stumps else np.zeros((batch.num_rows, 0), np.int64)
                 else:
+                    x = matrix(batch, "features", width)
                     base = np.array(batch.column("margin").flatten()).reshape(len(x), outputs)
                     parts = []
                     for k in range(outputs):

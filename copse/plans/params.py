@@ -30,7 +30,7 @@ DEFAULTS: dict = {
 }
 
 #: Accepted and without effect: Spark does what they tune.
-INERT = ("nthread", "max_cached_hist_node", "sparse_threshold", "debug_synchronize", "use_rmm", "fail_on_invalid_gpu_id", "opt_dense_col", "max_row_perbatch")
+INERT = ("nthread", "max_cached_hist_node", "sparse_threshold", "debug_synchronize", "use_rmm", "fail_on_invalid_gpu_id", "max_row_perbatch")
 ALIASES = {"learning_rate": "eta", "min_split_loss": "gamma", "reg_lambda": "lambda", "reg_alpha": "alpha", "random_state": "seed"}
 
 _RANGES = {
@@ -123,7 +123,7 @@ class Params(dict):
         tree = {"gamma", "max_depth", "min_child_weight", "subsample", "tree_method", "grow_policy", "max_leaves", "max_bin", "num_parallel_tree", "monotone_constraints", "interaction_constraints"}
         off = set(INERT)
         off |= tree | dart if self["booster"] == "gblinear" else linear | (dart if self["booster"] == "gbtree" else set())
-        off |= set() if self.method() == "exact" else {"default_direction"}
+        off |= set() if self.method() == "exact" else {"default_direction", "opt_dense_col"}
         return sorted(self.given & off)
 
     def to_map(self) -> dict[str, str]:

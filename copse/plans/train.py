@@ -17,7 +17,9 @@ from ..functions.objectives import InvalidLabel, Objective
 from ..functions.scalar import num
 from ..operators import linear
 from ..operators.cuts import bin_array, feature_cuts
+from ..operators.exact import ExactGrower, column_facts, ranges_for, value_blocks
 from ..operators.grow import Grower, blocks, cell_type, fixed_scale, pack_bins
+from ..operators.sparse import Layout, SparseGrower, add_cells, sparse_blocks, sparse_cuts
 from ..operators.split import Penalty
 from ..operators.tree import Tree
 from ..sources.frame import Frame
@@ -48,25 +50,13 @@ def add_bins(df: DataFrame, cuts: list[np.ndarray], categorical) -> DataFrame:
 
 
 #: What training reads of its rows.
-COLUMNS = ("row_id", "features", "label", "weight", "base_margin", "label_lower", "label_upper", "qid")
+COLUMNS = ("row_id", "features", "entries", "label", "weight", "base_margin", "label_lower", "label_upper", "qid")
 
 
 def slim(frame: Frame) -> Frame:
     return replace(frame, df=frame.df.select(*[c for c in COLUMNS if c in frame.df.columns]))
 
 
-def midpoints(df: DataFrame, width: int, most: int = 65_000) -> list[np.ndarray]:
-    """Candidate thresholds between neighbouring distinct values, for exact search."""
-    out = [np.array([1e-5])] * width
-    values = df.select(F.posexplode("features").alias("f", "v")).where("v IS NOT NULL").distinct()
-    if values.groupBy("f").count().where(F.col("count") > most).limit(1).count():
-        raise ValueError(f"exact search holds at most {most} distinct values of a feature; use tree_method hist")
-    for f, v in values.groupBy("f").agg(F.sort_array(F.collect_list("v"))).collect():
-        v = np.array(v)
-        out[f] = np.append((v[1:] + v[:-1]) / 2, v[-1] + (abs(v[-1]) + 1e-6))
-    return out
-
-
 class Trainer:
     def __init__(self, params: Params, frame: Frame, base: Model | None = None):
         self.params, self.frame, self.base = params, frame, base
@@ -80,6 +70,13 @@ class Trainer:
         if bad:
             raise InvalidLabel(f"labels are not valid for {self.obj.name}")
         self.categorical = [f for f in range(frame.width) if frame.is_categorical(f)]
+        if self.categorical and params.method() == "exact" and params["booster"] != "gblinear" and params["process_type"] == "default":
+            raise ValueError("exact search orders values, which categories have no order for; use tree_method hist or approx")
+        for f in {f for group in params["interaction_constraints"] for f in group}:
+            if not 0 <= f < frame.width:
+                raise ValueError(f"interaction_constraints name feature {f} of {frame.width}")
+        if params["monotone_constraints"] and len(params["monotone_constraints"]) > frame.width:
+            raise ValueError(f"monotone_constraints are more than the {frame.width} features")
         self.alphas = self.obj.params.get("alpha", [])
         if base:
             if params["booster"] == "dart" or base.booster == "dart":
@@ -93,12 +90,29 @@ class Trainer:
         if params["booster"] == "gblinear":
             self.model.linear = base.linear.copy() if base and base.linear is not None else np.zeros((frame.width + 1, self.outputs))
         self.state = self.model.margins(frame, stumps=self.model.stumps) if params["booster"] != "gblinear" else self.model.margins(frame)
-        self.cuts = None
+        self.cuts = self.layout = None
+        if frame.sparse and (params["booster"] == "gblinear" or params.method() == "exact" or params["process_type"] == "update"):
+            raise ValueError("sparse frames are trained by tree_method hist or approx; make the frame dense (from_sparse) for others")
         if params["booster"] != "gblinear" and params["process_type"] == "default" and params.method() != "approx":
-            self.cuts = midpoints(frame.df, frame.width) if params.method() == "exact" else feature_cuts(frame.df, frame.width, params["max_bin"], self.categorical, n=self.rows)
-            self.state = add_bins(self.state, self.cuts, self.categorical).drop("features")  # from here on rows are walked by their bins
+            exact = params.method() == "exact"
+            self.state = self.binned(self.state, frame.df, ranges_for(self.rows) if exact else params["max_bin"])
+            if exact:
+                self.facts = column_facts(frame.df, frame.width, self.rows)
+            else:
+                self.state = self.state.drop("features", "entries")  # from here on rows are walked by their bins
         self.state, self.stale = self.state.persist(), []
 
+    def binned(self, state: DataFrame, rows: DataFrame, max_bin: int, weight: str = "weight") -> DataFrame:
+        """state with bins by new cuts of rows."""
+        find = sparse_cuts if self.frame.sparse else feature_cuts
+        self.cuts = find(rows, self.frame.width, max_bin, self.categorical, weight, n=self.rows)
+        self.layout = Layout(self.cuts, self.categorical) if self.frame.sparse else None
+        return self.cells(state)
+
+    def cells(self, df: DataFrame) -> DataFrame:
+        df = df.drop("bins")
+        return add_cells(df, self.layout) if self.layout else add_bins(df, self.cuts, self.categorical)
+
     def objective_params(self) -> dict:
         keys = ("huber_slope", "quantile_alpha", "expectile_alpha", "tweedie_variance_power", "aft_loss_distribution", "aft_loss_distribution_scale", "num_class", "rate_drop", "skip_drop", "one_drop", "sample_type")
         return {k: list(self.params[k]) if isinstance(self.params[k], tuple) else self.params[k] for k in keys if self.params[k] not in ((), None)}
@@ -240,7 +254,10 @@ class Trainer:
             old.unpersist()
         self.stale = []
         scales = tuple(fixed_scale(s or 0.0) for s in sums)
-        return blocks(df, self.frame.width, scales).persist(), scales
+        if self.layout:
+            return sparse_blocks(df, scales).persist(), scales
+        held = value_blocks if self.params.method() == "exact" else blocks
+        return held(df, self.frame.width, scales).persist(), scales
 
     # ---- rounds
 
@@ -258,10 +275,15 @@ class Trainer:
                 levels[depth] = draw(tree_pool, p["colsample_bylevel"])
             return draw(levels[depth], p["colsample_bynode"])
 
-        return Grower(
-            cuts, outputs, penalty=penalty, eta=p["eta"], gamma=p["gamma"], max_depth=p["max_depth"], max_leaves=p["max_leaves"], lossguide=p["grow_policy"] == "lossguide", categorical=self.categorical,
-            interactions=p["interaction_constraints"], columns=columns, exact=p.method() == "exact",
-        )
+        settings = {
+            "penalty": penalty, "eta": p["eta"], "gamma": p["gamma"], "max_depth": p["max_depth"], "max_leaves": p["max_leaves"], "lossguide": p["grow_policy"] == "lossguide",
+            "interactions": p["interaction_constraints"], "columns": columns,
+        }
+        if p.method() == "exact":
+            return ExactGrower(cuts, dense=self.facts[0], constant=self.facts[1], opt_dense=p["opt_dense_col"], **settings)
+        if self.layout:
+            return SparseGrower(self.layout, outputs, categorical=self.categorical, **settings)
+        return Grower(cuts, outputs, categorical=self.categorical, **settings)
 
     def weighted_draw(self, pool: list[int], n: int) -> list[int]:
         weights = self.frame.feature_weights
@@ -279,16 +301,15 @@ class Trainer:
         if p["process_type"] == "update":
             return self.update_round(number)
         dropped = choose_dropped(self.model.stumps, p, self.rng) if p["booster"] == "dart" else []
-        state = add_margin(self.state, [replace(s, weight=-s.weight) for s in dropped], self.frame.width, self.outputs, self.by_bins(dropped)) if dropped else self.state
+        state = add_margin(self.state, [replace(s, weight=-s.weight) for s in dropped], self.frame.width, self.outputs, self.by_bins(dropped), layout=self.walked(dropped)) if dropped else self.state
         grads = self.gradients(state)
         if p.method() == "approx":
             if self.cuts is None or not self.obj.constant_hessian:
                 hess = F.aggregate("h", num(0), lambda a, x: a + x) * F.col("weight")
                 drawn = self.sampled(grads, number * 1009).withColumn("__w", hess)  # rows that are not drawn weigh nothing
-                self.cuts = feature_cuts(drawn, self.frame.width, p["max_bin"], self.categorical, "__w", n=self.rows)
                 self.stale.append(self.state)
-                self.state = add_bins(self.state.drop("bins"), self.cuts, self.categorical)
-                grads = add_bins(grads.drop("bins"), self.cuts, self.categorical)
+                self.state = self.binned(self.state, drawn, p["max_bin"], "__w")
+                grads = self.cells(grads)
         grads = grads.persist()
         made: list[Stump] = []
         vector = p["multi_strategy"] == "multi_output_tree" and self.outputs > 1
@@ -314,12 +335,16 @@ class Trainer:
         self.advance(changed, number)
 
     def by_bins(self, trees: list[Stump]) -> bool:
-        """Whether the rows' bins are those that the trees split at: approx cuts anew, and then values count."""
-        return self.params.method() != "approx" or self.obj.constant_hessian
+        """Whether the rows' bins are those that the trees split at: exact splits between them, approx cuts anew, and then values count."""
+        return self.params.method() != "exact" and (self.params.method() != "approx" or self.obj.constant_hessian)
+
+    def walked(self, trees: list[Stump]) -> Layout | None:
+        """The layout of sparse rows' bins, if they are walked by them."""
+        return self.layout if self.by_bins(trees) else None
 
     def advance(self, changed: list[Stump], number: int) -> None:
         """Add trees to the margins of the training rows; the old state is let go once the new one has been read."""
-        new = add_margin(self.state, changed, self.frame.width, self.outputs, self.by_bins(changed))
+        new = add_margin(self.state, changed, self.frame.width, self.outputs, self.by_bins(changed), layout=self.walked(changed))
         if number % CUT_EVERY == CUT_EVERY - 1 and new.sparkSession.sparkContext.getCheckpointDir():
             new = new.checkpoint()
         self.stale.append(self.state)

@@ -84,19 +84,28 @@ class Frame:
     def is_categorical(self, f: int) -> bool:
         return bool(self.kinds) and self.kinds[f] == CATEGORICAL
 
+    @property
+    def sparse(self) -> bool:
+        """Whether rows hold lists of entries instead of a cell for each feature."""
+        return "features" not in self.df.columns and "entries" in self.df.columns
+
     # ---- what a matrix says about itself
 
     def num_row(self) -> int:
         return self.df.count()
 
     def column_sizes(self) -> DataFrame:
-        """f, n: the values that each column holds. One pass and one row before it is turned."""
+        """f, n: the values that each column holds. One pass and one row before it is turned; of a sparse frame, only columns that hold any."""
+        if self.sparse:
+            return self.df.select(F.explode("entries").alias("e")).groupBy(F.col("e.f").alias("f")).agg(F.count("*").alias("n"))
         counts = self.df.agg(*[F.count(F.get("features", F.lit(i))).alias(f"n{i}") for i in range(self.width)])
         pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"n{i}").alias("n")) for i in range(self.width)])
         return counts.select(F.explode(pairs).alias("p")).select("p.f", "p.n")
 
     def transposed(self) -> DataFrame:
         """f, row_id, v of every value that is present."""
+        if self.sparse:
+            return self.df.select("row_id", F.explode("entries").alias("e")).select("e.f", "row_id", "e.v")
         return self.df.select("row_id", F.posexplode("features").alias("f", "v")).where("v IS NOT NULL").select("f", "row_id", "v")
 
 
@@ -118,6 +127,21 @@ def from_sparse(entries: DataFrame, width: int, missing: float | None = None) ->
     return Frame(rows.select("row_id", cells.alias("features"), F.lit(1.0).alias("weight")), width)
 
 
+def from_long(entries: DataFrame, width: int, rows: DataFrame | None = None, missing: float | None = None) -> Frame:
+    """row_id, f, v entries as a sparse frame: a row keeps the list of what it holds (`entries`, by feature), never a cell for each feature.
+
+    rows: row_id and further columns of all rows, also of those without entries. Of entries that name one
+    cell twice the largest counts. A column outside the width is an error, which shows when rows are read.
+    """
+    name = F.when((F.col("f") >= 0) & (F.col("f") < width), F.col("f").cast("int")).otherwise(F.raise_error(F.lit(f"a column index is not below {width}")).cast("int"))
+    held = entries.select("row_id", name.alias("f"), present(F.col("v"), missing).alias("v")).where("v IS NOT NULL").groupBy("row_id", "f").agg(F.max("v").alias("v"))
+    got = held.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("entries"))
+    if rows is not None:
+        got = rows.join(got, "row_id", "left")
+    empty = F.array().cast("array<struct<f:int,v:double>>")
+    return Frame(got.withColumns({"entries": F.coalesce("entries", empty), "weight": F.lit(1.0)}), width)
+
+
 def parse_libsvm(lines: DataFrame, text: str = "value", row_id: str = "row_id") -> DataFrame:
     """row_id, label, entries (map of index to value), bad (the first bad token or null). Blank lines go."""
     tokens = F.filter(F.split(F.trim(F.col(text)), r"\s+"), lambda t: t != "")
@@ -134,11 +158,12 @@ def from_libsvm(spark: SparkSession, path: str, width: int | None = None) -> Fra
     """`label index:value ...` lines; indices are taken as they stand, counted from 0."""
     lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
     parsed = parse_libsvm(lines)
-    bad = parsed.where("bad IS NOT NULL").first()
+    bad = parsed.where("bad IS NOT NULL").orderBy("row_id").first()  # the first line of those that are wrong
     if bad:
         raise ValueError(f"row {bad['row_id']}: bad token {bad['bad']!r}")
     if width is None:
-        width = (parsed.agg(F.max(F.array_max(F.map_keys("entries"))).alias("m")).first()["m"] or -1) + 1
+        largest = parsed.agg(F.max(F.array_max(F.map_keys("entries"))).alias("m")).first()["m"]
+        width = 0 if largest is None else largest + 1
     cells = F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: F.try_element_at(F.col("entries"), i)) if width else F.array().cast("array<double>")
     got = parsed.select("row_id", F.transform(cells, lambda v: present(v)).alias("features"), F.array("label").alias("label"), F.lit(1.0).alias("weight"))
     return Frame(got, width)
