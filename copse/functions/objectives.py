@@ -123,15 +123,27 @@ def create(name: str, **p) -> Objective:
         "survival:aft": lambda: Objective(name, init="fixed:0.5", metric="aft-nloglik", params={"dist": p.get("aft_loss_distribution", "normal"), "sigma": p.get("aft_loss_distribution_scale", 1.0)}, **log_link),
         "multi:softmax": lambda: Objective(name, init="classes", metric="mlogloss", outputs=_classes(p)),
         "multi:softprob": lambda: Objective(name, init="classes", metric="mlogloss", outputs=_classes(p)),
-        "rank:pairwise": lambda: Objective(name, init="newton", metric="ndcg@32", params=p, label_ok=lambda y: y >= 0),
-        "rank:ndcg": lambda: Objective(name, init="newton", metric="ndcg@32", params=p),
-        "rank:map": lambda: Objective(name, init="newton", metric="map@32", params=p, label_ok=lambda y: y >= 0),
+        "rank:pairwise": lambda: Objective(name, init="newton", metric=f"ndcg{_level(p)}", params=p, label_ok=lambda y: y >= 0),
+        "rank:ndcg": lambda: Objective(name, init="newton", metric=f"ndcg{_level(p)}", params=p),
+        "rank:map": lambda: Objective(name, init="newton", metric=f"map{_level(p)}", params=p, label_ok=lambda y: y >= 0),
     }
     if name not in table:
         raise ValueError(f"unknown objective: {name}")
     return table[name]()
 
 
+#: Ranks from which pairs are made, pairs drawn for a document, and positions that a bias is kept for where ranks are not cut.
+TOP_RANKS, DRAWS, POSITIONS = 32, 1, 32
+
+
+def pairs_per_sample(p: dict) -> int:
+    return int(p.get("lambdarank_num_pair_per_sample") or (DRAWS if p.get("lambdarank_pair_method") == "mean" else TOP_RANKS))
+
+
+def _level(p) -> str:
+    return "" if p.get("lambdarank_pair_method") == "mean" else f"@{pairs_per_sample(p)}"
+
+
 def _alphas(p, key):
     a = p.get(key)
     a = [a] if isinstance(a, int | float) else list(a or [])
@@ -277,25 +289,86 @@ def aft_pair(m: Column, lower: Column, upper: Column, dist: str = "normal", sigm
     return clip(g, -15, 15), clip(h, EPS, 15)
 
 
-def rank_pairs(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise_scores: bool = True, exp_gain: bool = True) -> DataFrame:
-    """A row for each pair of documents of a query whose labels differ, one of them ranked above `top`.
+@dataclass(frozen=True)
+class PositionBias:
+    """How likely documents at a position of the given list were examined: as the better one of a pair (plus), as the worse one (minus)."""
 
-    Columns: qid, hi, lo (by `order`), lambda, hess. Only pairs with one of the first `top` ranks are
-    made, so a query of n documents gives at most top * n. exp_gain: of ndcg, 2^y - 1 and not y.
-    """
+    plus: tuple[float, ...]
+    minus: tuple[float, ...]
+    exponent: float = 0.5
+
+    @classmethod
+    def start(cls, size: int, norm: float = 1.0) -> PositionBias:
+        return cls((1.0,) * size, (1.0,) * size, 1 / (1 + norm))
+
+    @property
+    def size(self) -> int:
+        return len(self.plus)
+
+    def updated(self, rows: DataFrame) -> PositionBias:
+        """The next round's, of rank_gradients' rows (pos, li, lj): one aggregation, a row a position."""
+        sums = {r["pos"]: r for r in rows.where(F.col("pos") < self.size).groupBy("pos").agg(F.sum("li").alias("li"), F.sum("lj").alias("lj")).collect()}
+        of = lambda c: [float(sums[k][c]) if k in sums else 0.0 for k in range(self.size)]
+        again = lambda old, cost: tuple((c / cost[0]) ** self.exponent for c in cost) if cost and cost[0] >= EPS else old
+        return PositionBias(again(self.plus, of("li")), again(self.minus, of("lj")), self.exponent)
+
+
+def ranked_documents(df: DataFrame, margin: str, y: str, qid: str, order: str, top: int | None, exp_gain: bool, positions: bool) -> DataFrame:
+    """q, i, s, y of each document with its ranks by score (r) and label (lr), its query's best, worst and ideal values, and its place in the given list (pos)."""
     value = dcg_gain if exp_gain else (lambda c: c)
     d = df.select(F.col(qid).alias("q"), F.col(order).alias("i"), F.col(margin).cast("double").alias("s"), F.col(y).cast("double").alias("y"))
     wq, lq = W.partitionBy("q").orderBy(F.desc("s"), "i"), W.partitionBy("q").orderBy(F.desc("y"), "i")
     d = d.withColumns({"r": F.row_number().over(wq) - 1, "lr": F.row_number().over(lq) - 1})
     everything = W.partitionBy("q")
     d = d.withColumns({"best": F.max("s").over(everything), "worst": F.min("s").over(everything)})
-    d = d.withColumn("idcg", F.sum(F.when(F.col("lr") < top, value(F.col("y")) * discount(F.col("lr"))).otherwise(0)).over(everything))
+    inside = F.col("lr") < top if top else F.lit(True)
+    d = d.withColumn("idcg", F.sum(F.when(inside, value(F.col("y")) * discount(F.col("lr"))).otherwise(0)).over(everything))
     run = wq.rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("rel", F.sum("y").over(run))
     d = d.withColumn("acc", F.sum(F.col("y") / (F.col("r") + 1)).over(run))
     d = d.withColumn("all_rel", F.sum("y").over(everything))
+    return d.withColumn("pos", F.row_number().over(W.partitionBy("q").orderBy("i")) - 1) if positions else d
+
+
+def top_pairs(d: DataFrame, top: int) -> DataFrame:
+    """Columns a and b (documents of one query and other labels, a ranked first and above `top`)."""
     a, b = d.where(F.col("r") < top).alias("a"), d.alias("b")
-    p = a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.r") < F.col("b.r")) & (F.col("a.y") != F.col("b.y")))
+    return a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.r") < F.col("b.r")) & (F.col("a.y") != F.col("b.y")))
+
+
+def drawn_pairs(d: DataFrame, times: int, seed: int) -> DataFrame:
+    """Columns a and b: each document with `times` others of its query, drawn from those of other labels.
+
+    Documents in the order of labels have those of their own label in one run, so a draw names a place
+    outside the run, and one equi-join on (query, place) finds who stands there. Draws are hashes of the seed,
+    the query, the document and the number of the draw, the same however rows are dealt.
+    """
+    by_label, same = W.partitionBy("q").orderBy(F.desc("y"), "r"), W.partitionBy("q", "y")
+    d = d.withColumn("k", F.row_number().over(by_label) - 1)
+    d = d.withColumns({"from": F.min("k").over(same), "to": F.max("k").over(same) + 1, "n": F.count("*").over(W.partitionBy("q"))})
+    others = F.col("from") + F.col("n") - F.col("to")
+    draws = d.where(others > 0).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    at = F.pmod(F.xxhash64(F.lit(seed), "q", "i", "draw"), others)
+    draws = draws.withColumn("at", F.when(at < F.col("from"), at).otherwise(at + F.col("to") - F.col("from")))
+    whole = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in d.columns])
+    met = draws.alias("x").join(d.alias("z"), (F.col("x.q") == F.col("z.q")) & (F.col("x.at") == F.col("z.k")))
+    first = F.col("x.r") < F.col("z.r")
+    return met.select(F.when(first, whole("x")).otherwise(whole("z")).alias("a"), F.when(first, whole("z")).otherwise(whole("x")).alias("b"))
+
+
+def rank_pairs(
+    df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int | None = 32, normalise_scores: bool = True, exp_gain: bool = True, bias: PositionBias | None = None, draws: int = 0, seed: int = 0
+) -> DataFrame:
+    """A row for each pair of documents of a query whose labels differ, one of them ranked above `top`.
+
+    Columns: qid, hi, lo (by `order`), lambda, hess. Only pairs with one of the first `top` ranks are
+    made, so a query of n documents gives at most top * n; with `draws`, that many for each document. exp_gain: of
+    ndcg, 2^y - 1 and not y. bias: both are divided by how likely the two were examined, and each side's cost,
+    net of the other's likelihood, comes along (cost_hi, cost_lo).
+    """
+    value = dcg_gain if exp_gain else (lambda c: c)
+    d = ranked_documents(df, margin, y, qid, order, None if draws else top, exp_gain, bias is not None)
+    p = drawn_pairs(d, draws, seed) if draws else top_pairs(d, top)
     up = F.col("a.y") > F.col("b.y")
     hi = lambda c: F.when(up, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
     lo = lambda c: F.when(up, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
@@ -309,9 +382,17 @@ def rank_pairs(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: s
     if normalise_scores:
         delta = F.when(F.col("a.best") != F.col("a.worst"), delta / (F.abs(hi("s") - lo("s")) + 0.01)).otherwise(delta)
     sig = sigmoid(hi("s") - lo("s"))
-    return p.select(
-        F.col("a.q").alias("qid"), hi("i").alias("hi"), lo("i").alias("lo"), ((sig - 1) * delta).alias("lambda"), (F.greatest(sig * (1 - sig), num(EPS)) * delta * 2).alias("hess")
-    )
+    out = {"lambda": (sig - 1) * delta, "hess": F.greatest(sig * (1 - sig), num(EPS)) * delta * 2}
+    if bias is not None:
+        at = lambda values, pos: F.get(F.array(*map(num, values)), pos)
+        known = (hi("pos") < bias.size) & (lo("pos") < bias.size)
+        plus, minus = at(bias.plus, hi("pos")), at(bias.minus, lo("pos"))
+        ok = known & (plus >= EPS) & (minus >= EPS)
+        out = {c: F.when(ok, v / (plus * minus)).otherwise(v) for c, v in out.items()}
+        cost = -F.log(1 - sig) * delta
+        net = lambda by: F.when(known & (by >= EPS), cost / by).otherwise(num(0))
+        out |= {"cost_hi": net(minus), "cost_lo": net(plus)}
+    return p.select(F.col("a.q").alias("qid"), hi("i").alias("hi"), lo("i").alias("lo"), *[v.alias(c) for c, v in out.items()])
 
 
 def map_change(a: str, b: str) -> Column:
@@ -329,15 +410,25 @@ def map_change(a: str, b: str) -> Column:
     return F.when(of(a, "all_rel") > 0, change / F.nullif(of(a, "all_rel"), num(0))).otherwise(num(0))
 
 
-def rank_gradients(df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int = 32, normalise: bool = True, normalise_scores: bool = True, exp_gain: bool = True) -> DataFrame:
-    """df with g and h: the sums of its pairs, scaled per query."""
-    pairs = rank_pairs(df, kind, margin, y, qid, order, top, normalise_scores, exp_gain)
-    sides = pairs.select("qid", F.col("hi").alias("i"), F.col("lambda").alias("g"), F.col("hess").alias("h"), (-2 * F.col("lambda")).alias("s")).unionByName(
-        pairs.select("qid", F.col("lo").alias("i"), (-F.col("lambda")).alias("g"), F.col("hess").alias("h"), num(0).alias("s"))
-    )
-    rows = sides.groupBy("qid", "i").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("s").alias("s"))
+def rank_gradients(
+    df: DataFrame, kind: str, margin: str, y: str, qid: str, order: str, top: int | None = 32, normalise: bool = True, normalise_scores: bool = True, exp_gain: bool = True,
+    bias: PositionBias | None = None, draws: int = 0, seed: int = 0,
+) -> DataFrame:
+    """df with g and h: the sums of its pairs, scaled per query. With a bias also pos, li and lj, from which the next one is made."""
+    pairs = rank_pairs(df, kind, margin, y, qid, order, top, normalise_scores, exp_gain, bias, draws, seed)
+    costs = ("cost_hi", "cost_lo") if bias is not None else ()
+    side = lambda who, sign, s, mine: pairs.select("qid", F.col(who).alias("i"), (sign * F.col("lambda")).alias("g"), F.col("hess").alias("h"), s.alias("s"), *[(F.col(c) if c == mine else num(0)).alias(c) for c in costs])
+    sides = side("hi", 1, -2 * F.col("lambda"), "cost_hi").unionByName(side("lo", -1, num(0), "cost_lo"))
+    rows = sides.groupBy("qid", "i").agg(*[F.sum(c).alias(c) for c in ("g", "h", "s", *costs)])
     rows = rows.withColumn("s", F.sum("s").over(W.partitionBy("qid")))
-    scale = F.when(F.col("s") > 0, F.log2(1 + F.col("s")) / F.nullif(F.col("s"), num(0))).otherwise(num(1)) if normalise else num(1)
-    rows = rows.select(F.col("qid").alias("__q"), F.col("i").alias("__i"), (F.col("g") * scale).alias("g"), (F.col("h") * scale).alias("h"))
+    if not normalise:
+        scale = num(1)
+    elif draws:
+        scale = num(1 / draws)
+    else:
+        scale = F.when(F.col("s") > 0, F.log2(1 + F.col("s")) / F.nullif(F.col("s"), num(0))).otherwise(num(1))
+    rows = rows.select(F.col("qid").alias("__q"), F.col("i").alias("__i"), (F.col("g") * scale).alias("g"), (F.col("h") * scale).alias("h"), *[F.col(c).alias(n) for c, n in zip(costs, ("li", "lj"), strict=False)])
     got = df.join(rows, (F.col(qid) == F.col("__q")) & (F.col(order) == F.col("__i")), "left").drop("__q", "__i")
-    return got.withColumns({"g": F.coalesce("g", num(0)), "h": F.coalesce("h", num(0))})
+    if bias is not None:
+        got = got.withColumn("pos", F.row_number().over(W.partitionBy(qid).orderBy(order)) - 1)
+    return got.withColumns({c: F.coalesce(c, num(0)) for c in ("g", "h", *(("li", "lj") if bias is not None else ()))})

@@ -37,7 +37,7 @@ _RANGES = {
     "eta": (0, math.inf), "gamma": (0, math.inf), "max_depth": (0, 30), "min_child_weight": (0, math.inf), "max_delta_step": (0, math.inf), "lambda": (0, math.inf), "alpha": (0, math.inf),
     "subsample": (1e-12, 1), "colsample_bytree": (1e-12, 1), "colsample_bylevel": (1e-12, 1), "colsample_bynode": (1e-12, 1), "max_leaves": (0, math.inf), "max_bin": (2, 65535), "num_parallel_tree": (1, math.inf),
     "max_cat_to_onehot": (1, math.inf), "max_cat_threshold": (1, math.inf), "rate_drop": (0, 1), "skip_drop": (0, 1), "tweedie_variance_power": (1, 1.999999), "top_k": (0, math.inf), "tolerance": (0, math.inf),
-    "sparse_threshold": (0, 1), "opt_dense_col": (0, 1), "huber_slope": (1e-12, math.inf), "aft_loss_distribution_scale": (1e-12, math.inf), "scale_pos_weight": (0, math.inf), "num_target": (1, math.inf), "max_cached_hist_node": (1, math.inf),
+    "sparse_threshold": (0, 1), "opt_dense_col": (0, 1), "huber_slope": (1e-12, math.inf), "aft_loss_distribution_scale": (1e-12, math.inf), "scale_pos_weight": (0, math.inf), "num_target": (1, math.inf), "max_cached_hist_node": (1, math.inf), "lambdarank_bias_norm": (0, math.inf),
 }
 
 
@@ -87,8 +87,9 @@ class Params(dict):
             raise ValueError("shotgun takes only the selectors cyclic and shuffle")
         if self["booster"] == "gblinear" and self["linear_updater"] == "shotgun" and self["max_row_perbatch"] is not None:
             raise ValueError("max_row_perbatch is not available: shotgun takes all rows as one batch")
-        if str(self["objective"]).startswith("rank:") and (self["lambdarank_unbiased"] or self["lambdarank_pair_method"] == "mean"):
-            raise ValueError("lambdarank_unbiased and the pair method mean are not available; use topk")
+        pairs = self["lambdarank_num_pair_per_sample"]
+        if pairs is not None and (isinstance(pairs, bool) or not isinstance(pairs, int) or pairs < 1):
+            raise ValueError(f"lambdarank_num_pair_per_sample must be a whole number from 1 on, got {pairs!r}")
         if any(c not in (-1, 0, 1) for c in self["monotone_constraints"]):
             raise ValueError("monotone_constraints are -1, 0 or 1")
 

@@ -60,6 +60,7 @@ def slim(frame: Frame) -> Frame:
 class Trainer:
     def __init__(self, params: Params, frame: Frame, base: Model | None = None):
         self.params, self.frame, self.base = params, frame, base
+        self.bias, self.pair_draws = None, 0  # what ranking keeps between rounds
         self.rng = random.Random(params["seed"])
         if "label" not in frame.df.columns:
             raise InvalidLabel("labels are missing")
@@ -161,7 +162,10 @@ class Trainer:
         if o.init == "newton" or p["scale_pos_weight"] != 1:
             start = [mean] * k if o.name == "reg:absoluteerror" else [0.0] * k
             g = self.gradients(df.withColumn("margin", F.array(*map(num, start))))
+            g = g.persist() if self.bias else g
             sums = g.agg(*[F.sum(F.get(c, F.lit(j))).alias(f"{c}{j}") for j in range(k) for c in ("g", "h")]).first()
+            self.learn_positions(g)
+            g.unpersist()
             return [start[j] - sums[f"g{j}"] / sums[f"h{j}"] if sums[f"h{j}"] else start[j] for j in range(k)]
         means = df.agg(*[(F.sum(w * F.get("label", F.lit(j))) / F.nullif(F.sum(w), num(0))).alias(f"m{j}") for j in range(k)]).first()
         return [o.to_margin(float(m or 0.0)) for m in means]
@@ -222,11 +226,22 @@ class Trainer:
         if o.name == "survival:cox":
             got = objectives.cox_pair(plain, "__m", "__y")
         else:
+            n, mean = objectives.pairs_per_sample(p), p["lambdarank_pair_method"] == "mean"
+            if p["lambdarank_unbiased"] and self.bias is None:
+                size = min(objectives.POSITIONS, df.groupBy("qid").count().agg(F.max("count")).first()[0] or 0) if mean else n
+                self.bias = objectives.PositionBias.start(size, p["lambdarank_bias_norm"])
+            self.pair_draws += mean
             got = objectives.rank_gradients(
-                plain, o.name[5:], "__m", "__y", "qid", "row_id", p["lambdarank_num_pair_per_sample"] or 32, p["lambdarank_normalization"], p["lambdarank_score_normalization"], p["ndcg_exp_gain"]
-            )
+                plain, o.name[5:], "__m", "__y", "qid", "row_id", n, p["lambdarank_normalization"], p["lambdarank_score_normalization"], p["ndcg_exp_gain"],
+                self.bias, n if mean else 0, p["seed"] * 1_000_003 + self.pair_draws,
+            )
         return got.withColumns({"g": F.array(F.col("g") * w), "h": F.array(F.col("h") * w)}).drop("__m", "__y")
 
+    def learn_positions(self, grads: DataFrame) -> None:
+        """After a round's gradients, the position bias that the next one divides by."""
+        if self.bias:
+            self.bias = self.bias.updated(grads)
+
     def sampled(self, df: DataFrame, number: int) -> DataFrame:
         """df with the gradients of rows that are not drawn set to zero."""
         p, share = self.params, self.params["subsample"]
@@ -311,6 +326,7 @@ class Trainer:
                 self.state = self.binned(self.state, drawn, p["max_bin"], "__w")
                 grads = self.cells(grads)
         grads = grads.persist()
+        self.learn_positions(grads)
         made: list[Stump] = []
         vector = p["multi_strategy"] == "multi_output_tree" and self.outputs > 1
         for k in range(1 if vector else self.outputs):
