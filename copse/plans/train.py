@@ -57,6 +57,18 @@ def slim(frame: Frame) -> Frame:
     return replace(frame, df=frame.df.select(*[c for c in COLUMNS if c in frame.df.columns]))
 
 
+#: Rows of a task above which training deals rows anew, if other tasks have much fewer.
+MOST_ROWS = 50_000
+
+
+def balanced(frame: Frame, rows: int, most: int) -> Frame:
+    """frame, its rows dealt anew (once, by their ids) if one task has over twice its share of them: each round reads all rows several times."""
+    tasks = frame.df.sparkSession.sparkContext.defaultParallelism
+    if most <= max(MOST_ROWS, 2 * rows / tasks):
+        return frame
+    return replace(frame, df=frame.df.repartition(max(tasks, -(-rows // (1 << 20))), "row_id"))
+
+
 class Trainer:
     def __init__(self, params: Params, frame: Frame, base: Model | None = None):
         self.params, self.frame, self.base = params, frame, base
@@ -65,8 +77,10 @@ class Trainer:
         if "label" not in frame.df.columns:
             raise InvalidLabel("labels are missing")
         self.obj = objectives.create(params["objective"], **{k: v for k, v in params.items() if k not in ("objective",)})
-        bad, total, self.rows, self.targets = frame.df.agg(F.max(self.bad_label()), F.sum("weight"), F.count("*"), F.max(F.size("label"))).first()
-        self.targets, self.weight = self.targets or 1, total or 0.0
+        tasks = frame.df.groupBy(F.spark_partition_id().alias("task")).agg(F.max(self.bad_label()).alias("bad"), F.sum("weight").alias("w"), F.count("*").alias("n"), F.max(F.size("label")).alias("k"))
+        bad, total, self.rows, self.targets, most = tasks.agg(F.max("bad"), F.sum("w"), F.sum("n"), F.max("k"), F.max("n")).first()
+        self.targets, self.weight, self.rows = self.targets or 1, total or 0.0, self.rows or 0
+        self.frame = frame = balanced(frame, self.rows, most or 0)
         self.outputs = self.obj.outputs if self.obj.outputs > 1 else self.targets
         if bad:
             raise InvalidLabel(f"labels are not valid for {self.obj.name}")
@@ -90,7 +104,11 @@ class Trainer:
         )
         if params["booster"] == "gblinear":
             self.model.linear = base.linear.copy() if base and base.linear is not None else np.zeros((frame.width + 1, self.outputs))
-        self.state = self.model.margins(frame, stumps=self.model.stumps) if params["booster"] != "gblinear" else self.model.margins(frame)
+        if params["booster"] == "gblinear":
+            self.start = self.model.start(frame.df).persist()  # margins are made anew of it each round
+            self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin")))
+        else:
+            self.state = self.model.margins(frame, stumps=self.model.stumps)
         self.cuts = self.layout = None
         if frame.sparse and (params["booster"] == "gblinear" or params.method() == "exact" or params["process_type"] == "update"):
             raise ValueError("sparse frames are trained by tree_method hist or approx; make the frame dense (from_sparse) for others")
@@ -148,9 +166,10 @@ class Trainer:
             mean = sum(logs) / k
             return [x - mean for x in logs]
         y0 = F.get("label", F.lit(0))
-        mean = df.agg(F.sum(w * y0) / F.nullif(F.sum(w), num(0))).first()[0] or 0.0
         if o.init == "quantile":
             return [self.weighted_quantile(a) for a in self.alphas]
+        means = df.agg(*[(F.sum(w * F.get("label", F.lit(j))) / F.nullif(F.sum(w), num(0))).alias(f"m{j}") for j in range(k)]).first()
+        mean = means[0] or 0.0
         if o.init == "expectile":
             out = []
             for a in self.alphas:
@@ -167,7 +186,6 @@ class Trainer:
             self.learn_positions(g)
             g.unpersist()
             return [start[j] - sums[f"g{j}"] / sums[f"h{j}"] if sums[f"h{j}"] else start[j] for j in range(k)]
-        means = df.agg(*[(F.sum(w * F.get("label", F.lit(j))) / F.nullif(F.sum(w), num(0))).alias(f"m{j}") for j in range(k)]).first()
         return [o.to_margin(float(m or 0.0)) for m in means]
 
     def weighted_quantile(self, alpha: float) -> float:
@@ -325,10 +343,13 @@ class Trainer:
                 self.stale.append(self.state)
                 self.state = self.binned(self.state, drawn, p["max_bin"], "__w")
                 grads = self.cells(grads)
-        grads = grads.persist()
+        vector = p["multi_strategy"] == "multi_output_tree" and self.outputs > 1
+        grads = grads.select(*[c for c in ("row_id", "features", "bins", "g", "h", "pos", "li", "lj") if c in grads.columns and (c != "features" or self.walks_values())])
+        # Gradients of a row alone are cheaper to compute again than to keep, if only one tree reads them.
+        kept = not self.obj.pair or (self.outputs > 1 and not vector) or p["num_parallel_tree"] > 1 or p["subsample"] < 1
+        grads = grads.persist() if kept else grads
         self.learn_positions(grads)
         made: list[Stump] = []
-        vector = p["multi_strategy"] == "multi_output_tree" and self.outputs > 1
         for k in range(1 if vector else self.outputs):
             own = grads if vector or self.outputs == 1 else grads.withColumns({c: F.array(F.get(c, F.lit(k))) for c in ("g", "h")})
             for j in range(p["num_parallel_tree"]):
@@ -342,7 +363,8 @@ class Trainer:
                     if modifier == "prune":
                         tree.prune(p["gamma"], p["eta"], p["max_depth"])
                 made.append(Stump(tree, k, 1.0, self.model.rounds if not made else made[0].round))
-        grads.unpersist()
+        if kept:
+            grads.unpersist()
         if p["booster"] == "dart":
             changed = self.rescale(dropped, made)
         else:
@@ -350,6 +372,9 @@ class Trainer:
         self.model.stumps += made
         self.advance(changed, number)
 
+    def walks_values(self) -> bool:
+        return self.params.method() == "exact" or "refresh" in self.params.modifiers()
+
     def by_bins(self, trees: list[Stump]) -> bool:
         """Whether the rows' bins are those that the trees split at: exact splits between them, approx cuts anew, and then values count."""
         return self.params.method() != "exact" and (self.params.method() != "approx" or self.obj.constant_hessian)
@@ -388,9 +413,8 @@ class Trainer:
         a, b = linear.moments(self.gradients(self.state).select("features", "g", "h"), self.frame.width, self.outputs)
         largest = linear.descend(self.model.linear, a, b, eta=p["eta"], lam=p["lambda"], alpha=p["alpha"], total=self.weight, selector=p["feature_selector"], top_k=p["top_k"], rng=self.rng)
         self.converged = p["tolerance"] > 0 and largest <= p["tolerance"]
-        start = self.model.start(self.frame.df)
         self.state.unpersist()
-        self.state = start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin"))).persist()
+        self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin"))).persist()
 
     def update_round(self, number: int) -> None:
         """Take one round's trees of the base model, refresh or prune them, and put them back."""
@@ -520,6 +544,6 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
                     break
         if getattr(trainer, "converged", False):
             break
-    for state in (trainer.state, *trainer.stale, *(held for _, held, f in sets if held is not None)):
+    for state in (trainer.state, *trainer.stale, *([trainer.start] if params["booster"] == "gblinear" else []), *(held for _, held, f in sets if held is not None)):
         state.unpersist()
     return model
