@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .objectives import RT_EPS, _aft_density
+from .running import numbered, running
 from .scalar import dcg_gain, discount, log_gamma, num
 
 #: Metrics by prefix for which more is better.
@@ -87,21 +88,26 @@ def multiclass(df: DataFrame, kind: str, probs: Column, y: Column, w: Column) ->
 def _curve(df: DataFrame, by: list[str], pr: bool) -> DataFrame:
     """df: keys, s (score), y, w. The area under the curve by key, null where it has none.
 
-    Rows are first summed by score, so windows run over distinct scores.
+    Rows are first summed by score, so windows run over distinct scores: those of one key, or else of one range of scores.
     """
     points = df.groupBy(*by, "s").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n"))
-    run = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(F.desc("s"))
-    upto = run.rowsBetween(W.unboundedPreceding, 0)
-    points = points.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto)})
-    points = points.withColumns({"tp0": F.coalesce(F.lag("tp").over(run), num(0)), "fp0": F.coalesce(F.lag("fp").over(run), num(0))})
+    if by:
+        upto = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+        points = points.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto)})
+        points = points.withColumns({"tp0": F.col("tp") - F.col("p"), "fp0": F.col("fp") - F.col("n")})
+    else:
+        points = running(points, "s", {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
     if not pr:
         area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) * 0.5)
         ends = points.groupBy(*by).agg(area.alias("area"), F.max("tp").alias("tp"), F.max("fp").alias("fp"))
         return ends.withColumn("value", F.when((F.col("tp") > 0) & (F.col("fp") > 0), F.col("area") / F.nullif(F.col("tp") * F.col("fp"), num(0)))).drop("area", "tp", "fp")
-    whole = W.partitionBy(*by) if by else W.partitionBy()
-    points = points.withColumns({"all": F.max("tp").over(whole), "none": F.max("fp").over(whole)})
+    if by:
+        whole = W.partitionBy(*by)
+        points = points.withColumns({"all": F.sum("p").over(whole), "none": F.sum("n").over(whole)})
+    else:
+        points = points.crossJoin(F.broadcast(points.agg(F.sum("p").alias("all"), F.sum("n").alias("none"))))  # one row
     all_, tp, tp0, fp, fp0 = (F.col(c) for c in ("all", "tp", "tp0", "fp", "fp0"))
-    flat = tp == tp0
+    flat = F.col("p") == 0
     slope = (fp - fp0) / F.nullif(tp - tp0, num(0))
     a = F.when(flat, num(1)).otherwise(slope + 1)
     b = F.when(flat, num(0)).otherwise((fp0 - slope * tp0) / F.nullif(all_, num(0)))
@@ -145,23 +151,26 @@ def ams(df: DataFrame, p: Column, y: Column, w: Column, ratio: float, order: str
     """Approximate median significance at the best cut, or at the cut that `ratio` names."""
     n = df.count()
     top = int(ratio * n) or n
+    hit = F.when(F.col("y") > 0.5, F.col("w")).otherwise(0)
     d = df.select(p.alias("s"), y.alias("y"), w.alias("w"), F.col(order).alias("i"))
-    run = W.orderBy(F.desc("s"), "i")
-    upto = run.rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumns({"r": F.row_number().over(run), "tp": F.sum(F.when(F.col("y") > 0.5, F.col("w")).otherwise(0)).over(upto), "fp": F.sum(F.when(F.col("y") > 0.5, 0).otherwise(F.col("w"))).over(upto), "next": F.lead("s").over(run)})
+    points = d.groupBy("s").agg(F.sum(hit).alias("p"), F.sum(F.col("w") - hit).alias("n"), F.count("*").alias("c"))
+    points = running(points, "s", {"tp": F.col("p"), "fp": F.col("n"), "r": F.col("c")}, descending=True)
     b = F.col("fp") + 10
     value = F.sqrt(2 * ((F.col("tp") + b) * F.log(1 + F.col("tp") / b) - F.col("tp")))
-    d = d.where(F.col("r") <= min(top, n - 1)).withColumn("v", value)
-    if top == n:
-        return d.agg(F.coalesce(F.max(F.when(F.col("s") != F.col("next"), F.col("v"))), num(0)).alias("value"))
-    return d.agg(F.max_by("v", "r").alias("value"))
+    if top == n:  # between any two scores
+        return points.where(F.col("r") < n).agg(F.coalesce(F.max(value), num(0)).alias("value"))
+    last = min(top, n - 1)
+    cut = points.where((F.col("r0") < last) & (F.col("r") >= last)).first()
+    if cut is None:
+        return d.limit(1).agg(F.lit(None).cast("double").alias("value"))
+    inside = numbered(d.where(F.col("s").eqNullSafe(F.lit(cut["s"]))), "i").where(F.col("n") < last - int(cut["r0"]))
+    return inside.agg((F.sum(hit) + float(cut["tp0"])).alias("tp"), (F.sum(F.col("w") - hit) + float(cut["fp0"])).alias("fp")).select(value.alias("value"))
 
 
 def cox(df: DataFrame, p: Column, y: Column, w: Column) -> DataFrame:
     """Negative log partial likelihood over events; p is the hazard ratio. Rows of one time share a risk set."""
     d = df.select(F.greatest(p, num(1e-16)).alias("p"), y.alias("y"), F.abs(y).alias("t"), w.alias("w"))
-    times = d.groupBy("t").agg(F.sum("p").alias("e"))
-    times = times.select("t", F.sum("e").over(W.orderBy(F.desc("t"))).alias("risk"))
+    times = running(d.groupBy("t").agg(F.sum("p").alias("e")), "t", {"risk": F.col("e")}, descending=True).select("t", "risk")
     got = d.where("y > 0").join(times, "t")
     return got.agg((F.sum(F.col("w") * (F.log("risk") - F.log("p"))) / F.sum("w")).alias("value"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .running import running
 from .scalar import dcg_gain, discount, erf, num, sigmoid, softmax, softplus, softplus_inverse
 
 TINY = 1.1754943508222875e-38  # the least normal 32-bit float
@@ -218,28 +219,16 @@ def quantile_pair(r: Column, alpha: float, scale: float) -> tuple[Column, Column
     return 0.5 * scale * (F.tanh(x) + 1 - 2 * alpha), 0.5 / QUANTILE_WIDTH * F.greatest(slope, num(3e-4))
 
 
-def cox_pair(df: DataFrame, margin: str, y: str, ranges: int = 200) -> DataFrame:
+def cox_pair(df: DataFrame, margin: str, y: str) -> DataFrame:
     """df with g and h of the partial likelihood; rows of one time share a risk set.
 
-    The running sums go over distinct times. Times are few against rows, but they may grow too, so the
-    sums are made in two steps: inside hash-free ranges of time (by quantiles) and over the ranges.
+    The running sums go over distinct times, in two steps each (ranges of time, then times).
     """
     t, e = F.abs(F.col(y)), F.exp(F.col(margin))
     times = df.groupBy(t.alias("__t")).agg(F.sum(e).alias("__e"), F.sum(F.when(F.col(y) > 0, 1).otherwise(0)).alias("__d"))
-    cuts = times.agg(F.percentile_approx("__t", F.array(*[F.lit(i / ranges) for i in range(1, ranges)])).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    times = times.withColumn("__r", F.size(F.filter(bounds, lambda b: b <= F.col("__t"))))
-    inside = W.partitionBy("__r").orderBy(F.desc("__t"))
-    parts = times.groupBy("__r").agg(F.sum("__e").alias("__p"))
-    after = F.coalesce(F.sum("__p").over(W.orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, -1)), num(0))
-    times = times.join(F.broadcast(parts.select("__r", after.alias("__after"))), "__r").withColumn("__risk", F.col("__after") + F.sum("__e").over(inside))
-    times = times.withColumns({"__a": F.col("__d") / F.col("__risk"), "__b": F.col("__d") / (F.col("__risk") * F.col("__risk"))})
-    sums = times.groupBy("__r").agg(F.sum("__a").alias("__pa"), F.sum("__b").alias("__pb"))
-    before = W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("__r", F.coalesce(F.sum("__pa").over(before), num(0)).alias("__sa"), F.coalesce(F.sum("__pb").over(before), num(0)).alias("__sb"))
-    up = W.partitionBy("__r").orderBy("__t")
-    times = times.join(F.broadcast(sums), "__r").select("__t", (F.col("__sa") + F.sum("__a").over(up)).alias("__rk"), (F.col("__sb") + F.sum("__b").over(up)).alias("__sk"))
-    got = df.join(times, F.abs(F.col(y)) == F.col("__t"))
+    times = running(times, "__t", {"risk": F.col("__e")}, descending=True).select("__t", "__d", "risk")
+    times = running(times, "__t", {"rk": F.col("__d") / F.col("risk"), "sk": F.col("__d") / (F.col("risk") * F.col("risk"))})
+    got = df.join(times.select("__t", F.col("rk").alias("__rk"), F.col("sk").alias("__sk")), F.abs(F.col(y)) == F.col("__t"))
     event = F.when(F.col(y) > 0, 1.0).otherwise(0.0)
     return got.withColumns({"g": e * F.col("__rk") - event, "h": e * F.col("__rk") - e * e * F.col("__sk")}).drop("__t", "__rk", "__sk")
 
@@ -340,7 +329,7 @@ def drawn_pairs(d: DataFrame, times: int, seed: int) -> DataFrame:
     """Columns a and b: each document with `times` others of its query, drawn from those of other labels.
 
     Documents in the order of labels have those of their own label in one run, so a draw names a place
-    outside the run, and one equi-join on (query, place) finds who stands there. Draws are hashes of the seed,
+    outside the run, and one equi-join on (query, place) finds who stands there. Draws are digests of the seed,
     the query, the document and the number of the draw, the same however rows are dealt.
     """
     by_label, same = W.partitionBy("q").orderBy(F.desc("y"), "r"), W.partitionBy("q", "y")
@@ -348,7 +337,8 @@ def drawn_pairs(d: DataFrame, times: int, seed: int) -> DataFrame:
     d = d.withColumns({"from": F.min("k").over(same), "to": F.max("k").over(same) + 1, "n": F.count("*").over(W.partitionBy("q"))})
     others = F.col("from") + F.col("n") - F.col("to")
     draws = d.where(others > 0).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    at = F.pmod(F.xxhash64(F.lit(seed), "q", "i", "draw"), others)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("q", "i", "draw")]))
+    at = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % others
     draws = draws.withColumn("at", F.when(at < F.col("from"), at).otherwise(at + F.col("to") - F.col("from")))
     whole = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in d.columns])
     met = draws.alias("x").join(d.alias("z"), (F.col("x.q") == F.col("z.q")) & (F.col("x.at") == F.col("z.k")))

@@ -61,13 +61,13 @@ def shap(tree: Tree, x: np.ndarray, output: int = 0, hidden: int | None = None)
     return out
 
 
-def saabas(tree: Tree, x: np.ndarray, hidden: int | None = None) -> np.ndarray:
+def saabas(tree: Tree, x: np.ndarray, output: int = 0, hidden: int | None = None) -> np.ndarray:
     """Attribution along the row's own path: each step's change of the mean output."""
     out = np.zeros((len(x), tree.width + 1))
     if hidden is not None:
         x = x.copy()
         x[:, hidden] = np.nan
-    means = tree.means()
+    means = tree.means(output)
     out[:, -1] = means[0]
     todo = [(0, np.arange(len(x)))]
     while todo:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,51 @@ def moments(df: DataFrame, width: int, outputs: int) -> tuple[np.ndarray, np.nda
     return flat[: outputs * n].reshape(outputs, n), flat[outputs * n :].reshape(outputs, n, n)
 
 
+def batch_moments(df: DataFrame, width: int, outputs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of each row batch, in their order. df: batch, features, g, h. One job; the driver holds one batch's sums at a time."""
+    n = width + 1
+    size = outputs * (n + n * n)
+
+    def sums(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            number = batch.column("batch").to_numpy()
+            x = np.array(batch.column("features").flatten().fill_null(0.0)).reshape(-1, width)
+            x = np.hstack([x, np.ones((len(x), 1))])
+            g, h = (np.array(batch.column(c).flatten(), float).reshape(-1, outputs) for c in ("g", "h"))
+            for b in np.unique(number).tolist():
+                own = number == b
+                parts = []
+                for k in range(outputs):
+                    ok = own & (h[:, k] >= 0)
+                    parts.append((g[ok, k] @ x[ok], (x[ok] * h[ok, k][:, None]).T @ x[ok]))
+                flat = np.concatenate([*(a for a, _ in parts), *(m.ravel() for _, m in parts)])
+                held[b] = held[b] + flat if b in held else flat
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["batch", "s"])
+
+    def added(batches):
+        at, total = None, np.zeros(size)
+        for batch in batches:
+            out = []
+            for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != at:
+                    if at is not None:
+                        out.append((at, total.tolist()))
+                    at, total = b, np.zeros(size)
+                total = total + np.array(s)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([s for _, s in out], pa.list_(pa.float64()))], names=["batch", "s"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["batch", "s"])
+
+    parts = df.mapInArrow(sums, "batch int, s array<double>")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = parts.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(added, "batch int, s array<double>").orderBy("batch")
+    for row in whole.toLocalIterator(prefetchPartitions=True):
+        flat = np.array(row["s"])
+        yield flat[: outputs * n].reshape(outputs, n), flat[outputs * n :].reshape(outputs, n, n)
+
+
 def step(g: float, h: float, w: float, alpha: float, lam: float) -> float:
     if h < 1e-5:
         return 0.0
@@ -69,6 +115,37 @@ def descend(weights: np.ndarray, a: np.ndarray, b: np.ndarray, *, eta: float, la
     return largest
 
 
+def bias_sums(df: DataFrame, outputs: int) -> list[tuple[float, float]]:
+    """Sums of g and h by output. df: g, h."""
+    of = lambda c, k: F.sum(F.when(F.get("h", F.lit(k)) >= 0, F.get(c, F.lit(k))))
+    got = df.agg(*[F.coalesce(of(c, k), F.lit(0.0)) for k in range(outputs) for c in ("g", "h")]).first()
+    return [(got[2 * k], got[2 * k + 1]) for k in range(outputs)]
+
+
+def descend_batches(weights: np.ndarray, bias: list[tuple[float, float]], batches, *, eta: float, lam: float, alpha: float, total: float, selector: str = "cyclic", top_k: int = 0, rng: random.Random | None = None) -> float:
+    """One round of one batch after the other: the bias on all rows, then in each batch every feature once, from the weights that the batches before have left.
+
+    bias: sums of g and h by output; batches: moments. A batch's gradients are those of the round's start, moved by the bias and
+    by its own steps only. Features come in one order for all batches.
+    """
+    width, outputs = weights.shape[0] - 1, weights.shape[1]
+    lam, alpha, before = lam * total, alpha * total, weights.copy()
+    shifts = [eta * -g / h if h > 0 else 0.0 for g, h in bias]
+    weights[-1] += shifts
+    features = None
+    for a, b in batches:
+        for k, shift in enumerate(shifts):
+            a[k] += b[k][:, -1] * shift
+        if features is None:
+            features = list(order(selector, width, a[0], b[0], weights[:, 0], alpha, lam, top_k, rng))
+        for f in features:
+            for k in range(outputs):
+                d = eta * step(a[k][f], b[k][f, f], weights[f, k], alpha, lam)
+                weights[f, k] += d
+                a[k] += b[k][:, f] * d
+    return float(np.abs(weights - before).max(initial=0.0))
+
+
 def order(selector, width, grad, hess, w, alpha, lam, top_k, rng):
     """Features in the order that a selector draws them; greedy looks again after every step."""
     n = top_k or width

@@ -94,15 +94,16 @@ class Tree:
         width = max(len(r) for r in rows)
         return np.array([r if len(r) == width else np.zeros(width) for r in rows], float)
 
-    def means(self) -> np.ndarray:
-        """Cover-weighted mean value below each node."""
+    def means(self, output: int = 0) -> np.ndarray:
+        """Cover-weighted mean value of an output below each node."""
         out = np.zeros(len(self.nodes))
         for i in range(len(self.nodes) - 1, -1, -1):
             n = self.nodes[i]
             if n.deleted:
                 continue
             if n.leaf:
-                out[i] = float(np.atleast_1d(n.value)[0])
+                v = np.atleast_1d(n.value)
+                out[i] = float(v[min(output, len(v) - 1)])
             else:
                 a, b = self.nodes[n.left].cover, self.nodes[n.right].cover
                 out[i] = (out[n.left] * a + out[n.right] * b) / (a + b) if a + b > 0 else 0.0

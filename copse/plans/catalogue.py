@@ -19,7 +19,7 @@ from ..operators import grow as G
 from ..operators import splits_sql as X
 from ..operators.split import Penalty, scans
 from ..operators.tree import Node, Tree
-from ..sources.frame import from_dense, from_sparse, parse_libsvm, present
+from ..sources.frame import from_dense, from_libsvm_lines, from_long, from_sparse, parse_libsvm, present
 from .model import Model, Stump, importance
 from .train import add_bins, balanced
 
@@ -191,6 +191,62 @@ def grad_rank_ndcg(spark, sf_dir):
     return got.select("q", "i", (r(F.col("g")) + S.num(0)).alias("g"), r(F.col("h")).alias("h"))
 
 
+def pairs_sql(n: int, score: str, top: int, given: str = "") -> str:
+    """p{n}, the pairs of rank:ndcg at a score (sig, delta, places in the given list), and l{n}, with lam, hess and costs. given: joins of plus (hi) and minus (lo)."""
+    ranks = f"row_number() OVER (PARTITION BY q ORDER BY {score} DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr, row_number() OVER (PARTITION BY q ORDER BY i) - 1 AS pos"
+    side = lambda c: f"CASE WHEN a.y > b.y THEN a.{c} ELSE b.{c} END AS hi_{c}, CASE WHEN a.y > b.y THEN b.{c} ELSE a.{c} END AS lo_{c}"
+    known, ok = f"hi_pos < {top} AND lo_pos < {top}", "plus >= 1e-16 AND minus >= 1e-16"
+    return f"""d{n} AS (SELECT q, i, {score} AS s, grade AS y, {ranks} FROM base),
+e{n} AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY q) AS worst, sum(CASE WHEN lr < {top} THEN (pow(2, y) - 1) / log2(lr + 2) ELSE 0 END) OVER (PARTITION BY q) AS idcg FROM d{n}),
+j{n} AS (SELECT a.q, a.best, a.worst, a.idcg, {side('i')}, {side('s')}, {side('pos')}, abs((pow(2, a.y) - pow(2, b.y)) * (1 / log2(a.r + 2) - 1 / log2(b.r + 2))) AS change
+  FROM e{n} a JOIN e{n} b ON a.q = b.q AND a.r < b.r AND a.y <> b.y WHERE a.r < {top}),
+p{n} AS (SELECT *, 1 / (1 + exp(lo_s - hi_s)) AS sig, change / idcg / CASE WHEN best <> worst THEN abs(hi_s - lo_s) + 0.01 ELSE 1 END AS delta FROM j{n}),
+l{n} AS (SELECT *, (sig - 1) * delta / CASE WHEN {known} AND {ok} THEN plus * minus ELSE 1 END AS lam, greatest(sig * (1 - sig), 1e-16) * delta * 2 / CASE WHEN {known} AND {ok} THEN plus * minus ELSE 1 END AS hess,
+  CASE WHEN {known} AND minus >= 1e-16 THEN -ln(1 - sig) * delta / minus ELSE 0 END AS cost_hi, CASE WHEN {known} AND plus >= 1e-16 THEN -ln(1 - sig) * delta / plus ELSE 0 END AS cost_lo FROM p{n} {given})"""
+
+
+BIAS_SQL = f"""WITH {BASE_SQL}, {pairs_sql(1, 'm', 3, ', (SELECT 1.0::DOUBLE AS plus, 1.0::DOUBLE AS minus)')},
+c AS (SELECT pos, coalesce(sum(h), 0) AS li, coalesce(sum(l), 0) AS lj FROM (SELECT unnest(range(3)) AS pos) LEFT JOIN (SELECT hi_pos AS pos, cost_hi AS h, 0 AS l FROM l1 UNION ALL SELECT lo_pos, 0, cost_lo FROM l1) USING (pos) GROUP BY pos),
+b AS (SELECT pos, CASE WHEN (SELECT li FROM c WHERE pos = 0) >= 1e-16 THEN sqrt(li / (SELECT li FROM c WHERE pos = 0)) ELSE 1.0::DOUBLE END AS plus, CASE WHEN (SELECT lj FROM c WHERE pos = 0) >= 1e-16 THEN sqrt(lj / (SELECT lj FROM c WHERE pos = 0)) ELSE 1.0::DOUBLE END AS minus FROM c)"""
+
+
+@query(BIAS_SQL + " SELECT pos, round(plus, 6) AS plus, round(minus, 6) AS minus FROM b")
+def rank_position_bias(spark, sf_dir):
+    """How likely each place was examined, after one round."""
+    bias = objectives.PositionBias.start(3)
+    bias = bias.updated(objectives.rank_gradients(base(spark, sf_dir), "ndcg", "m", "grade", "q", "i", 3, bias=bias))
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(bias.plus, bias.minus, strict=True))], "pos bigint, plus double, minus double").select("pos", r(F.col("plus")).alias("plus"), r(F.col("minus")).alias("minus"))
+
+
+@query(BIAS_SQL + f""", {pairs_sql(2, '(w - m)', 3, 'LEFT JOIN (SELECT pos AS hi_pos, plus FROM b) USING (hi_pos) LEFT JOIN (SELECT pos AS lo_pos, minus FROM b) USING (lo_pos)')},
+s AS (SELECT q, hi_i AS i, lam AS g, hess AS h, -2 * lam AS t FROM l2 UNION ALL SELECT q, lo_i, -lam, hess, 0 FROM l2),
+n AS (SELECT q, CASE WHEN sum(t) > 0 THEN log2(1 + sum(t)) / sum(t) ELSE 1 END AS z FROM s GROUP BY q), v AS (SELECT q, i, sum(g) AS g, sum(h) AS h FROM s GROUP BY q, i)
+SELECT b.q, b.i, round(coalesce(v.g * n.z, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(v.h * n.z, 0), 6) AS h FROM base b LEFT JOIN v ON v.q = b.q AND v.i = b.i LEFT JOIN n ON n.q = b.q""")
+def grad_rank_unbiased(spark, sf_dir):
+    """Gradients of a second round, divided by the position bias of the first."""
+    df = base(spark, sf_dir).withColumn("m2", F.col("w") - F.col("m"))
+    bias = objectives.PositionBias.start(3)
+    bias = bias.updated(objectives.rank_gradients(df, "ndcg", "m", "grade", "q", "i", 3, bias=bias))
+    got = objectives.rank_gradients(df, "ndcg", "m2", "grade", "q", "i", 3, bias=bias)
+    return got.select("q", "i", (r(F.col("g")) + S.num(0)).alias("g"), r(F.col("h")).alias("h"))
+
+
+@query(f"""WITH {BASE_SQL}, d AS (SELECT q, i, m AS s, grade AS y, row_number() OVER (PARTITION BY q ORDER BY m DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr FROM base),
+e AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY q) AS worst, sum((pow(2, y) - 1) / log2(lr + 2)) OVER (PARTITION BY q) AS idcg, row_number() OVER (PARTITION BY q ORDER BY y DESC, r) - 1 AS k, count(*) OVER (PARTITION BY q) AS n FROM d),
+f AS (SELECT *, min(k) OVER (PARTITION BY q, y) AS a0, max(k) OVER (PARTITION BY q, y) + 1 AS a1 FROM e),
+g AS (SELECT *, unnest([1, 2]) AS draw FROM f WHERE a0 + n - a1 > 0),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '7', q::VARCHAR, i::VARCHAR, draw::VARCHAR)), 1, 15))::BIGINT % (a0 + n - a1) AS at0 FROM g),
+x AS (SELECT *, CASE WHEN at0 < a0 THEN at0 ELSE at0 + a1 - a0 END AS at FROM h),
+p AS (SELECT x.q, x.best, x.worst, x.idcg, CASE WHEN x.y > z.y THEN x.i ELSE z.i END AS hi, CASE WHEN x.y > z.y THEN z.i ELSE x.i END AS lo, CASE WHEN x.y > z.y THEN x.s - z.s ELSE z.s - x.s END AS d,
+  abs((pow(2, x.y) - pow(2, z.y)) * (1 / log2(x.r + 2) - 1 / log2(z.r + 2))) AS change FROM x JOIN f z ON z.q = x.q AND z.k = x.at),
+k AS (SELECT q, hi, lo, 1 / (1 + exp(-d)) AS sig, change / idcg / CASE WHEN best <> worst THEN abs(d) + 0.01 ELSE 1 END AS delta FROM p)
+SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) + 0.0::DOUBLE AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k""")
+def rank_pairs_mean(spark, sf_dir):
+    """Two pairs a document, drawn from documents of other labels."""
+    p = objectives.rank_pairs(base(spark, sf_dir), "ndcg", "m", "grade", "q", "i", draws=2, seed=7)
+    return p.select("qid", "hi", "lo", (r(F.col("lambda")) + S.num(0)).alias("lambda"), r(F.col("hess")).alias("hess"))
+
+
 @query(f"WITH {BASE_SQL} SELECT q, i, round(exp(m) / (exp(m) + 1 + exp(-m)), 6) AS p0, round(1 / (exp(m) + 1 + exp(-m)), 6) AS p1 FROM base")
 def transform_softmax(spark, sf_dir):
     p = S.softmax(F.array(F.col("m"), S.num(0), -F.col("m")))
@@ -517,6 +573,27 @@ def saabas_fixed_tree(spark, sf_dir):
     return got.select("q", "i", part(0).alias("c0"), part(1).alias("c1"), part(2).alias("bias"))
 
 
+def vector_model() -> Model:
+    """The fixed tree with two outputs, the second ten times the square of the first."""
+    tree = fixed_tree()
+    for n in tree.nodes:
+        n.value = np.array([n.value, 10 * n.value**2]) if n.leaf else np.zeros(2)
+        n.weight = np.zeros(2)
+    return Model("gbtree", "reg:squarederror", {}, 2, 2, [0.1, -0.2], [Stump(tree, 0)])
+
+
+VECTOR_LEAF = "(CASE leaf WHEN 3 THEN 22.5 WHEN 4 THEN 2.5 WHEN 5 THEN 40.0 ELSE 10.0 END)::DOUBLE"
+
+
+@query(f"""WITH {TREE_SQL}, s AS (SELECT q, i, CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END AS a, {LEAF_CASE} AS a1, CASE WHEN x0 < 20 THEN 17.5 ELSE 20.0 END AS b, {VECTOR_LEAF} AS b1 FROM leafed)
+SELECT q, i, round(a - 0.4, 6)::DOUBLE AS a0, round(a1 - a, 6)::DOUBLE AS a1, round(b - 19.0, 6)::DOUBLE AS b0, round(b1 - b, 6)::DOUBLE AS b1, 18.8::DOUBLE AS bias FROM s""")
+def saabas_vector_leaf(spark, sf_dir):
+    """Each output of a vector leaf has attributions of its own."""
+    got = vector_model().predict(tree_frame(spark, sf_dir), "approx_contribution")
+    part = lambda o, k: r(F.get(F.get("prediction", F.lit(o)), F.lit(k)))
+    return got.select("q", "i", part(0, 0).alias("a0"), part(0, 1).alias("a1"), part(1, 0).alias("b0"), part(1, 1).alias("b1"), part(1, 2).alias("bias"))
+
+
 SHAP_SQL = f"""WITH {TREE_SQL}, v AS (SELECT q, i, {LEAF_CASE} AS whole, CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END AS only0,
   0.4 * CASE WHEN x1 IS NULL OR x1 < 0.05 THEN 1.5 ELSE -0.5 END + 0.6 * CASE WHEN x1 < 0.03 THEN 2.0 ELSE -1.0 END AS only1, 0.4 AS none FROM leafed)
 SELECT q, i, round((only0 - none + whole - only1) / 2, 6)::DOUBLE AS c0, round((only1 - none + whole - only0) / 2, 6)::DOUBLE AS c1, 0.5::DOUBLE AS bias FROM v"""
@@ -549,17 +626,6 @@ def refresh_fixed_tree(spark, sf_dir):
     return got.select("leaf", "n", r(F.col("g"), 3).alias("g"), r(0.3 * S.weight(F.col("g"), F.col("n").cast("double"))).alias("value"))
 
 
-for _kind, _values in (("weight", (1.0, 2.0)), ("total_gain", (12.0, 8.0)), ("gain", (12.0, 4.0)), ("total_cover", (100.0, 100.0)), ("cover", (100.0, 50.0))):
-    query(f"SELECT * FROM (VALUES (0, {_values[0]}::DOUBLE), (1, {_values[1]}::DOUBLE)) v(split_index, {_kind})", f"importance_{_kind}")(lambda spark, sf_dir, k=_kind: importance(fixed_model().trees_table(spark), k))
-
-
-@query("SELECT * FROM (VALUES (0, 1, 2, 0.0::DOUBLE), (1, -1, -1, 0.075::DOUBLE), (2, 5, 6, 0.0::DOUBLE), (5, -1, -1, 2.0::DOUBLE), (6, -1, -1, -1.0::DOUBLE)) v(node, lft, rgt, value)")
-def prune_fixed_tree(spark, sf_dir):
-    tree = fixed_tree()
-    tree.prune(4.0, 0.3)
-    return Model("gbtree", "reg:squarederror", {}, 2, 1, [0.0], [Stump(tree, 0)]).trees_table(spark).where("NOT deleted").select("node", "lft", "rgt", r(F.get("leaf_value", F.lit(0))).alias("value"))
-
-
 @query("SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS label, l_discount AS v1, CASE WHEN l_tax > 0.04 THEN l_tax END AS v3 FROM lineitem")
 def source_libsvm(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -568,6 +634,15 @@ def source_libsvm(spark, sf_dir):
     return got.where("bad IS NULL").select("row_id", "label", F.try_element_at("entries", F.lit(1)).alias("v1"), F.try_element_at("entries", F.lit(3)).alias("v3"))
 
 
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS label, l_discount AS x0, 1 AS width FROM lineitem")
+def source_libsvm_one_column(spark, sf_dir):
+    """Lines whose largest index is 0 have one column."""
+    li = table(spark, sf_dir, "lineitem")
+    text = F.concat(F.col("l_quantity").cast("string"), F.lit(" 0:"), F.col("l_discount").cast("string"))
+    frame = from_libsvm_lines(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), text.alias("value")))
+    return frame.df.select("row_id", F.get("label", F.lit(0)).alias("label"), F.get("features", F.lit(0)).alias("x0"), F.lit(frame.width).alias("width"))
+
+
 @query("SELECT o_orderkey AS row_id, o_totalprice AS x0, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::DOUBLE END AS x1 FROM orders")
 def source_sparse(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
@@ -651,11 +726,220 @@ def depth2_query(name, params):
     query(DEPTH2_SQL, name)(run)
 
 
+def depth2_model(spark, sf_dir, rounds=1, **params):
+    from .train import train
+
+    li = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")))
+    frame = from_dense(li, list(FEATURES), F.monotonically_increasing_id()).with_labels(F.col("l_extendedprice") / 1000)
+    return train({"max_depth": 2, "disable_default_eval_metric": True, **params}, frame, rounds), frame
+
+
+def margin_counts(model, frame):
+    return model.predict(frame, "margin").groupBy(r(F.get("prediction", F.lit(0)), 4).alias("margin")).agg(F.count("*").alias("n"))
+
+
 depth2_query("tree_hist", {})
-depth2_query("tree_approx", {"tree_method": "approx"})
 depth2_query("tree_exact", {"tree_method": "exact"})
-depth2_query("tree_lossguide", {"grow_policy": "lossguide", "max_leaves": 4})
-depth2_query("tree_dart", {"booster": "dart", "rate_drop": 0.5})
+
+# Of the two children only the one of the larger gain is split.
+THREE_LEAVES_SQL = DEPTH2_SQL.replace("ends AS (SELECT rid, s.part, CASE WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes, b.g, b.h FROM side s JOIN b2 x USING (part) JOIN binned b USING (rid) WHERE b.f = x.f)", """b3 AS (SELECT * FROM b2 ORDER BY gain DESC LIMIT 1),
+ends AS (SELECT rid, s.part, CASE WHEN x.f IS NULL THEN NULL WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes, b.g, b.h FROM side s LEFT JOIN b3 x USING (part) JOIN binned b USING (rid) WHERE b.f = coalesce(x.f, 0))""")
+
+
+@query(THREE_LEAVES_SQL)
+def tree_lossguide(spark, sf_dir):
+    """Three leaves: the queue splits the child that gains more and leaves the other one."""
+    return margin_counts(*depth2_model(spark, sf_dir, grow_policy="lossguide", max_leaves=3))
+
+
+@query(THREE_LEAVES_SQL)
+def prune_fixed_tree(spark, sf_dir):
+    """A depthwise tree whose split of the smaller gain is pruned has the same three leaves."""
+    model, frame = depth2_model(spark, sf_dir)
+    tree = model.stumps[0].tree
+    low, high = sorted(tree.nodes[c].gain for c in (tree.nodes[0].left, tree.nodes[0].right))
+    tree.prune((low + high) / 2, 0.3)
+    return margin_counts(model, frame)
+
+
+@query(DEPTH2_SQL.replace("SELECT round(b + v, 4) AS margin", "SELECT round(b + v * 2 / 1.3, 4) AS margin"))
+def tree_dart(spark, sf_dir):
+    """Two rounds, the second without the first one's tree: it grows the same tree, and both weigh 1 / (1 + eta)."""
+    return margin_counts(*depth2_model(spark, sf_dir, booster="dart", rate_drop=1.0, rounds=2))
+
+
+IMPORTANCE_SQL = DEPTH2_SQL[: DEPTH2_SQL.index(",\nends AS")] + ", i AS (SELECT f AS split_index, gain, (SELECT count(*) FROM rows)::DOUBLE AS cover FROM best UNION ALL SELECT f, gain, th FROM b2) "
+for _kind, _sql in (("weight", "1000 * count(*)::DOUBLE"), ("total_gain", "sum(gain)"), ("gain", "avg(gain)"), ("total_cover", "sum(cover)"), ("cover", "avg(cover)")):
+    query(f"{IMPORTANCE_SQL} SELECT split_index, round({_sql} / 1000, 2) AS {_kind} FROM i GROUP BY split_index", f"importance_{_kind}")(
+        lambda spark, sf_dir, k=_kind: importance(depth2_model(spark, sf_dir)[0].trees_table(spark), k).select("split_index", r(F.col(k) / (1 if k == "weight" else 1000), 2).alias(k))
+    )
+
+
+# ---- stumps of several outputs and rounds
+
+
+def stump_sql(p: str, gh: str) -> str:
+    """Tables of the best split of depth 1 by output k, of gradients gh (k, rid, g, h) over `binned`: {p}b the splits, {p}s the side of each row, {p}l leaf values."""
+    return f"""{p}h AS (SELECT k, f, bin, sum(e.g) AS g, sum(e.h) AS h, count(*) AS n FROM binned JOIN {gh} e USING (rid) GROUP BY k, f, bin),
+{p}t AS (SELECT k, sum(g) AS tg, sum(h) AS th FROM {p}h WHERE f = 0 GROUP BY k),
+{p}p AS (SELECT k, f, bin, sum(g) OVER w AS lg, sum(h) OVER w AS lh, max(bin) OVER (PARTITION BY k, f) AS last FROM {p}h WHERE bin IS NOT NULL WINDOW w AS (PARTITION BY k, f ORDER BY bin)),
+{p}c AS (SELECT p.k, p.f, p.bin, d.dl, p.lg + CASE WHEN d.dl THEN m.g ELSE 0 END AS lg, p.lh + CASE WHEN d.dl THEN m.h ELSE 0 END AS lh, t.tg, t.th
+  FROM {p}p p JOIN {p}t t USING (k) LEFT JOIN (SELECT * FROM {p}h WHERE bin IS NULL) m ON m.k = p.k AND m.f = p.f, (VALUES (TRUE), (FALSE)) d(dl) WHERE NOT d.dl OR (m.n > 0 AND p.bin < p.last)),
+{p}g AS (SELECT *, lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1) AS gain FROM {p}c WHERE lh >= 1 AND th - lh >= 1),
+{p}b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(gain, 7) DESC, f, dl, bin) AS o FROM {p}g) WHERE o = 1),
+{p}s AS (SELECT b.rid, x.k, CASE WHEN b.bin IS NULL THEN x.dl ELSE b.bin <= x.bin END AS goes FROM binned b JOIN {p}b x ON b.f = x.f),
+{p}l AS (SELECT s.k, s.goes, -0.3 * sum(e.g) / (sum(e.h) + 1) AS v FROM {p}s s JOIN {gh} e USING (rid, k) GROUP BY s.k, s.goes)"""
+
+
+FLAG_SQL = LONG_SQL.replace("l_extendedprice / 1000 AS y FROM", "l_extendedprice / 1000 AS y, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS cls, 1 + l_tax * 10 AS w FROM")
+
+
+def flag_frame(spark, sf_dir, label, weight=None):
+    li = table(spark, sf_dir, "lineitem").withColumn("x_tax", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax")))
+    frame = from_dense(li, ["l_quantity", "l_discount", "x_tax"], F.monotonically_increasing_id()).with_labels(label)
+    return frame if weight is None else frame.with_weights(weight)
+
+
+@query(f"""WITH {FLAG_SQL}, z AS (SELECT ln(a / (1 - a)) AS b0 FROM (SELECT sum(w * (cls = 2)::INT) / sum(w) AS a FROM rows)),
+g1 AS (SELECT 0 AS k, rid, (1 / (1 + exp(-b0)) - (cls = 2)::INT) * w AS g, 1 / (1 + exp(-b0)) * (1 - 1 / (1 + exp(-b0))) * w AS h FROM rows, z), {stump_sql('u', 'g1')},
+m1 AS (SELECT rid, b0 + v AS m FROM z, us JOIN ul USING (k, goes)),
+g2 AS (SELECT 0 AS k, rid, (1 / (1 + exp(-m)) - (cls = 2)::INT) * w AS g, 1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) * w AS h FROM rows JOIN m1 USING (rid)), {stump_sql('c', 'g2')}
+SELECT round(m + v, 4) AS margin, count(*) AS n FROM m1 JOIN cs USING (rid) JOIN cl USING (k, goes) GROUP BY 1""")
+def tree_approx(spark, sf_dir):
+    """Two rounds of weighted logistic stumps: the second one's cuts and sums are of other hessians."""
+    from .train import train
+
+    frame = flag_frame(spark, sf_dir, (F.col("l_returnflag") == "R").cast("int"), 1 + F.col("l_tax") * 10)
+    return margin_counts(train({"max_depth": 1, "objective": "binary:logistic", "tree_method": "approx", "disable_default_eval_metric": True}, frame, 2), frame)
+
+
+@query(f"""WITH {FLAG_SQL}, c0 AS (SELECT k, ln(count(*)::DOUBLE / (SELECT count(*) FROM rows)) AS l FROM rows, (VALUES (0), (1), (2)) v(k) WHERE cls = k GROUP BY k), c1 AS (SELECT k, l - avg(l) OVER () AS m FROM c0),
+c2 AS (SELECT k, m, exp(m) / sum(exp(m)) OVER () AS p FROM c1),
+gk AS (SELECT k, rid, p - (cls = k)::INT AS g, greatest(2 * p * (1 - p), 1e-16) AS h FROM rows, c2), {stump_sql('t', 'gk')},
+o AS (SELECT rid, k, m + v AS m FROM ts JOIN tl USING (k, goes) JOIN c2 USING (k)),
+w3 AS (SELECT rid, max(CASE WHEN k = 0 THEN m END) AS m0, max(CASE WHEN k = 1 THEN m END) AS m1, max(CASE WHEN k = 2 THEN m END) AS m2 FROM o GROUP BY rid)
+SELECT round(m0, 4) AS m0, round(m1, 4) AS m1, round(m2, 4) AS m2, count(*) AS n FROM w3 GROUP BY ALL""")
+def softprob_round_1(spark, sf_dir):
+    """A stump a class after the first round of three classes."""
+    from .train import train
+
+    frame = flag_frame(spark, sf_dir, F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0))
+    model = train({"max_depth": 1, "objective": "multi:softprob", "num_class": 3, "disable_default_eval_metric": True}, frame, 1)
+    return model.predict(frame, "margin").groupBy(*[r(F.get("prediction", F.lit(k)), 4).alias(f"m{k}") for k in range(3)]).agg(F.count("*").alias("n"))
+
+
+def linear_sql() -> str:
+    """One round of coordinate descent: the bias, then each feature on the gradient that is left."""
+    x = ("x0", "x1", "x2")
+    out = ["r AS (SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_extendedprice / 10000 AS y FROM lineitem)", "s AS (SELECT avg(y) AS b, count(*)::DOUBLE AS n, " + ", ".join(f"sum({a}) AS s_{a}" for a in x) + ", " + ", ".join(f"sum({a} * {b}) AS s_{a}{b}" for a in x for b in x) + ", sum(y) AS sy, " + ", ".join(f"sum({a} * y) AS sy_{a}" for a in x) + " FROM r)"]
+    out.append("t0 AS (SELECT *, -0.5 * (b * n - sy) / n AS db, " + ", ".join(f"b * s_{a} - sy_{a} + s_{a} * (-0.5 * (b * n - sy) / n) AS g_{a}" for a in x) + " FROM s)")
+    for i, a in enumerate(x):
+        out.append(f"t{i + 1} AS (SELECT * EXCLUDE ({', '.join('g_' + b for b in x)}), -0.5 * g_{a} / s_{a}{a} AS d_{a}, " + ", ".join(f"g_{b} + s_{a}{b} * (-0.5 * g_{a} / s_{a}{a}) AS g_{b}" for b in x) + f" FROM t{i})")
+    picks = " UNION ALL ".join(f"SELECT {i} AS f, round({c}, 6) AS weight FROM t3" for i, c in enumerate(("d_x0", "d_x1", "d_x2", "db")))
+    return f"WITH {', '.join(out)} {picks}"
+
+
+@query(linear_sql())
+def linear_round_1(spark, sf_dir):
+    """Weights after one round of a linear model; the last is the bias."""
+    from .train import train
+
+    model = train({"booster": "gblinear", "disable_default_eval_metric": True}, price_frame(spark, sf_dir), 1)
+    return spark.createDataFrame([(f, float(w)) for f, w in enumerate(model.linear[:, 0])], "f int, weight double").select("f", r(F.col("weight")).alias("weight"))
+
+
+def batches_sql() -> str:
+    """One round of shotgun in two batches of rows: the bias on all, then both features on each batch's own residuals."""
+    out = ["o AS (SELECT o_orderkey AS id, max(o_custkey)::DOUBLE / 100 AS x0, min(o_totalprice) / 100000 AS x1, max(o_totalprice) / 50000 AS y FROM orders GROUP BY o_orderkey)",
+           "r AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY id) <= (SELECT (count(*) + 1) // 2 FROM o) THEN 0 ELSE 1 END AS p, (SELECT avg(y) FROM o) AS b FROM o)",
+           "z AS (SELECT -0.5 * sum(b - y) / count(*) AS db FROM r)",
+           "s AS (SELECT p, db, " + ", ".join(f"sum((b - y + db) * {a}) AS g_{a}" for a in ("x0", "x1")) + ", sum(x0 * x0) AS s00, sum(x0 * x1) AS s01, sum(x1 * x1) AS s11 FROM r, z GROUP BY p, db)",
+           "a AS (SELECT -0.5 * g_x0 / s00 AS w0, -0.5 * (g_x1 + s01 * (-0.5 * g_x0 / s00)) / s11 AS w1, db FROM s WHERE p = 0)",
+           "c AS (SELECT w0 + -0.5 * g_x0 / s00 AS w0, w1 + -0.5 * (g_x1 + s01 * (-0.5 * g_x0 / s00)) / s11 AS w1, s.db FROM s, a WHERE p = 1)"]
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT {i} AS f, round({c}, 6) AS weight FROM c" for i, c in enumerate(("w0", "w1", "db")))
+
+
+@query(batches_sql())
+def linear_batches_round_1(spark, sf_dir):
+    """Weights after a round of shotgun over two batches of rows; the last is the bias."""
+    from .train import train
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("id")).agg((F.max("o_custkey").cast("double") / 100).alias("x0"), (F.min("o_totalprice") / 100000).alias("x1"), (F.max("o_totalprice") / 50000).alias("y"))
+    frame = from_dense(orders, ["x0", "x1"], F.col("id")).with_labels(F.col("y"))
+    model = train({"booster": "gblinear", "max_row_perbatch": (orders.count() + 1) // 2, "disable_default_eval_metric": True}, frame, 1)
+    return spark.createDataFrame([(f, float(w)) for f, w in enumerate(model.linear[:, 0])], "f int, weight double").select("f", r(F.col("weight")).alias("weight"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS row_id, max(o_totalprice) AS x0, CASE WHEN o_orderkey % 2 = 0 THEN max(o_custkey)::DOUBLE END AS x1 FROM orders GROUP BY o_orderkey),
+n AS (SELECT *, ((row_number() OVER (ORDER BY row_id) - 1) // 1000)::INT AS batch FROM o), c AS (SELECT batch, 0 AS f, row_id, x0 AS v FROM n UNION ALL SELECT batch, 1, row_id, x1 FROM n WHERE x1 IS NOT NULL)
+SELECT batch, f, (row_number() OVER (PARTITION BY batch, f ORDER BY v, row_id) - 1)::INT AS rank, row_id, v FROM c""")
+def source_column_pages(spark, sf_dir):
+    """Columns of batches of 1000 rows, each by value."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.max("o_totalprice").alias("x0"), F.when(F.col("o_orderkey") % 2 == 0, F.max("o_custkey").cast("double")).alias("x1"))
+    return from_dense(orders, ["x0", "x1"], F.col("o_orderkey")).column_pages(1000)
+
+
+@query(f"""WITH {BASE_SQL}, v AS (SELECT sqrt(pow(({SIG} - yb) * w, 2) + 0.1 * pow({SIG} * (1 - {SIG}) * w, 2)) AS s FROM base), c AS (SELECT s, count(*) AS c, sum(s) AS t FROM v GROUP BY s),
+k AS (SELECT s, sum(t) OVER w AS under, coalesce(sum(c) OVER (ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS over_, lead(s) OVER w AS nxt FROM c WINDOW w AS (ORDER BY s)),
+u AS (SELECT s, nxt, CASE WHEN floor(0.3 * (SELECT count(*) FROM base)) > over_ THEN under / (floor(0.3 * (SELECT count(*) FROM base)) - over_) END AS u FROM k) SELECT round(min(u), 6) AS value FROM u WHERE u > s AND (nxt IS NULL OR u <= nxt)""")
+def sample_threshold(spark, sf_dir):
+    """The gradient size from which rows are always drawn, for a share of 0.3."""
+    from .train import sampling_threshold
+
+    g, h = of("binary:logistic", "yb")()
+    w = F.col("w")
+    sizes = base(spark, sf_dir).select(F.sqrt(F.pow(g * w, 2) + 0.1 * F.pow(h * w, 2)).alias("s"))
+    return spark.createDataFrame([(sampling_threshold(sizes, 0.3),)], "value double").select(r(F.col("value")).alias("value"))
+
+
+# ---- search over all values, and over many sparse features
+
+
+def values_sql(rows: str, entries: str, threshold: str, gap: str) -> str:
+    """The best split over all distinct values. rows: row, y; entries: f, row, v of what is present."""
+    gain = "lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1)"
+    return f"""WITH r AS MATERIALIZED ({rows}), n AS MATERIALIZED ({entries}), b AS (SELECT avg(y) AS b FROM r), t AS (SELECT sum(b - y) AS tg, count(*)::DOUBLE AS th FROM r, b),
+v AS (SELECT f, v, sum(b - y) AS g, count(*)::DOUBLE AS h FROM n JOIN r USING (row), b GROUP BY f, v), m AS (SELECT f, tg - sum(g) AS mg, th - sum(h) AS mh FROM v, t GROUP BY f, tg, th),
+c AS (SELECT f, v, lead(v) OVER w AS nxt, sum(g) OVER w AS lg, sum(h) OVER w AS lh FROM v WINDOW w AS (PARTITION BY f ORDER BY v)),
+k AS (SELECT c.f, {threshold} AS threshold, d.dl, lg + CASE WHEN dl THEN mg ELSE 0 END AS lg, lh + CASE WHEN dl THEN mh ELSE 0 END AS lh FROM c JOIN m USING (f), (VALUES (TRUE), (FALSE)) d(dl) WHERE nxt IS NOT NULL AND (mh > 0 OR NOT dl)
+  UNION ALL SELECT c.f, v + (abs(v) + {gap}), FALSE, lg, lh FROM c WHERE nxt IS NULL),
+x AS (SELECT *, {gain} AS gain FROM k, t WHERE lh >= 1 AND th - lh >= 1), best AS (SELECT * FROM x ORDER BY gain DESC, f, dl, threshold LIMIT 1)
+SELECT f, round(threshold, 6) AS threshold, round(gain, 2) AS gain, lh::BIGINT AS n_left, round(b - 0.3 * lg / (lh + 1), 6) AS left_margin, round(b - 0.3 * (tg - lg) / (th - lh + 1), 6) AS right_margin FROM best, b"""
+
+
+def root_split(spark, model, frame):
+    """What values_sql gives, of a trained stump: its split, and how many of the frame's rows go left."""
+    tree = model.stumps[0].tree
+    root, base = tree.nodes[0], model.base_score[0]
+    left = model.predict(frame, "leaf").where(F.get("prediction", F.lit(0)) == root.left).agg(F.count("*").alias("n_left"))
+    value = lambda i: r(F.lit(base + float(tree.nodes[i].value)))
+    return left.select(F.lit(root.feature).alias("f"), r(F.lit(float(root.threshold))).alias("threshold"), r(F.lit(root.gain), 2).alias("gain"), "n_left", value(root.left).alias("left_margin"), value(root.right).alias("right_margin"))
+
+
+EXACT_ROWS = "SELECT row_number() OVER () AS row, l_extendedprice AS x0, CASE WHEN l_linenumber % 4 <> 0 THEN l_extendedprice * (1 - l_discount) END AS x1, l_quantity + 20 * sin(l_extendedprice / 5000) AS y FROM lineitem"
+
+
+@query(values_sql(EXACT_ROWS, "SELECT row, 0 AS f, x0 AS v FROM r UNION ALL SELECT row, 1, x1 FROM r WHERE x1 IS NOT NULL", "(v + nxt) / 2", "1e-6"))
+def tree_exact_continuous(spark, sf_dir):
+    """Exact search over prices, of which nearly all differ."""
+    from .train import train
+
+    li = table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice")
+    frame = from_dense(li, [price, F.when(F.col("l_linenumber") % 4 != 0, price * (1 - F.col("l_discount")))], F.monotonically_increasing_id()).with_labels(F.col("l_quantity") + 20 * F.sin(price / 5000))
+    return root_split(spark, train({"max_depth": 1, "tree_method": "exact", "disable_default_eval_metric": True}, frame, 1), frame)
+
+
+@query(values_sql("SELECT o_orderkey AS row, sum(o_totalprice) / 1000 AS y FROM orders GROUP BY o_orderkey", "SELECT l_orderkey AS row, l_partkey AS f, max(l_quantity) AS v FROM lineitem JOIN r ON l_orderkey = r.row GROUP BY ALL", "nxt", "1e-5"))
+def tree_sparse(spark, sf_dir):
+    """A stump over orders whose features are the parts ordered, as many as there are parts."""
+    from .train import train
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("row_id")).agg((F.sum("o_totalprice") / 1000).alias("y"))
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("f"), F.col("l_quantity").alias("v"))
+    width = parts.agg(F.max("f")).first()[0] + 1
+    frame = from_long(parts, width, orders).with_labels(F.col("y"))
+    return root_split(spark, train({"max_depth": 1, "disable_default_eval_metric": True}, frame, 1), frame)
 
 
 def flagship(spark, sf_dir):

@@ -210,7 +210,7 @@ class Model:
             for s in stumps:
                 if s.group != k and len(np.atleast_1d(s.tree.nodes[0].value)) == 1:
                     continue
-                out += s.weight * (explain.saabas(s.tree, x, hidden) if kind.startswith("approx") else explain.shap(s.tree, x, k, hidden))
+                out += s.weight * (explain.saabas(s.tree, x, k, hidden) if kind.startswith("approx") else explain.shap(s.tree, x, k, hidden))
             return out
 
         def run(batches):

@@ -30,7 +30,7 @@ DEFAULTS: dict = {
 }
 
 #: Accepted and without effect: Spark does what they tune.
-INERT = ("nthread", "max_cached_hist_node", "sparse_threshold", "debug_synchronize", "use_rmm", "fail_on_invalid_gpu_id", "max_row_perbatch")
+INERT = ("nthread", "max_cached_hist_node", "sparse_threshold", "debug_synchronize", "use_rmm", "fail_on_invalid_gpu_id")
 ALIASES = {"learning_rate": "eta", "min_split_loss": "gamma", "reg_lambda": "lambda", "reg_alpha": "alpha", "random_state": "seed"}
 
 _RANGES = {
@@ -85,8 +85,9 @@ class Params(dict):
             raise ValueError("multi_output_tree needs tree_method hist")
         if self["linear_updater"] == "shotgun" and self["feature_selector"] not in ("cyclic", "shuffle"):
             raise ValueError("shotgun takes only the selectors cyclic and shuffle")
-        if self["booster"] == "gblinear" and self["linear_updater"] == "shotgun" and self["max_row_perbatch"] is not None:
-            raise ValueError("max_row_perbatch is not available: shotgun takes all rows as one batch")
+        batch = self["max_row_perbatch"]
+        if batch is not None and (isinstance(batch, bool) or not isinstance(batch, int) or batch < 1):
+            raise ValueError(f"max_row_perbatch must be a whole number from 1 on, got {batch!r}")
         pairs = self["lambdarank_num_pair_per_sample"]
         if pairs is not None and (isinstance(pairs, bool) or not isinstance(pairs, int) or pairs < 1):
             raise ValueError(f"lambdarank_num_pair_per_sample must be a whole number from 1 on, got {pairs!r}")

@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import metrics, objectives
 from ..functions.objectives import InvalidLabel, Objective
+from ..functions.running import numbered, ranged, running
 from ..functions.scalar import num
 from ..operators import linear
 from ..operators.cuts import bin_array, feature_cuts
@@ -57,6 +59,49 @@ def slim(frame: Frame) -> Frame:
     return replace(frame, df=frame.df.select(*[c for c in COLUMNS if c in frame.df.columns]))
 
 
+#: Values that one window of the search for the sampling threshold may hold.
+MOST_VALUES = 100_000
+
+
+def sampling_threshold(sizes: DataFrame, share: float) -> float:
+    """The u at which the sum of min(1, s / u) over all s is share of the rows, exactly. sizes: s.
+
+    Sums by range of values tell which range holds u; ranges are cut again while that one holds too many
+    distinct values, and then one window over its values finds u. Equal values are one row from the start.
+    """
+    values = sizes.groupBy("s").agg(F.count("*").alias("c"), F.sum("s").alias("t"))
+    n, total = values.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), num(0))).first()
+    want, below, above = int(share * n), 0.0, 0  # the sum of values under the range, the number of rows over it
+    if want == 0:
+        return math.inf
+    expected = lambda s, under, over: under / s + over if s > 0 else math.inf
+    while values.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        parts = ranged(values, "s").groupBy("__range").agg(F.max("s").alias("top"), F.min("s").alias("low"), F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy("__range").collect()
+        under, over, found = below, above + sum(r["c"] for r in parts), None
+        for r in parts:
+            start, under, over = under, under + r["t"], over - r["c"]
+            if expected(r["top"], under, over) <= want:
+                found = (r, start, over)
+                break
+        if found is None:  # over the highest value
+            return (below + sum(r["t"] for r in parts)) / (want - above)
+        r, below, above = found
+        values = values.where(F.col("s").between(r["low"], r["top"]))
+        if len(parts) == 1:
+            break
+    low, rows = values.agg(F.min("s"), F.sum("c")).first()
+    if want > above + rows and below / (want - above - rows) <= low:  # between the range before and this one
+        return below / (want - above - rows)
+    run = W.orderBy("s")  # at most MOST_VALUES, or one value
+    inside = values.select("s", "c", F.sum("t").over(run).alias("under"), F.sum("c").over(run.rowsBetween(1, W.unboundedFollowing)).alias("over"), F.lead("s").over(run).alias("next"))
+    left = F.lit(want) - F.coalesce("over", F.lit(0)) - above
+    u = F.when(left > 0, (F.col("under") + below) / F.nullif(left, F.lit(0)))
+    got = inside.withColumn("u", u).where((F.col("u") > F.col("s")) & (F.col("next").isNull() | (F.col("u") <= F.col("next")))).orderBy("s").first()
+    if got:
+        return float(got["u"])
+    return float(total / want)
+
+
 #: Rows of a task above which training deals rows anew, if other tasks have much fewer.
 MOST_ROWS = 50_000
 
@@ -105,7 +150,10 @@ class Trainer:
         if params["booster"] == "gblinear":
             self.model.linear = base.linear.copy() if base and base.linear is not None else np.zeros((frame.width + 1, self.outputs))
         if params["booster"] == "gblinear":
-            self.start = self.model.start(frame.df).persist()  # margins are made anew of it each round
+            rows = frame.df
+            if params["max_row_perbatch"] and params["linear_updater"] == "shotgun":
+                rows = numbered(rows, "row_id", "batch").withColumn("batch", F.floor(F.col("batch") / int(params["max_row_perbatch"])).cast("int"))
+            self.start = self.model.start(rows).persist()  # margins are made anew of it each round
             self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin")))
         else:
             self.state = self.model.margins(frame, stumps=self.model.stumps)
@@ -192,12 +240,11 @@ class Trainer:
         y = F.get("label", F.lit(0))
         if self.frame.df.agg(F.min("weight") == F.max("weight")).first()[0]:
             return float(self.frame.df.agg(F.percentile(y, alpha)).first()[0])
-        steps = self.frame.df.groupBy(y.alias("y")).agg(F.sum("weight").alias("w"))
-        from pyspark.sql.window import Window as W
-
-        steps = steps.withColumns({"c": F.sum("w").over(W.orderBy("y")), "t": F.sum("w").over(W.partitionBy())})
-        got = steps.where(F.col("c") >= alpha * F.col("t")).orderBy("y").limit(2).collect()
-        if len(got) > 1 and got[0]["c"] == alpha * got[0]["t"]:
+        steps = running(self.frame.df.groupBy(y.alias("y")).agg(F.sum("weight").alias("w")), "y", {"c": F.col("w")})
+        got = steps.where(F.col("c") >= alpha * self.weight).orderBy("y").limit(2).collect()
+        if not got:  # the last sum falls short by rounding
+            return float(steps.agg(F.max("y")).first()[0])
+        if len(got) > 1 and got[0]["c"] == alpha * self.weight:
             return (got[0]["y"] + got[1]["y"]) / 2
         return float(got[0]["y"])
 
@@ -270,14 +317,9 @@ class Trainer:
         if p["sampling_method"] == "uniform":
             return df.withColumns({c: F.when(u < share, F.col(c)).otherwise(zero(c)) for c in ("g", "h")})
         size = F.sqrt(F.aggregate(F.zip_with("g", "h", lambda a, b: a * a + 0.1 * b * b), num(0), lambda a, x: a + x))
-        n, top = df.agg(F.count("*"), F.max(size)).first()
-        lo, hi = (top or 0) * 1e-9, (top or 0) * 1e6
-        for _ in range(4):  # the expected number of rows falls with the threshold
-            grid = np.geomspace(max(lo, 1e-300), max(hi, 1e-299), 33)
-            sums = df.agg(*[F.sum(F.least(num(1), size / float(t))).alias(f"s{i}") for i, t in enumerate(grid)]).first()
-            i = next((i for i in range(33) if sums[i] < share * n), 32)
-            lo, hi = grid[max(i - 1, 0)], grid[i]
-        prob = F.least(num(1), size / float(hi))
+        threshold = sampling_threshold(df.select(size.alias("s")), share)
+        # An infinite threshold is an empty budget; one of 0 keeps what has a gradient.
+        prob = F.least(num(1), size / max(threshold, objectives.RT_EPS))
         return df.withColumns({c: F.when(u < prob, F.transform(c, lambda x: x / prob)).otherwise(zero(c)) for c in ("g", "h")})
 
     def quantised(self, df: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
@@ -410,8 +452,14 @@ class Trainer:
 
     def linear_round(self) -> None:
         p = self.params
-        a, b = linear.moments(self.gradients(self.state).select("features", "g", "h"), self.frame.width, self.outputs)
-        largest = linear.descend(self.model.linear, a, b, eta=p["eta"], lam=p["lambda"], alpha=p["alpha"], total=self.weight, selector=p["feature_selector"], top_k=p["top_k"], rng=self.rng)
+        grads = self.gradients(self.state)
+        settings = {"eta": p["eta"], "lam": p["lambda"], "alpha": p["alpha"], "total": self.weight, "selector": p["feature_selector"], "top_k": p["top_k"], "rng": self.rng}
+        if p["max_row_perbatch"] and p["linear_updater"] == "shotgun":
+            bias = linear.bias_sums(grads, self.outputs)
+            largest = linear.descend_batches(self.model.linear, bias, linear.batch_moments(grads.select("batch", "features", "g", "h"), self.frame.width, self.outputs), **settings)
+        else:
+            a, b = linear.moments(grads.select("features", "g", "h"), self.frame.width, self.outputs)
+            largest = linear.descend(self.model.linear, a, b, **settings)
         self.converged = p["tolerance"] > 0 and largest <= p["tolerance"]
         self.state.unpersist()
         self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin"))).persist()

@@ -11,6 +11,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions.running import numbered
 
 NUMERIC, CATEGORICAL = "q", "c"
 _KINDS = {"int": NUMERIC, "float": NUMERIC, "i": NUMERIC, "q": NUMERIC, "c": CATEGORICAL}
@@ -108,6 +111,19 @@ class Frame:
             return self.df.select("row_id", F.explode("entries").alias("e")).select("e.f", "row_id", "e.v")
         return self.df.select("row_id", F.posexplode("features").alias("f", "v")).where("v IS NOT NULL").select("f", "row_id", "v")
 
+    def column_pages(self, rows_per_batch: int) -> DataFrame:
+        """batch, f, rank, row_id, v: each column of each batch of rows (in the order of row_id) by rising value, in the partition of its batch and column."""
+        if rows_per_batch < 1:
+            raise ValueError("a batch holds one row at least")
+        held = numbered(self.df.select("row_id", "entries" if self.sparse else "features"), "row_id", "__n")
+        batch = F.floor(F.col("__n") / rows_per_batch).cast("int").alias("batch")
+        if self.sparse:
+            cells = held.select(batch, "row_id", F.explode("entries").alias("e")).select("batch", "row_id", "e.f", "e.v")
+        else:
+            cells = held.select(batch, "row_id", F.posexplode("features").alias("f", "v")).where("v IS NOT NULL")
+        rank = F.row_number().over(W.partitionBy("batch", "f").orderBy("v", "row_id")) - 1  # of a batch's rows at most
+        return cells.select("batch", "f", rank.alias("rank"), "row_id", "v")
+
 
 def from_dense(df: DataFrame, columns: Sequence[Column | str], row_id: Column | str, missing: float | None = None) -> Frame:
     """Named numeric columns as a frame; keeps df's other columns out."""
@@ -156,7 +172,11 @@ def parse_libsvm(lines: DataFrame, text: str = "value", row_id: str = "row_id")
 
 def from_libsvm(spark: SparkSession, path: str, width: int | None = None) -> Frame:
     """`label index:value ...` lines; indices are taken as they stand, counted from 0."""
-    lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
+    return from_libsvm_lines(spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()), width)
+
+
+def from_libsvm_lines(lines: DataFrame, width: int | None = None) -> Frame:
+    """The same of lines at hand: row_id, value."""
     parsed = parse_libsvm(lines)
     bad = parsed.where("bad IS NOT NULL").orderBy("row_id").first()  # the first line of those that are wrong
     if bad:
