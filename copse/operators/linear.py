@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sparse import entry_arrays
+
 
 def moments(df: DataFrame, width: int, outputs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of g x (outputs, width + 1) and h x x' (outputs, width + 1, width + 1); the last x is 1, missing is 0.
@@ -84,6 +86,120 @@ def batch_moments(df: DataFrame, width: int, outputs: int) -> Iterator[tuple[np.
         yield flat[: outputs * n].reshape(outputs, n), flat[outputs * n :].reshape(outputs, n, n)
 
 
+#: Features whose products are summed together: a square of so many numbers in a task and on the driver.
+MOST = 2048
+
+
+def entries_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature, value of what a batch's rows hold, of dense or sparse rows."""
+    if "entries" in batch.schema.names:
+        return entry_arrays(batch.column("entries"))
+    flat = batch.column("features").flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    row, f = np.nonzero(flat)
+    return row, f, flat[row, f]
+
+
+def block_moments(df: DataFrame, block: np.ndarray, delta: np.ndarray, products: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of r x (outputs, block) and h x x' (outputs, block, block; only the squares if not products) over the features of a block.
+
+    df: features or entries, g, h. delta: (width + 1, outputs), what weights have moved by since g was computed; r = g + h x'delta is what
+    is left. A task holds one square of the block's size; its rows are added up by the row of the square.
+    """
+    m, outputs = len(block), delta.shape[1]
+    place = np.full(len(delta), -1, np.int64)
+    place[block] = np.arange(m)
+
+    def sums(batches):
+        a, b = np.zeros((outputs, m)), np.zeros((outputs, m, m) if products else (outputs, m))
+        for batch in batches:
+            row, f, v = entries_of(batch)
+            n = batch.num_rows
+            g, h = (np.array(batch.column(c).flatten(), float).reshape(-1, outputs) for c in ("g", "h"))
+            inside = place[f] >= 0
+            own, at, value = row[inside], place[f[inside]], v[inside]
+            order = np.argsort(own, kind="stable")
+            own, at, value = own[order], at[order], value[order]
+            held = np.bincount(own, minlength=n)
+            for k in range(outputs):
+                left = g[:, k] + h[:, k] * (np.bincount(row, v * delta[f, k], n) + delta[-1, k])
+                left, hess = np.where(h[:, k] >= 0, left, 0.0), np.maximum(h[:, k], 0.0)
+                a[k] += np.bincount(at, left[own] * value, m)
+                if not products:
+                    b[k] += np.bincount(at, hess[own] * value * value, m)
+                elif (held.astype(float) ** 2).sum() < 8.0 * n * m:  # few entries a row: their pairs
+                    first = np.repeat(np.cumsum(held) - held, held)
+                    many = held[own]
+                    i = np.repeat(np.arange(len(own)), many)
+                    j = np.repeat(first, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                    np.add.at(b[k].reshape(-1), at[i] * m + at[j], hess[own[i]] * value[i] * value[j])
+                else:
+                    for lo in range(0, n, 1024):
+                        part = (own >= lo) & (own < lo + 1024)
+                        x = np.zeros((min(1024, n - lo), m))
+                        np.add.at(x, (own[part] - lo, at[part]), value[part])
+                        b[k] += (x * hess[lo : lo + 1024, None]).T @ x
+        rows = [(k * m + i, a[k, i : i + 1].tobytes() + np.ascontiguousarray(b[k, i]).tobytes()) for k in range(outputs) for i in range(m) if a[k, i] or np.any(b[k, i])]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["i", "s"])
+
+    def added(batches):
+        at, total = None, None
+        for batch in batches:
+            out = []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        out.append((at, total.tobytes()))
+                    at, total = i, np.zeros(len(s) // 8)
+                total = total + np.frombuffer(s)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["i", "s"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["i", "s"])
+
+    held = "entries" if "entries" in df.columns else "features"
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.select(held, "g", "h").mapInArrow(sums, "i bigint, s binary").repartition(tasks, "i").sortWithinPartitions("i").mapInArrow(added, "i bigint, s binary")
+    a, b = np.zeros((outputs, m)), np.zeros((outputs, m, m) if products else (outputs, m))
+    for r in parts.collect():  # a square of the block's size
+        s = np.frombuffer(r["s"])
+        k, i = divmod(r["i"], m)
+        a[k, i], b[k, i] = s[0], s[1:] if products else s[1]
+    return a, b
+
+
+def descend_blocks(df: DataFrame, weights: np.ndarray, *, eta: float, lam: float, alpha: float, total: float, selector: str = "cyclic", top_k: int = 0, rng: random.Random | None = None) -> float:
+    """One round over any number of features, in blocks of MOST: the same steps as descend, a job for each block.
+
+    A block's gradients are summed anew from what earlier blocks have left, so no product between blocks is needed.
+    """
+    width, outputs = weights.shape[0] - 1, weights.shape[1]
+    scaled = {"lam": lam * total, "alpha": alpha * total}
+    if selector == "greedy":
+        raise ValueError(f"the selector greedy looks at all features after each step, which takes at most {MOST}")
+    delta = np.zeros_like(weights)
+    for k, (g, h) in enumerate(bias_sums(df, outputs)):
+        delta[-1, k] = eta * -g / h if h > 0 else 0.0
+    if selector == "thrifty":
+        a, square = block_moments(df, np.arange(width), delta, products=False)
+        first = np.array([[abs(step(a[k, f], square[k, f], weights[f, k], **scaled)) for f in range(width)] for k in range(outputs)])
+        orders = [np.argsort(-s, kind="stable")[: top_k or width] for s in first]
+    else:
+        orders = [np.array(list(order(selector, width, None, None, None, **scaled, top_k=top_k, rng=rng)), np.int64) for _ in range(outputs)]
+    size = MOST if selector == "cyclic" else max(1, MOST // outputs)  # outputs may have other features each
+    for lo in range(0, max(map(len, orders), default=0), size):
+        parts = [o[lo : lo + size] for o in orders]
+        block = np.unique(np.concatenate(parts))
+        place = {int(f): i for i, f in enumerate(block)}
+        a, b = block_moments(df, block, delta)
+        for k, part in enumerate(parts):
+            for f in part.tolist():
+                i = place[f]
+                d = eta * step(a[k, i], b[k, i, i], weights[f, k] + delta[f, k], scaled["alpha"], scaled["lam"])
+                delta[f, k] += d
+                a[k] += b[k][:, i] * d
+    weights += delta
+    return float(np.abs(delta).max(initial=0.0))
+
+
 def step(g: float, h: float, w: float, alpha: float, lam: float) -> float:
     if h < 1e-5:
         return 0.0

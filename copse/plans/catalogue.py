@@ -870,6 +870,18 @@ def linear_batches_round_1(spark, sf_dir):
     return spark.createDataFrame([(f, float(w)) for f, w in enumerate(model.linear[:, 0])], "f int, weight double").select("f", r(F.col("weight")).alias("weight"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS id, max(o_custkey) AS f, min(o_totalprice) / 100000 AS v, max(o_totalprice) / 50000 AS y FROM orders GROUP BY o_orderkey), b AS (SELECT avg(y) AS b FROM o),
+z AS (SELECT b, -0.5 * sum(b - y) / count(*) AS db FROM o, b GROUP BY b) SELECT f::BIGINT AS f, round(-0.5 * sum((b - y + db) * v) / sum(v * v), 6) AS weight FROM o, z GROUP BY f""")
+def linear_sparse_round_1(spark, sf_dir):
+    """A round of a linear model over orders whose one feature is the customer: weights of customers that have orders."""
+    from .train import train
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("row_id")).agg(F.max("o_custkey").alias("f"), (F.min("o_totalprice") / 100000).alias("v"), (F.max("o_totalprice") / 50000).alias("y"))
+    frame = from_long(orders.select("row_id", "f", "v"), orders.agg(F.max("f")).first()[0] + 1, orders.select("row_id", "y")).with_labels(F.col("y"))
+    model = train({"booster": "gblinear", "disable_default_eval_metric": True}, frame, 1)
+    return spark.createDataFrame([(f, float(w)) for f, w in enumerate(model.linear[:-1, 0]) if w], "f bigint, weight double").select("f", r(F.col("weight")).alias("weight"))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS row_id, max(o_totalprice) AS x0, CASE WHEN o_orderkey % 2 = 0 THEN max(o_custkey)::DOUBLE END AS x1 FROM orders GROUP BY o_orderkey),
 n AS (SELECT *, ((row_number() OVER (ORDER BY row_id) - 1) // 1000)::INT AS batch FROM o), c AS (SELECT batch, 0 AS f, row_id, x0 AS v FROM n UNION ALL SELECT batch, 1, row_id, x1 FROM n WHERE x1 IS NOT NULL)
 SELECT batch, f, (row_number() OVER (PARTITION BY batch, f ORDER BY v, row_id) - 1)::INT AS rank, row_id, v FROM c""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import objectives
 from ..functions.scalar import num, sigmoid, softmax
-from ..operators import explain, sparse
+from ..operators import explain, linear, sparse
 from ..operators.grow import cells_of, unpack_cells
 from ..operators.tree import Tree
 from ..sources.frame import Frame
@@ -147,9 +147,27 @@ class Model:
     def margins(self, frame: Frame, iterations=(0, 0), stumps: list[Stump] | None = None) -> DataFrame:
         df = self.start(frame.df)
         if self.booster == "gblinear":
-            return df.withColumn("margin", self.linear_margin(F.col("features"), F.col("margin")))
+            return self.add_linear(df)
         return add_margin(df, self.in_range(iterations) if stumps is None else stumps, self.width, self.outputs)
 
+    def add_linear(self, df: DataFrame) -> DataFrame:
+        """df with the linear part added to its margin."""
+        if "features" in df.columns and self.width <= linear.MOST:
+            return df.withColumn("margin", self.linear_margin(F.col("features"), F.col("margin")))
+        weights, outputs = self.linear, self.outputs
+
+        # Too many weights for an expression: they go to the tasks with the function.
+        @F.arrow_udf("array<double>")
+        def added(margin: pa.Array, cells: pa.Array) -> pa.Array:
+            m = np.array(margin.flatten().to_numpy(zero_copy_only=False)).reshape(len(margin), outputs) + weights[-1]
+            if len(m):
+                row, f, v = linear.entries_of(pa.RecordBatch.from_arrays([cells], names=["entries" if pa.types.is_struct(cells.type.value_type) else "features"]))
+                for k in range(outputs):
+                    m[:, k] += np.bincount(row, v * weights[f, k], len(m))
+            return arrays(m)
+
+        return df.withColumn("margin", added(F.col("margin"), F.col("features" if "features" in df.columns else "entries")))
+
     def linear_margin(self, x: Column, start: Column) -> Column:
         out = []
         for k in range(self.outputs):
@@ -194,9 +212,9 @@ class Model:
                 stumps = [s for s in stumps if id(s) not in dropped]
             df = self.margins(frame, iterations, stumps)
             return df.withColumn("prediction", self.transform(F.col("margin")) if kind == "value" else F.col("margin")).drop("margin")
-        if self.booster == "gblinear":
+        if self.booster == "gblinear" and not frame.sparse:
             return self._linear_parts(frame, kind)
-        if frame.sparse and kind != "leaf":
+        if frame.sparse and (kind != "leaf" or self.booster == "gblinear"):
             raise ValueError(f"{kind} gives a number for each feature; make the frame dense (from_sparse) for it")
         stumps, width, outputs = self.in_range(iterations), self.width, self.outputs
         df = self.start(frame.df)

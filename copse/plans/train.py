@@ -154,12 +154,14 @@ class Trainer:
             if params["max_row_perbatch"] and params["linear_updater"] == "shotgun":
                 rows = numbered(rows, "row_id", "batch").withColumn("batch", F.floor(F.col("batch") / int(params["max_row_perbatch"])).cast("int"))
             self.start = self.model.start(rows).persist()  # margins are made anew of it each round
-            self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin")))
+            self.state = self.model.add_linear(self.start)
         else:
             self.state = self.model.margins(frame, stumps=self.model.stumps)
         self.cuts = self.layout = None
-        if frame.sparse and (params["booster"] == "gblinear" or params.method() == "exact" or params["process_type"] == "update"):
-            raise ValueError("sparse frames are trained by tree_method hist or approx; make the frame dense (from_sparse) for others")
+        if frame.sparse and params["booster"] != "gblinear" and (params.method() == "exact" or params["process_type"] == "update"):
+            raise ValueError("sparse frames are trained by gblinear and by tree_method hist or approx; make the frame dense (from_sparse) for others")
+        if params["booster"] == "gblinear" and params["max_row_perbatch"] and (frame.sparse or frame.width > linear.MOST):
+            raise ValueError(f"max_row_perbatch takes dense frames of at most {linear.MOST} features")
         if params["booster"] != "gblinear" and params["process_type"] == "default" and params.method() != "approx":
             exact = params.method() == "exact"
             self.state = self.binned(self.state, frame.df, ranges_for(self.rows) if exact else params["max_bin"])
@@ -457,12 +459,16 @@ class Trainer:
         if p["max_row_perbatch"] and p["linear_updater"] == "shotgun":
             bias = linear.bias_sums(grads, self.outputs)
             largest = linear.descend_batches(self.model.linear, bias, linear.batch_moments(grads.select("batch", "features", "g", "h"), self.frame.width, self.outputs), **settings)
+        elif self.frame.sparse or self.frame.width > linear.MOST:
+            held = grads.select("entries" if self.frame.sparse else "features", "g", "h").persist()  # read once a block
+            largest = linear.descend_blocks(held, self.model.linear, **settings)
+            held.unpersist()
         else:
             a, b = linear.moments(grads.select("features", "g", "h"), self.frame.width, self.outputs)
             largest = linear.descend(self.model.linear, a, b, **settings)
         self.converged = p["tolerance"] > 0 and largest <= p["tolerance"]
         self.state.unpersist()
-        self.state = self.start.withColumn("margin", self.model.linear_margin(F.col("features"), F.col("margin"))).persist()
+        self.state = self.model.add_linear(self.start).persist()
 
     def update_round(self, number: int) -> None:
         """Take one round's trees of the base model, refresh or prune them, and put them back."""
