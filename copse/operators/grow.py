@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .split import Constraints, Penalty, Split, feature_split, threshold_of
-from .tree import Tree
+from .tree import Node, Tree
 
 #: Whole sums stay below 2**52, so that doubles add them exactly.
 BITS = 52
 #: Nodes that one job evaluates, and bytes of sums that a task may hold at a time.
 BATCH, MOST_BYTES = 256, 128 << 20
+#: Tables of sums that build on each other by subtraction: plans grow fast with their number, so then both children are summed from rows.
+MOST_CHAIN = 4
+#: Leaves whose children a job of best-first growth looks at.
+AHEAD = 16
 
 
 def fixed_scale(bound: float) -> float:
@@ -201,63 +205,91 @@ def best_of_nodes(found: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.max(F.when(F.col("gain").isNotNull(), what)).alias("s"), F.max("total").alias("total"))
 
 
+def copy_stats(a: Node, b: Node) -> None:
+    b.weight, b.value, b.cover = a.weight, a.value, a.cover
+
+
 class Grower:
     #: Numbers that a task sums by bin; by default g and h by output, and rows.
     LAYERS = 0
 
-    def __init__(self, cuts, outputs=1, *, penalty: Penalty, eta=0.3, gamma=0.0, max_depth=6, max_leaves=0, lossguide=False, categorical=(), interactions=None, columns=None, exact=False):
+    def __init__(self, cuts, outputs=1, *, penalty: Penalty, eta=0.3, gamma=0.0, max_depth=6, max_leaves=0, lossguide=False, categorical=(), interactions=None, columns=None, exact=False, ahead=AHEAD):
         self.cuts, self.outputs, self.p, self.eta, self.gamma = cuts, outputs, penalty, eta, gamma
         self.max_depth, self.max_leaves, self.lossguide, self.categorical = max_depth, max_leaves, lossguide, frozenset(categorical)
         self.constraints = Constraints(interactions, len(cuts))
         self.columns = columns or (lambda depth: range(len(cuts)))
-        self.exact = exact
+        self.exact, self.ahead = exact, ahead
 
     def grow(self, df: DataFrame, scale: tuple[float, float]) -> Tree:
         """df: blocks, with gradients times `scale` (a power of two each for g and h)."""
         tree = Tree(len(self.cuts))
         self.bounds, self.paths = {0: (-np.inf, np.inf)}, {0: frozenset()}
-        self.rows, self.held, self.sides = {}, {}, {}  # by node: its rows, the table that has its sums, the rows of either side
-        self.scale, self.sizes = scale, [len(c) for c in self.cuts]
-        leaves = 1
-        queue: deque | list = [] if self.lossguide else deque()
+        self.rows, self.held, self.sides, self.chain = {}, {}, {}, {}  # by node: its rows, the table that has its sums, the rows of either side, tables before that one
+        self.scale, self.sizes, self.jobs = scale, [len(c) for c in self.cuts], 0
         most = max(2, MOST_BYTES // (8 * (self.LAYERS or 2 * self.outputs + 1) * max(1, sum(self.sizes) + len(self.sizes))))
+        most -= most % 2  # siblings stay together
 
-        def evaluate(nodes: list[int]) -> None:
-            for i in range(0, len(nodes), most - most % 2):  # siblings stay together
-                for node, s in self.evaluated(df, tree, nodes[i : i + most - most % 2]):
-                    if self.lossguide:
-                        heapq.heappush(queue, (-s.gain, node, s))
-                    else:
-                        queue.append((node, s))
+        def evaluate(nodes: list[int]) -> list[tuple[int, Split]]:
+            out = []
+            for i in range(0, len(nodes), most):
+                out += self.evaluated(df, tree, nodes[i : i + most])
+                self.jobs += 1
+            return out
+
+        grown = self.best_first(tree, evaluate) if self.lossguide else self.by_level(tree, evaluate)
+        self.let_go(set())
+        return grown
 
-        evaluate([0])
+    def by_level(self, tree: Tree, evaluate) -> Tree:
+        leaves, queue = 1, deque(evaluate([0]))
         while queue:
             batch: list[tuple[int, Split]] = []
-            if self.lossguide:
-                _, node, s = heapq.heappop(queue)
-                if not self.valid(tree, node, s, leaves):
-                    break
-                batch = [(node, s)]
-                leaves += 1
-            else:
-                depth = tree.nodes[queue[0][0]].depth
-                while queue and tree.nodes[queue[0][0]].depth == depth and len(batch) < BATCH:
-                    node, s = queue.popleft()
-                    if self.valid(tree, node, s, leaves):
-                        batch.append((node, s))
-                        leaves += 1
-                if not batch:
-                    continue
-            fresh = []
-            for node, s in batch:
-                fresh += self.apply(tree, node, s)
-            open_ = [c for c in fresh if (not self.max_depth or tree.nodes[c].depth < self.max_depth) and (not self.max_leaves or leaves < self.max_leaves)]
-            evaluate(open_)
-            if not self.lossguide:  # of a finished level nothing is read again but the sums of what is in the queue
-                self.let_go({n for n, _ in queue} | set(open_))
-        self.let_go(set())
+            depth = tree.nodes[queue[0][0]].depth
+            while queue and tree.nodes[queue[0][0]].depth == depth and len(batch) < BATCH:
+                node, s = queue.popleft()
+                if self.valid(tree, node, s, leaves):
+                    batch.append((node, s))
+                    leaves += 1
+            if not batch:
+                continue
+            fresh = [child for node, s in batch for child in self.apply(tree, node, s)]
+            open_ = [c for c in fresh if self.open(tree, c, leaves)]
+            queue.extend(evaluate(open_))
+            self.let_go({n for n, _ in queue} | set(open_))  # of a finished level nothing is read again but the sums of what is in the queue
         return tree
 
+    def best_first(self, tree: Tree, evaluate) -> Tree:
+        """The leaf of the largest gain is split next. One job looks ahead: it splits the best leaves of the queue and evaluates all their children.
+
+        tree holds what is looked at; the tree that is returned takes the splits in the order of the queue, which refuses some.
+        """
+        final, leaves, known = Tree(tree.width), 1, dict(evaluate([0]))
+        copy_stats(tree.nodes[0], final.nodes[0])
+        queue = [(-known[0].gain, 0, 0)]  # gain, number in the final tree, number here
+        while queue:
+            _, number, node = heapq.heappop(queue)
+            s = known[node]
+            if not self.valid(final, number, s, leaves):
+                break
+            leaves += 1
+            if tree.nodes[node].leaf:
+                ahead = [node]
+                spare = min(self.ahead - 1, self.max_leaves - leaves if self.max_leaves else self.ahead)
+                for _, other, n in heapq.nsmallest(max(0, spare), queue):
+                    if tree.nodes[n].leaf and self.valid(final, other, known[n], 0):
+                        ahead.append(n)
+                children = [c for n in ahead for c in self.apply(tree, n, known[n])]
+                known.update(evaluate([c for c in children if self.open(tree, c, leaves)]))
+            n = tree.nodes[node]
+            for child, own in zip((n.left, n.right), final.split(number, feature=n.feature, threshold=n.threshold, bin=n.bin, default_left=n.default_left, categories=n.categories, gain=n.gain), strict=True):
+                copy_stats(tree.nodes[child], final.nodes[own])
+                if self.open(final, own, leaves) and child in known:
+                    heapq.heappush(queue, (-known[child].gain, own, child))
+        return final
+
+    def open(self, tree: Tree, node: int, leaves: int) -> bool:
+        return (not self.max_depth or tree.nodes[node].depth < self.max_depth) and (not self.max_leaves or leaves < self.max_leaves)
+
     def let_go(self, needed: set[int]) -> None:
         kept = {id(t) for n, t in self.held.items() if n in needed}
         for t in {id(t): t for t in self.held.values() if id(t) not in kept}.values():
@@ -270,10 +302,12 @@ class Grower:
         for node in nodes:
             pair = tree.nodes[node].parent
             sibling = next((x for x in nodes if x != node and tree.nodes[x].parent == pair), None) if pair >= 0 else None
-            if pair < 0 or sibling is None or pair not in self.held:
+            if pair < 0 or sibling is None or pair not in self.held or self.chain[pair] >= MOST_CHAIN:
                 summed[node] = node if pair < 0 or sibling is None else pair
             elif (self.rows[node], node) < (self.rows[sibling], sibling):
                 summed[node], other[pair], parents[pair] = pair, sibling, self.held[pair]
+        link = 1 + max((self.chain[p] for p in parents), default=-1)
+        self.chain.update(dict.fromkeys(nodes, link))
         return summed, other, parents
 
     def settings_of(self, tree: Tree, nodes: list[int], kind) -> dict[int, tuple]:

@@ -20,7 +20,7 @@ from ..functions.scalar import num
 from ..operators import linear
 from ..operators.cuts import bin_array, feature_cuts
 from ..operators.exact import ExactGrower, column_facts, ranges_for, value_blocks
-from ..operators.grow import Grower, blocks, cell_type, fixed_scale, pack_bins
+from ..operators.grow import AHEAD, Grower, blocks, cell_type, fixed_scale, pack_bins
 from ..operators.sparse import Layout, SparseGrower, add_cells, sparse_blocks, sparse_cuts
 from ..operators.split import Penalty
 from ..operators.tree import Tree
@@ -355,6 +355,7 @@ class Trainer:
         settings = {
             "penalty": penalty, "eta": p["eta"], "gamma": p["gamma"], "max_depth": p["max_depth"], "max_leaves": p["max_leaves"], "lossguide": p["grow_policy"] == "lossguide",
             "interactions": p["interaction_constraints"], "columns": columns,
+            "ahead": 1 if p["colsample_bylevel"] < 1 or p["colsample_bynode"] < 1 else AHEAD,  # draws come in the order of the queue
         }
         if p.method() == "exact":
             return ExactGrower(cuts, dense=self.facts[0], constant=self.facts[1], opt_dense=p["opt_dense_col"], **settings)
