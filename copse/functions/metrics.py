@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,22 @@ MAXIMISED = ("auc", "aucpr", "pre", "map", "ndcg", "ams", "interval-regression-a
 RANK_METRICS = ("pre", "ndcg", "map")
 
 
+#: Metrics of users by name: what gives their value, and whether more is better.
+_REGISTERED: dict[str, tuple[Callable[[DataFrame], DataFrame], bool]] = {}
+
+
+def register(name: str, value: Callable[[DataFrame], DataFrame], more_is_better: bool = False) -> None:
+    """Let `eval_metric: name` stand for value: rows with prediction, margin, label (arrays) and weight in, one row with `value` out."""
+    _REGISTERED[name] = value, more_is_better
+
+
+def registered(name: str) -> Callable[[DataFrame], DataFrame] | None:
+    return _REGISTERED[name][0] if name in _REGISTERED else None
+
+
 def maximised(name: str) -> bool:
+    if name in _REGISTERED:
+        return _REGISTERED[name][1]
     return name.split("@")[0].rstrip("-") in MAXIMISED
 
 

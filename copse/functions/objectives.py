@@ -40,6 +40,16 @@ class Objective:
     outputs: int = 1
     constant_hessian: bool = False
     params: dict = field(default_factory=dict)
+    #: For losses that need more than their row: margin, label and weight in, g and h (arrays by output, without weights) beside them.
+    table: Callable[[DataFrame], DataFrame] | None = None
+
+
+_REGISTERED: dict[str, Callable[..., Objective]] = {}
+
+
+def register(name: str, make: Callable[..., Objective]) -> None:
+    """Let `objective: name` stand for make(**parameters), in training and wherever a model of it is read."""
+    _REGISTERED[name] = make
 
 
 def _logit(p: float) -> float:
@@ -128,6 +138,8 @@ def create(name: str, **p) -> Objective:
         "rank:ndcg": lambda: Objective(name, init="newton", metric=f"ndcg{_level(p)}", params=p),
         "rank:map": lambda: Objective(name, init="newton", metric=f"map{_level(p)}", params=p, label_ok=lambda y: y >= 0),
     }
+    if name in _REGISTERED:
+        return _REGISTERED[name](**p)
     if name not in table:
         raise ValueError(f"unknown objective: {name}")
     return table[name]()

@@ -619,11 +619,14 @@ def predict_linear(spark, sf_dir):
 @query(f"WITH {TREE_SQL} SELECT leaf, count(*) AS n, round(sum(0.1 + {LEAF_CASE} - y), 3) AS g, round(-0.3 * sum(0.1 + {LEAF_CASE} - y) / (count(*) + 1), 6) AS value FROM leafed GROUP BY leaf")
 def refresh_fixed_tree(spark, sf_dir):
     """Leaf sums of squared-error gradients at the tree's own margins, and the refreshed leaf values."""
-    model, frame = fixed_model(), tree_frame(spark, sf_dir)
-    both = model.predict(frame, "leaf").select("row_id", "y", F.get("prediction", F.lit(0)).cast("int").alias("leaf"))
-    m = F.lit(0.1) + F.when(F.col("leaf") == 3, 1.5).when(F.col("leaf") == 4, -0.5).when(F.col("leaf") == 5, 2.0).otherwise(-1.0)
-    got = both.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(m - F.col("y")).alias("g"))
-    return got.select("leaf", "n", r(F.col("g"), 3).alias("g"), r(0.3 * S.weight(F.col("g"), F.col("n").cast("double"))).alias("value"))
+    from .train import leaf_sums, refreshed
+
+    model, tree = fixed_model(), fixed_tree()
+    got = model.predict(tree_frame(spark, sf_dir), "margin").withColumns({"g": F.array(F.get("prediction", F.lit(0)) - F.col("y")), "h": F.array(S.num(1))})
+    sums = leaf_sums(got, tree, 2, 1).persist()
+    refreshed(tree, sums, Penalty(), 0.3)
+    values = F.element_at(F.create_map(*[F.lit(v) for i, n in enumerate(tree.nodes) if n.leaf for v in (i, float(n.value))]), F.col("node").cast("int"))
+    return sums.select(F.col("node").cast("int").alias("leaf"), "n", r(F.get("g", F.lit(0)), 3).alias("g"), r(values).alias("value"))
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS label, l_discount AS v1, CASE WHEN l_tax > 0.04 THEN l_tax END AS v3 FROM lineitem")
@@ -775,6 +778,26 @@ for _kind, _sql in (("weight", "1000 * count(*)::DOUBLE"), ("total_gain", "sum(g
     )
 
 
+@query(DEPTH2_SQL)
+def model_document(spark, sf_dir):
+    """A trained model, written as a document of the public shape and read back."""
+    from .exchange import from_document, to_document
+
+    model, frame = depth2_model(spark, sf_dir)
+    return margin_counts(from_document(to_document(model)), frame)
+
+
+@query(DEPTH2_SQL)
+def model_table(spark, sf_dir):
+    """A trained model whose trees are read back from their table."""
+    from dataclasses import replace
+
+    from .exchange import with_trees
+
+    model, frame = depth2_model(spark, sf_dir)
+    return margin_counts(with_trees(replace(model, stumps=[]), model.trees_table(spark)), frame)
+
+
 # ---- stumps of several outputs and rounds
 
 
@@ -828,6 +851,20 @@ def softprob_round_1(spark, sf_dir):
     return model.predict(frame, "margin").groupBy(*[r(F.get("prediction", F.lit(k)), 4).alias(f"m{k}") for k in range(3)]).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {FLAG_SQL}, g0 AS (SELECT 0 AS k, rid, tanh(b - y) AS g, greatest(1 - pow(tanh(b - y), 2), 1e-6) AS h FROM rows, mean), {stump_sql('q', 'g0')},
+m0 AS (SELECT b + v AS m, y FROM qs JOIN ql USING (k, goes) JOIN rows USING (rid), mean) SELECT round(m, 4) AS margin, count(*) AS n, round((SELECT avg(ln(cosh(m - y))) FROM m0), 6) AS loss FROM m0 GROUP BY 1""")
+def custom_loss_round_1(spark, sf_dir):
+    """A user's loss (log cosh) and metric, by name in training and evaluation."""
+    from .train import train
+
+    slope = lambda m, y: F.tanh(m - y)
+    objectives.register("user:logcosh", lambda **_: objectives.Objective("user:logcosh", lambda m, y: (slope(m, y), F.greatest(1 - F.pow(slope(m, y), 2), S.num(1e-6))), metric="user-logcosh"))
+    metrics.register("user-logcosh", lambda df: df.agg(F.avg(F.log(F.cosh(F.get("prediction", F.lit(0)) - F.get("label", F.lit(0))))).alias("value")))
+    frame = flag_frame(spark, sf_dir, F.col("l_extendedprice") / 1000)
+    model = train({"max_depth": 1, "objective": "user:logcosh"}, frame, 1, [("train", frame)])
+    return margin_counts(model, frame).withColumn("loss", r(F.lit(model.history[0][3])))
+
+
 def linear_sql() -> str:
     """One round of coordinate descent: the bias, then each feature on the gradient that is left."""
     x = ("x0", "x1", "x2")

@@ -25,7 +25,7 @@ from ..operators.sparse import Layout, SparseGrower, add_cells, sparse_blocks, s
 from ..operators.split import Penalty
 from ..operators.tree import Tree
 from ..sources.frame import Frame
-from .model import Model, Stump, add_margin, choose_dropped, matrix, wide
+from .model import Model, Stump, add_margin, choose_dropped, leaf_finder, wide
 from .params import Params
 
 log = logging.getLogger("copse")
@@ -168,7 +168,7 @@ class Trainer:
             if exact:
                 self.facts = column_facts(frame.df, frame.width, self.rows)
             else:
-                self.state = self.state.drop("features", "entries")  # from here on rows are walked by their bins
+                self.state = self.state if self.walks_values() else self.state.drop("features", "entries")  # from here on rows are walked by their bins
         self.state, self.stale = self.state.persist(), []
 
     def binned(self, state: DataFrame, rows: DataFrame, max_bin: int, weight: str = "weight") -> DataFrame:
@@ -259,6 +259,8 @@ class Trainer:
         m = lambda j: F.get("margin", F.lit(j))
         w = F.col("weight")
         times = lambda pair: (F.array(*[pair[0] * w]), F.array(*[pair[1] * w]))
+        if o.table:
+            return o.table(df).withColumns({c: F.transform(c, lambda x: x * w) for c in ("g", "h")})
         if o.pair:
             pairs = []
             for j in range(k):
@@ -389,7 +391,7 @@ class Trainer:
                 self.state = self.binned(self.state, drawn, p["max_bin"], "__w")
                 grads = self.cells(grads)
         vector = p["multi_strategy"] == "multi_output_tree" and self.outputs > 1
-        grads = grads.select(*[c for c in ("row_id", "features", "bins", "g", "h", "pos", "li", "lj") if c in grads.columns and (c != "features" or self.walks_values())])
+        grads = grads.select(*[c for c in ("row_id", "features", "entries", "bins", "g", "h", "pos", "li", "lj") if c in grads.columns and (c not in ("features", "entries") or self.walks_values())])
         # Gradients of a row alone are cheaper to compute again than to keep, if only one tree reads them.
         kept = not self.obj.pair or (self.outputs > 1 and not vector) or p["num_parallel_tree"] > 1 or p["subsample"] < 1
         grads = grads.persist() if kept else grads
@@ -404,10 +406,12 @@ class Trainer:
                 if p["num_parallel_tree"] > 1:
                     for n in tree.nodes:
                         n.value = n.value / p["num_parallel_tree"]
+                made.append(Stump(tree, k, 1.0, self.model.rounds if not made else made[0].round))
                 for modifier in p.modifiers():
                     if modifier == "prune":
                         tree.prune(p["gamma"], p["eta"], p["max_depth"])
-                made.append(Stump(tree, k, 1.0, self.model.rounds if not made else made[0].round))
+                    else:
+                        self.refresh(made[-1], own, None if vector else 0)
         if kept:
             grads.unpersist()
         if p["booster"] == "dart":
@@ -486,39 +490,64 @@ class Trainer:
             else:
                 grads = self.gradients(self.state)
                 for s in took:
-                    self.refresh(s, grads)
+                    self.refresh(s, grads, None if np.size(s.tree.nodes[0].weight) > 1 else s.group)
         self.model.stumps += took
         self.stale.append(self.state)
         self.state = add_margin(self.state, took, self.frame.width, self.outputs).persist()
 
-    def refresh(self, s: Stump, grads: DataFrame) -> None:
-        """A tree's statistics (and leaf values) from the current gradients: sums by leaf, added up towards the root."""
-        p, tree, width, k = self.params, s.tree, self.frame.width, s.group
-
-        def run(batches):
-            for batch in batches:
-                at = tree.leaves(matrix(batch, "features", width))
-                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("g"), batch.column("h")], names=["node", "g", "h"])
-
-        leaf = grads.select("features", F.get("g", F.lit(k)).alias("g"), F.get("h", F.lit(k)).alias("h")).mapInArrow(run, "node bigint, g double, h double")
-        G, H = np.zeros(len(tree.nodes)), np.zeros(len(tree.nodes))
-        for node, g, h in leaf.groupBy("node").agg(F.sum("g"), F.sum("h")).collect():
-            G[node], H[node] = g, h
-        for i in range(len(tree.nodes) - 1, 0, -1):
-            G[tree.nodes[i].parent] += G[i]
-            H[tree.nodes[i].parent] += H[i]
-        pen = Penalty(p["lambda"], p["alpha"], p["max_delta_step"], p["min_child_weight"])
-        for i, n in tree.live():
-            n.cover, n.weight = float(H[i]), float(pen.weight(G[i], H[i]))
-            if n.leaf:
-                if p["refresh_leaf"]:
-                    n.value = p["eta"] * n.weight
-            else:
-                n.gain = float(pen.gain(G[n.left], H[n.left]) + pen.gain(G[n.right], H[n.right]) - pen.gain(G[i], H[i]))
+    def refresh(self, s: Stump, grads: DataFrame, k: int | None) -> None:
+        """A tree's statistics (and leaf values) from the current gradients of output k (None: of all, for vector leaves)."""
+        p = self.params
+        own = grads if k is None else grads.withColumns({c: F.array(F.get(c, F.lit(k))) for c in ("g", "h")})
+        refreshed(s.tree, leaf_sums(own, s.tree, self.frame.width, self.outputs if k is None else 1), Penalty(p["lambda"], p["alpha"], p["max_delta_step"], p["min_child_weight"]), p["eta"] if p["refresh_leaf"] else None)
+
+
+def leaf_sums(df: DataFrame, tree: Tree, width: int, outputs: int) -> DataFrame:
+    """node, n, g, h (arrays by output): the rows and sums of each leaf. df: features or entries, g, h. A row a leaf and task moves."""
+    held = "features" if "features" in df.columns else "entries"
+
+    def run(batches):
+        total = np.zeros((len(tree.nodes), 2 * outputs + 1))
+        for batch in batches:
+            if batch.num_rows:
+                at = leaf_finder(batch.column(0), width, False)(tree)
+                g, h = (np.array(batch.column(c).flatten(), float).reshape(-1, outputs) for c in ("g", "h"))
+                np.add.at(total, at, np.hstack([g, h, np.ones((len(at), 1))]))
+        rows = np.flatnonzero(total[:, -1])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(total[rows].tolist(), pa.list_(pa.float64()))], names=["node", "s"])
+
+    parts = df.select(held, "g", "h").mapInArrow(run, "node bigint, s array<double>")
+    sums = [F.sum(F.get("s", F.lit(i))) for i in range(2 * outputs + 1)]
+    return parts.groupBy("node").agg(sums[-1].cast("bigint").alias("n"), F.array(*sums[:outputs]).alias("g"), F.array(*sums[outputs:-1]).alias("h"))
+
+
+def refreshed(tree: Tree, sums: DataFrame, pen: Penalty, eta: float | None) -> None:
+    """Set covers, weights and gains of a tree, and leaf values if eta is given, from leaf_sums; nodes add up towards the root."""
+    rows = sums.collect()  # a row a leaf
+    outputs = len(rows[0]["g"]) if rows else 1
+    G, H = np.zeros((len(tree.nodes), outputs)), np.zeros((len(tree.nodes), outputs))
+    for r in rows:
+        G[r["node"]], H[r["node"]] = r["g"], r["h"]
+    for i in range(len(tree.nodes) - 1, 0, -1):
+        G[tree.nodes[i].parent] += G[i]
+        H[tree.nodes[i].parent] += H[i]
+    gain = lambda i: float(np.sum(pen.gain(G[i], H[i])))
+    for i, n in tree.live():
+        w = pen.weight(G[i], H[i])
+        n.cover, n.weight = float(H[i].mean()), w if outputs > 1 else float(w[0])
+        if n.leaf:
+            if eta is not None:
+                n.value = eta * n.weight
+        else:
+            n.gain = gain(n.left) + gain(n.right) - gain(i)
 
 
 def evaluate(model: Model, df: DataFrame, name: str) -> float:
     """A metric on rows that have their margins."""
+    own = metrics.registered(name)
+    if own:
+        value = own(df.withColumn("prediction", model.eval_transform(F.col("margin")))).first()["value"]
+        return float("nan") if value is None else float(value)
     kind, arg, minus = metrics.parse(name)
     y, w = F.get("label", F.lit(0)), F.col("weight")
     preds = model.eval_transform(F.col("margin"))
@@ -553,6 +582,11 @@ def evaluate(model: Model, df: DataFrame, name: str) -> float:
     return float("nan") if value is None else float(value)
 
 
+def update(model: Model, params: dict | Params, frame: Frame) -> Model:
+    """model with one more round on a frame."""
+    return train(params, frame, 1, base=model)
+
+
 def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=(), base: Model | None = None, early_stopping_rounds: int | None = None, maximize: bool | None = None, verbose_eval: int = 0) -> Model:
     """Boost for so many rounds; evals are (name, Frame) pairs whose metrics go into the model's history."""
     params = params if isinstance(params, Params) else Params(params)
