@@ -175,7 +175,18 @@ def _classes(p):
 # ---- objectives over arrays of outputs ------------------------------------------------------------
 
 
+#: Classes up to which probabilities are written out one by one, which stays in generated code.
+FEW_CLASSES = 32
+
+
 def softmax_pair(margins: Column, y: Column, k: int) -> tuple[Column, Column]:
+    if k <= FEW_CLASSES:
+        m = [F.get(margins, F.lit(j)) for j in range(k)]
+        top = F.greatest(*m)
+        e = [F.exp(x - top) for x in m]
+        total = sum(e[1:], e[0])
+        p = [x / total for x in e]
+        return F.array(*[x - F.when(y == j, 1.0).otherwise(0.0) for j, x in enumerate(p)]), F.array(*[F.greatest(2 * x * (1 - x), num(EPS)) for x in p])
     p = softmax(margins)
     hit = lambda i: F.when(y == i, 1.0).otherwise(0.0)
     return F.transform(p, lambda x, i: x - hit(i)), F.transform(p, lambda x, i: F.greatest(2 * x * (1 - x), num(EPS)))

@@ -21,7 +21,7 @@ from ..operators.split import Penalty, scans
 from ..operators.tree import Node, Tree
 from ..sources.frame import from_dense, from_libsvm_lines, from_long, from_sparse, parse_libsvm, present
 from .model import Model, Stump, importance
-from .train import add_bins, balanced
+from .train import add_bins, balanced, slim
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -359,7 +359,7 @@ def grown(spark, sf_dir, penalty: Penalty | None = None, level: int = 0, rest: b
     """
     frame, y = feature_frame(spark, sf_dir), F.get("label", F.lit(0))
     mean, rows = frame.df.agg(F.avg(y), F.count("*")).first()
-    frame = balanced(frame, rows, rows if frame.df.rdd.getNumPartitions() < 8 else 0)
+    frame = balanced(slim(frame), rows, rows if frame.df.rdd.getNumPartitions() < 8 else 0)
     cuts = C.feature_cuts(frame.df, 3, 256, n=rows)
     df = add_bins(frame.df.select("features", F.array(mean - y).alias("g"), F.array(S.num(1)).alias("h")), cuts, ())
     scale = G.fixed_scale(df.agg(F.sum(F.abs(F.get("g", F.lit(0))))).first()[0] or 0.0), G.fixed_scale(float(rows))

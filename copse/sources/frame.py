@@ -6,6 +6,7 @@ and, where given, base_margin ARRAY<DOUBLE>, label_lower, label_upper, qid.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -97,6 +98,31 @@ class Frame:
     def num_row(self) -> int:
         return self.df.count()
 
+    def num_nonzero(self) -> int:
+        """Values that are present (zero is one)."""
+        return self.column_sizes().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def is_dense(self) -> bool:
+        """Whether every row holds every column."""
+        held = F.size("entries") if self.sparse else F.size(F.filter("features", lambda v: v.isNotNull()))
+        return not self.df.where(held < self.width).limit(1).count()
+
+    def row(self, row_id: int) -> dict[int, float]:
+        """What a row holds, by column."""
+        cells = self.df.where(F.col("row_id") == row_id).select(F.explode("entries").alias("e")).select("e.f", "e.v") if self.sparse else self.df.where(F.col("row_id") == row_id).select(F.posexplode("features").alias("f", "v")).where("v IS NOT NULL")
+        return {r["f"]: r["v"] for r in cells.collect()}
+
+    def with_group_sizes(self, sizes: Sequence[int]) -> Frame:
+        """Query ids from the sizes of successive runs of rows, in the order of row_id."""
+        ends = [int(e) for e in itertools.accumulate(sizes)]
+        if any(n < 1 for n in sizes) or (ends[-1] if ends else 0) != self.num_row():
+            raise ValueError("group sizes must be positive and add up to the rows")
+        bounds = self.df.sparkSession.createDataFrame([(i, e - n, e) for i, (e, n) in enumerate(zip(ends, sizes, strict=True))], "qid bigint, __from bigint, __to bigint")
+        held = numbered(self.df.drop("qid"), "row_id", "__n")
+        # Each query's rows by number: an equi-join, so that no row meets all queries.
+        rows = bounds.select("qid", F.explode(F.sequence(F.col("__from"), F.col("__to") - 1)).alias("__n"))
+        return replace(self, df=held.join(rows, "__n").drop("__n"))
+
     def column_sizes(self) -> DataFrame:
         """f, n: the values that each column holds. One pass and one row before it is turned; of a sparse frame, only columns that hold any."""
         if self.sparse:
