@@ -196,7 +196,7 @@ def pairs_sql(n: int, score: str, top: int, given: str = "") -> str:
     ranks = f"row_number() OVER (PARTITION BY q ORDER BY {score} DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr, row_number() OVER (PARTITION BY q ORDER BY i) - 1 AS pos"
     side = lambda c: f"CASE WHEN a.y > b.y THEN a.{c} ELSE b.{c} END AS hi_{c}, CASE WHEN a.y > b.y THEN b.{c} ELSE a.{c} END AS lo_{c}"
     known, ok = f"hi_pos < {top} AND lo_pos < {top}", "plus >= 1e-16 AND minus >= 1e-16"
-    return f"""d{n} AS (SELECT q, i, {score} AS s, grade AS y, {ranks} FROM base),
+    return f"""d{n} AS (SELECT q, i, {score} AS s, grade AS y, {ranks} FROM apart),
 e{n} AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY q) AS worst, sum(CASE WHEN lr < {top} THEN (pow(2, y) - 1) / log2(lr + 2) ELSE 0 END) OVER (PARTITION BY q) AS idcg FROM d{n}),
 j{n} AS (SELECT a.q, a.best, a.worst, a.idcg, {side('i')}, {side('s')}, {side('pos')}, abs((pow(2, a.y) - pow(2, b.y)) * (1 / log2(a.r + 2) - 1 / log2(b.r + 2))) AS change
   FROM e{n} a JOIN e{n} b ON a.q = b.q AND a.r < b.r AND a.y <> b.y WHERE a.r < {top}),
@@ -205,33 +205,38 @@ l{n} AS (SELECT *, (sig - 1) * delta / CASE WHEN {known} AND {ok} THEN plus * mi
   CASE WHEN {known} AND minus >= 1e-16 THEN -ln(1 - sig) * delta / minus ELSE 0 END AS cost_hi, CASE WHEN {known} AND plus >= 1e-16 THEN -ln(1 - sig) * delta / plus ELSE 0 END AS cost_lo FROM p{n} {given})"""
 
 
-BIAS_SQL = f"""WITH {BASE_SQL}, {pairs_sql(1, 'm', 3, ', (SELECT 1.0::DOUBLE AS plus, 1.0::DOUBLE AS minus)')},
+# Line items repeat; these are told apart by their quantity and tax.
+BIAS_SQL = f"""WITH {BASE_SQL}, apart AS (SELECT * REPLACE (i * 100000 + round(m * 20000 + 25000)::BIGINT + round(w * 10 - 10)::BIGINT AS i) FROM base), {pairs_sql(1, 'm', 3, ', (SELECT 1.0::DOUBLE AS plus, 1.0::DOUBLE AS minus)')},
 c AS (SELECT pos, coalesce(sum(h), 0) AS li, coalesce(sum(l), 0) AS lj FROM (SELECT unnest(range(3)) AS pos) LEFT JOIN (SELECT hi_pos AS pos, cost_hi AS h, 0 AS l FROM l1 UNION ALL SELECT lo_pos, 0, cost_lo FROM l1) USING (pos) GROUP BY pos),
 b AS (SELECT pos, CASE WHEN (SELECT li FROM c WHERE pos = 0) >= 1e-16 THEN sqrt(li / (SELECT li FROM c WHERE pos = 0)) ELSE 1.0::DOUBLE END AS plus, CASE WHEN (SELECT lj FROM c WHERE pos = 0) >= 1e-16 THEN sqrt(lj / (SELECT lj FROM c WHERE pos = 0)) ELSE 1.0::DOUBLE END AS minus FROM c)"""
 
 
+def apart(spark, sf_dir):
+    return base(spark, sf_dir).withColumn("i", F.col("i") * 100_000 + F.round(F.col("m") * 20_000 + 25_000).cast("bigint") + F.round(F.col("w") * 10 - 10).cast("bigint"))
+
+
 @query(BIAS_SQL + " SELECT pos, round(plus, 6) AS plus, round(minus, 6) AS minus FROM b")
 def rank_position_bias(spark, sf_dir):
     """How likely each place was examined, after one round."""
     bias = objectives.PositionBias.start(3)
-    bias = bias.updated(objectives.rank_gradients(base(spark, sf_dir), "ndcg", "m", "grade", "q", "i", 3, bias=bias))
+    bias = bias.updated(objectives.rank_gradients(apart(spark, sf_dir), "ndcg", "m", "grade", "q", "i", 3, bias=bias))
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(bias.plus, bias.minus, strict=True))], "pos bigint, plus double, minus double").select("pos", r(F.col("plus")).alias("plus"), r(F.col("minus")).alias("minus"))
 
 
 @query(BIAS_SQL + f""", {pairs_sql(2, '(w - m)', 3, 'LEFT JOIN (SELECT pos AS hi_pos, plus FROM b) USING (hi_pos) LEFT JOIN (SELECT pos AS lo_pos, minus FROM b) USING (lo_pos)')},
 s AS (SELECT q, hi_i AS i, lam AS g, hess AS h, -2 * lam AS t FROM l2 UNION ALL SELECT q, lo_i, -lam, hess, 0 FROM l2),
 n AS (SELECT q, CASE WHEN sum(t) > 0 THEN log2(1 + sum(t)) / sum(t) ELSE 1 END AS z FROM s GROUP BY q), v AS (SELECT q, i, sum(g) AS g, sum(h) AS h FROM s GROUP BY q, i)
-SELECT b.q, b.i, round(coalesce(v.g * n.z, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(v.h * n.z, 0), 6) AS h FROM base b LEFT JOIN v ON v.q = b.q AND v.i = b.i LEFT JOIN n ON n.q = b.q""")
+SELECT b.q, b.i, round(coalesce(v.g * n.z, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(v.h * n.z, 0), 6) AS h FROM apart b LEFT JOIN v ON v.q = b.q AND v.i = b.i LEFT JOIN n ON n.q = b.q""")
 def grad_rank_unbiased(spark, sf_dir):
     """Gradients of a second round, divided by the position bias of the first."""
-    df = base(spark, sf_dir).withColumn("m2", F.col("w") - F.col("m"))
+    df = apart(spark, sf_dir).withColumn("m2", F.col("w") - F.col("m"))
     bias = objectives.PositionBias.start(3)
     bias = bias.updated(objectives.rank_gradients(df, "ndcg", "m", "grade", "q", "i", 3, bias=bias))
     got = objectives.rank_gradients(df, "ndcg", "m2", "grade", "q", "i", 3, bias=bias)
     return got.select("q", "i", (r(F.col("g")) + S.num(0)).alias("g"), r(F.col("h")).alias("h"))
 
 
-@query(f"""WITH {BASE_SQL}, d AS (SELECT q, i, m AS s, grade AS y, row_number() OVER (PARTITION BY q ORDER BY m DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr FROM base),
+@query(f"""WITH {BASE_SQL}, apart AS (SELECT * REPLACE (i * 100000 + round(m * 20000 + 25000)::BIGINT + round(w * 10 - 10)::BIGINT AS i) FROM base), d AS (SELECT q, i, m AS s, grade AS y, row_number() OVER (PARTITION BY q ORDER BY m DESC, i) - 1 AS r, row_number() OVER (PARTITION BY q ORDER BY grade DESC, i) - 1 AS lr FROM apart),
 e AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, min(s) OVER (PARTITION BY q) AS worst, sum((pow(2, y) - 1) / log2(lr + 2)) OVER (PARTITION BY q) AS idcg, row_number() OVER (PARTITION BY q ORDER BY y DESC, r) - 1 AS k, count(*) OVER (PARTITION BY q) AS n FROM d),
 f AS (SELECT *, min(k) OVER (PARTITION BY q, y) AS a0, max(k) OVER (PARTITION BY q, y) + 1 AS a1 FROM e),
 g AS (SELECT *, unnest([1, 2]) AS draw FROM f WHERE a0 + n - a1 > 0),
@@ -243,7 +248,7 @@ k AS (SELECT q, hi, lo, 1 / (1 + exp(-d)) AS sig, change / idcg / CASE WHEN best
 SELECT q AS qid, hi, lo, round((sig - 1) * delta, 6) + 0.0::DOUBLE AS lambda, round(greatest(sig * (1 - sig), 1e-16) * delta * 2, 6) AS hess FROM k""")
 def rank_pairs_mean(spark, sf_dir):
     """Two pairs a document, drawn from documents of other labels."""
-    p = objectives.rank_pairs(base(spark, sf_dir), "ndcg", "m", "grade", "q", "i", draws=2, seed=7)
+    p = objectives.rank_pairs(apart(spark, sf_dir), "ndcg", "m", "grade", "q", "i", draws=2, seed=7)
     return p.select("qid", "hi", "lo", (r(F.col("lambda")) + S.num(0)).alias("lambda"), r(F.col("hess")).alias("hess"))
 
 
