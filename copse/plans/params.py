@@ -125,6 +125,7 @@ class Params(dict):
         tree = {"gamma", "max_depth", "min_child_weight", "subsample", "tree_method", "grow_policy", "max_leaves", "max_bin", "num_parallel_tree", "monotone_constraints", "interaction_constraints"}
         off = set(INERT)
         off |= tree | dart if self["booster"] == "gblinear" else linear | (dart if self["booster"] == "gbtree" else set())
+        off |= {"max_row_perbatch"} if self["linear_updater"] != "shotgun" else set()
         off |= set() if self.method() == "exact" else {"default_direction", "opt_dense_col"}
         return sorted(self.given & off)
 

@@ -47,6 +47,7 @@ def test_ndcg_plain_gain(spark):
 
 def test_refused_and_unused():
     with pytest.raises(ValueError, match="max_row_perbatch"):
-        Params({"booster": "gblinear", "max_row_perbatch": 50})
+        Params({"booster": "gblinear", "max_row_perbatch": 0})
+    assert not Params({"booster": "gblinear", "max_row_perbatch": 50}).unused()
     assert Params({"booster": "gblinear", "linear_updater": "coord_descent", "max_row_perbatch": 50}).unused() == ["max_row_perbatch"]
     assert Params({"default_direction": "left"}).unused() == ["default_direction"] and not Params({"default_direction": "left", "tree_method": "exact"}).unused()
