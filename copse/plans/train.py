@@ -93,8 +93,8 @@ def sampling_threshold(sizes: DataFrame, share: float) -> float:
     if want > above + rows and below / (want - above - rows) <= low:  # between the range before and this one
         return below / (want - above - rows)
     run = W.orderBy("s")  # at most MOST_VALUES, or one value
-    inside = values.select("s", "c", F.sum("t").over(run).alias("under"), F.sum("c").over(run.rowsBetween(1, W.unboundedFollowing)).alias("over"), F.lead("s").over(run).alias("next"))
-    left = F.lit(want) - F.coalesce("over", F.lit(0)) - above
+    inside = values.select("s", "c", F.sum("t").over(run).alias("under"), (F.lit(rows) - F.sum("c").over(run)).alias("over"), F.lead("s").over(run).alias("next"))
+    left = F.lit(want) - F.col("over") - above
     u = F.when(left > 0, (F.col("under") + below) / F.nullif(left, F.lit(0)))
     got = inside.withColumn("u", u).where((F.col("u") > F.col("s")) & (F.col("next").isNull() | (F.col("u") <= F.col("next")))).orderBy("s").first()
     if got:
