@@ -406,13 +406,14 @@ def node_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     mixed = common.materialise(mixed, "mixed")
     mixed = common.materialise(common.join_small(own, mixed, "key"), "mixed")
     few, many = mixed.where(F.col("n") <= BLOCK), mixed.where(F.col("n") > BLOCK).select("th", "label").distinct()
-    more = blockwise(few, texts, nodes.select(F.col("th").alias("t2"), F.col("bands").alias("keys")))
+    whole = few.select("key", *(F.lit(0).alias(c) for c in ("p", "q", "blk")), "label", "th")
+    more = blockwise(whole, texts, nodes.select(F.col("th").alias("t2"), F.col("bands").alias("keys")))
     if many.limit(1).count():
         prefixes = common.materialise(rare_words(many, texts), "prefixes")
         each = prefixes.select("th", "label", F.explode("keys").alias("key"))
         shared = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
         each = common.join_small(each, common.materialise(shared, "shared"), "key")
-        more = more.unionByName(blockwise(each, texts, prefixes.select(F.col("th").alias("t2"), "keys")))
+        more = more.unionByName(blockwise(paired_blocks(each), texts, prefixes.select(F.col("th").alias("t2"), "keys")))
     return components(links.unionByName(common.materialise(more, "more"))).toDF("v", "label")
 
 
@@ -507,18 +508,33 @@ def groups_of(batches, change=tuple):
         yield group
 
 
+def paired_blocks(rows: DataFrame) -> DataFrame:
+    """key, p, q, blk, label, th: rows once per pair of blocks of their bucket. rows: key, th, label, n (the bucket's members).
+
+    Members of the label that most of a bucket have are joined already: they fill blocks of their own,
+    which meet the blocks of the other members only. So a bucket of one large component and some others
+    costs its members times the blocks of these others, not the square of its size.
+    """
+    most = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"))
+    most = common.materialise(most.select("key", F.col("most.label").alias("main"), F.col("most.c").alias("held")), "most")
+    rows = common.join_small(rows, most, "key")
+    whole, main = F.col("n") <= BLOCK, F.col("label") == F.col("main")
+    first = F.when(whole, 0).otherwise(F.ceil(F.col("held") / BLOCK)).cast("int")
+    rest = F.when(whole, 1).otherwise(F.greatest(F.ceil((F.col("n") - F.col("held")) / BLOCK), F.lit(1))).cast("int")
+    at = F.xxhash64("th")
+    own = F.when(~whole & main, F.pmod(at, F.greatest(first, F.lit(1)))).otherwise(first + F.pmod(at, rest)).cast("int")
+    rows = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.when(~whole & main, first).otherwise(F.lit(0)), first + rest - 1)))
+    return rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", "th")
+
+
 def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Links a, b that join members of different labels that share a bucket. rows: key, th, label, n (the bucket's members).
+    """Links a, b that join members of different labels that share a bucket. rows: key, p, q, blk, label, th.
 
-    A bucket is cut into blocks of BLOCK members; a group of rows is two of its blocks, so a task holds
-    2 * BLOCK texts and compares them in memory, but for those that links have joined already. A pair
+    A group of rows is two blocks of about BLOCK members of a bucket, so a task holds 2 * BLOCK texts and
+    compares them in memory, but for those that links have joined already. A pair
     that meets in several buckets is compared in the first common one of its keys only; members that have
     no pair to compare in a group are told by the keys alone, before texts are sent. keyed: t2, keys.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("th"), blocks).cast("int")
-    rows = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "label", "th")
     before = F.slice("keys", F.lit(1), F.array_position("keys", F.col("key")).cast("int") - 1)
     rows = rows.join(keyed, F.col("th") == F.col("t2")).select("key", "p", "q", "blk", "label", "th", before.alias("before"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

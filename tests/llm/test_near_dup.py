@@ -133,6 +133,26 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     assert got == brute_classes(rows) and 25 <= len(set(got.values())) < len(rows)
 
 
+def test_blocks_meet_all_pairs_of_different_labels_once(spark, monkeypatch):
+    """Each pair of different labels lies in one group of two blocks, and a bucket of one large component does not cost its square."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    sizes = {1: {0: 400, 1: 3, 2: 1}, 2: {0: 20, 1: 19, 2: 18}, 3: {0: 4, 1: 2}, 4: {0: 8, 1: 1}}
+    rows = [(key, f"{key}-{label}-{i}".encode(), bytes([label]), sum(own.values())) for key, own in sizes.items() for label, n in own.items() for i in range(n)]
+    got = near_dup.paired_blocks(spark.createDataFrame(rows, "key long, th binary, label binary, n int")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.key, r.p, r.q), []).append(r)
+    met = Counter()
+    for (key, p, q), own in groups.items():
+        left, right = [r for r in own if r.blk == p], [r for r in own if r.blk == q]
+        assert p == q or len(left) + len(right) == len(own)
+        met.update((key, *sorted((bytes(a.th), bytes(b.th)))) for i, a in enumerate(left) for b in (left[:i] if p == q else right) if a.label != b.label)
+    want = {(r[0], *sorted((r[1], s[1]))) for i, r in enumerate(rows) for s in rows[:i] if r[0] == s[0] and r[2] != s[2]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert sum(r.key == 1 for r in got) <= 400 + 4 * 51
+    assert near_dup.paired_blocks(spark.createDataFrame([], "key long, th binary, label binary, n int")).count() == 0
+
+
 def test_edited_copies_are_found(spark):
     """Copies that share about half of their shingles: nearly all are found, and nothing else is joined."""
     rng = random.Random(9)
