@@ -21,6 +21,7 @@ from ..operators.split import Penalty, scans
 from ..operators.tree import Node, Tree
 from ..sources.frame import from_dense, from_libsvm_lines, from_long, from_sparse, parse_libsvm, present
 from .model import Model, Stump, importance
+from .predict import InplaceRequest, Request
 from .train import add_bins, balanced, slim
 
 QUERIES: dict = {}
@@ -571,6 +572,40 @@ def predict_value_fixed_tree(spark, sf_dir):
     return fixed_model().predict(tree_frame(spark, sf_dir)).select("q", "i", r(F.get("prediction", F.lit(0))).alias("p"))
 
 
+def cut_tree(threshold: float) -> Tree:
+    """One split of x0; its leaves are the nodes 1 and 2."""
+    tree = Tree(2, [])
+    for k, (a, b) in enumerate([(1, 2), (-1, -1), (-1, -1)]):
+        tree.nodes.append(Node(0 if k else -1, a, b, 0, threshold if k == 0 else 0.0, -1, False, None, float(k), float(k), 1.0 if k == 0 else 0.0, 10.0, min(k, 1)))
+    return tree
+
+
+def grid_model() -> Model:
+    """Two rounds of two outputs of two parallel trees."""
+    trees = [fixed_tree(), cut_tree(10), cut_tree(20), cut_tree(30), cut_tree(40), cut_tree(45), cut_tree(15), fixed_tree()]
+    return Model("gbtree", "multi:softprob", {}, 2, 2, [0.1, 0.2], [Stump(t, k // 2 % 2, round=k // 4) for k, t in enumerate(trees)])
+
+
+@query(f"""WITH {TREE_SQL}, cells AS (SELECT q, i, unnest([struct_pack(r := 0, o := 0, p := 0, leaf := leaf), struct_pack(r := 0, o := 0, p := 1, leaf := CASE WHEN x0 < 10 THEN 1 ELSE 2 END),
+  struct_pack(r := 0, o := 1, p := 0, leaf := CASE WHEN x0 < 20 THEN 1 ELSE 2 END), struct_pack(r := 0, o := 1, p := 1, leaf := CASE WHEN x0 < 30 THEN 1 ELSE 2 END),
+  struct_pack(r := 1, o := 0, p := 0, leaf := CASE WHEN x0 < 40 THEN 1 ELSE 2 END), struct_pack(r := 1, o := 0, p := 1, leaf := CASE WHEN x0 < 45 THEN 1 ELSE 2 END),
+  struct_pack(r := 1, o := 1, p := 0, leaf := CASE WHEN x0 < 15 THEN 1 ELSE 2 END), struct_pack(r := 1, o := 1, p := 1, leaf := leaf)]) AS c FROM leafed)
+SELECT q, i, c.r::INTEGER AS round, c.o::INTEGER AS output, c.p::INTEGER AS parallel, c.leaf::BIGINT AS leaf FROM cells""")
+def predict_strict_leaf(spark, sf_dir):
+    """Leaves by round, output and parallel tree."""
+    got = Request("leaf", strict_shape=True).run(grid_model(), tree_frame(spark, sf_dir))
+    got = got.select("q", "i", F.posexplode("prediction").alias("round", "x")).select("q", "i", "round", F.posexplode("x").alias("output", "x"))
+    return got.select("q", "i", "round", "output", F.posexplode("x").alias("parallel", "leaf"))
+
+
+@query(f"""WITH t AS (SELECT l_orderkey AS q, l_linenumber AS i, l_quantity AS x0, CASE WHEN l_discount = 0.02 THEN NULL ELSE l_discount END AS x1, l_extendedprice AS margin FROM lineitem),
+{TREE_SQL[TREE_SQL.index("leafed AS"):]} SELECT q, i, margin::DOUBLE AS margin, round(1 / (1 + exp(-(0.1 + {LEAF_CASE}))), 6) AS p FROM leafed""")
+def predict_inplace(spark, sf_dir):
+    """Plain columns with a sentinel for missing; a column of the table's own is called margin."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x0"), F.col("l_discount").alias("x1"), F.col("l_extendedprice").cast("double").alias("margin"))
+    return InplaceRequest(missing=0.02).run_columns(fixed_model(), li, ["x0", "x1"]).select("q", "i", "margin", r(F.col("prediction")).alias("p"))
+
+
 @query(f"WITH {TREE_SQL} SELECT q, i, round(CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END - 0.4, 6)::DOUBLE AS c0, round({LEAF_CASE} - CASE WHEN x0 < 20 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS c1, round(0.5, 6)::DOUBLE AS bias FROM leafed")
 def saabas_fixed_tree(spark, sf_dir):
     got = fixed_model().predict(tree_frame(spark, sf_dir), "approx_contribution")

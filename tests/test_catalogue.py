@@ -23,7 +23,7 @@ def test_every_oracle_has_a_query():
     assert len(catalogue.oracle_sql()) >= 75
 
 
-@pytest.mark.parametrize("name", ["grad_softmax", "grad_cox", "metric_aucpr", "metric_ndcg", "bin_assign", "split_best", "split_monotone", "hist_root", "hist_level1", "hist_subtraction", "split_backward_missing", "split_onehot", "split_partition", "leaf_values", "boost_round_1", "tree_hist", "tree_exact", "tree_lossguide", "shap_fixed_tree", "importance_gain", "prune_fixed_tree", "tree_dart", "tree_approx", "softprob_round_1", "linear_round_1", "linear_batches_round_1", "linear_sparse_round_1", "tree_exact_continuous", "tree_sparse", "grad_rank_unbiased", "rank_pairs_mean", "sample_threshold", "source_column_pages", "custom_loss_round_1", "model_document", "model_table"])
+@pytest.mark.parametrize("name", ["grad_softmax", "grad_cox", "metric_aucpr", "metric_ndcg", "bin_assign", "split_best", "split_monotone", "hist_root", "hist_level1", "hist_subtraction", "split_backward_missing", "split_onehot", "split_partition", "leaf_values", "boost_round_1", "tree_hist", "tree_exact", "tree_lossguide", "shap_fixed_tree", "importance_gain", "prune_fixed_tree", "tree_dart", "tree_approx", "softprob_round_1", "linear_round_1", "linear_batches_round_1", "linear_sparse_round_1", "tree_exact_continuous", "tree_sparse", "grad_rank_unbiased", "rank_pairs_mean", "sample_threshold", "source_column_pages", "custom_loss_round_1", "model_document", "model_table", "predict_strict_leaf", "predict_inplace"])
 def test_oracle(spark, sql, name):
     got = catalogue.queries()[name](spark, SMALL)
     columns = sorted(got.columns)
