@@ -314,7 +314,7 @@ class Trainer:
     def sampled(self, df: DataFrame, number: int) -> DataFrame:
         """df with the gradients of rows that are not drawn set to zero."""
         p, share = self.params, self.params["subsample"]
-        if share >= 1:
+        if int(share * self.rows) >= self.rows:  # a share that is all rows draws nothing
             return df
         u = uniform(p["seed"] * 1_000_003 + number, F.col("row_id"))
         zero = lambda c: F.transform(c, lambda x: x * 0)
@@ -582,13 +582,13 @@ def evaluate(model: Model, df: DataFrame, name: str) -> float:
     return float("nan") if value is None else float(value)
 
 
-def update(model: Model, params: dict | Params, frame: Frame) -> Model:
-    """model with one more round on a frame."""
-    return train(params, frame, 1, base=model)
+def update(model: Model, params: dict | Params, frame: Frame, number: int | None = None) -> Model:
+    """model with one more round on a frame. number: the round's, which seeds its draws; one after the model's if not given."""
+    return train(params, frame, 1, base=model, first=model.rounds if number is None else number)
 
 
-def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=(), base: Model | None = None, early_stopping_rounds: int | None = None, maximize: bool | None = None, verbose_eval: int = 0) -> Model:
-    """Boost for so many rounds; evals are (name, Frame) pairs whose metrics go into the model's history."""
+def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=(), base: Model | None = None, early_stopping_rounds: int | None = None, maximize: bool | None = None, verbose_eval: int = 0, first: int = 0) -> Model:
+    """Boost for so many rounds; evals are (name, Frame) pairs whose metrics go into the model's history. first: the number of the first round, for draws."""
     params = params if isinstance(params, Params) else Params(params)
     for text in params.warnings():
         log.warning(text)
@@ -599,6 +599,8 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
     own = slim(frame)
     frame, evals = own, [(n, own if f is frame else slim(f)) for n, f in evals]
     trainer = Trainer(params, frame, base)
+    if first:
+        trainer.rng = random.Random(params["seed"] * 1_000_003 + first)
     model = trainer.model
     names = params["eval_metric"]
     names = [names] if isinstance(names, str) else list(names)
@@ -608,7 +610,7 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
     best, stale = None, 0
     for number in range(num_boost_round):
         before = len(model.stumps)
-        trainer.round(number)
+        trainer.round(first + number)
         for i, (label, held, f) in enumerate(sets):
             if f is frame:
                 held = trainer.state
