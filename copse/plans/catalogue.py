@@ -703,7 +703,7 @@ def source_transposed(spark, sf_dir):
     return tree_frame(spark, sf_dir).transposed().select("row_id", "f", "v")
 
 
-# ---- whole trainings, which SQL cannot express
+# ---- whole trainings; those that draw by seeds have no SQL form
 
 
 def price_frame(spark, sf_dir, label="l_extendedprice", scale=10000.0):
@@ -712,17 +712,76 @@ def price_frame(spark, sf_dir, label="l_extendedprice", scale=10000.0):
 
 
 def history(spark, model):
-    return spark.createDataFrame(model.history, "round int, data string, metric string, value double")
+    return spark.createDataFrame(model.history, "round int, data string, metric string, value double").withColumn("value", r(F.col("value")))
 
 
-def training(name, params, rounds=3, prepare=None):
+def forest_sql(rounds: int, classes: int = 0, depth: int = 0, leaves: int = 0) -> str:
+    """Metrics by round of trees over three columns without missing values: squared error, or so many classes.
+
+    With depth, every node of a level is split where that gains; with leaves, the node that gains most is, one after another.
+    Nodes are numbered by their path; a node that no split improves keeps its number and is tried again in vain.
+    """
+    gain = "lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1)"
+    label = "CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END" if classes else "l_extendedprice / 10000"
+    out = [f"r AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_quantity AS x0, l_discount AS x1, l_tax AS x2, {label} AS y FROM lineitem)",
+           "long AS MATERIALIZED (SELECT rid, f, CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS v FROM r, (VALUES (0), (1), (2)) c(f))"]
+    if classes:
+        out += ["c0 AS (SELECT y AS k, ln(count(*)::DOUBLE / (SELECT count(*) FROM r)) AS l FROM r GROUP BY y)", "m0 AS MATERIALIZED (SELECT rid, k, l - (SELECT avg(l) FROM c0) AS m FROM r, c0)"]
+    else:
+        out.append("m0 AS MATERIALIZED (SELECT rid, 0 AS k, (SELECT avg(y) FROM r) AS m FROM r)")
+    for t in range(rounds):
+        if classes:
+            out += [f"p{t} AS (SELECT rid, k, exp(m) / sum(exp(m)) OVER (PARTITION BY rid) AS p FROM m{t})",
+                    f"g{t} AS MATERIALIZED (SELECT rid, k, p - (y = k)::INT AS g, greatest(2 * p * (1 - p), 1e-16) AS h FROM p{t} JOIN r USING (rid))"]
+        else:
+            out.append(f"g{t} AS MATERIALIZED (SELECT rid, k, m - y AS g, 1.0::DOUBLE AS h FROM m{t} JOIN r USING (rid))")
+        out.append(f"n{t}_0 AS (SELECT rid, k, 0 AS node FROM m{t})")
+        for i in range(depth or leaves - 1):
+            a = f"{t}_{i}"
+            best = f"row_number() OVER (PARTITION BY k{'' if leaves else ', node'} ORDER BY round(gain, 7) DESC, node, f, v) AS o"
+            out += [
+                f"h{a} AS MATERIALIZED (SELECT k, node, f, v, sum(g) AS g, sum(h) AS h FROM n{a} JOIN g{t} USING (rid, k) JOIN long USING (rid) GROUP BY k, node, f, v)",
+                f"s{a} AS (SELECT k, node, f, v, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(g) OVER q AS tg, sum(h) OVER q AS th FROM h{a} WINDOW q AS (PARTITION BY k, node, f), w AS (PARTITION BY k, node, f ORDER BY v))",
+                f"e{a} AS (SELECT *, {gain} AS gain FROM s{a} WHERE lh >= 1 AND th - lh >= 1)",
+                f"b{a} AS MATERIALIZED (SELECT * FROM (SELECT *, {best} FROM e{a} WHERE gain > 1e-6) WHERE o = 1)",
+                f"n{t}_{i + 1} AS MATERIALIZED (SELECT n.rid, n.k, CASE WHEN b.f IS NULL THEN n.node WHEN CASE b.f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= b.v THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node FROM n{a} n JOIN r USING (rid) LEFT JOIN b{a} b ON b.k = n.k AND b.node = n.node)",
+            ]
+        last = f"n{t}_{depth or leaves - 1}"
+        out += [f"l{t} AS (SELECT k, node, -0.3 * sum(g) / (sum(h) + 1) AS v FROM {last} JOIN g{t} USING (rid, k) GROUP BY k, node)", f"m{t + 1} AS MATERIALIZED (SELECT rid, k, m + v AS m FROM m{t} JOIN {last} USING (rid, k) JOIN l{t} USING (k, node))"]
+    name, value = ("rmse", "sqrt(avg(pow(m - y, 2)))") if not classes else ("mlogloss", "avg(z - m)")
+    scored = lambda t: f"m{t} JOIN r USING (rid)" if not classes else f"(SELECT rid, k, m, ln(sum(exp(m)) OVER (PARTITION BY rid)) AS z FROM m{t}) JOIN r USING (rid) WHERE y = k"
+    picks = " UNION ALL ".join(f"SELECT {t}::INT AS round, 'train' AS data, '{name}' AS metric, round({value}, 6) AS value FROM {scored(t + 1)}" for t in range(rounds))
+    return f"WITH {', '.join(out)} {picks}"
+
+
+def linear_history_sql(rounds: int) -> str:
+    """Metrics by round of coordinate descent: all that a step needs of the rows are their moments."""
+    x = ("x0", "x1", "x2")
+    sums = ", ".join([*(f"sum({a}) AS s_{a}" for a in x), *(f"sum({a} * {b}) AS s_{a}{b}" for a in x for b in x), *(f"sum((b - y) * {a}) AS g_{a}" for a in x), *(f"0.0::DOUBLE AS w_{a}" for a in x)])
+    out = ["r AS MATERIALIZED (SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_extendedprice / 10000 AS y, (SELECT avg(l_extendedprice / 10000) FROM lineitem) AS b FROM lineitem)",
+           f"t0 AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, sum(b - y) AS g_, 0.0::DOUBLE AS w_, {sums} FROM r)"]
+    steps, ends = 0, []
+    for _ in range(rounds):
+        for a in ("", *x):
+            square = f"s_{a}{a}" if a else "n"
+            cross = lambda b, a=a: f"s_{a}{b}" if a and b else f"s_{a}{b}" if a or b else "n"
+            moved = ", ".join(f"g_{b} + d * {cross(b)} AS g_{b}" for b in ("", *x))
+            out.append(f"t{steps + 1} AS MATERIALIZED (SELECT * EXCLUDE (d) REPLACE ({moved}, w_{a} + d AS w_{a}) FROM (SELECT *, -0.5 * g_{a} / {square} AS d FROM t{steps}))")
+            steps += 1
+        ends.append(steps)
+    margin = "b + w_ + " + " + ".join(f"w_{a} * {a}" for a in x)
+    picks = " UNION ALL ".join(f"SELECT {i}::INT AS round, 'train' AS data, 'rmse' AS metric, round(sqrt(avg(pow({margin} - y, 2))), 6) AS value FROM r, t{at}" for i, at in enumerate(ends))
+    return f"WITH {', '.join(out)} {picks}"
+
+
+def training(name, params, rounds=3, prepare=None, sql=None):
     from .train import train
 
     def run(spark, sf_dir):
         frame = (prepare or price_frame)(spark, sf_dir)
         return history(spark, train(params, frame, rounds, [("train", frame)]))
 
-    query(None, name)(run)
+    query(sql, name)(run)
 
 
 def flagged(spark, sf_dir):
@@ -731,13 +790,13 @@ def flagged(spark, sf_dir):
     return from_dense(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_orderkey") * 10 + F.col("l_linenumber")).with_labels(flag)
 
 
-training("train_hist", {"max_depth": 4})
-training("train_lossguide", {"grow_policy": "lossguide", "max_leaves": 6, "max_depth": 0}, 2)
-training("train_approx", {"tree_method": "approx", "max_depth": 3}, 2)
-training("train_exact", {"tree_method": "exact", "max_depth": 3}, 2)
+training("train_hist", {"max_depth": 4}, sql=forest_sql(3, depth=4))
+training("train_lossguide", {"grow_policy": "lossguide", "max_leaves": 6, "max_depth": 0}, 2, sql=forest_sql(2, leaves=6))
+training("train_approx", {"tree_method": "approx", "max_depth": 3}, 2, sql=forest_sql(2, depth=3))
+training("train_exact", {"tree_method": "exact", "max_depth": 3}, 2, sql=forest_sql(2, depth=3))
 training("train_dart", {"booster": "dart", "rate_drop": 0.5, "max_depth": 3})
-training("train_linear", {"booster": "gblinear"}, 5)
-training("train_softprob", {"objective": "multi:softprob", "num_class": 3, "max_depth": 3}, 2, flagged)
+training("train_linear", {"booster": "gblinear"}, 5, sql=linear_history_sql(5))
+training("train_softprob", {"objective": "multi:softprob", "num_class": 3, "max_depth": 3}, 2, flagged, forest_sql(2, classes=3, depth=3))
 training("train_sampled", {"subsample": 0.5, "sampling_method": "gradient_based", "colsample_bynode": 0.7, "max_depth": 3}, 2)
 
 
