@@ -165,10 +165,22 @@ class Index:
     total: int
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """docs, terms: a batch's documents with terms and their terms with repeats, by the splitting that the index uses."""
+
+    def make():
+        def step(batch):
+            sizes = [len(terms_of(text)) for text in common.utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["docs", "terms"])
+
+        return step
+
+    return common.map_batches(docs.select("text"), make, "docs bigint, terms bigint")
+
+
 def build_index(docs: DataFrame, block: int = BLOCK, most_postings: int = MOST_POSTINGS, most_docs: int = MOST_DOCS) -> Index:
     """Index every row of docs (doc_id, text), in tables of the shared folder."""
-    words = F.regexp_count("text", F.lit(WORD))
-    n, total = docs.select(words.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, total = term_counts(docs).agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def run(batches):
         from pyspark import TaskContext

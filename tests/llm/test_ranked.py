@@ -66,6 +66,18 @@ def test_odd_rows(spark):
     assert ranked.ranked(d.limit(0), q).count() == ranked.ranked(d, q.limit(0)).count() == 0
 
 
+def test_terms_are_counted_as_they_are_indexed(spark, monkeypatch):
+    """N and L come from the index's own splitting, without a pattern over all texts, which took most of the query's time."""
+    docs = [(1, "One two, THREE"), (2, None), (3, ""), (4, " .,- "), (None, "one two"), (5, "Émile\u2003é 1a_b\x00c\x7fd"), (6, "x " * 70000)]
+    d, _ = frames(spark, docs, [(1, "one")], 2)
+    monkeypatch.setattr(ranked.F, "regexp_count", None)
+    index = ranked.build_index(d)
+    held = [terms(t) for _, t in docs if terms(t)]
+    assert (index.docs, index.total) == (len(held), sum(map(len, held)))
+    empty = ranked.build_index(d.limit(0))
+    assert (empty.docs, empty.total, empty.rows.count()) == (0, 0, 0)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranked, "MOST_TERMS", 40)
     docs, items = corpus(100, 1), corpus(9, 2)
