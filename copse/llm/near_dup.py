@@ -13,8 +13,11 @@ others) and all members are aligned with it, dealt to (leader, salt) groups of G
 members still lie in several components are compared member by member while they hold at most BLOCK. The
 members of larger ones are dealt anew by the rarest of their words: texts that share SIMILARITY of their
 words share one of the rarest in the same order of all words (a prefix filter), so no pair is lost, and
-texts that only share a common passage part. No pairs are listed, no group is capped. Links, labels and
-buckets stay distributed; each round is cut by tables in the shared folder.
+texts that only share a common passage part. Where blocks of all these members that meet each other make
+fewer rows than their rare words do, they are dealt so. Of the pairs that meet, those that cannot share
+enough of their words by their sizes and a few more rare words are dropped before texts are sent. No pairs
+are listed, no group is capped. Links, labels and buckets stay distributed; each round is cut by tables in
+the shared folder.
 
 Defined results: a null text is empty; texts without words are near only to equal texts; texts of
 fewer than five words are near only to texts of the same words; rows that repeat doc_id and text are
@@ -407,17 +410,26 @@ def node_classes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     mixed = common.materialise(common.join_small(own, mixed, "key"), "mixed")
     few, many = mixed.where(F.col("n") <= BLOCK), mixed.where(F.col("n") > BLOCK).select("th", "label").distinct()
     whole = few.select("key", *(F.lit(0).alias(c) for c in ("p", "q", "blk")), "label", "th")
-    more = blockwise(whole, texts, nodes.select(F.col("th").alias("t2"), F.col("bands").alias("keys")))
+    more = blockwise(whole, texts, nodes.select(F.col("th").alias("t2"), F.col("bands").alias("keys"), F.lit(0).alias("size")))
     if many.limit(1).count():
         prefixes = common.materialise(rare_words(many, texts), "prefixes")
-        each = prefixes.select("th", "label", F.explode("keys").alias("key"))
+        each = prefixes.select("th", "label", F.explode(F.slice("keys", F.lit(1), F.col("deal"))).alias("key"))
         shared = each.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-        each = common.join_small(each, common.materialise(shared, "shared"), "key")
-        more = more.unionByName(blockwise(paired_blocks(each), texts, prefixes.select(F.col("th").alias("t2"), "keys")))
+        shared = common.materialise(shared, "shared")
+        n, main = prefixes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+        if block_rows(n, main) <= (shared.agg(F.sum("n")).first()[0] or 0):
+            each = prefixes.select(F.lit(ALL).cast("bigint").alias("key"), "th", "label", F.lit(n).alias("n"))
+        else:
+            each = common.join_small(each, shared, "key")
+        more = more.unionByName(blockwise(paired_blocks(each), texts, prefixes.select(F.col("th").alias("t2"), "keys", "size")))
     return components(links.unionByName(common.materialise(more, "more"))).toDF("v", "label")
 
 
 BLOCK = 256
+#: The key of members that are not dealt by words (words have none below 0).
+ALL = -1
+#: A near text shares so many of the keys of a text of n words: n over this, rounded up.
+MORE = 20
 #: Cells of the word counts that order words by rarity; their number is what the driver receives.
 CELLS = 1 << 18
 #: Bytes of texts whose words a task keeps between groups.
@@ -428,10 +440,16 @@ def cell(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) % CELLS
 
 
+def needed(size):
+    """Words that a text of so many shares with a near one at least."""
+    return np.ceil(SIMILARITY * np.asarray(size) - 1e-9).astype(np.int64)
+
+
 def rare_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """th, label, keys: hashes of the rarest labelled words of each text of rows (th, label), rarest first.
+    """th, label, size, deal, keys: each text of rows (th, label), its words and hashes of its rarest labelled words, rarest first.
 
-    So many that two texts of SIMILARITY share one: all but SIMILARITY of a text's words, and one more.
+    The first `deal` are so many that two texts of SIMILARITY share one: all but SIMILARITY of a text's
+    words, and one more. With all but SIMILARITY and k more of both, they share k; keys has the k of MORE.
     Rarity is counted over these texts by hash cells; it only orders the words, alike for all texts.
     """
     held = common.materialise(common.join_small(texts, rows, "th").select("th", "label", "text"), "hot")
@@ -447,28 +465,36 @@ def rare_words(rows: DataFrame, texts: DataFrame) -> DataFrame:
     counts = held.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(CELLS, np.int64)
     often[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    schema = common.arrow_schema("th binary, label binary, keys array<bigint>")
+    ddl = "th binary, label binary, size int, deal int, keys array<bigint>"
+    schema = common.arrow_schema(ddl)
 
     def step(batches):
         for batch in batches:
-            keys = []
+            keys, sizes, deals = [], [], []
             for text in common.utf8(batch, "text"):
                 words, seen, own = text.split(), {}, []
                 for w in words:
                     k = seen.get(w, 0)
                     seen[w] = k + 1
-                    own.append((int(often[cell(w)]), xxhash.xxh3_64_intdigest(w, k) >> 1))
+                    # Not seeded by k: short words of other seeds have equal hashes.
+                    own.append((int(often[cell(w)]), xxhash.xxh3_64_intdigest(b"%b %d" % (w, k) if k else w) >> 1))
                 own.sort()
-                keys.append([h for _, h in own[: len(own) - math.ceil(SIMILARITY * len(own) - 1e-9) + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, schema.field(2).type)], schema=schema)
+                rest = len(own) - int(needed(len(own)))
+                keys.append([h for _, h in own[: rest + max(-(-len(own) // MORE), 1)]])
+                sizes.append(len(own))
+                deals.append(rest + 1)
+            own = [pa.array(sizes, pa.int32()), pa.array(deals, pa.int32()), pa.array(keys, schema.field(4).type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], schema=schema)
 
-    return held.mapInArrow(step, "th binary, label binary, keys array<bigint>")
+    return held.mapInArrow(step, ddl)
 
 
 def sides(group):
-    """The rows of a group's two blocks, and which pairs of them have different labels and no key before the group's in common.
+    """The rows of a group's two blocks, and which pairs of them have different labels, no key before the group's in common and may be near.
 
-    rows: key, p, q, blk, label, th, before. A pair with a key before this one is compared there.
+    rows: key, p, q, blk, label, th, keys, at (keys before the group's), size. A pair with a key before this
+    one is compared there. Where rows have a size, near texts agree in it to SIMILARITY and share as many
+    of their keys as the shorter list has beyond the words that a near text may lack.
     """
     p, q = group[0][1:3]
     left = [row for row in group if row[3] == p]
@@ -478,8 +504,14 @@ def sides(group):
     meet = one[:, None] != other[None, :]
     if p == q:
         meet = np.tril(meet, -1)
-    if meet.any():
-        meet &= shared([row[6] for row in left], [row[6] for row in right]) == 0
+    if meet.any() and any(row[7] for row in group):
+        meet &= shared([row[6][: row[7]] for row in left], [row[6][: row[7]] for row in right]) == 0
+    if group[0][8]:
+        sizes = [np.array([row[8] for row in side], np.int64) for side in (left, right)]
+        meet &= np.minimum.outer(*sizes) >= needed(np.maximum.outer(*sizes))
+        if meet.any():
+            least = [np.array([len(row[6]) for row in side]) - n + needed(n) for side, n in zip((left, right), sizes, strict=True)]
+            meet &= shared([row[6] for row in left], [row[6] for row in right]) >= np.minimum.outer(*least)
     return left, right, meet
 
 
@@ -508,6 +540,12 @@ def groups_of(batches, change=tuple):
         yield group
 
 
+def block_rows(n: int, main: int) -> int:
+    """How many rows paired_blocks makes of a bucket of n members, `main` of them of one label."""
+    first, rest = -(-main // BLOCK), max(-(-(n - main) // BLOCK), 1)
+    return n if n <= BLOCK else main * rest + (n - main) * (first + rest)
+
+
 def paired_blocks(rows: DataFrame) -> DataFrame:
     """key, p, q, blk, label, th: rows once per pair of blocks of their bucket. rows: key, th, label, n (the bucket's members).
 
@@ -533,12 +571,15 @@ def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
     A group of rows is two blocks of about BLOCK members of a bucket, so a task holds 2 * BLOCK texts and
     compares them in memory, but for those that links have joined already. A pair
     that meets in several buckets is compared in the first common one of its keys only; members that have
-    no pair to compare in a group are told by the keys alone, before texts are sent. keyed: t2, keys.
+    no pair to compare in a group are told by the keys and sizes alone, before texts are sent.
+    keyed: t2, keys, size (0: keys say nothing but where texts meet).
     """
-    before = F.slice("keys", F.lit(1), F.array_position("keys", F.col("key")).cast("int") - 1)
-    rows = rows.join(keyed, F.col("th") == F.col("t2")).select("key", "p", "q", "blk", "label", "th", before.alias("before"))
+    at = F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0))
+    rows = rows.join(keyed, F.col("th") == F.col("t2")).withColumn("at", at)
+    sent = F.when(F.col("size") > 0, F.col("keys")).otherwise(F.slice("keys", F.lit(1), F.col("at")))
+    rows = rows.select("key", "p", "q", "blk", "label", "th", sent.alias("keys"), "at", "size")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ddl = "key bigint, p int, q int, blk int, label binary, th binary, before array<bigint>"
+    ddl = "key bigint, p int, q int, blk int, label binary, th binary, keys array<bigint>, at int, size int"
     kept_schema, schema = common.arrow_schema(ddl), common.arrow_schema("a binary, b binary")
 
     def dealt(x):
@@ -564,7 +605,7 @@ def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
     kept = common.materialise(dealt(rows).mapInArrow(meeting, ddl), "meeting")
     wanted = common.materialise(kept.select(F.col("th").alias("t3")).distinct(), "wanted")
     held = common.join_small(texts, wanted, F.col("th") == F.col("t3")).select("t3", F.col("text").cast("binary").alias("text"))
-    kept = kept.join(common.materialise(held, "held"), F.col("th") == F.col("t3")).select("key", "p", "q", "blk", "label", "th", "before", "text")
+    kept = kept.join(common.materialise(held, "held"), F.col("th") == F.col("t3")).select("key", "p", "q", "blk", "label", "th", "keys", "at", "size", "text")
 
     def compare(group):
         a, b, joined = [], [], {}
@@ -578,11 +619,11 @@ def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
         here, there = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
         if not len(here):
             return a, b
-        meet[np.ix_(here, there)] &= candidates([left[i][7] for i in here], [right[j][7] for j in there])
+        meet[np.ix_(here, there)] &= candidates([left[i][9] for i in here], [right[j][9] for j in there])
         for i, j in np.argwhere(meet):
             one, other = left[i], right[j]
             mine, theirs = root(one[4]), root(other[4])
-            if mine != theirs and one[7].near_to(other[7]):
+            if mine != theirs and one[9].near_to(other[9]):
                 a.append(one[5])
                 b.append(other[5])
                 joined[mine] = theirs
@@ -597,9 +638,9 @@ def blockwise(rows: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
                 if size >= CACHE:
                     cache.clear()
                     size = 0
-                cache[row[5]] = Text(row[7])
-                size += len(row[7])
-            return *row[:7], cache[row[5]]
+                cache[row[5]] = Text(row[9])
+                size += len(row[9])
+            return *row[:9], cache[row[5]]
 
         for group in groups_of(batches, change):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in compare(group)], schema=schema)

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from copse.llm import near_dup
 
@@ -133,6 +135,65 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     assert got == brute_classes(rows) and 25 <= len(set(got.values())) < len(rows)
 
 
+def test_large_buckets_cost_no_more_than_their_blocks(spark, monkeypatch):
+    """Unrelated texts of one passage: dealt by rare words or in blocks, whichever makes fewer rows, with the same classes; few texts are sent."""
+    rng = random.Random(4)
+    passage, vocabulary = [f"p{i}" for i in range(200)], [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(40):
+        own = [rng.choice(vocabulary) for _ in range(100)]
+        rows += [(2 * i + j, " ".join(passage + edited(rng, own, 0.3 * j, vocabulary)), "en", i) for j in range(1 + (i < 6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, class_id int")
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    blockwise, written, made, want = near_dup.blockwise, near_dup.common.materialise, [], brute_classes(rows)
+
+    def counted(groups, *rest):
+        made.append(groups.count())
+        return blockwise(groups, *rest)
+
+    def sent(df, name):
+        out = written(df, name)
+        if name == "meeting":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "blockwise", counted)
+    monkeypatch.setattr(near_dup.common, "materialise", sent)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == want
+    dealt, texts_sent = made[2:]
+    assert dealt <= near_dup.block_rows(len(rows), 1) and texts_sent <= dealt // 4
+    made.clear()
+    monkeypatch.setattr(near_dup, "block_rows", lambda n, main: 1 << 40)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == want
+    assert made[2] > 3 * dealt and made[3] <= made[2] // 4
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_near_pair_is_dropped_by_keys(spark, seed):
+    """Pairs at the edge of nearness, of equal and different sizes, with words that repeat, meet exactly once if dealt by words."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(rng.choice([12, 60, 900]))]
+    texts = []
+    for n in [1, 2, 5, 6, 19, 20, 21, 40, 61, 100, 150]:
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        texts += [base, base[: math.ceil(0.8 * n - 1e-9)], base[n - math.ceil(0.8 * n - 1e-9) :], base + [rng.choice(vocabulary) for _ in range(n // 4)]]
+        texts += [edited(rng, base, share, vocabulary) for share in (0.05, 0.15, 0.2, 0.25)]
+    texts = sorted({" ".join(t).encode() for t in texts})
+    rows = spark.createDataFrame([(t, t, t) for t in texts], "th binary, label binary, text binary").withColumn("text", F.col("text").cast("string"))
+    held = near_dup.rare_words(rows.select("th", "label"), rows.select("th", "text")).collect()
+    listed = [(bytes(r.th), np.array(r["keys"]), r.size, r.deal) for r in held]
+    want = {(a, b) for a in texts for b in texts if a < b and near(a.decode(), b.decode())}
+    whole = [(near_dup.ALL, 0, 0, 0, th, th, keys, 0, size) for th, keys, size, _ in listed]
+    met = [tuple(sorted((g[i][5], g[j][5]))) for g, _, meet in [near_dup.sides(whole)] for i, j in np.argwhere(meet)]
+    assert want and want <= set(met) and len(set(met)) == len(met)
+    by_word = Counter()
+    for key in {k for _, keys, _, deal in listed for k in keys[:deal].tolist()}:
+        group = [(key, 0, 0, 0, th, th, keys, keys.tolist().index(key), size) for th, keys, size, deal in listed if key in keys[:deal]]
+        left, _, meet = near_dup.sides(group)
+        by_word.update(tuple(sorted((left[i][5], left[j][5]))) for i, j in np.argwhere(meet))
+    assert want <= set(by_word) and set(by_word[x] for x in want) == {1}
+
+
 def test_blocks_meet_all_pairs_of_different_labels_once(spark, monkeypatch):
     """Each pair of different labels lies in one group of two blocks, and a bucket of one large component does not cost its square."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
