@@ -253,10 +253,11 @@ def deduped_documents(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int
 
     def run(batches):
         for batch in batches:
-            texts = [None if x is None else without(x, y) if y else x for x, y in zip(batch.column(t).cast(pa.binary()).to_pylist(), batch.column(g).to_pylist(), strict=True)]
-            columns = list(batch.columns)
-            columns[t] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in common.parts(batch):
+                texts = [None if x is None else without(x, y) if y else x for x, y in zip(part.column(t).cast(pa.binary()).to_pylist(), part.column(g).to_pylist(), strict=True)]
+                columns = list(part.columns)
+                columns[t] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     got = joined.mapInArrow(run, joined.schema)
     if "n_chars" in at:

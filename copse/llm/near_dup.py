@@ -196,7 +196,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         def step(batch):
             ids, hashes, data, counts, size = [], [], [], [], 0
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.utf8(batch, "text"), strict=True):
+            rows = (row for part in common.parts(batch) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part, "text"), strict=True))
+            for doc, th, text in rows:
                 own = [hasher.words(c)[1] for c in chunks(text)]
                 ids.append(doc)
                 hashes.append(th)

@@ -16,10 +16,11 @@ packed as separate documents; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
+from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +35,33 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 CACHE = 200_000
 
 
+def special_tokens(path: str) -> list[str]:
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
 class Encoder:
-    """Ids of a byte-level BPE vocabulary, equal to those of its tokenizers file.
+    """Ids of a byte-level BPE vocabulary, equal to those of its tokenizers file, as little-endian unsigned 32-bit numbers.
 
     The ids of a text are those of its chunks between single spaces, which the pre-tokenizer never
     joins; chunks recur, so they are cached. A text with special tokens or with white space other
     than single spaces at chunk borders goes whole to the library.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, special: list[str]):
+        self.path = path
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.fast = self._ranked(path)
 
+    @cached_property
+    def tokenizer(self):
+        """The library, which few texts need where there is a faster one: some 30 MB of each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _ranked(path: str):
         """The same vocabulary in a faster library where its file lies beside; None elsewhere."""
@@ -68,20 +79,22 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def whole(self, text: str) -> list[int]:
+    def whole(self, text: str) -> bytes:
         if self.fast is None or (self.special and self.special.search(text)):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if self.special and self.special.search(text):
             return self.whole(text)
         chunks = text.split(" ")
-        cache, ids = self.cache, []
+        cache = self.cache
         first = chunks[0]
         if not first or first[-1].isspace():
             return self.whole(text)
-        ids += self.whole(first)
+        ids = [self.whole(first)]
         for chunk in chunks[1:]:
             got = cache.get(chunk)
             if got is None:
@@ -92,28 +105,30 @@ class Encoder:
                     if len(cache) >= CACHE:
                         cache.clear()
                     cache[chunk] = got
-            ids += got
-        return ids
+            ids.append(got)
+        return b"".join(ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
-    schema = common.arrow_schema(PIECES)
+    schema, special = common.arrow_schema(PIECES), special_tokens(tokenizer)
 
     def make():
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, special)
+        end_mark = struct.pack("<I", END)
 
         def step(batch):
             out = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array(encoder.encode(text or "") + [END], "<u4")
-                n, start = len(ids), 0
-                head = n % capacity or capacity
-                for piece in range(-(-n // capacity)):
-                    end = head + piece * capacity
-                    for column, value in zip(out, (doc, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())), strict=True):
-                        column.append(value)
-                    start = end
+            for part in common.parts(batch):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encoder.encode(text or "") + end_mark
+                    n, start = len(ids) // 4, 0
+                    head = n % capacity or capacity
+                    for piece in range(-(-n // capacity)):
+                        end = head + piece * capacity
+                        for column, value in zip(out, (doc, piece, start, end - start, zlib.crc32(ids[4 * start : 4 * end])), strict=True):
+                            column.append(value)
+                        start = end
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
         return step

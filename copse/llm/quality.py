@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
     def make():
         def step(batch):
-            x = [statistics(t) for t in common.utf8(batch, "__t")]
+            x = [statistics(t) for part in common.parts(batch) for t in common.utf8(part, "__t")]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(x, schema.field(2).type)], schema=schema)
 
         return step
@@ -123,10 +123,11 @@ def evidence(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFr
 
     def run(batches):
         for batch in batches:
-            texts = [b or b"" for b in batch.column(at).cast(pa.binary()).to_pylist()]
-            x = np.array([statistics(t) for t in texts]).reshape(len(texts), FEATURES)
-            logit = np.round(np.clip(x @ w[:-1] + w[-1], -12, 12), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit)], names=[*batch.schema.names, "__logit"])
+            for part in common.parts(batch):
+                texts = [b or b"" for b in part.column(at).cast(pa.binary()).to_pylist()]
+                x = np.array([statistics(t) for t in texts]).reshape(len(texts), FEATURES)
+                logit = np.round(np.clip(x @ w[:-1] + w[-1], -12, 12), 6)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logit)], names=[*part.schema.names, "__logit"])
 
     return docs.mapInArrow(run, schema)
 
