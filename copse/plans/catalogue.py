@@ -1014,8 +1014,9 @@ def linear_sparse_round_1(spark, sf_dir):
 
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("row_id")).agg(F.max("o_custkey").alias("f"), (F.min("o_totalprice") / 100000).alias("v"), (F.max("o_totalprice") / 50000).alias("y"))
     frame = from_long(orders.select("row_id", "f", "v"), orders.agg(F.max("f")).first()[0] + 1, orders.select("row_id", "y")).with_labels(F.col("y"))
-    model = train({"booster": "gblinear", "disable_default_eval_metric": True}, frame, 1)
-    return spark.createDataFrame([(f, float(w)) for f, w in enumerate(model.linear[:-1, 0]) if w], "f bigint, weight double").select("f", r(F.col("weight")).alias("weight"))
+    w = train({"booster": "gblinear", "disable_default_eval_metric": True}, frame, 1).linear[:-1, 0]
+    held = np.flatnonzero(w)
+    return spark.createDataFrame(pa.table({"f": held, "weight": w[held]}), "f bigint, weight double").select("f", r(F.col("weight")).alias("weight"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS row_id, max(o_totalprice) AS x0, CASE WHEN o_orderkey % 2 = 0 THEN max(o_custkey)::DOUBLE END AS x1 FROM orders GROUP BY o_orderkey),

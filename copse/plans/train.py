@@ -169,7 +169,9 @@ class Trainer:
                 self.facts = column_facts(frame.df, frame.width, self.rows)
             else:
                 self.state = self.state if self.walks_values() else self.state.drop("features", "entries")  # from here on rows are walked by their bins
-        self.state, self.stale = self.state.persist(), []
+        self.stale = []
+        if params["booster"] != "gblinear":  # a linear model's first margins are those of the start, which is kept
+            self.state = self.state.persist()
 
     def binned(self, state: DataFrame, rows: DataFrame, max_bin: int, weight: str = "weight") -> DataFrame:
         """state with bins by new cuts of rows."""
