@@ -220,13 +220,17 @@ class Grower:
         self.columns = columns or (lambda depth: range(len(cuts)))
         self.exact, self.ahead = exact, ahead
 
+    def sizes_of(self):
+        """How many bins each feature has."""
+        return [len(c) for c in self.cuts]
+
     def grow(self, df: DataFrame, scale: tuple[float, float]) -> Tree:
         """df: blocks, with gradients times `scale` (a power of two each for g and h)."""
         tree = Tree(len(self.cuts))
         self.bounds, self.paths = {0: (-np.inf, np.inf)}, {0: frozenset()}
         self.rows, self.held, self.sides, self.chain = {}, {}, {}, {}  # by node: its rows, the table that has its sums, the rows of either side, tables before that one
-        self.scale, self.sizes, self.jobs = scale, [len(c) for c in self.cuts], 0
-        most = max(2, MOST_BYTES // (8 * (self.LAYERS or 2 * self.outputs + 1) * max(1, sum(self.sizes) + len(self.sizes))))
+        self.scale, self.sizes, self.jobs = scale, self.sizes_of(), 0
+        most = max(2, MOST_BYTES // (8 * (self.LAYERS or 2 * self.outputs + 1) * max(1, int(np.sum(self.sizes)) + len(self.sizes))))
         most -= most % 2  # siblings stay together
 
         def evaluate(nodes: list[int]) -> list[tuple[int, Split]]:
@@ -312,10 +316,11 @@ class Grower:
 
     def settings_of(self, tree: Tree, nodes: list[int], kind) -> dict[int, tuple]:
         """By node its weight bounds and the features it may split on (None: all)."""
-        every, settings = set(range(len(self.cuts))), {}
+        every, settings = range(len(self.cuts)), {}
         for node in nodes:
-            allowed = set(self.constraints.allowed(self.paths[node])) & set(self.columns(tree.nodes[node].depth))
-            settings[node] = (self.bounds[node], None if allowed == every else kind(allowed))
+            free, drawn = self.constraints.allowed(self.paths[node]), self.columns(tree.nodes[node].depth)
+            allowed = every if free == every and drawn == every else set(free) & set(drawn)  # no set of all features where nothing is barred
+            settings[node] = (self.bounds[node], None if len(allowed) == len(every) else kind(allowed))
         return settings
 
     def evaluated(self, df: DataFrame, tree: Tree, nodes: list[int]) -> list[tuple[int, Split]]:

@@ -21,7 +21,7 @@ from ..operators import linear
 from ..operators.cuts import bin_array, feature_cuts
 from ..operators.exact import ExactGrower, column_facts, ranges_for, value_blocks
 from ..operators.grow import AHEAD, Grower, blocks, cell_type, fixed_scale, pack_bins
-from ..operators.sparse import Layout, SparseGrower, add_cells, sparse_blocks, sparse_cuts
+from ..operators.sparse import Layout, SparseGrower, add_cells, packed, row_cells, sparse_blocks, sparse_cuts
 from ..operators.split import Penalty
 from ..operators.tree import Tree
 from ..sources.frame import Frame
@@ -157,7 +157,9 @@ class Trainer:
             self.state = self.model.add_linear(self.start)
         else:
             self.state = self.model.margins(frame, stumps=self.model.stumps)
-        self.cuts = self.layout = None
+        self.cuts = self.layout = self.row_cells = None
+        self.stale: list[DataFrame] = []
+        self.kept: list = []  # tables that sparse rows' cuts and bins are read from
         if frame.sparse and params["booster"] != "gblinear" and (params.method() == "exact" or params["process_type"] == "update"):
             raise ValueError("sparse frames are trained by gblinear and by tree_method hist or approx; make the frame dense (from_sparse) for others")
         if params["booster"] == "gblinear" and params["max_row_perbatch"] and (frame.sparse or frame.width > linear.MOST):
@@ -169,20 +171,37 @@ class Trainer:
                 self.facts = column_facts(frame.df, frame.width, self.rows)
             else:
                 self.state = self.state if self.walks_values() else self.state.drop("features", "entries")  # from here on rows are walked by their bins
-        self.stale = []
         if params["booster"] != "gblinear":  # a linear model's first margins are those of the start, which is kept
             self.state = self.state.persist()
 
     def binned(self, state: DataFrame, rows: DataFrame, max_bin: int, weight: str = "weight") -> DataFrame:
         """state with bins by new cuts of rows."""
-        find = sparse_cuts if self.frame.sparse else feature_cuts
-        self.cuts = find(rows, self.frame.width, max_bin, self.categorical, weight, n=self.rows)
-        self.layout = Layout(self.cuts, self.categorical) if self.frame.sparse else None
+        if not self.frame.sparse:
+            self.cuts = feature_cuts(rows, self.frame.width, max_bin, self.categorical, weight, n=self.rows)
+            return self.cells(state)
+        held, old = packed(rows, weight).persist(), self.kept
+        cuts = sparse_cuts(held, self.frame.width, max_bin, self.categorical, n=self.rows)
+        for table in old:
+            table.unpersist()
+        self.cuts, self.layout, self.row_cells, self.kept = cuts, Layout(cuts, self.categorical), None, [cuts]
+        if cuts.whole:
+            held.unpersist()
+            return self.cells(state)
+        self.row_cells = row_cells(held, self.layout, cuts)
+        if self.params.method() == "approx":  # read for the state and for the gradients
+            self.row_cells = self.row_cells.persist()
+            self.kept += [held, self.row_cells]
+        else:
+            self.stale.append(held)
         return self.cells(state)
 
     def cells(self, df: DataFrame) -> DataFrame:
         df = df.drop("bins")
-        return add_cells(df, self.layout) if self.layout else add_bins(df, self.cuts, self.categorical)
+        if self.layout is None:
+            return add_bins(df, self.cuts, self.categorical)
+        if self.row_cells is None:
+            return add_cells(df, self.layout, self.cuts)
+        return df.join(self.row_cells, "row_id", "left").withColumn("bins", F.coalesce("bins", F.lit(b"")))
 
     def objective_params(self) -> dict:
         keys = ("huber_slope", "quantile_alpha", "expectile_alpha", "tweedie_variance_power", "aft_loss_distribution", "aft_loss_distribution_scale", "num_class", "rate_drop", "skip_drop", "one_drop", "sample_type")
@@ -347,8 +366,8 @@ class Trainer:
         delta = p["max_delta_step"] or (0.7 if self.obj.name == "count:poisson" else 0.0)
         penalty = Penalty(p["lambda"], p["alpha"], delta, p["min_child_weight"], tuple(p["monotone_constraints"]), p["max_cat_to_onehot"], p["max_cat_threshold"], p["default_direction"] if p.method() == "exact" else "learn")
         width = self.frame.width
-        draw = lambda pool, share: sorted(self.weighted_draw(pool, max(1, int(share * len(pool)))) if share < 1 else pool)
-        tree_pool = draw(list(range(width)), p["colsample_bytree"])
+        draw = lambda pool, share: sorted(self.weighted_draw(pool, max(1, int(share * len(pool))))) if share < 1 else pool
+        tree_pool = draw(range(width), p["colsample_bytree"])
         levels: dict[int, list[int]] = {}
 
         def columns(depth: int):
@@ -364,7 +383,7 @@ class Trainer:
         if p.method() == "exact":
             return ExactGrower(cuts, dense=self.facts[0], constant=self.facts[1], opt_dense=p["opt_dense_col"], **settings)
         if self.layout:
-            return SparseGrower(self.layout, outputs, categorical=self.categorical, **settings)
+            return SparseGrower(self.layout, self.cuts, outputs, categorical=self.categorical, **settings)
         return Grower(cuts, outputs, categorical=self.categorical, **settings)
 
     def weighted_draw(self, pool: list[int], n: int) -> list[int]:
@@ -637,6 +656,6 @@ def train(params: dict | Params, frame: Frame, num_boost_round: int = 10, evals=
                     break
         if getattr(trainer, "converged", False):
             break
-    for state in (trainer.state, *trainer.stale, *([trainer.start] if params["booster"] == "gblinear" else []), *(held for _, held, f in sets if held is not None)):
+    for state in (trainer.state, *trainer.stale, *trainer.kept, *([trainer.start] if params["booster"] == "gblinear" else []), *(held for _, held, f in sets if held is not None)):
         state.unpersist()
     return model

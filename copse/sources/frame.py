@@ -176,8 +176,11 @@ def from_long(entries: DataFrame, width: int, rows: DataFrame | None = None, mis
     cell twice the largest counts. A column outside the width is an error, which shows when rows are read.
     """
     name = F.when((F.col("f") >= 0) & (F.col("f") < width), F.col("f").cast("int")).otherwise(F.raise_error(F.lit(f"a column index is not below {width}")).cast("int"))
-    held = entries.select("row_id", name.alias("f"), present(F.col("v"), missing).alias("v")).where("v IS NOT NULL").groupBy("row_id", "f").agg(F.max("v").alias("v"))
-    got = held.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("entries"))
+    held = entries.select("row_id", name.alias("f"), present(F.col("v"), missing).alias("v")).where("v IS NOT NULL")
+    # Entries move once, to their rows' tasks, where lists are made; of a cell named twice the last of a sorted list is the largest.
+    got = held.repartition("row_id").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("e"))
+    last = F.filter("e", lambda x, i: (i == F.size("e") - 1) | (F.get("e", i + 1)["f"] != x["f"]))
+    got = got.select("row_id", F.when(F.size(F.array_distinct("e.f")) == F.size("e"), F.col("e")).otherwise(last).alias("entries"))
     if rows is not None:
         got = rows.join(got, "row_id", "left")
     empty = F.array().cast("array<struct<f:int,v:double>>")

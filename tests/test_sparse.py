@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from copse.operators import sparse
+from copse.operators.cuts import Summary, bin_array, summary_budget
 from copse.plans.train import train
 from copse.sources.frame import from_long
 
@@ -118,3 +119,45 @@ def test_what_a_matrix_says(spark, rows):
     for wrong in ([100, 160, 1], [260, 0], []):
         with pytest.raises(ValueError, match="group sizes"):
             dense.with_group_sizes(wrong)
+
+
+@pytest.mark.parametrize("params", [{"max_depth": 3}, {"tree_method": "approx", "max_depth": 2, "objective": "reg:squaredlogerror", "base_score": 1.0}])
+def test_more_cuts_than_tasks_hold(spark, rows, monkeypatch, params):
+    """Entries go to where their features' cuts are, and the trees are those of dense rows."""
+    x, y, w = rows
+    dense, held = both(spark, x, np.abs(y), w)
+    want = train(params, dense, 2)
+    for name, value in (("MOST_CUTS", 60), ("TOGETHER", 2), ("FEW", 15), ("MOST_SENT", 30), ("ADDED", 2), ("MANY_TASKS", 1)):
+        monkeypatch.setattr(sparse, name, value)
+    got = train(params, held, 2)
+    trees = [[[(n.feature, n.threshold, n.default_left) for n in s.tree.nodes if not n.leaf] for s in m.stumps] for m in (want, got)]
+    assert trees[0] == trees[1]
+    assert np.allclose(margins(want, dense), margins(got, held), atol=1e-9)
+
+
+def test_cuts_at_hand_and_in_a_table(spark, rows, monkeypatch):
+    """Cuts of a table are those of all at hand, also of categories, of many values and of features that no row holds."""
+    x, y, w = rows
+    x = np.hstack([x[:, :2], np.abs(np.round(x[:, 2:3] * 3)), np.full((len(x), 1), np.nan), x[:, 3:4]])
+    _, held = both(spark, x, y, w, kinds=("q", "q", "c", "q", "q"))
+    rows_ = sparse.packed(held.df).persist()
+    for max_bin in (30, 256):
+        want = [feature_cuts_of(x[:, f], w, max_bin, f == 2, len(x)) for f in range(5)]
+        for most in (0, 25, 1 << 20):
+            monkeypatch.setattr(sparse, "MOST_CUTS", most)
+            monkeypatch.setattr(sparse, "TOGETHER", 3)
+            monkeypatch.setattr(sparse, "FEW", 30)
+            cuts = sparse.sparse_cuts(rows_, 5, max_bin, [2], n=len(x))
+            assert cuts.whole == (most == 1 << 20) and [len(c) for c in want] == cuts.sizes.tolist()
+            assert all(np.array_equal(cuts[f], want[f]) for f in range(5))
+            cells = {r["row_id"]: sorted(np.frombuffer(r["bins"], "<i4").tolist()) for r in sparse.row_cells(rows_, sparse.Layout(cuts, [2]), cuts).collect()}
+            edges = np.cumsum([0, *map(len, want)])
+            expected = {i: sorted(int(edges[f] + bin_array(x[i, f : f + 1], want[f], f == 2)[0]) for f in np.flatnonzero(~np.isnan(x[i]))) for i in range(len(x))}
+            assert cells == {i: c for i, c in expected.items() if c}
+            cuts.unpersist()
+    rows_.unpersist()
+
+
+def feature_cuts_of(v, w, max_bin, category, n):
+    ok = ~np.isnan(v)
+    return np.arange(v[ok].max() + 1) if category else Summary.exact(v[ok], w[ok]).prune(summary_budget(max_bin, n)).cuts(max_bin)
