@@ -32,7 +32,7 @@ TOGETHER, FEW = 256, 256
 #: Lists of a chunk's sums that are added up at once.
 ADDED = 64
 #: Numbers that a task holds before it sends them on.
-MOST_HELD, MOST_SENT = 2_000_000, 500_000
+MOST_HELD, MOST_SENT = 2_000_000, 250_000
 #: Tasks from whose number on summaries are merged in two steps.
 MANY_TASKS = 256
 PACKED = "n int, ids binary, w binary, sizes binary, f binary, v binary"
@@ -229,7 +229,7 @@ def sparse_cuts(df: DataFrame, width: int, max_bin: int, categorical=(), n: int
                     f, v, w = f[~own], v[~own], w[~own]
                 held.append((f, v, w, np.ones(len(f), np.int64)))
                 waiting += len(f)
-                if waiting > 500_000 + least:
+                if waiting > 250_000 + least // 2:
                     held = [distinct(held)]
                     held[0], many = split_off(held[0], 2 * budget)
                     sketch(many)
@@ -579,7 +579,7 @@ def partial_sums(df: DataFrame, tree: Tree, nodes: dict[int, int], layout: Layou
                 values = [np.frombuffer(x, "<i8").reshape(n, outputs)[own, k] for x in (g, h) for k in range(outputs)]
                 held.append(summed(at[ok] * cells_in_all + cells[ok], np.stack([*values, np.ones(len(own), np.int64)])))
                 waiting += len(held[-1][0])
-                if waiting > 2 * len(held[0][0]) + 250_000:
+                if waiting > 1.5 * len(held[0][0]) + 200_000:
                     held = [summed(*(np.concatenate(c, axis=-1) for c in zip(*held, strict=True)))]
                     waiting = len(held[0][0])
         if not held:
